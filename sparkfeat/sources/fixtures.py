@@ -19,7 +19,8 @@ ORDER_SPEC = FeatureSpec(
     categorical=("pri", "seg", "st1"),
 )
 
-# Small-integer columns: the "survey count" part of the order profile.
+# Small-integer columns: the "survey count" part of the order profile. They are
+# doubles, as numeric survey columns with gaps are (FIXTURES.md §1).
 COUNT_COLS = ("cnt_r", "cnt_a", "cnt_n")
 
 
@@ -28,9 +29,9 @@ def order_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem")
     flag = F.col("l_returnflag")
     per_order = li.groupBy("l_orderkey").agg(
-        F.nullif(F.count_if(flag == "R"), F.lit(0)).cast("bigint").alias("cnt_r"),
-        F.nullif(F.count_if(flag == "A"), F.lit(0)).cast("bigint").alias("cnt_a"),
-        F.nullif(F.count_if(flag == "N"), F.lit(0)).cast("bigint").alias("cnt_n"),
+        F.nullif(F.count_if(flag == "R"), F.lit(0)).cast("double").alias("cnt_r"),
+        F.nullif(F.count_if(flag == "A"), F.lit(0)).cast("double").alias("cnt_a"),
+        F.nullif(F.count_if(flag == "N"), F.lit(0)).cast("double").alias("cnt_n"),
         F.avg(F.when(flag == "R", F.col("l_quantity"))).alias("qty_r"),
         F.max("l_extendedprice").alias("max_price"),
         F.max(F.when(F.col("l_linenumber") == 1, F.col("l_linestatus"))).alias("st1"),
@@ -62,9 +63,9 @@ order_profile AS (
   FROM orders o
   LEFT JOIN (
     SELECT l_orderkey,
-           CAST(nullif(count_if(l_returnflag = 'R'), 0) AS BIGINT) AS cnt_r,
-           CAST(nullif(count_if(l_returnflag = 'A'), 0) AS BIGINT) AS cnt_a,
-           CAST(nullif(count_if(l_returnflag = 'N'), 0) AS BIGINT) AS cnt_n,
+           CAST(nullif(count_if(l_returnflag = 'R'), 0) AS DOUBLE) AS cnt_r,
+           CAST(nullif(count_if(l_returnflag = 'A'), 0) AS DOUBLE) AS cnt_a,
+           CAST(nullif(count_if(l_returnflag = 'N'), 0) AS DOUBLE) AS cnt_n,
            avg(CASE WHEN l_returnflag = 'R' THEN l_quantity END) AS qty_r,
            max(l_extendedprice) AS max_price,
            max(CASE WHEN l_linenumber = 1 THEN l_linestatus END) AS st1
