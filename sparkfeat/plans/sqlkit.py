@@ -25,3 +25,11 @@ def union_stats(cols, table: str, select_tmpl: str, where_notnull: bool = True,
 def r6(expr: str) -> str:
     # + 0.0 turns -0.0 into 0.0, as Spark's decimal rounding does
     return f"(round({expr}, 6) + 0.0)"
+
+
+def sig6_sql(expr: str) -> str:
+    """6 significant digits with exact powers of ten (twin of ``sig6``)."""
+    e = f"CAST(floor(log10(abs({expr}))) AS INTEGER)"
+    return (f"(CASE WHEN {expr} IS NULL OR {expr} = 0 THEN {expr} "
+            f"WHEN 5 - {e} >= 0 THEN round({expr} * pow(10, 5 - {e})) / pow(10, 5 - {e}) "
+            f"ELSE round({expr} / pow(10, {e} - 5)) * pow(10, {e} - 5) END)")
