@@ -90,41 +90,42 @@ def unpivot_numeric(df: DataFrame, id_cols, cols, var: str = "feature",
     return long.filter(F.col(val).isNotNull())
 
 
-def exact_quantiles(df: DataFrame, cols, probs, n_buckets: int = DEFAULT_BUCKETS) -> dict:
-    """{(col, p): value} with linear interpolation (= percentile / quantile_cont).
+def exact_quantiles(df: DataFrame, cols, probs, by: str | None = None,
+                    n_buckets: int = DEFAULT_BUCKETS) -> dict:
+    """{(col, p)} or {(col, by_value, p)} → value, linear interpolation
+    (= ``percentile`` / ``quantile_cont``).
 
     Distinct values are counted (map-side combined), ranked with
-    ``cumulative`` and only the ≤ 2·len(cols)·len(probs) rows holding the
-    target ranks reach the driver.
+    ``cumulative`` and only the rows holding the target ranks (at most
+    2 · columns · groups · probs) reach the driver.
     """
-    long = unpivot_numeric(df, [], cols)
+    keys = [by] if by else []
+    long = unpivot_numeric(df, keys, cols)
+    if by:
+        long = long.withColumn("feature", F.concat_ws("\u0001", "feature", F.col(by).cast("string")))
     counts = long.groupBy("feature", "value").agg(F.count("*").alias("n"))
     cum = cumulative(counts, ["feature"], "value", ["n"], n_buckets)
-    # targets: for each feature/prob the two 0-based ranks around p*(N-1)
     tot = cum.groupBy("feature").agg(F.max("tot_n").alias("N"))
     pos = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p")
     targets = tot.select("feature", "N", pos).select(
         "feature", "p", (F.col("p") * (F.col("N") - 1)).alias("pos"))
     targets = targets.select(
         "feature", "p", "pos",
-        F.explode(F.array(F.floor("pos"), F.ceil("pos"))).alias("r"))
+        F.explode(F.array_distinct(F.array(F.floor("pos"), F.ceil("pos")))).alias("r"))
     tstate = fit_state(targets)
-    hit = cum.join(F.broadcast(tstate.df),
-                   (cum.feature == tstate.df.feature) & (cum.prev_n <= tstate.df.r)
-                   & (tstate.df.r < cum.cum_n))
-    rows = hit.select(tstate.df.feature, "p", "pos", "r", "value").collect()
-    vals: dict = {}
-    for r in rows:
-        vals[(r.feature, r.p, int(r.r))] = r.value
+    t = tstate.df
+    hit = cum.join(F.broadcast(t), (cum.feature == t.feature) & (cum.prev_n <= t.r) & (t.r < cum.cum_n))
+    rows = hit.select(t.feature, "p", "pos", "r", "value").collect()
+    found = {(r.feature, r.p, int(r.r)): r.value for r in rows}
+    posmap = {(r.feature, r.p): r.pos for r in tstate.rows}
     out = {}
-    for c in cols:
-        for p in probs:
-            cand = [(k, v) for k, v in vals.items() if k[0] == c and k[1] == float(p)]
-            if not cand:
-                out[(c, p)] = None
-                continue
-            pos_v = [r.pos for r in rows if r.feature == c and r.p == float(p)][0]
-            lo_r, hi_r = int(pos_v // 1), int(-(-pos_v // 1))
-            lo, hi = vals[(c, float(p), lo_r)], vals[(c, float(p), hi_r)]
-            out[(c, p)] = lo + (hi - lo) * (pos_v - lo_r)
+    for (feat, p), pos_v in posmap.items():
+        lo_r, hi_r = int(pos_v // 1), int(-(-pos_v // 1))
+        lo, hi = found[(feat, p, lo_r)], found[(feat, p, hi_r)]
+        val = lo + (hi - lo) * (pos_v - lo_r)
+        if by:
+            c, g = feat.split("\u0001", 1)
+            out[(c, g, p)] = val
+        else:
+            out[(feat, p)] = val
     return out
