@@ -1 +1,197 @@
-"""Queries (filled in below)."""
+"""Model-based queries on the document profile (MOD-*, ENS-2..5, EVL-5/6,
+CLU-*, PSL-2, AGG-16). Model outputs have no SQL oracle: rows-only checks,
+plus invariants in the tests."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from sparkfeat.catalog import register
+from sparkfeat.operators import ensemble as EN
+from sparkfeat.operators import models as MD
+from sparkfeat.operators import pseudo as PS
+from sparkfeat.operators.folds import hash_fold, stratified_fold
+from sparkfeat.operators.text import family_of
+from sparkfeat.sources.fixtures import DOC_FEATURES, doc_profile
+
+K = 3
+FEATS = list(DOC_FEATURES)
+
+
+def _train_test(spark, sf):
+    d = doc_profile(spark, sf)
+    train = d.filter(~F.col("is_test")).withColumn("label", F.col("quality").cast("int"))
+    test = d.filter(F.col("is_test"))
+    return train, test
+
+
+def _base_estimators(n):
+    return {"gbt": MD.make_model("gbt", max_iter=10, depth=3),
+            "rf": MD.make_model("rf", trees=20, depth=5, min_leaf=4),
+            "lr": MD.make_model("lr", n, C=1.0)}
+
+
+def _oof(spark, sf, with_test=False):
+    train, test = _train_test(spark, sf)
+    train = MD.assemble(stratified_fold(train, "doc_id", "label", K, 42), FEATS).cache()
+    n = train.count()
+    te = MD.assemble(test, FEATS) if with_test else None
+    oof, tst = MD.oof_predictions(train, te, _base_estimators(n), "doc_id", "label", "fold", K)
+    return oof, tst
+
+
+# ------------------------------------------------------------------ ENS-3 / MOD-1,3,4
+@register("model_oof")
+def model_oof(spark, sf):
+    oof, _ = _oof(spark, sf)
+    return oof
+
+
+# ------------------------------------------------------------------ EVL-1/2 on real models
+@register("cv_models")
+def cv_models(spark, sf):
+    oof, _ = _oof(spark, sf)
+    summary = EN.cv_summary(oof)
+    return summary.join(EN.leaderboard(summary).select("model", "rank"), "model")
+
+
+# ------------------------------------------------------------------ ENS-4
+@register("blend_lr")
+def blend_lr(spark, sf):
+    oof, tst = _oof(spark, sf, with_test=True)
+    coefs, blended = MD.blend(oof, tst, ["gbt", "rf", "lr"], "doc_id", C=0.01)
+    return blended.select("doc_id", "p")
+
+
+@register("blend_coefficients")
+def blend_coefficients(spark, sf):
+    oof, _ = _oof(spark, sf)
+    coefs, _ = MD.blend(oof, None, ["gbt", "rf", "lr"], "doc_id", C=0.01)
+    return coefs
+
+
+# ------------------------------------------------------------------ ENS-5
+@register("stack_meta")
+def stack_meta(spark, sf):
+    """Two meta models scored by an inner 3-fold CV on the OOF columns; the better one wins."""
+    oof, _ = _oof(spark, sf)
+    wide = oof.groupBy("doc_id", "label").pivot("model", ["gbt", "rf", "lr"]).agg(F.first("p"))
+    wide = MD.assemble(hash_fold(wide, "doc_id", 3, 11, "inner"), ["gbt", "rf", "lr"]).cache()
+    n = wide.count()
+    metas = {"meta_lr": MD.make_model("lr", n, C=0.01), "meta_rf": MD.make_model("rf", trees=20, depth=3)}
+    inner, _ = MD.oof_predictions(wide, None, metas, "doc_id", "label", "inner", 3)
+    cv = EN.cv_summary(inner)
+    best = cv.agg(F.max_by("model", F.struct("mean_acc", "model")).alias("best")).first()["best"]  # 2 rows
+    return cv.withColumn("chosen", F.col("model") == F.lit(best))
+
+
+# ------------------------------------------------------------------ ENS-2 + PSL-3
+@register("weighted_vote")
+def weighted_vote(spark, sf):
+    train, test = _train_test(spark, sf)
+    n = train.count()
+    lr = MD.make_model("lr", n, C=1.0).fit(MD.assemble(train, FEATS))
+    scored = lr.transform(MD.assemble(test, FEATS)).select("doc_id", MD.p_one().alias("p"))
+    pseudo = PS.two_sided(scored.withColumnRenamed("doc_id", "id"), 0.85).withColumnRenamed("id", "doc_id")
+    aug = train.select("doc_id", "label", *FEATS).withColumns({"weight": F.lit(1.0)}).unionByName(
+        pseudo.join(test.select("doc_id", *FEATS), "doc_id").select("doc_id", "label", *FEATS, "weight"))
+    return MD.weighted_vote(aug, test, ["gbt", "lr"], FEATS, "doc_id", "label", "weight")
+
+
+# ------------------------------------------------------------------ EVL-6
+@register("adversarial_auc")
+def adversarial_auc(spark, sf):
+    train, test = _train_test(spark, sf)
+    oof = MD.adversarial(train, test, FEATS, "doc_id", K).cache()
+    rank_auc = MD.auc_rank_sum(oof).select(F.lit("auc_rank_sum").alias("metric"), F.col("auc").alias("value"))
+    builtin = spark.createDataFrame([("auc_evaluator", MD.auc_builtin(oof))], "metric string, value double")
+    return rank_auc.unionByName(builtin)
+
+
+# ------------------------------------------------------------------ EVL-5 / AGG-16 / SRT-1
+def _importance(spark, sf):
+    train, _ = _train_test(spark, sf)
+    model = MD.make_model("rf", trees=30, depth=5, min_leaf=4).fit(MD.assemble(train, FEATS))
+    imp = MD.importances(model, FEATS, spark)
+    return imp.withColumn("family", family_of(F.col("feature")))
+
+
+@register("feature_importance")
+def feature_importance(spark, sf):
+    imp = _importance(spark, sf)
+    w = Window.orderBy(F.desc("importance"), "feature")  # one row per feature
+    return imp.withColumn("rank", F.row_number().over(w))
+
+
+@register("importance_by_family")
+def importance_by_family(spark, sf):
+    imp = _importance(spark, sf)
+    return imp.groupBy("family").agg(F.avg("importance").alias("mean"), F.sum("importance").alias("total"),
+                                     F.avg((F.col("importance") < 0.001).cast("double")).alias("low_share"))
+
+
+# ------------------------------------------------------------------ CLU-1/2
+@register("kmeans_clusters")
+def kmeans_clusters(spark, sf):
+    d = doc_profile(spark, sf)
+    out = MD.kmeans_features(d, FEATS, 5, 42)
+    return out.select("doc_id", "cluster", *[f"cluster_{i}_distance" for i in range(5)])
+
+
+# ------------------------------------------------------------------ CLU-3
+@register("pca_components")
+def pca_components(spark, sf):
+    d = doc_profile(spark, sf)
+    out, _ = MD.pca_features(d, FEATS, 3)
+    return out.select("doc_id", "pca_0", "pca_1", "pca_2")
+
+
+# ------------------------------------------------------------------ PSL-2
+@register("pseudo_iterative")
+def pseudo_iterative(spark, sf):
+    train, test = _train_test(spark, sf)
+    feats = train.select("doc_id", *FEATS).unionByName(test.select("doc_id", *FEATS))
+
+    feats = feats.withColumnRenamed("doc_id", "id")
+
+    def score(current, pool):
+        cur = current.join(feats, "id")
+        n = cur.count()
+        model = MD.make_model("lr", n, C=1.0, weight="weight").fit(MD.assemble(cur, FEATS))
+        sc = model.transform(MD.assemble(pool.join(feats, "id"), FEATS))
+        return sc.select("id", MD.p_one().alias("p"))
+
+    out = PS.iterative(train.select(F.col("doc_id").alias("id"), "label"),
+                       test.select(F.col("doc_id").alias("id")), score,
+                       rounds=2, threshold=0.9, ratio=0.1, weight=0.7, id_col="id")
+    return out
+
+
+# ------------------------------------------------------------------ MOD-2/5/6/7
+@register("model_zoo")
+def model_zoo(spark, sf):
+    train, _ = _train_test(spark, sf)
+    train = stratified_fold(train, "doc_id", "label", K, 42).cache()
+    n = train.count()
+    assembled = MD.assemble(train, FEATS)
+    ests = {
+        "hgb": MD.make_model("hgb", max_iter=5, depth=4, min_leaf=8),
+        "mlp": MD.make_model("mlp", layers=[len(FEATS), 16, 2], max_iter=30),
+        "lr_l1": MD.make_model("lr", n, C=0.1, l1=1.0),
+    }
+    oof, _ = MD.oof_predictions(assembled, None, ests, "doc_id", "label", "fold", K)
+    pipe = MD.encoded_pipeline(["lang", "source"], FEATS, "gbt", n, max_iter=5, depth=3)
+    oof2, _ = MD.oof_predictions(train, None, {"enc_gbt": pipe}, "doc_id", "label", "fold", K)
+    return EN.cv_summary(oof.unionByName(oof2))
+
+
+@register("early_stopping")
+def early_stopping(spark, sf):
+    train, _ = _train_test(spark, sf)
+    tr = MD.assemble(hash_fold(train, "doc_id", 5, 3, "vf"), FEATS).withColumn("is_val", F.col("vf") == 0)
+    model = MD.make_model("gbt", max_iter=40, depth=4, step=0.1, subsample=0.8,
+                          validation_col="is_val").fit(tr)
+    val = model.transform(tr.filter("is_val"))
+    acc = val.agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("val_acc"))
+    return acc.withColumn("trees", F.lit(model.getNumTrees))
