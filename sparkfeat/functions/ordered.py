@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkfeat.functions.hashing import TWO32
-from sparkfeat.functions.lookup import fit_state, lookup_join
+from sparkfeat.functions.lookup import MAX_BROADCAST_ROWS, fit_state, lookup_join
 
 DEFAULT_BUCKETS = 64
 
@@ -51,7 +51,7 @@ def rank_by_hash(df: DataFrame, part_cols, hash_col: str, tie_col: str,
 
 
 def cumulative(df: DataFrame, part_cols, value_col: str, weight_cols,
-               n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+               n_buckets: int = DEFAULT_BUCKETS, local_max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Cumulative weights over distinct (group, value) rows in value order.
 
     Input: one row per distinct (part_cols, value_col) with numeric weight
@@ -60,6 +60,12 @@ def cumulative(df: DataFrame, part_cols, value_col: str, weight_cols,
     """
     part_cols = list(part_cols)
     weight_cols = list(weight_cols)
+    # Proven-small input (≤ max rows of distinct values): one job, ranked on
+    # the driver. Otherwise the input is checkpointed once and ranked in buckets.
+    st = fit_state(df, local_max_rows)
+    if st.small:
+        return _cumulative_local(df, st.rows, part_cols, value_col, weight_cols)
+    df = st.df
     probs = [i / n_buckets for i in range(1, n_buckets)]
     bounds = df.groupBy(*part_cols).agg(
         F.percentile_approx(value_col, probs, 10_000).alias("__bounds"))
@@ -82,6 +88,31 @@ def cumulative(df: DataFrame, part_cols, value_col: str, weight_cols,
     return out.drop("__bucket", *[f"__off_{c}" for c in weight_cols])
 
 
+def _cumulative_local(df: DataFrame, rows, part_cols, value_col, weight_cols) -> DataFrame:
+    import pandas as pd
+    from pyspark.sql import types as T
+    pdf = pd.DataFrame.from_records([r.asDict() for r in rows], columns=df.columns)
+    fields = list(df.schema.fields)
+    for c in weight_cols:
+        pdf[c] = pdf[c].astype("int64")
+        fields += [T.StructField(f"cum_{c}", T.LongType()), T.StructField(f"prev_{c}", T.LongType()),
+                   T.StructField(f"tot_{c}", T.LongType())]
+    if len(pdf):
+        pdf = pdf.sort_values(part_cols + [value_col], kind="mergesort").reset_index(drop=True)
+        g = pdf.groupby(part_cols, sort=False, dropna=False) if part_cols else None
+        for c in weight_cols:
+            pdf[f"cum_{c}"] = g[c].cumsum() if g is not None else pdf[c].cumsum()
+            pdf[f"prev_{c}"] = pdf[f"cum_{c}"] - pdf[c]
+            pdf[f"tot_{c}"] = g[c].transform("sum") if g is not None else pdf[c].sum()
+        order = [f.name for f in fields]
+        data = [tuple(None if (isinstance(v, float) and v != v and f.dataType != T.DoubleType()) else
+                      (v.item() if hasattr(v, "item") else v) for v, f in zip(rec, fields))
+                for rec in pdf[order].itertuples(index=False, name=None)]
+    else:
+        data = []
+    return df.sparkSession.createDataFrame(data, T.StructType(fields))
+
+
 def unpivot_numeric(df: DataFrame, id_cols, cols, var: str = "feature",
                     val: str = "value") -> DataFrame:
     """Long form (id_cols..., feature, value) of numeric columns, nulls dropped."""
@@ -91,7 +122,7 @@ def unpivot_numeric(df: DataFrame, id_cols, cols, var: str = "feature",
 
 
 def exact_quantiles(df: DataFrame, cols, probs, by: str | None = None,
-                    n_buckets: int = DEFAULT_BUCKETS) -> dict:
+                    n_buckets: int = DEFAULT_BUCKETS, local_max_rows: int = MAX_BROADCAST_ROWS) -> dict:
     """{(col, p)} or {(col, by_value, p)} → value, linear interpolation
     (= ``percentile`` / ``quantile_cont``).
 
@@ -104,7 +135,7 @@ def exact_quantiles(df: DataFrame, cols, probs, by: str | None = None,
     if by:
         long = long.withColumn("feature", F.concat_ws("\u0001", "feature", F.col(by).cast("string")))
     counts = long.groupBy("feature", "value").agg(F.count("*").alias("n"))
-    cum = cumulative(counts, ["feature"], "value", ["n"], n_buckets)
+    cum = cumulative(counts, ["feature"], "value", ["n"], n_buckets, local_max_rows)
     tot = cum.groupBy("feature").agg(F.max("tot_n").alias("N"))
     pos = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p")
     targets = tot.select("feature", "N", pos).select(

@@ -87,7 +87,9 @@ def tfidf(df: DataFrame, id_col: str, tokens: dict, min_df: int = 2,
         "feature", "token", "df", idf.alias("idf"),
         F.row_number().over(Window.partitionBy("feature").orderBy("token")).alias("alpha_rank"))
     vocab_st = fit_state(vocab, max_rows=max_features * len(feats))
-    kept = lookup_join(tf, vocab_st, ["feature", "token"], how="inner", salt_col=id_col)
+    # second pass: keep only vocabulary tokens BEFORE the (id, token) shuffle
+    kept = lookup_join(long, vocab_st, ["feature", "token"], how="inner", salt_col=id_col)
+    kept = kept.groupBy(id_col, "feature", "token", "idf").agg(F.count("*").alias("tf"))
     raw = kept.withColumn("__w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("__w") * F.col("__w")).over(Window.partitionBy(id_col, "feature")))
     weights = raw.select(id_col, "feature", "token", (F.col("__w") / norm).alias("tfidf"))
