@@ -5,8 +5,9 @@ column ...). ``State`` records whether its size was *proven* small: the
 state is read with ``limit(max_rows + 1)`` and, when it fits, rebuilt as a
 local relation — a broadcast of known size, independent of the lineage that
 produced it. A state above the bound is checkpointed to the shared
-checkpoint folder and applied with a salted shuffle join, so one hot key
-cannot pin a third of the rows on one task.
+checkpoint folder and applied with a shuffle join — salted for moderate
+states, AQE skew-split otherwise — so one hot key cannot pin a third of the
+rows on one task.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ class State:
     df: DataFrame
     small: bool
     rows: list | None = None  # driver copy when small
+    salt: bool = False  # large but moderate: replicate over salts (else AQE skew join)
 
     def collect(self) -> list:
         if self.rows is None:
@@ -57,9 +59,11 @@ def lookup_join(df: DataFrame, state: State, keys, *, salt_col: str | None = Non
                 drop_right_keys: bool = True) -> DataFrame:
     """Join ``df`` to a fitted state on ``keys`` = [(left_col, right_col), ...].
 
-    Small state: broadcast hash join (no shuffle of ``df``). Large state: the
-    state is replicated over ``SALT_BUCKETS`` salts and ``df`` rows are spread
-    by a hash of ``salt_col`` (the row id), so hot keys split across tasks.
+    Small state: broadcast hash join (no shuffle of ``df``). Large state with
+    ``salt``: the state is replicated over ``SALT_BUCKETS`` salts and ``df``
+    rows are spread by a hash of ``salt_col`` (the row id), so hot keys split
+    across tasks. Other large states: plain join, where AQE checks the
+    runtime size (broadcast or sort-merge) and splits skewed partitions.
     """
     keys = [(k, k) if isinstance(k, str) else tuple(k) for k in keys]
     right = state.df
@@ -69,9 +73,11 @@ def lookup_join(df: DataFrame, state: State, keys, *, salt_col: str | None = Non
     rkeys = [(lk, ren[rk]) for lk, rk in keys]
     if state.small:
         out = df.join(F.broadcast(right), _cond(df, right, rkeys, null_safe), how)
+    elif not state.salt or salt_col is None:
+        # size not proven: plain join; AQE broadcasts it if its runtime size is
+        # under the threshold, else sort-merge with skewed partitions split
+        out = df.join(right, _cond(df, right, rkeys, null_safe), how)
     else:
-        if salt_col is None:
-            raise ValueError("large state needs a salt column (row id)")
         left = df.withColumn("__salt", F.pmod(F.xxhash64(salt_col), F.lit(SALT_BUCKETS)))
         right = right.withColumn("__rsalt", F.explode(F.sequence(F.lit(0), F.lit(SALT_BUCKETS - 1))))
         cond = _cond(left, right, rkeys, null_safe) & (left["__salt"] == right["__rsalt"])

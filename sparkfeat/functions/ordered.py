@@ -3,10 +3,15 @@
 An unpartitioned window (or one partitioned by a low-cardinality key such as
 a class or a feature name) sends the whole group to one task. Here the order
 key is cut into buckets first — by hash range when the key is a uniform
-hash, by approximate quantile bounds otherwise — bucket totals (a table of
-``groups × buckets`` rows, proven small) give each bucket its offset, and
-the window runs per (group, bucket). Ties never straddle buckets because the
-bucket is a function of the key. Results are exact.
+hash, by approximate quantile bounds otherwise — bucket totals give each
+bucket its offset, and the window runs per (group, bucket) only. Ties never
+straddle buckets because the bucket is a function of the key. Results are
+exact.
+
+The bucket-total table has at most ``groups × buckets`` rows, a bound known
+before running (groups are declared columns or classes), so it is broadcast
+without collecting it. Only the quantile bounds (same bound) reach the
+driver, in one small job.
 """
 
 from __future__ import annotations
@@ -15,21 +20,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkfeat.functions.hashing import TWO32
-from sparkfeat.functions.lookup import MAX_BROADCAST_ROWS, fit_state, lookup_join
+from sparkfeat.functions.lookup import fit_state
 
 DEFAULT_BUCKETS = 64
 
 
-def _offsets(counts: DataFrame, part_cols, weight_cols) -> DataFrame:
-    """Bucket offsets over the small (group, bucket) table."""
-    w = (Window.partitionBy(*part_cols).orderBy("__bucket")
-         .rowsBetween(Window.unboundedPreceding, -1))
-    wt = Window.partitionBy(*part_cols)
-    return counts.select(
+def _with_offsets(tagged: DataFrame, part_cols, weight_cols) -> DataFrame:
+    """Join each row to the running total of the buckets before its own."""
+    totals = tagged.groupBy(*part_cols, "__bucket").agg(*[F.sum(c).alias(f"__b_{c}") for c in weight_cols])
+    before = (Window.partitionBy(*part_cols).orderBy("__bucket")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    whole = Window.partitionBy(*part_cols)
+    offs = totals.select(
         *part_cols, "__bucket",
-        *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"__off_{c}") for c in weight_cols],
-        *[F.sum(c).over(wt).alias(f"__tot_{c}") for c in weight_cols],
-    )
+        *[F.coalesce(F.sum(f"__b_{c}").over(before), F.lit(0)).alias(f"__off_{c}") for c in weight_cols],
+        *[F.sum(f"__b_{c}").over(whole).alias(f"__tot_{c}") for c in weight_cols])
+    # bounded by groups × buckets rows (static), hence the broadcast
+    return tagged.join(F.broadcast(offs), list(part_cols) + ["__bucket"])
 
 
 def rank_by_hash(df: DataFrame, part_cols, hash_col: str, tie_col: str,
@@ -41,78 +48,45 @@ def rank_by_hash(df: DataFrame, part_cols, hash_col: str, tie_col: str,
     """
     part_cols = list(part_cols)
     b = F.floor(F.col(hash_col) * F.lit(float(n_buckets)) / F.lit(TWO32)).cast("int")
-    tagged = df.withColumn("__bucket", b)
-    counts = tagged.groupBy(*part_cols, "__bucket").agg(F.count("*").alias("__n"))
-    offs = fit_state(_offsets(counts, part_cols, ["__n"]).drop("__tot___n"))
-    joined = lookup_join(tagged, offs, part_cols + ["__bucket"], salt_col=tie_col)
+    tagged = df.withColumn("__bucket", b).withColumn("__one", F.lit(1))
+    joined = _with_offsets(tagged, part_cols, ["__one"])
     w = Window.partitionBy(*part_cols, "__bucket").orderBy(hash_col, tie_col)
-    return (joined.withColumn(out, F.col("__off___n") + F.row_number().over(w))
-            .drop("__bucket", "__off___n"))
+    return (joined.withColumn(out, F.col("__off___one") + F.row_number().over(w))
+            .drop("__bucket", "__one", "__off___one", "__tot___one"))
+
+
+def bucket_bounds(df: DataFrame, part_cols, value_col: str, n_buckets: int = DEFAULT_BUCKETS):
+    """Approximate quantile cut points per group (one small job)."""
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    bounds = df.groupBy(*part_cols).agg(F.percentile_approx(value_col, probs, 10_000).alias("__bounds"))
+    return fit_state(bounds)
 
 
 def cumulative(df: DataFrame, part_cols, value_col: str, weight_cols,
-               n_buckets: int = DEFAULT_BUCKETS, local_max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+               n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """Cumulative weights over distinct (group, value) rows in value order.
 
     Input: one row per distinct (part_cols, value_col) with numeric weight
-    columns. Output adds ``cum_<w>`` (weights of values ≤ this one),
-    ``prev_<w>`` (values < this one) and ``tot_<w>`` (group total).
+    columns (hot values are already collapsed to one row). Output adds
+    ``cum_<w>`` (weights of values ≤ this one), ``prev_<w>`` (values < this
+    one) and ``tot_<w>`` (group total).
     """
     part_cols = list(part_cols)
     weight_cols = list(weight_cols)
-    # Proven-small input (≤ max rows of distinct values): one job, ranked on
-    # the driver. Otherwise the input is checkpointed once and ranked in buckets.
-    st = fit_state(df, local_max_rows)
-    if st.small:
-        return _cumulative_local(df, st.rows, part_cols, value_col, weight_cols)
-    df = st.df
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = df.groupBy(*part_cols).agg(
-        F.percentile_approx(value_col, probs, 10_000).alias("__bounds"))
-    bstate = fit_state(bounds)
-    tagged = lookup_join(df, bstate, part_cols, salt_col=value_col)
+    bstate = bucket_bounds(df, part_cols, value_col, n_buckets)
+    tagged = df.join(F.broadcast(bstate.df), part_cols, "left")
     tagged = tagged.withColumn(
-        "__bucket", F.size(F.filter("__bounds", lambda x: x < F.col(value_col)))).drop("__bounds")
-    counts = tagged.groupBy(*part_cols, "__bucket").agg(
-        *[F.sum(c).alias(c) for c in weight_cols])
-    offs = fit_state(_offsets(counts, part_cols, weight_cols))
-    joined = lookup_join(tagged, offs, part_cols + ["__bucket"], salt_col=value_col)
+        "__bucket", F.coalesce(F.size(F.filter("__bounds", lambda x: x < F.col(value_col))), F.lit(0))
+    ).drop("__bounds")
+    joined = _with_offsets(tagged, part_cols, weight_cols)
     w = (Window.partitionBy(*part_cols, "__bucket").orderBy(value_col)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    cols = {}
-    for c in weight_cols:
-        cols[f"cum_{c}"] = F.col(f"__off_{c}") + F.sum(c).over(w)
-    out = joined.withColumns(cols)
+    out = joined.withColumns({f"cum_{c}": F.col(f"__off_{c}") + F.sum(c).over(w) for c in weight_cols})
     out = out.withColumns({f"prev_{c}": F.col(f"cum_{c}") - F.col(c) for c in weight_cols})
     out = out.withColumnsRenamed({f"__tot_{c}": f"tot_{c}" for c in weight_cols})
     return out.drop("__bucket", *[f"__off_{c}" for c in weight_cols])
 
 
-def _cumulative_local(df: DataFrame, rows, part_cols, value_col, weight_cols) -> DataFrame:
-    import pandas as pd
-    from pyspark.sql import types as T
-    pdf = pd.DataFrame.from_records([r.asDict() for r in rows], columns=df.columns)
-    fields = list(df.schema.fields)
-    for c in weight_cols:
-        pdf[c] = pdf[c].astype("int64")
-        fields += [T.StructField(f"cum_{c}", T.LongType()), T.StructField(f"prev_{c}", T.LongType()),
-                   T.StructField(f"tot_{c}", T.LongType())]
-    if len(pdf):
-        pdf = pdf.sort_values(part_cols + [value_col], kind="mergesort").reset_index(drop=True)
-        g = pdf.groupby(part_cols, sort=False, dropna=False) if part_cols else None
-        for c in weight_cols:
-            pdf[f"cum_{c}"] = g[c].cumsum() if g is not None else pdf[c].cumsum()
-            pdf[f"prev_{c}"] = pdf[f"cum_{c}"] - pdf[c]
-            pdf[f"tot_{c}"] = g[c].transform("sum") if g is not None else pdf[c].sum()
-        order = [f.name for f in fields]
-        data = [tuple(None if (isinstance(v, float) and v != v and f.dataType != T.DoubleType()) else
-                      (v.item() if hasattr(v, "item") else v) for v, f in zip(rec, fields))
-                for rec in pdf[order].itertuples(index=False, name=None)]
-    else:
-        data = []
-    return df.sparkSession.createDataFrame(data, T.StructType(fields))
-
-
 def unpivot_numeric(df: DataFrame, id_cols, cols, var: str = "feature",
                     val: str = "value") -> DataFrame:
     """Long form (id_cols..., feature, value) of numeric columns, nulls dropped."""
@@ -122,38 +96,38 @@ def unpivot_numeric(df: DataFrame, id_cols, cols, var: str = "feature",
 
 
 def exact_quantiles(df: DataFrame, cols, probs, by: str | None = None,
-                    n_buckets: int = DEFAULT_BUCKETS, local_max_rows: int = MAX_BROADCAST_ROWS) -> dict:
+                    n_buckets: int = DEFAULT_BUCKETS) -> dict:
     """{(col, p)} or {(col, by_value, p)} → value, linear interpolation
     (= ``percentile`` / ``quantile_cont``).
 
     Distinct values are counted (map-side combined), ranked with
     ``cumulative`` and only the rows holding the target ranks (at most
-    2 · columns · groups · probs) reach the driver.
+    2 · columns · groups · probs) reach the driver. Two jobs in total.
     """
     keys = [by] if by else []
     long = unpivot_numeric(df, keys, cols)
     if by:
         long = long.withColumn("feature", F.concat_ws("\u0001", "feature", F.col(by).cast("string")))
     counts = long.groupBy("feature", "value").agg(F.count("*").alias("n"))
-    cum = cumulative(counts, ["feature"], "value", ["n"], n_buckets, local_max_rows)
-    tot = cum.groupBy("feature").agg(F.max("tot_n").alias("N"))
-    pos = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p")
-    targets = tot.select("feature", "N", pos).select(
-        "feature", "p", (F.col("p") * (F.col("N") - 1)).alias("pos"))
-    targets = targets.select(
-        "feature", "p", "pos",
-        F.explode(F.array_distinct(F.array(F.floor("pos"), F.ceil("pos")))).alias("r"))
-    tstate = fit_state(targets)
-    t = tstate.df
-    hit = cum.join(F.broadcast(t), (cum.feature == t.feature) & (cum.prev_n <= t.r) & (t.r < cum.cum_n))
-    rows = hit.select(t.feature, "p", "pos", "r", "value").collect()
-    found = {(r.feature, r.p, int(r.r)): r.value for r in rows}
-    posmap = {(r.feature, r.p): r.pos for r in tstate.rows}
+    cum = cumulative(counts, ["feature"], "value", ["n"], n_buckets)
+    # target ranks per (feature, p): floor and ceil of p·(N − 1); N is on every row (tot_n)
+    parr = F.array(*[F.lit(float(p)) for p in probs])
+    lo, hi = F.floor("pos"), F.ceil("pos")
+    hit = (cum.select("feature", "value", "prev_n", "cum_n", "tot_n", F.explode(parr).alias("p"))
+           .withColumn("pos", F.col("p") * (F.col("tot_n") - 1))
+           .filter(((F.col("prev_n") <= lo) & (lo < F.col("cum_n"))) |
+                   ((F.col("prev_n") <= hi) & (hi < F.col("cum_n")))))
+    rows = hit.select("feature", "p", "pos", "prev_n", "cum_n", "value").collect()
+    per: dict = {}
+    for r in rows:
+        per.setdefault((r.feature, r.p), []).append(r)
     out = {}
-    for (feat, p), pos_v in posmap.items():
+    for (feat, p), rs in per.items():
+        pos_v = rs[0].pos
         lo_r, hi_r = int(pos_v // 1), int(-(-pos_v // 1))
-        lo, hi = found[(feat, p, lo_r)], found[(feat, p, hi_r)]
-        val = lo + (hi - lo) * (pos_v - lo_r)
+        v_lo = next(x.value for x in rs if x.prev_n <= lo_r < x.cum_n)
+        v_hi = next(x.value for x in rs if x.prev_n <= hi_r < x.cum_n)
+        val = v_lo + (v_hi - v_lo) * (pos_v - lo_r)
         if by:
             c, g = feat.split("\u0001", 1)
             out[(c, g, p)] = val

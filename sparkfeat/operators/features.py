@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkfeat.functions.lookup import fit_state, lookup_join
+from sparkfeat.functions.lookup import State, lookup_join
 from sparkfeat.functions.ordered import cumulative, exact_quantiles, unpivot_numeric
 
 
@@ -131,10 +131,10 @@ def pct_rank(df: DataFrame, cols, id_col: str, suffix: str = "rank",
     table = cum.select("feature", "value",
                        ((F.col("prev_n") + F.lit(1) + F.col("cum_n")) / F.lit(2.0) /
                         F.col("tot_n")).alias("__pr"))
-    st = fit_state(table)
+    st = State(table, small=False)  # one row per distinct value: size not proven
     out = df
     for c in cols:
-        sub = type(st)(st.df.filter(F.col("feature") == c).drop("feature"), st.small)
+        sub = State(st.df.filter(F.col("feature") == c).drop("feature"), st.small)
         out = out.withColumn("__k", F.col(c).cast("double"))
         out = lookup_join(out, sub, [("__k", "value")], salt_col=id_col)
         out = out.withColumnRenamed("__pr", f"{c}_{suffix}").drop("__k")

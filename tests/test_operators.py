@@ -80,21 +80,21 @@ def test_smooth_unknown_and_null_get_global(spark, edge):
     assert out.loc[4, "cat_te"] == pytest.approx(g)  # null
 
 
-@pytest.mark.parametrize("local_rows", [0, 200_000])  # distributed and driver paths
-def test_exact_quantiles_match_numpy(spark, local_rows):
+@pytest.mark.parametrize("buckets", [1, 4, 64])
+def test_exact_quantiles_match_numpy(spark, buckets):
     vals = [1.0] * 40 + list(range(2, 62))  # one value holds 40% of rows
     df = spark.createDataFrame([(float(v),) for v in vals], "x double")
-    q = exact_quantiles(df, ["x"], [0.1, 0.5, 0.9, 0.95], local_max_rows=local_rows)
+    q = exact_quantiles(df, ["x"], [0.1, 0.5, 0.9, 0.95], n_buckets=buckets)
     for p in (0.1, 0.5, 0.9, 0.95):
         assert q[("x", p)] == pytest.approx(np.percentile(vals, p * 100))
 
 
-@pytest.mark.parametrize("local_rows", [0, 200_000])
-def test_cumulative_handles_hot_value(spark, local_rows):
+@pytest.mark.parametrize("buckets", [1, 16])
+def test_cumulative_handles_hot_value(spark, buckets):
     rows = [("f", float(v), 1000 if v == 3 else 1) for v in range(200)]
     rows += [("g", float(v), 2) for v in range(50)]
     df = spark.createDataFrame(rows, "feature string, value double, n long")
-    out = cumulative(df, ["feature"], "value", ["n"], n_buckets=16, local_max_rows=local_rows)
+    out = cumulative(df, ["feature"], "value", ["n"], n_buckets=buckets)
     pdf = out.orderBy("feature", "value").toPandas()
     for _, g in pdf.groupby("feature"):
         assert list(g.cum_n) == list(np.cumsum(g.n))
@@ -141,13 +141,19 @@ def test_pseudo_cap(spark):
     assert out.count() == 6  # int(20*0.3); 20 rows qualify
 
 
-def test_large_state_salted_join_equals_broadcast(spark, edge):
+def test_large_state_joins_equal_broadcast(spark, edge):
     table = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 3.0)], "k string, v double")
     small = L.fit_state(table)
-    big = L.State(table, False)
     a = L.lookup_join(edge, small, [("cat", "k")], salt_col="id").orderBy("id").toPandas()
-    b = L.lookup_join(edge, big, [("cat", "k")], salt_col="id").orderBy("id").toPandas()
-    pd.testing.assert_frame_equal(a, b)
+    for big in (L.State(table, False, salt=True), L.State(table, False)):
+        b = L.lookup_join(edge, big, [("cat", "k")], salt_col="id").orderBy("id").toPandas()
+        pd.testing.assert_frame_equal(a, b)
+
+
+def test_fit_state_over_bound_is_not_small(spark):
+    df = spark.range(0, 50).withColumnRenamed("id", "k")
+    st = L.fit_state(df, max_rows=10)
+    assert not st.small and st.df.count() == 50
 
 
 def test_ks_statistic_matches_numpy(spark):
