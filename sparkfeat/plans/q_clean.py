@@ -233,3 +233,76 @@ def missing_patterns(spark, sf):
 register("missing_patterns", with_profile() + "SELECT " + ", ".join(
     f"CAST({c} IS NULL AS INTEGER) AS {c}_missing" for c in ALL7) +
     ", count(*) AS n FROM order_profile GROUP BY ALL")(missing_patterns)
+
+
+# ------------------------------------------------------------------ IMP-5
+def _knn_sql(k: int = 5) -> tuple[str, ...]:
+    """CTEs: distinct recipient patterns × distinct donor vectors (oracle only)."""
+    v = [f"v{i}" for i in range(len(COUNTS))]
+    p = [f"p{i}" for i in range(len(COUNTS))]
+    shared = " + ".join(f"CAST({a} IS NOT NULL AND {b} IS NOT NULL AS INTEGER)" for a, b in zip(p, v))
+    ss = " + ".join(f"coalesce(({b} - {a}) * ({b} - {a}), 0)" for a, b in zip(p, v))
+    ctes = [
+        "ktr AS (SELECT " + ", ".join(f"{c} AS {x}" for c, x in zip(COUNTS, v)) + " FROM order_profile WHERE NOT is_test)",
+        "kmean AS (SELECT " + ", ".join(f"avg({x}) AS m{i}" for i, x in enumerate(v)) + " FROM ktr)",
+        "kdon AS (SELECT " + ", ".join(v) + ", count(*) AS n FROM ktr GROUP BY ALL)",
+        "kpat AS (SELECT DISTINCT " + ", ".join(f"{c} AS {x}" for c, x in zip(COUNTS, p)) +
+        " FROM order_profile WHERE " + " OR ".join(f"{c} IS NULL" for c in COUNTS) + ")",
+        f"kpair AS (SELECT kpat.*, kdon.*, {shared} AS shared, {ss} AS ss FROM kpat, kdon)",
+    ]
+    order = ", ".join(["dist"] + [f"{x} NULLS LAST" for x in v])
+    part = ", ".join(p)
+    for j in range(len(COUNTS)):
+        ctes.append(
+            f"kc{j} AS (SELECT *, sqrt(ss * (CAST({len(COUNTS)} AS DOUBLE) / shared)) AS dist FROM kpair "
+            f"WHERE {p[j]} IS NULL AND {v[j]} IS NOT NULL AND shared > 0)")
+        ctes.append(
+            f"kt{j} AS (SELECT {part}, {v[j]} AS val, least(n, greatest({k} - coalesce(sum(n) OVER "
+            f"(PARTITION BY {part} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)) AS take "
+            f"FROM kc{j})")
+        ctes.append(f"ki{j} AS (SELECT {part}, sum(take * val) / sum(take) AS imp FROM kt{j} GROUP BY ALL)")
+    return tuple(ctes)
+
+
+def _knn_select(extra_cols=""):
+    joins = []
+    sels = []
+    for j, c in enumerate(COUNTS):
+        cond = " AND ".join(f"ki{j}.p{i} IS NOT DISTINCT FROM o.{cc}" for i, cc in enumerate(COUNTS))
+        joins.append(f"LEFT JOIN ki{j} ON {cond}")
+        sels.append(f"{r6(f'coalesce(o.{c}, ki{j}.imp, kmean.m{j})')} AS {c}")
+    return sels, joins
+
+
+def fill_knn(spark, sf):
+    from sparkfeat.operators.knn import KnnImputer
+    df = order_profile(spark, sf)
+    knn = KnnImputer(COUNTS, k=5).fit(train_rows(df))
+    out = knn.transform(df, "id")
+    return out.select("id", *[F.round(c, 6).alias(c) for c in COUNTS])
+
+
+_ks, _kj = _knn_select()
+register("fill_knn", with_profile(*_knn_sql()) + "SELECT o.id, " + ", ".join(_ks) +
+         " FROM order_profile o CROSS JOIN kmean " + " ".join(_kj))(fill_knn)
+
+
+# ------------------------------------------------------------------ IMP-12
+def fill_pipeline(spark, sf):
+    from sparkfeat.operators.knn import orchestrated_fill
+    df = order_profile(spark, sf)
+    out = orchestrated_fill(train_rows(df), df, "id", "label", "is_test", COUNTS, ["st1"],
+                            ["qty_r", "max_price"], k=5)
+    return out.select("id", *[F.round(c, 6).alias(c) for c in COUNTS], "st1", "qty_r", "max_price")
+
+
+register("fill_pipeline", with_profile(
+    *_knn_sql(),
+    "tr AS (SELECT * FROM order_profile WHERE NOT is_test)",
+    "cc AS (SELECT label, st1 AS v, count(*) AS n FROM tr WHERE st1 IS NOT NULL GROUP BY label, st1)",
+    "bc AS (SELECT label, v FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, v) AS rk FROM cc) WHERE rk = 1)",
+    "ac AS (SELECT v FROM (SELECT v, row_number() OVER (ORDER BY sum(n) DESC, v) AS rk FROM cc GROUP BY v) WHERE rk = 1)",
+) + "SELECT o.id, " + ", ".join(_ks) +
+    ", coalesce(o.st1, CASE WHEN o.is_test THEN (SELECT v FROM ac) ELSE (SELECT v FROM bc WHERE bc.label = o.label) END) AS st1"
+    ", coalesce(o.qty_r, 0) AS qty_r, coalesce(o.max_price, 0) AS max_price"
+    " FROM order_profile o CROSS JOIN kmean " + " ".join(_kj))(fill_pipeline)

@@ -266,3 +266,33 @@ def top_k(spark, sf):
 register("top_k", with_profile() +
          "(SELECT id, total, 'top' AS side FROM order_profile ORDER BY total DESC, id LIMIT 10) UNION ALL "
          "(SELECT id, total, 'bottom' AS side FROM order_profile ORDER BY total ASC, id LIMIT 10)")(top_k)
+
+
+# ------------------------------------------------------------------ AGG-12 density
+def density(spark, sf):
+    df = train_rows(order_profile(spark, sf))
+    mm = df.agg(*[F.min(c).alias(f"lo_{c}") for c in NUMS], *[F.max(c).alias(f"hi_{c}") for c in NUMS]).first()
+    h = P.histogram(df, NUMS, ["label"], 30)
+    bounds = spark.createDataFrame([(c, float(mm[f"lo_{c}"]), float(mm[f"hi_{c}"]), 30) for c in NUMS],
+                                   "feature string, lo double, hi double, bins int")
+    h = h.join(F.broadcast(bounds), "feature").withColumn("grp", F.col("label").cast("string")).drop("label")
+    out = P.density_grid(h, 31)
+    return out.select("feature", "grp", "point", F.round("x", 6).alias("x"), F.round("density", 9).alias("density"))
+
+
+register("density", with_profile(
+    "tr AS (SELECT * FROM order_profile WHERE NOT is_test)",
+    "mm AS (SELECT " + ", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in NUMS) + " FROM tr)",
+    "h AS (" + "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS feature, CAST(label AS VARCHAR) AS grp, CAST(lo_{c} AS DOUBLE) AS lo, CAST(hi_{c} AS DOUBLE) AS hi, "
+        f"CAST(least(floor(({c} - lo_{c}) / (hi_{c} - lo_{c}) * 30.0), 29) AS INTEGER) AS bin FROM tr, mm WHERE {c} IS NOT NULL"
+        for c in NUMS) + ")",
+    "hb AS (SELECT feature, grp, lo, hi, bin, count(*) AS n, lo + (bin + 0.5) * ((hi - lo) / 30) AS c FROM h GROUP BY ALL)",
+    "st AS (SELECT feature, grp, lo, hi, sum(n) AS nt, sum(n * c) / sum(n) AS m FROM hb GROUP BY ALL)",
+    "v AS (SELECT feature, grp, sum(hb.n * (hb.c - st.m) * (hb.c - st.m)) AS ssd "
+    "FROM st JOIN hb USING (feature, grp) GROUP BY feature, grp)",
+    "st2 AS (SELECT st.*, 1.06 * sqrt(v.ssd / st.nt) * pow(st.nt, -0.2) AS bw FROM st JOIN v USING (feature, grp))",
+    "g AS (SELECT st2.*, p AS point, lo + p * ((hi - lo) / 30) AS x FROM st2, range(0, 31) t(p))",
+) + f"SELECT g.feature, g.grp, CAST(g.point AS INTEGER) AS point, {r6('g.x')} AS x, "
+    "round(sum(hb.n * exp(-0.5 * pow((g.x - hb.c) / g.bw, 2))) / (g.nt * g.bw * sqrt(2 * pi())), 9) AS density "
+    "FROM g JOIN hb USING (feature, grp) GROUP BY g.feature, g.grp, g.point, g.x, g.nt, g.bw")(density)

@@ -158,3 +158,37 @@ def holdout_split(spark, sf):
 
 register("holdout_split",
          f"SELECT o_orderkey AS id, {sql_hash32('o_orderkey', 42, 'split')} % 100 < 20 AS is_valid FROM orders")(holdout_split)
+
+
+# ------------------------------------------------------------------ SNK-2 / SNK-3
+def metrics_roundtrip(spark, sf):
+    """Store the CV metrics as JSON, then compare a second variant against them."""
+    from sparkfeat.operators import ensemble as EN
+    from sparkfeat.sources.fixtures import scored
+    s = scored(spark, sf).filter(~F.col("is_test"))
+
+    def metrics(threshold):
+        cv = EN.cv_summary(s, threshold)
+        return cv.select(F.concat(F.lit("mean_acc_"), "model").alias("metric"),
+                         F.round("mean_acc", 6).alias("value"))
+
+    path = _scratch(spark, "metrics")
+    sinks.write_metrics(metrics(0.5), path)
+    out = sinks.compare_metrics(spark, metrics(0.6), path)
+    return out.select("metric", "value", "old_value", F.round("delta", 6).alias("delta"))
+
+
+def _metrics_sql():
+    from sparkfeat.sources.fixtures import scored_sql
+    from sparkfeat.plans.sqlkit import r6
+
+    def cv(t, name):
+        return (f"{name} AS (SELECT 'mean_acc_' || model AS metric, {r6('avg(acc)')} AS value FROM "
+                f"(SELECT model, fold, avg(CAST(CAST(p > {t} AS INTEGER) = label AS DOUBLE)) AS acc FROM scored "
+                f"WHERE NOT is_test GROUP BY model, fold) GROUP BY model)")
+    return ("WITH " + scored_sql().strip() + ",\n" + cv(0.5, "old") + ",\n" + cv(0.6, "new") +
+            f"\nSELECT new.metric, new.value, old.value AS old_value, {r6('new.value - old.value')} AS delta "
+            "FROM new LEFT JOIN old USING (metric)")
+
+
+register("metrics_roundtrip", _metrics_sql())(metrics_roundtrip)
