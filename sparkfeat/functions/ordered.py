@@ -134,3 +134,36 @@ def exact_quantiles(df: DataFrame, cols, probs, by: str | None = None,
         else:
             out[(feat, p)] = val
     return out
+
+
+TOPK_DIRECT = 100_000
+
+
+def top_n(df: DataFrame, score_col: str, id_col: str, n: int, descending: bool = True) -> DataFrame:
+    """The n rows with the highest (or lowest) score, ties broken by id, exact.
+
+    Up to ``TOPK_DIRECT`` rows: an ordered limit (a partial top-n per task,
+    then one merge of at most tasks × n rows). Beyond that the cut-off is
+    found from distinct-score counts ranked by ``cumulative``; rows strictly
+    inside are kept by a filter and the boundary tie group is ranked by id
+    the same bucketed way — no global sort into one partition.
+    """
+    if n <= 0:
+        return df.limit(0)
+    order = [F.desc(score_col) if descending else F.asc(score_col), F.asc(id_col)]
+    if n <= TOPK_DIRECT:
+        return df.orderBy(*order).limit(n)
+    key = (-F.col(score_col)) if descending else F.col(score_col)
+    counts = df.groupBy(key.alias("value")).agg(F.count("*").alias("n")).withColumn("g", F.lit(0))
+    cum = cumulative(counts, ["g"], "value", ["n"])
+    cut = cum.filter((F.col("prev_n") < n) & (F.col("cum_n") >= n)).select("value", "prev_n").collect()
+    if not cut:  # fewer than n rows in total
+        return df
+    t, above = cut[0]["value"], cut[0]["prev_n"]
+    inside = df.filter(key < F.lit(t))
+    ties = df.filter(key == F.lit(t))
+    ids = ties.select(F.col(id_col).cast("double").alias("value"), F.lit(1).alias("n"), F.lit(0).alias("g"))
+    ranked = cumulative(ids, ["g"], "value", ["n"]).filter(F.col("prev_n") < n - above)
+    keep = ties.join(ranked.select(F.col("value").alias("__id")), F.col(id_col).cast("double") == F.col("__id"),
+                     "left_semi")
+    return inside.unionByName(keep)

@@ -1,8 +1,9 @@
 """Pseudo-labelling (PSL-1..3) over scored unlabelled rows.
 
-Selection is a filter plus, when a cap applies, an ordered limit on
-(confidence desc, id) — Spark keeps a partial top-N per task, so the cap
-never gathers all candidates in one place. Rounds of the iterative form
+Selection is a filter plus, when a cap applies, an exact top-N on
+(confidence desc, id) — an ordered limit for moderate caps, a bucketed
+cut-off search for large ones — so the cap never gathers all candidates in
+one place. Rounds of the iterative form
 cut lineage with a reliable checkpoint.
 """
 
@@ -11,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkfeat.functions.ordered import top_n
 from sparkfeat.operators.clean import confidence
 from sparkfeat.session import cut_lineage
 
@@ -21,7 +23,7 @@ def one_sided(scored: DataFrame, n_train: int, threshold: float = 0.85, max_rati
     cap = int(n_train * max_ratio)
     cand = scored.select(id_col, p_col, confidence(p_col).alias("confidence")).filter(
         F.col("confidence") >= threshold)
-    chosen = cand.orderBy(F.desc("confidence"), F.asc(id_col)).limit(cap)
+    chosen = top_n(cand, "confidence", id_col, cap, descending=True)
     return chosen.select(id_col, (F.col(p_col) > 0.5).cast("int").alias("label"), "confidence",
                          (F.col("confidence") * weight_factor).alias("weight"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkfeat.functions.hashing import hash32
 from sparkfeat.functions.lookup import fit_state, lookup_join
+from sparkfeat.functions.ordered import top_n
 
 
 def lookup_with_default(df: DataFrame, table: DataFrame, key: str, table_key: str, value: str,
@@ -52,8 +53,8 @@ def id_overlap(a: DataFrame, b: DataFrame, key_a: str, key_b: str) -> DataFrame:
 
 def sample_n(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
     """SMP-1: n rows without replacement, repeatable (hash order + limit)."""
-    return (df.withColumn("__h", hash32(id_col, seed, "sample"))
-            .orderBy("__h", id_col).limit(n).drop("__h"))
+    tagged = df.withColumn("__h", hash32(id_col, seed, "sample"))
+    return top_n(tagged, "__h", id_col, n, descending=False).drop("__h")
 
 
 def holdout_split(df: DataFrame, id_col: str, test_pct: int = 20, seed: int = 42,

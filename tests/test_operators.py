@@ -179,3 +179,15 @@ def test_missing_features(spark, edge):
 def test_empty_test_side(spark, edge):
     model = E.fit_smooth(edge, ["cat"], "label", 1.0)
     assert model.transform(edge.filter("id < 0"), "id").count() == 0
+
+
+@pytest.mark.parametrize("direct", [True, False])
+def test_top_n_exact_with_ties(spark, monkeypatch, direct):
+    import sparkfeat.functions.ordered as O
+    if not direct:
+        monkeypatch.setattr(O, "TOPK_DIRECT", 0)
+    rows = [(i, float(i % 7 == 0) + (i % 3)) for i in range(300)]  # many ties
+    df = spark.createDataFrame(rows, "id long, s double")
+    got = O.top_n(df, "s", "id", 50).orderBy("id").toPandas()
+    want = sorted(rows, key=lambda r: (-r[1], r[0]))[:50]
+    assert sorted(got.id) == sorted(r[0] for r in want)
