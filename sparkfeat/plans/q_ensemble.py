@@ -41,7 +41,7 @@ def _weights_sql(n, salt, name="wt"):
     raws = ", ".join(
         f"CAST('0x' || substr(md5('{SEED}|{salt}|' || t || '|{m}'), 1, 8) AS BIGINT) AS r_{m}" for m in M)
     tot = " + ".join(f"r_{m}" for m in M)
-    return (f"{name}_raw AS (SELECT t AS trial, {raws} FROM range({n}) tt(t)),\n"
+    return (f"{name}_raw AS (SELECT CAST(t AS INTEGER) AS trial, {raws} FROM range({n}) tt(t)),\n"
             f"{name} AS (SELECT trial, " + ", ".join(f"r_{m} / ({tot}) AS w_{m}" for m in M) + f" FROM {name}_raw)")
 
 
@@ -179,7 +179,7 @@ def leaderboard(spark, sf):
 
 
 register("leaderboard", _sql(*_vote_sql()) +
-         f"SELECT model, {r6('mean_acc')} AS mean_acc, row_number() OVER (ORDER BY mean_acc DESC, model) AS rank "
+         f"SELECT model, {r6('mean_acc')} AS mean_acc, CAST(row_number() OVER (ORDER BY mean_acc DESC, model) AS INTEGER) AS rank "
          "FROM cv")(leaderboard)
 
 
