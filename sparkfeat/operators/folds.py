@@ -24,7 +24,7 @@ def hash_fold(df: DataFrame, id_col: str, k: int = 5, seed: int = 42,
 
 
 def stratified_fold(df: DataFrame, id_col: str, label_col: str, k: int = 5,
-                    seed: int = 42, out: str = "fold", n_buckets: int = 1024) -> DataFrame:
+                    seed: int = 42, out: str = "fold", n_buckets: int = 1 << 16) -> DataFrame:
     """CV-1: shuffled stratified k-fold (exact, distributed)."""
     tagged = df.withColumn("__h", hash32(id_col, seed))
     ranked = rank_by_hash(tagged, [label_col], "__h", id_col, n_buckets, out="__rk")

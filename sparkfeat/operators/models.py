@@ -92,7 +92,7 @@ class TargetEncoderModel(Model):
         return out.withColumnsRenamed({f"{c}___te": o for c, o in zip(self.inputs, self.outputs)}).drop(tmp_id)
 
 
-def encoded_pipeline(cat_cols, num_cols, kind: str, n_rows: int, label: str = "label", **kw) -> Pipeline:
+def encoded_model(cat_cols, num_cols, kind: str, n_rows: int, label: str = "label", **kw) -> Pipeline:
     """MOD-7: encoder + assembler + model, refitted as one unit in every fold."""
     enc_out = [f"{c}_te" for c in cat_cols]
     return Pipeline(stages=[TargetEncoder(list(cat_cols), enc_out, label),
@@ -235,5 +235,5 @@ def lookup_state(df: DataFrame, max_rows: int = 200_000) -> State:
 
 
 __all__ = ["make_model", "assemble", "oof_predictions", "blend", "weighted_vote", "importances",
-           "adversarial", "auc_rank_sum", "kmeans_features", "pca_features", "encoded_pipeline",
+           "adversarial", "auc_rank_sum", "kmeans_features", "pca_features", "encoded_model",
            "lookup_join"]

@@ -288,7 +288,7 @@ register("fill_knn", with_profile(*_knn_sql()) + "SELECT o.id, " + ", ".join(_ks
 
 
 # ------------------------------------------------------------------ IMP-12
-def fill_pipeline(spark, sf):
+def fill_orchestrated(spark, sf):
     from sparkfeat.operators.knn import orchestrated_fill
     df = order_profile(spark, sf)
     out = orchestrated_fill(train_rows(df), df, "id", "label", "is_test", COUNTS, ["st1"],
@@ -296,7 +296,7 @@ def fill_pipeline(spark, sf):
     return out.select("id", *[F.round(c, 6).alias(c) for c in COUNTS], "st1", "qty_r", "max_price")
 
 
-register("fill_pipeline", with_profile(
+register("fill_orchestrated", with_profile(
     *_knn_sql(),
     "tr AS (SELECT * FROM order_profile WHERE NOT is_test)",
     "cc AS (SELECT label, st1 AS v, count(*) AS n FROM tr WHERE st1 IS NOT NULL GROUP BY label, st1)",
@@ -305,4 +305,4 @@ register("fill_pipeline", with_profile(
 ) + "SELECT o.id, " + ", ".join(_ks) +
     ", coalesce(o.st1, CASE WHEN o.is_test THEN (SELECT v FROM ac) ELSE (SELECT v FROM bc WHERE bc.label = o.label) END) AS st1"
     ", coalesce(o.qty_r, 0) AS qty_r, coalesce(o.max_price, 0) AS max_price"
-    " FROM order_profile o CROSS JOIN kmean " + " ".join(_kj))(fill_pipeline)
+    " FROM order_profile o CROSS JOIN kmean " + " ".join(_kj))(fill_orchestrated)

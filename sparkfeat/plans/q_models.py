@@ -181,7 +181,7 @@ def model_zoo(spark, sf):
         "lr_l1": MD.make_model("lr", n, C=0.1, l1=1.0),
     }
     oof, _ = MD.oof_predictions(assembled, None, ests, "doc_id", "label", "fold", K)
-    pipe = MD.encoded_pipeline(["lang", "source"], FEATS, "gbt", n, max_iter=5, depth=3)
+    pipe = MD.encoded_model(["lang", "source"], FEATS, "gbt", n, max_iter=5, depth=3)
     oof2, _ = MD.oof_predictions(train, None, {"enc_gbt": pipe}, "doc_id", "label", "fold", K)
     return EN.cv_summary(oof.unionByName(oof2))
 
