@@ -128,26 +128,49 @@ def apply_class_fill(df: DataFrame, values: dict, label: str, fallback: dict | N
 
 
 # --------------------------------------------------------------------- IMP-4
-def fit_mode(df: DataFrame, cols, by: str | None = None, kind: str = "double") -> dict:
-    """Most frequent value per column (and per class); ties → lowest value.
+def fit_modes(df: DataFrame, num_cols=(), str_cols=(), by: str | None = None) -> dict:
+    """Most frequent value per column, per class of ``by`` and overall, in ONE
+    aggregation; ties → lowest value (numeric order for numbers, text order
+    for strings).
 
     Counts per (class, column, value) are map-side combined; the winner per
     (class, column) is ``min(struct(-count, value))`` — an aggregate, so no
-    group's values are ever gathered in one place.
+    group's values are ever gathered in one place. Result:
+    ``{class value: {col: mode}}`` with the overall modes under key ``None``.
     """
-    keys = [by] if by else []
-    long = df.select(*keys, *[F.col(c).cast(kind).alias(c) for c in cols]).unpivot(
-        keys, list(cols), "feature", "value").filter(F.col("value").isNotNull())
-    counts = long.groupBy(*keys, "feature", "value").agg(F.count("*").alias("n"))
-    best = counts.groupBy(*keys, "feature").agg(
-        F.min(F.struct((-F.col("n")).alias("neg"), F.col("value"))).alias("b"))
-    rows = best.select(*keys, "feature", F.col("b.value").alias("value")).collect()
-    if by:
-        out: dict = {}
-        for r in rows:
-            out.setdefault(r[by], {})[r.feature] = r.value
-        return out
-    return {r.feature: r.value for r in rows}
+    keys = [F.col(by).cast("string")] if by else []
+    num = df.select(*[k.alias("__g") for k in keys], *[F.col(c).cast("double").alias(c) for c in num_cols])
+    st = df.select(*[k.alias("__g") for k in keys], *[F.col(c).cast("string").alias(c) for c in str_cols])
+    parts = []
+    g = ["__g"] if by else []
+    if num_cols:
+        parts.append(num.unpivot(g, list(num_cols), "feature", "vd").withColumn("vs", F.lit(None).cast("string")))
+    if str_cols:
+        parts.append(st.unpivot(g, list(str_cols), "feature", "vs").withColumn("vd", F.lit(None).cast("double")))
+    long = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    long = long.filter(F.col("vd").isNotNull() | F.col("vs").isNotNull())
+    if by:  # every row also counts for the overall mode
+        long = long.withColumn("__g", F.explode(F.array(F.col("__g"), F.lit("\u0000all"))))
+    else:
+        long = long.withColumn("__g", F.lit("\u0000all"))
+    counts = long.groupBy("__g", "feature", "vd", "vs").agg(F.count("*").alias("n"))
+    best = counts.groupBy("__g", "feature").agg(
+        F.min(F.struct((-F.col("n")).alias("neg"), F.col("vd"), F.col("vs"))).alias("b"))
+    out: dict = {}
+    for r in best.select("__g", "feature", "b.vd", "b.vs").collect():  # ≤ classes × columns rows
+        grp = None if r["__g"] == "\u0000all" else r["__g"]
+        out.setdefault(grp, {})[r.feature] = r.vd if r.feature in num_cols else r.vs
+    return out
+
+
+def fit_mode(df: DataFrame, cols, by: str | None = None, kind: str = "double") -> dict:
+    """Mode per column (per class when ``by``), see ``fit_modes``."""
+    m = fit_modes(df, cols if kind == "double" else (), cols if kind != "double" else (), by)
+    if not by:
+        return m.get(None, {})
+    label_type = dict(df.dtypes)[by]
+    cast = int if label_type in ("int", "bigint", "smallint", "tinyint") else (lambda v: v)
+    return {cast(k): v for k, v in m.items() if k is not None}
 
 
 # --------------------------------------------------------------- IMP-6..9

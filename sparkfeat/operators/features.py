@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkfeat.functions.lookup import State, lookup_join
+from sparkfeat.session import cut_lineage
 from sparkfeat.functions.ordered import cumulative, exact_quantiles, unpivot_numeric
 
 
@@ -131,7 +132,9 @@ def pct_rank(df: DataFrame, cols, id_col: str, suffix: str = "rank",
     table = cum.select("feature", "value",
                        ((F.col("prev_n") + F.lit(1) + F.col("cum_n")) / F.lit(2.0) /
                         F.col("tot_n")).alias("__pr"))
-    st = State(table, small=False)  # one row per distinct value: size not proven
+    # one row per distinct value (size not proven): written once to the shared
+    # folder so the per-column joins below do not each re-rank the values
+    st = State(cut_lineage(table), small=False)
     out = df
     for c in cols:
         sub = State(st.df.filter(F.col("feature") == c).drop("feature"), st.small)

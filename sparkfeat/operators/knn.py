@@ -105,11 +105,13 @@ def orchestrated_fill(train: DataFrame, df: DataFrame, id_col: str, label: str,
                       knn_cols, mode_cols, zero_cols, k: int = 5) -> DataFrame:
     """IMP-12: KNN for ``knn_cols``, then class mode (overall mode on the
     unlabelled side, T14) for ``mode_cols``, then 0 for ``zero_cols``."""
-    from sparkfeat.operators.clean import apply_class_fill, apply_fill, fill_constant, fit_mode
+    from sparkfeat.operators.clean import apply_class_fill, apply_fill, fill_constant, fit_modes
     knn = KnnImputer(knn_cols, k).fit(train)
     out = knn.transform(df, id_col)
-    by_class = fit_mode(train, mode_cols, by=label, kind="string")
-    overall = fit_mode(train, mode_cols, kind="string")
+    modes = fit_modes(train, (), mode_cols, by=label)  # class and overall modes, one aggregation
+    overall = modes.pop(None)
+    cast = int if dict(train.dtypes)[label] in ("int", "bigint", "smallint", "tinyint") else (lambda v: v)
+    by_class = {cast(k): v for k, v in modes.items()}
     lab = apply_class_fill(out.filter(~F.col(split)), by_class, label)
     unl = apply_fill(out.filter(F.col(split)), overall)
     return fill_constant(lab.unionByName(unl), zero_cols, 0)

@@ -144,15 +144,13 @@ register("fill_class_mean", with_profile(
 def fill_class_mode(spark, sf):
     df = order_profile(spark, sf)
     tr = train_rows(df)
-    num_mode = C.fit_mode(tr, COUNTS, by="label", kind="double")
-    cat_mode = C.fit_mode(tr, ["st1"], by="label", kind="string")
-    all_num = C.fit_mode(tr, COUNTS, kind="double")
-    all_cat = C.fit_mode(tr, ["st1"], kind="string")
+    modes = C.fit_modes(tr, COUNTS, ["st1"], by="label")  # one aggregation for all
+    overall = modes.pop(None)
+    by_class = {int(k): v for k, v in modes.items()}
     base = df.select("id", "label", "is_test", *[F.col(c).cast("double").alias(c) for c in COUNTS], "st1")
     # train rows: mode of their class; test rows: overall mode (T14)
-    labelled = C.apply_class_fill(base.filter(~F.col("is_test")), num_mode, "label")
-    labelled = C.apply_class_fill(labelled, cat_mode, "label")
-    unlabelled = C.apply_fill(base.filter(F.col("is_test")), {**all_num, **all_cat})
+    labelled = C.apply_class_fill(base.filter(~F.col("is_test")), by_class, "label")
+    unlabelled = C.apply_fill(base.filter(F.col("is_test")), overall)
     return labelled.unionByName(unlabelled).drop("label")
 
 

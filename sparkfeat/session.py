@@ -56,11 +56,20 @@ def _configured_dir(spark: SparkSession) -> str | None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder of the session (raises when none is set)."""
+    """Shared checkpoint folder named by the cluster in ``spark.checkpoint.dir``.
+
+    Only a local-mode session without one (tests, benches) gets a scratch
+    folder of its own; a cluster session without one is an error, since a
+    machine-local folder would not survive the loss of that machine.
+    """
     d = _configured_dir(spark)
     if not d:
-        raise RuntimeError(
-            "spark.checkpoint.dir is not set; a cluster must name a shared folder")
+        master = spark.sparkContext.master or ""
+        if not master.startswith("local"):
+            raise RuntimeError(
+                "spark.checkpoint.dir is not set; a cluster must name a shared folder")
+        d = tempfile.mkdtemp(prefix="sparkfeat-ckpt-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d

@@ -51,7 +51,7 @@ def order_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("c_mktsegment").alias("seg"),
             "st1",
             (F.col("o_orderstatus") == "F").cast("int").alias("label"),
-            (F.col("o_orderdate") >= F.lit("2000-01-01").cast("timestamp")).alias("is_test"),
+            (F.col("o_orderdate") >= F.lit("2000-01-01").cast("timestamp_ntz")).alias("is_test"),
         )
     )
 
@@ -128,7 +128,7 @@ def scored(spark: SparkSession, sf_dir: str, n_folds: int = 5, seed: int = 42) -
     orders = read_table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("id"),
         (F.col("o_orderstatus") == "F").cast("int").alias("label"),
-        (F.col("o_orderdate") >= F.lit("2000-01-01").cast("timestamp")).alias("is_test"))
+        (F.col("o_orderdate") >= F.lit("2000-01-01").cast("timestamp_ntz")).alias("is_test"))
     models = F.array(*[F.lit(m) for m in MODELS])
     long = orders.select("*", F.explode(models).alias("model"))
     u = hash32(F.concat_ws("|", F.col("model"), F.col("id").cast("string")), seed, "p") / F.lit(TWO32)
