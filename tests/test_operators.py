@@ -191,3 +191,21 @@ def test_top_n_exact_with_ties(spark, monkeypatch, direct):
     got = O.top_n(df, "s", "id", 50).orderBy("id").toPandas()
     want = sorted(rows, key=lambda r: (-r[1], r[0]))[:50]
     assert sorted(got.id) == sorted(r[0] for r in want)
+
+
+def test_profile_and_diagnose_flow(spark):
+    from sparkfeat.plans.flows import profile_and_diagnose
+    from tests.conftest import SF_SMALL
+    rep = profile_and_diagnose(spark, SF_SMALL).toPandas()
+    assert set(rep.metric) == {"high_corr_pairs", "low_info_share", "max_missing_share"}
+    assert rep.issue.dtype == bool
+
+
+def test_fit_modes_matches_pandas(spark, edge):
+    from sparkfeat.operators.clean import fit_modes
+    m = fit_modes(edge, ["x"], ["cat"], by="label")
+    pdf = edge.toPandas()
+    for lab, g in pdf.groupby("label"):
+        assert m[str(lab)]["x"] == g.x.mode().min()
+        assert m[str(lab)]["cat"] == sorted(g.cat.dropna().mode())[0]
+    assert m[None]["x"] == pdf.x.mode().min()
