@@ -170,3 +170,38 @@ def top_n(df: DataFrame, score_col: str, id_col: str, n: int, descending: bool =
     keep = ties.join(ranked.select(F.col("value").alias("__id")), F.col(id_col).cast("double") == F.col("__id"),
                      "left_semi")
     return inside.unionByName(keep)
+
+
+def dense_codes(distinct: DataFrame, part_col: str, value_col: str, n_buckets: int = 256,
+                seed: int = 42) -> DataFrame:
+    """0-based position of each distinct value within its group, in sort
+    order, for any orderable type (strings included) — exact.
+
+    Input: one row per distinct (group, value). Cut points come from a
+    bounded sample (like a range partitioner's), rows are bucketed by how
+    many cut points lie below them, bucket sizes give offsets (groups ×
+    buckets rows, broadcast), and the dense rank runs inside each bucket.
+    """
+    n = distinct.count()
+    take = n_buckets * 20
+    frac = min(1.0, 2.0 * take / max(n, 1))
+    sample = sorted({r[0] for r in distinct.select(value_col).sample(False, frac, seed).limit(take).collect()})
+    step = max(1, len(sample) // n_buckets)
+    cuts = sample[step::step][: n_buckets - 1]
+    tagged = distinct.withColumn("__bucket", _count_below(cuts, F.col(value_col))) \
+        .withColumn("__one", F.lit(1))
+    joined = _with_offsets(tagged, [part_col], ["__one"])
+    w = Window.partitionBy(part_col, "__bucket").orderBy(value_col)
+    return (joined.withColumn("code", (F.col("__off___one") + F.row_number().over(w) - 1).cast("int"))
+            .drop("__bucket", "__one", "__off___one", "__tot___one"))
+
+
+def _count_below(cuts, col, lo: int = 0, hi: int | None = None):
+    """Number of sorted cut points < col, as a balanced tree of comparisons
+    (log2(#cuts) tests per row, plain expressions inside codegen)."""
+    hi = len(cuts) if hi is None else hi
+    if lo >= hi:
+        return F.lit(0)
+    mid = (lo + hi) // 2
+    return F.when(col > F.lit(cuts[mid]), F.lit(mid - lo + 1) + _count_below(cuts, col, mid + 1, hi)) \
+        .otherwise(_count_below(cuts, col, lo, mid))

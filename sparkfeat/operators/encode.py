@@ -18,8 +18,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkfeat.functions.hashing import gaussian
-from sparkfeat.functions.lookup import State, fit_state, lookup_join
+from sparkfeat.functions.lookup import MAX_BROADCAST_ROWS, State, fit_state, lookup_join
+from sparkfeat.functions.ordered import dense_codes
 from sparkfeat.operators.folds import hash_fold, stratified_fold
+from sparkfeat.session import cut_lineage
 
 ALL = "__all__"
 
@@ -248,7 +250,8 @@ def empirical_bayes(train: DataFrame, cols, label: str, id_col: str, fold_col: s
 
 
 # ------------------------------------------------------------ ENC-1 / ENC-2
-def fit_codes(df: DataFrame, cols, missing_text: str | None = "nan") -> State:
+def fit_codes(df: DataFrame, cols, missing_text: str | None = "nan",
+              max_rows: int = MAX_BROADCAST_ROWS) -> State:
     """ENC-1: code = position of the value in sorted text order.
 
     ``missing_text`` makes null a category spelled like that (the library
@@ -261,10 +264,12 @@ def fit_codes(df: DataFrame, cols, missing_text: str | None = "nan") -> State:
     else:
         long = long.filter(F.col("value").isNotNull())
     distinct = long.distinct()
-    st = fit_state(distinct)
-    w = Window.partitionBy("feature").orderBy("value")
-    table = st.df.withColumn("code", (F.dense_rank().over(w) - 1).cast("int"))
-    return fit_state(table) if st.small else State(table, False)
+    st = fit_state(distinct, max_rows)
+    if st.small:
+        w = Window.partitionBy("feature").orderBy("value")
+        return fit_state(st.df.withColumn("code", (F.dense_rank().over(w) - 1).cast("int")))
+    # many distinct values: bucketed exact ranking, never one task per column
+    return State(cut_lineage(dense_codes(st.df, "feature", "value")), False)
 
 
 def apply_codes(df: DataFrame, state: State, cols, id_col: str, missing_text: str | None = "nan",

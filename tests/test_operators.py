@@ -209,3 +209,24 @@ def test_fit_modes_matches_pandas(spark, edge):
         assert m[str(lab)]["x"] == g.x.mode().min()
         assert m[str(lab)]["cat"] == sorted(g.cat.dropna().mode())[0]
     assert m[None]["x"] == pdf.x.mode().min()
+
+
+def test_dense_codes_bucketed_equals_sorted(spark):
+    from sparkfeat.functions.ordered import dense_codes
+    vals = [f"v{i:05d}" for i in range(3000)] + ["a", "zz", "m"]
+    rows = [("f", v) for v in vals] + [("g", v) for v in vals[:50]]
+    df = spark.createDataFrame(rows, "feature string, value string")
+    got = dense_codes(df, "feature", "value", n_buckets=16).toPandas()
+    for feat, g in got.groupby("feature"):
+        want = {v: i for i, v in enumerate(sorted(g.value))}
+        assert all(want[v] == c for v, c in zip(g.value, g.code))
+
+
+def test_label_codes_large_path_equals_small(spark):
+    rows = [(i, f"c{i % 97:03d}", None if i % 11 == 0 else f"d{i % 13}") for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, a string, b string")
+    small = E.apply_codes(df, E.fit_codes(df, ["a", "b"]), ["a", "b"], "id").orderBy("id").toPandas()
+    large_state = E.fit_codes(df, ["a", "b"], max_rows=5)
+    assert not large_state.small
+    large = E.apply_codes(df, large_state, ["a", "b"], "id").orderBy("id").toPandas()
+    pd.testing.assert_frame_equal(small, large)
