@@ -54,18 +54,51 @@ def _cond(left: DataFrame, right: DataFrame, keys, null_safe: bool) -> Column:
     return reduce(lambda a, b: a & b, parts)
 
 
+MAP_LITERAL_MAX = 32  # map lookups scan their keys: keep maps tiny
+
+
+def _map_lookup(df: DataFrame, state: State, keys, how: str) -> DataFrame:
+    """Tiny proven state as a map literal: no join, no extra stage."""
+    types = dict(state.df.dtypes)
+    rkeys = [rk for _, rk in keys]
+    vals = [c for c in state.df.columns if c not in rkeys]
+
+    def key_expr(parts):
+        return parts[0] if len(parts) == 1 else F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)])
+
+    entries = []
+    for r in state.rows:
+        if any(r[k] is None for k in rkeys):
+            continue  # a null key never matches an equi-join
+        entries.append(key_expr([F.lit(r[k]).cast(types[k]) for k in rkeys]))
+        entries.append(F.struct(*[F.lit(r[v]).cast(types[v]).alias(v) for v in vals]))
+    if not entries:
+        looked = F.lit(None).cast("struct<" + ",".join(f"`{v}`:{types[v]}" for v in vals) + ">")
+    else:
+        looked = F.try_element_at(F.create_map(*entries),
+                                  key_expr([F.col(lk).cast(types[rk]) for lk, rk in keys]))
+    out = df.withColumn("__lk", looked)
+    if how == "inner":
+        out = out.filter(F.col("__lk").isNotNull())
+    return out.withColumns({v: F.col("__lk")[v] for v in vals}).drop("__lk")
+
+
 def lookup_join(df: DataFrame, state: State, keys, *, salt_col: str | None = None,
                 null_safe: bool = False, how: str = "left",
-                drop_right_keys: bool = True) -> DataFrame:
+                drop_right_keys: bool = True, allow_map: bool = True) -> DataFrame:
     """Join ``df`` to a fitted state on ``keys`` = [(left_col, right_col), ...].
 
-    Small state: broadcast hash join (no shuffle of ``df``). Large state with
+    Tiny state (≤ MAP_LITERAL_MAX rows): a map-literal lookup inside the
+    projection (no join, no stage; Spark scans map keys, so only tiny ones). Small state: broadcast hash join (no shuffle of ``df``). Large state with
     ``salt``: the state is replicated over ``SALT_BUCKETS`` salts and ``df``
     rows are spread by a hash of ``salt_col`` (the row id), so hot keys split
     across tasks. Other large states: plain join, where AQE checks the
     runtime size (broadcast or sort-merge) and splits skewed partitions.
     """
     keys = [(k, k) if isinstance(k, str) else tuple(k) for k in keys]
+    if (state.small and state.rows is not None and len(state.rows) <= MAP_LITERAL_MAX
+            and allow_map and not null_safe and how in ("left", "inner") and drop_right_keys):
+        return _map_lookup(df, state, keys, how)
     right = state.df
     # Rename state columns to avoid ambiguity with df columns.
     ren = {c: f"__r_{c}" for c in right.columns}

@@ -18,8 +18,13 @@ from sparkfeat.functions.lookup import fit_state, lookup_join
 
 
 # ------------------------------------------------------------- TXT-1..5
-def combos(cols, r: int, sep: str = "-") -> dict:
-    """All r-combinations of the declared columns as ``concat_ws`` expressions."""
+def combos(cols, r: int, sep: str = "-", forbid=()) -> dict:
+    """All r-combinations of the declared columns as ``concat_ws`` expressions.
+
+    Columns in ``forbid`` (the label, ids) are refused (T19)."""
+    bad = [c for c in cols if c in set(forbid)]
+    if bad:
+        raise ValueError(f"refusing to combine {bad}")
     return {sep.join(c) if sep == "_" else "-".join(c): F.concat_ws(sep, *[F.col(x) for x in c])
             for c in itertools.combinations(cols, r)}
 
@@ -85,10 +90,12 @@ def tfidf(df: DataFrame, id_col: str, tokens: dict, min_df: int = 2,
     idf = F.log(F.lit(float(n_docs + 1)) / (F.col("df") + F.lit(1.0))) + F.lit(1.0)
     vocab = vocab_st.df.select(
         "feature", "token", "df", idf.alias("idf"),
-        F.row_number().over(Window.partitionBy("feature").orderBy("token")).alias("alpha_rank"))
+        F.row_number().over(Window.partitionBy("feature").orderBy("token")).alias("alpha_rank"),
+        F.row_number().over(Window.partitionBy("feature").orderBy(F.desc("df"), "token")).alias("df_rank"))
     vocab_st = fit_state(vocab, max_rows=max_features * len(feats))
     # second pass: keep only vocabulary tokens BEFORE the (id, token) shuffle
-    kept = lookup_join(long, vocab_st, ["feature", "token"], how="inner", salt_col=id_col)
+    kept = lookup_join(long, vocab_st, ["feature", "token"], how="inner", salt_col=id_col,
+                       allow_map=False)  # hash lookups for the many token rows
     kept = kept.groupBy(id_col, "feature", "token", "idf").agg(F.count("*").alias("tf"))
     raw = kept.withColumn("__w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("__w") * F.col("__w")).over(Window.partitionBy(id_col, "feature")))
@@ -97,17 +104,19 @@ def tfidf(df: DataFrame, id_col: str, tokens: dict, min_df: int = 2,
 
 
 def dense_top_terms(df: DataFrame, weights: DataFrame, vocab: DataFrame, id_col: str,
-                    k: int = 5) -> DataFrame:
-    """TXT-8: the first k vocabulary terms (alphabetical) as dense columns.
+                    k: int = 5, order: str = "token") -> DataFrame:
+    """TXT-8: k vocabulary terms as dense columns — the first k in token order
+    (the reference's choice, T10) or, with ``order="df"``, the k most common.
 
     Columns ``<feature>_t1 .. _tk`` (0.0 where the row lacks the term); the
-    term behind each slot is in ``vocab.alpha_rank``.
+    term behind each slot is in ``vocab.alpha_rank`` / ``vocab.df_rank``.
     """
-    feats = [r.feature for r in vocab.select("feature").distinct().collect()]
-    first = weights.join(F.broadcast(vocab.filter(F.col("alpha_rank") <= k)
-                                     .select("feature", "token", "alpha_rank")),
+    rank = {"token": "alpha_rank", "df": "df_rank"}[order]
+    feats = [r.feature for r in vocab.select("feature").distinct().collect()]  # ≤ #features rows
+    first = weights.join(F.broadcast(vocab.filter(F.col(rank) <= k)
+                                     .select("feature", "token", F.col(rank).alias("__slot"))),
                          ["feature", "token"])
-    keyed = first.select(id_col, F.concat_ws("_t", "feature", F.col("alpha_rank").cast("string")).alias("slot"),
+    keyed = first.select(id_col, F.concat_ws("_t", "feature", F.col("__slot").cast("string")).alias("slot"),
                          "tfidf")
     slots = [f"{f}_t{i}" for f in sorted(feats) for i in range(1, k + 1)]
     wide = keyed.groupBy(id_col).pivot("slot", slots).agg(F.first("tfidf"))

@@ -230,3 +230,31 @@ def test_label_codes_large_path_equals_small(spark):
     assert not large_state.small
     large = E.apply_codes(df, large_state, ["a", "b"], "id").orderBy("id").toPandas()
     pd.testing.assert_frame_equal(small, large)
+
+
+@pytest.mark.parametrize("parts", [1, 4, 17])
+def test_encodings_and_ranks_ignore_partitioning(spark, parts):
+    rows = [(i, f"c{i % 7}", float(i % 13), i % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, cat string, x double, label int")
+    base = CV.stratified_fold(df, "id", "label", 5, 42)
+    ref = E.oof_encode(base, ["cat"], "label", "id", ["fold"], 5.0)
+    ref = X.pct_rank(ref, ["x"], "id").orderBy("id").toPandas()
+    got = CV.stratified_fold(df.repartition(parts), "id", "label", 5, 42)
+    got = E.oof_encode(got, ["cat"], "label", "id", ["fold"], 5.0)
+    got = X.pct_rank(got, ["x"], "id").orderBy("id").toPandas()
+    pd.testing.assert_frame_equal(ref[sorted(ref.columns)], got[sorted(got.columns)])
+
+
+def test_quantiles_property(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=8, deadline=None)
+    @given(st.lists(st.integers(-5, 30), min_size=1, max_size=60),
+           st.sampled_from([0.0, 0.25, 0.5, 0.9, 1.0]))
+    def check(vals, p):
+        df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+        got = exact_quantiles(df, ["x"], [p], n_buckets=4)[("x", p)]
+        assert got == pytest.approx(float(np.percentile(vals, p * 100)))
+
+    check()
