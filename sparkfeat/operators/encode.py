@@ -132,6 +132,9 @@ def oof_encode(train: DataFrame, cols, label: str, id_col: str, fold_cols,
     Null or unseen category → that fold's global mean (T7).
     """
     fold_cols = list(fold_cols)
+    # fit and apply both read the rows: write them (with their fold windows)
+    # once to the shared folder instead of recomputing the whole lineage
+    train = cut_lineage(train)
     table, gf = _oof_table(train, cols, label, fold_cols, alpha)
     out = train
     for i, fc in enumerate(fold_cols):
@@ -207,6 +210,7 @@ def empirical_bayes(train: DataFrame, cols, label: str, id_col: str, fold_col: s
     """ENC-10: cross-fitted encoding with per-category shrinkage
     λ = n·var_y / (n·var_y + var_cat) (population variances); null is a category.
     """
+    train = cut_lineage(train)  # read twice (fit, apply): materialise once
     long = _long_cats(train, cols, [label, fold_col]).withColumn(
         "value", F.coalesce(F.col("value"), F.lit("\u0000null")))
     y = F.col(label).cast("double")
