@@ -29,7 +29,7 @@ def _train_test(spark, sf):
 def _base_estimators(n):
     return {"gbt": MD.make_model("gbt", max_iter=10, depth=3),
             "rf": MD.make_model("rf", trees=20, depth=5, min_leaf=4),
-            "lr": MD.make_model("lr", n, C=1.0)}
+            "lr": MD.make_model("lr", n, C=1.0, max_iter=30)}
 
 
 def _oof(spark, sf, with_test=False):
@@ -174,11 +174,12 @@ def model_zoo(spark, sf):
     train, _ = _train_test(spark, sf)
     train = stratified_fold(train, "doc_id", "label", K, 42).cache()
     n = train.count()
-    assembled = MD.assemble(train, FEATS)
+    assembled = MD.assemble(train, FEATS).cache()
     ests = {
         "hgb": MD.make_model("hgb", max_iter=5, depth=4, min_leaf=8),
-        "mlp": MD.make_model("mlp", layers=[len(FEATS), 16, 2], max_iter=30),
-        "lr_l1": MD.make_model("lr", n, C=0.1, l1=1.0),
+        # iteration caps keep the rows-only check short: each optimiser step is a Spark job
+        "mlp": MD.make_model("mlp", layers=[len(FEATS), 16, 2], max_iter=15),
+        "lr_l1": MD.make_model("lr", n, C=0.1, l1=1.0, max_iter=15),
     }
     oof, _ = MD.oof_predictions(assembled, None, ests, "doc_id", "label", "fold", K)
     pipe = MD.encoded_model(["lang", "source"], FEATS, "gbt", n, max_iter=5, depth=3)
