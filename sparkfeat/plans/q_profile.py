@@ -296,3 +296,18 @@ register("density", with_profile(
 ) + f"SELECT g.feature, g.grp, CAST(g.point AS INTEGER) AS point, {r6('g.x')} AS x, "
     "round(sum(hb.n * exp(-0.5 * pow((g.x - hb.c) / g.bw, 2))) / (g.nt * g.bw * sqrt(2 * pi())), 9) AS density "
     "FROM g JOIN hb USING (feature, grp) GROUP BY g.feature, g.grp, g.point, g.x, g.nt, g.bw")(density)
+
+
+# ------------------------------------------------------------------ AGG-9 summary
+def corr_summary(spark, sf):
+    """Count of |r| > 0.9 pairs and the mean |r| over all pairs (lower triangle)."""
+    pairs = P.corr_long(order_profile(spark, sf), CORR_COLS)
+    return pairs.agg(F.count_if("high").alias("n_high"),
+                     F.round(F.avg(F.abs("corr")), 6).alias("mean_abs_corr"),
+                     F.count("corr").alias("n_pairs"))
+
+
+register("corr_summary", with_profile(
+    "pr AS (" + "\nUNION ALL\n".join(
+        f"SELECT corr({a}, {b}) AS r FROM order_profile" for a, b in itertools.combinations(CORR_COLS, 2)) + ")",
+) + f"SELECT CAST(count_if(abs(r) > 0.9) AS BIGINT) AS n_high, {r6('avg(abs(r))')} AS mean_abs_corr, count(r) AS n_pairs FROM pr")(corr_summary)
