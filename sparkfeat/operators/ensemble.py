@@ -22,9 +22,10 @@ def soft_vote(pred: DataFrame, id_col: str = "id", p_col: str = "p",
 
 
 def pivot_scores(pred: DataFrame, models, id_col: str = "id", keep=("label",)) -> DataFrame:
-    """Wide (id, keep..., p_<model>) on a fixed model list (one shuffle by id)."""
-    wide = pred.groupBy(id_col, *keep).pivot("model", list(models)).agg(F.first("p"))
-    return wide.withColumnsRenamed({m: f"p_{m}" for m in models})
+    """Wide (id, keep..., p_<model>) on a fixed model list: one conditional
+    aggregation, one shuffle by id (``pivot`` would add a second one)."""
+    return pred.groupBy(id_col, *keep).agg(
+        *[F.max(F.when(F.col("model") == m, F.col("p"))).alias(f"p_{m}") for m in models])
 
 
 def candidate_weights(n_trials: int, models, seed: int = 42, salt: str = "w") -> list[list[float]]:

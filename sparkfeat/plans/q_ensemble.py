@@ -131,14 +131,14 @@ def range_apply(spark, sf):
         sc = EN.weighted_score(ws, M)
         expr = F.when(F.col("rng") == rng, sc) if expr is None else expr.when(F.col("rng") == rng, sc)
     test = test.withColumn("p_final", expr)
-    return test.select("id", "rng", F.round("p_final", 6).alias("p_final"),
+    return test.select("id", "rng", "p_final",
                        (F.col("p_final") > 0.5).cast("int").alias("pred"))
 
 
 register("range_apply", _sql(*_RANGE_SQL_CTES, _wide_sql(True).replace("wide AS", "tw0 AS"),
                              f"tw AS (SELECT *, CASE WHEN {MEAN_SQL} <= 0.3 THEN 'low' WHEN {MEAN_SQL} <= 0.7 "
                              "THEN 'mid' ELSE 'high' END AS rng FROM tw0)") +
-         f"SELECT id, tw.rng, {r6(_score_sql('fit.'))} AS p_final, CAST({_score_sql('fit.')} > 0.5 AS INTEGER) AS pred "
+         f"SELECT id, tw.rng, {_score_sql('fit.')} AS p_final, CAST({_score_sql('fit.')} > 0.5 AS INTEGER) AS pred "
          "FROM tw JOIN fit ON tw.rng = fit.rng")(range_apply)
 
 
@@ -254,15 +254,15 @@ def pseudo_one_sided(spark, sf):
     n_train = scored(spark, sf).filter(~F.col("is_test") & (F.col("model") == M[0])).count()
     test = _wide(spark, sf, True).withColumn("p", _mean_col())
     out = PS.one_sided(test, n_train, 0.85, 0.3, 0.8)
-    return out.select("id", "label", F.round("confidence", 6).alias("confidence"),
-                      F.round("weight", 6).alias("weight"))
+    # identical expressions on both sides (bit-identical doubles): no rounding
+    return out.select("id", "label", "confidence", "weight")
 
 
 register("pseudo_one_sided", _sql(
     _wide_sql(True),
     f"c AS (SELECT id, {MEAN_SQL} AS p, greatest({MEAN_SQL}, 1.0 - {MEAN_SQL}) AS confidence FROM wide)",
     "nt AS (SELECT count(*) AS n FROM scored WHERE NOT is_test AND model = 'm1')",
-) + f"SELECT id, CAST(p > 0.5 AS INTEGER) AS label, {r6('confidence')} AS confidence, {r6('confidence * 0.8')} AS weight "
+) + "SELECT id, CAST(p > 0.5 AS INTEGER) AS label, confidence, confidence * 0.8 AS weight "
     "FROM (SELECT c.*, row_number() OVER (ORDER BY confidence DESC, id) AS rk FROM c WHERE confidence >= 0.85), nt "
     "WHERE rk <= CAST(floor(nt.n * 0.3) AS BIGINT)")(pseudo_one_sided)
 
@@ -273,14 +273,14 @@ def pseudo_two_sided(spark, sf):
     test = _wide(spark, sf, True).withColumn("p", _mean_col())
     pseudo = PS.two_sided(test, 0.85)
     out = PS.augment(train, pseudo)
-    return out.select("id", "label", F.round("weight", 6).alias("weight"), "is_pseudo")
+    return out.select("id", "label", "weight", "is_pseudo")
 
 
 register("pseudo_two_sided", _sql(
     _wide_sql(False).replace("wide AS", "trw AS").replace("WHERE NOT is_test", "WHERE NOT is_test"),
     _wide_sql(True),
 ) + f"SELECT id, label, CAST(1.0 AS DOUBLE) AS weight, false AS is_pseudo FROM trw UNION ALL "
-    f"SELECT id, CAST({MEAN_SQL} >= 0.5 AS INTEGER), {r6(f'greatest({MEAN_SQL}, 1.0 - {MEAN_SQL})')}, true FROM wide "
+    f"SELECT id, CAST({MEAN_SQL} >= 0.5 AS INTEGER), greatest({MEAN_SQL}, 1.0 - {MEAN_SQL}), true FROM wide "
     f"WHERE {MEAN_SQL} >= 0.85 OR {MEAN_SQL} <= 1 - 0.85")(pseudo_two_sided)
 
 
