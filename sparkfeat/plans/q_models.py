@@ -196,3 +196,14 @@ def early_stopping(spark, sf):
     val = model.transform(tr.filter("is_val"))
     acc = val.agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("val_acc"))
     return acc.withColumn("trees", F.lit(model.getNumTrees))
+
+
+# ------------------------------------------------------------------ AGG-18 (model rule)
+@register("noise_features")
+def noise_features(spark, sf):
+    """Share of features with importance < 0.001; an issue above 30%."""
+    imp = _importance(spark, sf)
+    share = imp.agg(F.avg((F.col("importance") < 0.001).cast("double")).alias("value"))
+    from sparkfeat.operators.profile import flag_rules
+    return flag_rules(share.select(F.lit("low_importance_share").alias("metric"), "value"),
+                      {"low_importance_share": (">", 0.3)})

@@ -311,3 +311,50 @@ register("corr_summary", with_profile(
     "pr AS (" + "\nUNION ALL\n".join(
         f"SELECT corr({a}, {b}) AS r FROM order_profile" for a, b in itertools.combinations(CORR_COLS, 2)) + ")",
 ) + f"SELECT CAST(count_if(abs(r) > 0.9) AS BIGINT) AS n_high, {r6('avg(abs(r))')} AS mean_abs_corr, count(r) AS n_pairs FROM pr")(corr_summary)
+
+
+# ------------------------------------------------------------------ AGG-18 (reference rule set)
+REF_RULES = {"high_corr_pairs": (">", 10), "tfidf_zero_ratio": (">", 0.8), "ngram_unique_ratio": (">", 0.95)}
+
+
+def diagnose_rules(spark, sf):
+    """Multicollinearity (> 10 pairs with |r| > 0.9), TF-IDF sparsity (zero
+    share of the dense TF-IDF cells > 0.8) and n-gram cardinality (distinct
+    share of an n-gram column > 0.95), as issue flags."""
+    from sparkfeat.operators import text as T
+    from sparkfeat.plans import q_text
+    df = order_profile(spark, sf)
+    n_high = P.corr_long(df, NUMS).agg(F.count_if("high").cast("double").alias("value"))
+    docs, w, vocab = q_text._gram_tfidf(spark, sf)
+    dense = T.dense_top_terms(docs, w, vocab, "id", 5)
+    cells = [c for c in dense.columns if c != "id"]
+    zero = dense.agg((sum((F.count_if(F.col(c) == 0) for c in cells), F.lit(0)) /
+                      (F.count("*") * F.lit(float(len(cells))))).alias("value"))
+    uniq = T.low_info_report(docs, list(q_text.GRAM_GROUPS), []).agg(F.max("stat").alias("value"))
+    metrics = (n_high.select(F.lit("high_corr_pairs").alias("metric"), "value")
+               .unionByName(zero.select(F.lit("tfidf_zero_ratio").alias("metric"), "value"))
+               .unionByName(uniq.select(F.lit("ngram_unique_ratio").alias("metric"), "value")))
+    return _rnd(P.flag_rules(metrics, REF_RULES), ["value"])
+
+
+def _diag_rules_sql():
+    from sparkfeat.plans import q_text
+    dense = q_text._dense_sql()
+    slots = [f"{k}_t{i}" for k in sorted(q_text.GRAM_GROUPS) for i in range(1, 6)]
+    zero = " + ".join(f"count_if({c} = 0)" for c in slots)
+    grams = ", ".join(f"concat_ws('_', {', '.join(g)}) AS {k}" for k, g in q_text.GRAM_GROUPS.items())
+    uniq = "greatest(" + ", ".join(f"count(DISTINCT {k}) / CAST(count(*) AS DOUBLE)" for k in q_text.GRAM_GROUPS) + ")"
+    pairs = " + ".join(f"CAST(coalesce(abs(corr({a}, {b})) > 0.9, false) AS INTEGER)"
+                       for a, b in itertools.combinations(NUMS, 2))
+    return with_profile(
+        q_text._BASE_SQL,
+        f"dn AS ({dense})",
+        f"m AS (SELECT 'high_corr_pairs' AS metric, CAST({pairs} AS DOUBLE) AS value, CAST(10 AS DOUBLE) AS threshold "
+        "FROM order_profile "
+        f"UNION ALL SELECT 'tfidf_zero_ratio', ({zero}) / (count(*) * CAST({len(slots)} AS DOUBLE)), "
+        "CAST(0.8 AS DOUBLE) FROM dn "
+        f"UNION ALL SELECT 'ngram_unique_ratio', {uniq}, CAST(0.95 AS DOUBLE) FROM (SELECT {grams} FROM base))",
+    ) + f"SELECT metric, {r6('value')} AS value, threshold, coalesce(value > threshold, false) AS issue FROM m"
+
+
+register("diagnose_rules", _diag_rules_sql())(diagnose_rules)
