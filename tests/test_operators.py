@@ -258,3 +258,22 @@ def test_quantiles_property(spark):
         assert got == pytest.approx(float(np.percentile(vals, p * 100)))
 
     check()
+
+
+def test_constant_column_and_negative_inputs(spark):
+    df = spark.createDataFrame([(1, 3.0, -4.0), (2, 3.0, 9.0), (3, 3.0, None)], "id long, c double, v double")
+    params = E.fit_standard(df, ["c"])
+    assert params["c"][1] == 1.0  # zero population std → scale 1
+    out = df.select("id", X.safe_sqrt("v").alias("s"), X.signed_log("v").alias("l")).orderBy("id").toPandas()
+    assert out.s.isna().tolist() == [True, False, True]
+    assert out.l[0] == pytest.approx(-math.log1p(4.0))
+    d = P.describe_numeric(df, ["c"]).toPandas()
+    assert d["std"].item() == 0.0 and d.q50.item() == 3.0
+
+
+def test_category_in_one_fold_only(spark):
+    rows = [(i, "rare" if i == 0 else "common", i % 2) for i in range(40)]
+    df = CV.hash_fold(spark.createDataFrame(rows, "id long, cat string, label int"), "id", 5, 3)
+    out = E.oof_encode(df, ["cat"], "label", "id", ["fold"], 0.0).toPandas().set_index("id")
+    g = df.filter(F.col("fold") != int(out.loc[0, "fold"])).agg(F.avg("label")).first()[0]
+    assert out.loc[0, "cat_oof"] == pytest.approx(g)  # unseen outside its own fold → fold global mean
