@@ -96,6 +96,9 @@ def tfidf(df: DataFrame, id_col: str, tokens: dict, min_df: int = 2,
     # second pass: keep only vocabulary tokens BEFORE the (id, token) shuffle
     kept = lookup_join(long, vocab_st, ["feature", "token"], how="inner", salt_col=id_col,
                        allow_map=False)  # hash lookups for the many token rows
+    # one shuffle by document: the per-token counts and the per-document norm
+    # below both reuse this partitioning (no second exchange)
+    kept = kept.repartition(id_col, "feature")
     kept = kept.groupBy(id_col, "feature", "token", "idf").agg(F.count("*").alias("tf"))
     raw = kept.withColumn("__w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("__w") * F.col("__w")).over(Window.partitionBy(id_col, "feature")))
