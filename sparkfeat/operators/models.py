@@ -22,7 +22,7 @@ from pyspark.ml.param.shared import HasInputCols, HasLabelCol, HasOutputCols
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkfeat.functions.lookup import State, fit_state, lookup_join
+from sparkfeat.functions.lookup import State, fit_state
 
 
 # ------------------------------------------------------------------ MOD-1..6
@@ -235,5 +235,4 @@ def lookup_state(df: DataFrame, max_rows: int = 200_000) -> State:
 
 
 __all__ = ["make_model", "assemble", "oof_predictions", "blend", "weighted_vote", "importances",
-           "adversarial", "auc_rank_sum", "kmeans_features", "pca_features", "encoded_model",
-           "lookup_join"]
+           "adversarial", "auc_rank_sum", "kmeans_features", "pca_features", "encoded_model"]
