@@ -277,3 +277,17 @@ def test_category_in_one_fold_only(spark):
     out = E.oof_encode(df, ["cat"], "label", "id", ["fold"], 0.0).toPandas().set_index("id")
     g = df.filter(F.col("fold") != int(out.loc[0, "fold"])).agg(F.avg("label")).first()[0]
     assert out.loc[0, "cat_oof"] == pytest.approx(g)  # unseen outside its own fold → fold global mean
+
+
+def test_align_columns_raises_on_missing(spark, edge):
+    assert C.align_columns(edge, ["id", "x"]).columns == ["id", "x"]
+    with pytest.raises(KeyError):
+        C.align_columns(edge, ["id", "nope"])
+    assert C.columns_of_kind(edge, "numeric", exclude=("id",)) == ["x", "y", "label"]
+    assert C.columns_of_kind(edge, "string") == ["cat"]
+
+
+def test_combos_refuse_label(spark):
+    with pytest.raises(ValueError):
+        T.combos(["a", "label"], 2, forbid=("label",))
+    assert list(T.combos(["a", "b", "c"], 2)) == ["a-b", "a-c", "b-c"]
