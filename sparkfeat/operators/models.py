@@ -163,16 +163,20 @@ def importances(model, feature_cols, spark) -> DataFrame:
 
 
 # ------------------------------------------------------------------ EVL-6
-def auc_rank_sum(scored: DataFrame, label: str = "label", p: str = "p") -> DataFrame:
-    """AUC by the Mann-Whitney rank sum (ties averaged), fully distributed."""
+def auc_rank_sum(scored: DataFrame, label: str = "label", p: str = "p", by: str | None = None) -> DataFrame:
+    """AUC by the Mann-Whitney rank sum (ties averaged), fully distributed:
+    scores are counted per distinct value (and group), ranked with
+    ``cumulative``; each positive beats the negatives below it and half of
+    the tied ones."""
     from sparkfeat.functions.ordered import cumulative
-    counts = scored.groupBy(F.lit("auc").alias("g"), F.col(p).alias("value")).agg(
+    g = F.col(by).cast("string") if by else F.lit("auc")
+    counts = scored.groupBy(g.alias("g"), F.col(p).cast("double").alias("value")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
     cum = cumulative(counts, ["g"], "value", ["pos", "neg"])
-    # each positive beats the negatives below it, half of the tied ones
-    return cum.groupBy("g").agg(
+    out = cum.groupBy("g").agg(
         (F.sum(F.col("pos") * (F.col("prev_neg") + F.col("neg") / 2.0)) /
-         (F.max("tot_pos") * F.max("tot_neg"))).alias("auc")).select("auc")
+         (F.max("tot_pos") * F.max("tot_neg"))).alias("auc"))
+    return out.withColumnRenamed("g", by) if by else out.select("auc")
 
 
 def adversarial(train: DataFrame, test: DataFrame, feature_cols, id_col: str, k: int = 3) -> DataFrame:

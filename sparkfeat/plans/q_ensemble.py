@@ -307,3 +307,19 @@ def prediction_file(spark, sf):
 
 register("prediction_file", _sql(_wide_sql(True)) +
          f"SELECT id, CASE WHEN {MEAN_SQL} > 0.5 THEN 'F' ELSE 'other' END AS status FROM wide")(prediction_file)
+
+
+# ------------------------------------------------------------------ EVL-6 (AUC by rank sum)
+def auc_models(spark, sf):
+    """Per-model AUC of the out-of-fold scores, by the distributed rank sum."""
+    from sparkfeat.operators.models import auc_rank_sum
+    s = scored(spark, sf).filter(~F.col("is_test"))
+    return auc_rank_sum(s, "label", "p", by="model").select("model", F.round("auc", 6).alias("auc"))
+
+
+register("auc_models", _sql(
+    "c AS (SELECT model, p, count_if(label = 1) AS pos, count_if(label = 0) AS neg FROM scored "
+    "WHERE NOT is_test GROUP BY model, p)",
+    "r AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY model ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING "
+    "AND 1 PRECEDING), 0) AS below FROM c)",
+) + f"SELECT model, {r6('sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg))')} AS auc FROM r GROUP BY model")(auc_models)
