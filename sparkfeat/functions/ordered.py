@@ -8,10 +8,10 @@ bucket its offset, and the window runs per (group, bucket) only. Ties never
 straddle buckets because the bucket is a function of the key. Results are
 exact.
 
-The bucket-total table has at most ``groups × buckets`` rows, a bound known
-before running (groups are declared columns or classes), so it is broadcast
-without collecting it. Only the quantile bounds (same bound) reach the
-driver, in one small job.
+The bucket-total table has at most ``groups × buckets`` rows; it is joined
+without a hint, so AQE broadcasts it after measuring it at run time (or
+keeps a sort-merge join if a grouping has very many groups). Only the
+quantile bounds reach the driver, in one small job.
 """
 
 from __future__ import annotations
@@ -35,8 +35,10 @@ def _with_offsets(tagged: DataFrame, part_cols, weight_cols) -> DataFrame:
         *part_cols, "__bucket",
         *[F.coalesce(F.sum(f"__b_{c}").over(before), F.lit(0)).alias(f"__off_{c}") for c in weight_cols],
         *[F.sum(f"__b_{c}").over(whole).alias(f"__tot_{c}") for c in weight_cols])
-    # bounded by groups × buckets rows (static), hence the broadcast
-    return tagged.join(F.broadcast(offs), list(part_cols) + ["__bucket"])
+    # groups × buckets rows. No hint: AQE sees the materialised size of this
+    # small aggregate at run time and broadcasts it (a checked size); with very
+    # many groups it stays a sort-merge join instead of a blind broadcast
+    return tagged.join(offs, list(part_cols) + ["__bucket"])
 
 
 def rank_by_hash(df: DataFrame, part_cols, hash_col: str, tie_col: str,
