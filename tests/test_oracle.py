@@ -27,3 +27,10 @@ def test_query_matches_oracle(spark, duck, name):
     assert list(got.columns) == list(want.columns)
     assert len(got) == len(want)
     assert frame_hash(got) == frame_hash(want)
+
+
+def test_query_names_are_descriptive():
+    import re
+    for name in ALL:
+        assert re.fullmatch(r"[a-z][a-z0-9_]*", name)
+        assert "pipeline" not in name and not re.match(r"op\d+_", name)
