@@ -291,3 +291,19 @@ def test_combos_refuse_label(spark):
     with pytest.raises(ValueError):
         T.combos(["a", "label"], 2, forbid=("label",))
     assert list(T.combos(["a", "b", "c"], 2)) == ["a-b", "a-c", "b-c"]
+
+
+@pytest.mark.parametrize("direct", [True, False])
+def test_sample_n_is_hash_order(spark, monkeypatch, direct):
+    import hashlib
+    import sparkfeat.functions.ordered as O
+    from sparkfeat.operators import sets as S
+    if not direct:
+        monkeypatch.setattr(O, "TOPK_DIRECT", 0)
+    df = spark.range(0, 300).select("id")
+    got = sorted(r.id for r in S.sample_n(df, "id", 40, seed=7).collect())
+
+    def h(i):
+        return int(hashlib.md5(f"7|sample|{i}".encode()).hexdigest()[:8], 16)
+    want = sorted(sorted(range(300), key=lambda i: (h(i), i))[:40])
+    assert got == want
