@@ -156,9 +156,6 @@ scored AS (
 
 
 # -------------------------------------------------------------- event_profile
-EVENT_TYPES_SQL = "SELECT DISTINCT event_type FROM events"
-
-
 def event_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (user, event type): count and mean value."""
     ev = read_table(spark, sf_dir, "events")
