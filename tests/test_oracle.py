@@ -31,6 +31,8 @@ def test_query_matches_oracle(spark, duck, name):
 
 def test_query_names_are_descriptive():
     import re
-    for name in ALL:
+
+    from sparkfeat import catalog
+    for name in catalog.queries():
         assert re.fullmatch(r"[a-z][a-z0-9_]*", name)
         assert "pipeline" not in name and not re.match(r"op\d+_", name)
