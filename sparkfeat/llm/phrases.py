@@ -13,17 +13,20 @@ Method
      windows of one representative of each different run are counted by a
      128-bit hash: this confirms the recurring windows.
   3. Confirmed windows that always follow each other (same single neighbour on
-     both sides everywhere) are chained to maximal phrases, taken from one
-     representative document. Each phrase occurs whole wherever any of its
-     windows occurs.
-  4. A phrase goes to the documents that hold its first anchor; each task
-     compiles Aho-Corasick automata over the phrases its documents need (in
-     shards of bounded size) and streams those documents through them. The
-     automaton decides every occurrence word by word.
+     both sides everywhere) are chained to phrases, taken from one representative
+     document. Each phrase occurs whole wherever any of its windows occurs.
+     Adjacent phrases of about equal frequency travel as one passage with cuts,
+     so overlapping phrases are not sent 35 words at a time.
+  4. A passage goes to the documents that hold the rarest anchor of one of its
+     phrases; each task compiles Aho-Corasick automata over the phrases its
+     documents need (in shards of bounded size) and streams those documents
+     through them. The automaton decides every occurrence word by word.
 
 No row of a hot phrase meets in one task: counts combine before the shuffle and
-the joins by anchor are plain equi-joins between exchanges, which adaptive
-execution splits.
+the joins by anchor or passage are plain equi-joins between exchanges, which
+adaptive execution splits. ``uid`` is a 64-bit hash of document id and text; a
+representative place is checked against its run's hash before it is used, and
+the automaton compares words, so a collision of ids cannot remove a word.
 """
 
 from __future__ import annotations
@@ -95,7 +98,7 @@ def _take(column, rows):
     return column.take(pa.array(rows.astype(np.int64)))
 
 
-RUN_SCHEMA = "did long, tk long, anchor long, body long, first int, n int, twice boolean"
+RUN_SCHEMA = "uid long, anchor long, body long, place long, twice boolean"
 
 
 def _runs_of(window):
@@ -107,19 +110,55 @@ def _runs_of(window):
                     continue
                 words, rng, smallest, ok = state
                 anchor, row, first, last = runs
-                left, right = _neighbours(words, rows, first, last + window)
-                body = mix64(rng(first, last + window) + left * U64(3) + right * U64(5))
                 base = np.searchsorted(rows, np.arange(hi - lo))
                 twice = _self_repeating(rng, len(words), window, smallest, ok, runs)
                 yield pa.RecordBatch.from_arrays(
-                    [_take(batch.column("did"), row + lo), _take(batch.column("tk"), row + lo),
-                     _longs(anchor), _longs(body), pa.array((first - base[row]).astype(np.int32)),
-                     pa.array((last - first + 1).astype(np.int32)), pa.array(twice)],
-                    names=["did", "tk", "anchor", "body", "first", "n", "twice"])
+                    [_take(batch.column("uid"), row + lo), _longs(anchor),
+                     _longs(_body(words, rng, rows, first, last + window)),
+                     pa.array(((first - base[row]) << 31) + last - first + 1), pa.array(twice)],
+                    names=["uid", "anchor", "body", "place", "twice"])
     return run
 
 
-WINDOW_SCHEMA = ("did long, tk long, w1 long, w2 long, left long, right long, "
+def _body(words, rng, rows, first, past):
+    left, right = _neighbours(words, rows, first, past)
+    return mix64(rng(first, past) + left * U64(3) + right * U64(5))
+
+
+SPAN_TYPE = pa.list_(pa.struct([("place", pa.int64()), ("weight", pa.int64()), ("uniform", pa.bool_()),
+                                ("body", pa.int64()), ("total", pa.int64())]))
+
+
+def _checked_of(window):
+    """Keep the spans whose words and neighbours hash to their run."""
+    def run(batches):
+        for batch in batches:
+            spans, text = batch.column("spans"), batch.column("text")
+            for lo, hi, buf, offs in byte_blocks(text):
+                starts, ends, rows = word_spans(buf, offs)
+                words = word_hashes(buf, starts, ends)
+                rng = RangeHash(words)
+                size = np.bincount(rows, minlength=hi - lo)
+                base = np.cumsum(size) - size
+                part = spans.slice(lo, hi - lo)
+                flat, row = part.flatten(), np.repeat(np.arange(hi - lo), np.asarray(part.value_lengths()))
+                place = np.asarray(flat.field("place"))
+                first, past = place >> 31, (place >> 31) + (place & 0x7FFFFFFF) + window - 1
+                fits = past <= size[row]
+                body = np.asarray(flat.field("body")).view(U64)
+                good = np.zeros(len(place), bool)
+                at, to = (first + base[row])[fits], (past + base[row])[fits]
+                good[fits] = _body(words, rng, rows, at, to) == body[fits]
+                kept = flat.filter(pa.array(good))
+                edges = np.concatenate([[0], np.cumsum(np.bincount(row[good], minlength=hi - lo))])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("uid").slice(lo, hi - lo), text.slice(lo, hi - lo),
+                     pa.ListArray.from_arrays(pa.array(edges, pa.int32()), kept).cast(SPAN_TYPE)],
+                    names=["uid", "text", "spans"])
+    return run
+
+
+WINDOW_SCHEMA = ("uid long, w1 long, w2 long, left long, right long, "
                  "pos int, weight long")
 
 
@@ -141,10 +180,9 @@ def _windows_of(window):
                 left, right = _neighbours(words, rows, at, at + window)
                 row = rows[at]
                 yield pa.RecordBatch.from_arrays(
-                    [_take(batch.column("did"), row + lo), _take(batch.column("tk"), row + lo),
-                     _longs(one), _longs(two), _longs(left), _longs(right),
+                    [_take(batch.column("uid"), row + lo), _longs(one), _longs(two), _longs(left), _longs(right),
                      pa.array((at - base[row]).astype(np.int32)), pa.array(weight)],
-                    names=["did", "tk", "w1", "w2", "left", "right", "pos", "weight"])
+                    names=["uid", "w1", "w2", "left", "right", "pos", "weight"])
     return run
 
 
@@ -154,60 +192,82 @@ def _ramp(count):
 
 
 def _span_columns(spans, lo, hi, base):
-    """Flatten array<struct<first, n, weight>> of rows lo..hi to block positions."""
+    """Flatten the spans of rows lo..hi to first word in the block, windows and weight."""
     part = spans.slice(lo, hi - lo)
     flat = part.flatten()
     size = np.asarray(part.value_lengths().fill_null(0))
     row = np.repeat(np.arange(hi - lo), size)
-    first = np.asarray(flat.field("first")).astype(np.int64) + base[row]
-    return first, np.asarray(flat.field("n")).astype(np.int64), np.asarray(flat.field("weight")).astype(np.int64)
+    place = np.asarray(flat.field("place"))
+    return (place >> 31) + base[row], place & 0x7FFFFFFF, np.asarray(flat.field("weight"))
 
 
-PHRASE_SCHEMA = "anchor long, phrase binary, n_words int"
+PASSAGE_SCHEMA = "anchors array<long>, passage binary, cuts array<int>"
 
 
-def _phrases_of(window):
-    """Chain the confirmed windows and runs of a representative document to phrases."""
+def _passages_of(window):
+    """Chain the confirmed windows and runs of a representative document to passages."""
     def run(batches):
         for batch in batches:
-            spans = batch.column("nodes")
+            nodes = batch.column("nodes")
             for lo, hi, buf, offs in byte_blocks(batch.column("text")):
                 starts, ends, rows, state, _ = _anchor_runs(buf, offs, window)
                 if state is None:
                     continue
                 base = np.searchsorted(rows, np.arange(hi - lo))
-                part = spans.slice(lo, hi - lo)
+                part = nodes.slice(lo, hi - lo)
                 flat = part.flatten()
-                row = np.repeat(np.arange(hi - lo), np.asarray(part.value_lengths().fill_null(0)))
-                pos = np.asarray(flat.field("first")).astype(np.int64) + base[row]
-                count = np.asarray(flat.field("n")).astype(np.int64)
-                lefty = np.asarray(flat.field("one_left")).astype(bool)
-                righty = np.asarray(flat.field("one_right")).astype(bool)
+                row = np.repeat(np.arange(hi - lo), np.asarray(part.value_lengths()))
+                place = np.asarray(flat.field("place"))
+                pos, count = (place >> 31) + base[row], place & 0x7FFFFFFF
+                lefty, righty = (np.asarray(flat.field(c)).astype(bool) for c in ("one_left", "one_right"))
+                total = np.asarray(flat.field("total")).astype(float)
                 order = np.argsort(pos, kind="stable")
-                pos, count, lefty, righty, row = (x[order] for x in (pos, count, lefty, righty, row))
+                pos, count, lefty, righty, row, total = (x[order] for x in (pos, count, lefty, righty, row, total))
                 if not len(pos):
                     continue
-                link = (pos[1:] == pos[:-1] + count[:-1]) & (row[1:] == row[:-1]) & righty[:-1] & lefty[1:]
+                near = (pos[1:] == pos[:-1] + count[:-1]) & (row[1:] == row[:-1])
+                link = near & righty[:-1] & lefty[1:]
+                even = near & (total[1:] <= 2 * total[:-1]) & (total[:-1] <= 2 * total[1:])
                 head = np.flatnonzero(np.concatenate([[True], ~link]))
                 tail = np.append(head[1:], len(pos)) - 1
-                first, past = pos[head], pos[tail] + count[tail] - 1 + window
-                raw = buf.tobytes()
-                text = [b" ".join(raw[starts[a]:ends[b - 1]].split()) for a, b in zip(first, past)]
+                first, past = pos[head], pos[tail] + count[tail] - 1 + window       # phrases
+                new = np.concatenate([[True], ~(even | link)])[head]                # passages of phrases
+                group = np.append(np.flatnonzero(new), len(head))
+                # A phrase is known by the rarest anchor among its windows.
+                span0, span_n, _ = _span_columns(batch.column("spans"), lo, hi, base)
+                runs = np.asarray(batch.column("spans").slice(lo, hi - lo).flatten().field("total"))
+                rarity = np.full(len(state[2]), np.iinfo(np.int64).max)
+                rarity[np.repeat(span0, span_n) + _ramp(span_n)] = np.repeat(runs, span_n)
+                rarest = np.array([a + int(np.argmin(rarity[a:b - window + 1])) for a, b in zip(first, past)])
+                raw, anchor = buf.tobytes(), state[2][rarest].view(np.int64)
+                text, cuts, anchors = [], [], []
+                for a, b in zip(group[:-1], group[1:]):
+                    text.append(b" ".join(raw[starts[first[a]]:ends[past[b - 1] - 1]].split()))
+                    cuts.append(np.stack([first[a:b], past[a:b]], axis=1).ravel() - first[a])
+                    anchors.append(np.unique(anchor[a:b]))
                 yield pa.RecordBatch.from_arrays(
-                    [_longs(state[2][first]), pa.array(text, pa.binary()),
-                     pa.array((past - first).astype(np.int32))],
-                    names=["anchor", "phrase", "n_words"])
+                    [pa.array(anchors, pa.list_(pa.int64())), pa.array(text, pa.binary()), pa.array(cuts, pa.list_(pa.int32()))],
+                    names=["anchors", "passage", "cuts"])
     return run
 
 
-def _occurrences(docs, wanted):
+def _phrases(passages):
+    """The phrases cut from the passages of one document."""
+    out = []
+    for p in passages:
+        words, cuts = p["passage"].split(b" "), p["cuts"]
+        out += [b" ".join(words[a:b]) for a, b in zip(cuts[::2], cuts[1::2])]
+    return out
+
+
+def _occurrences(docs, passages):
     """Covered word ranges of each document; phrases compiled in shards of bounded bytes."""
     found = [[] for _ in docs]
     lo = 0
     while lo < len(docs):
         needed, hi, size = {}, lo, 0
-        while hi < len(docs) and (hi == lo or size + sum(map(len, wanted[hi])) <= SHARD_BYTES):
-            for p in wanted[hi]:
+        while hi < len(docs) and size <= SHARD_BYTES:
+            for p in _phrases(passages[hi]):
                 if p not in needed:
                     needed[p] = None
                     size += len(p)
@@ -230,7 +290,7 @@ def _scan(phrases, docs, found, lo, hi):
         auto.add_word(" " + p.decode("latin-1") + " ", p.count(b" ") + 1)
     auto.make_automaton()
     for k in range(lo, hi):
-        if docs[k] is None:
+        if not docs[k]:
             continue
         line = b" " + b" ".join(docs[k]) + b" "
         ends = [(end, n) for end, n in auto.iter(line.decode("latin-1"))]
@@ -248,10 +308,10 @@ def _apply_of(with_text):
     def run(batches):
         for batch in batches:
             texts = batch.column("text")
-            wanted_all = batch.column("phrases")
+            passages = batch.column("passages")
             for lo, hi, buf, offs in byte_blocks(texts):
                 raw = buf.tobytes()
-                wanted = [x or [] for x in wanted_all.slice(lo, hi - lo).to_pylist()]
+                wanted = [x or [] for x in passages.slice(lo, hi - lo).to_pylist()]
                 every = [raw[a:b].split() for a, b in zip(offs[:-1], offs[1:])]
                 found = _occurrences([w if p else None for w, p in zip(every, wanted)], wanted)
                 out = []
@@ -299,50 +359,55 @@ def remove_repeated_phrases(docs: DataFrame, doc_id: str = "doc_id", text: str =
     if window < GRAM + 1:
         raise ValueError(f"window must be over {GRAM} words")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    docs = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-2**63)).alias("did"),
-                       F.xxhash64("text").alias("tk"))
-    key = ["did", "tk"]
-
-    runs = materialize(docs.select(*key, "text").mapInArrow(_runs_of(window), RUN_SCHEMA), "runs")
-    # One row per different run, with one representative place.
-    order = F.xxhash64(*key)          # the same document for runs that share their documents
-    blocks = materialize(
-        runs.groupBy("anchor", "body").agg(
-            F.count("*").alias("weight"), F.max("twice").alias("twice"), F.first("n").alias("n"),
-            *[F.min_by(c, order).alias(c) for c in (*key, "first")]), "blocks")
+    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("uid"))
+
+    runs = materialize(docs.select("uid", "text").mapInArrow(_runs_of(window), RUN_SCHEMA), "runs")
     anchors = materialize(
-        blocks.groupBy("anchor").agg(F.sum("weight").alias("total"), F.count("*").alias("kinds"),
-                                     F.max("twice").alias("again"))
-        .where("total > 1 or again").select("anchor", (F.expr("kinds = 1 and not again")).alias("uniform")),
-        "anchors")
-    chosen = blocks.join(anchors, "anchor").select(*key, "first", "n", "weight", "uniform")
-    spans = chosen.groupBy(*key).agg(F.collect_list(F.struct("first", "n", "weight", "uniform")).alias("spans"))
+        runs.groupBy("anchor").agg(F.count("*").alias("total"), F.max("twice").alias("twice"),
+                                   F.min("body").alias("low"), F.max("body").alias("high"))
+        .where("total > 1 or twice").select("anchor", "total", F.expr("low = high and not twice").alias("uniform")), "anchors")
+    recurring = materialize(runs.join(anchors, "anchor").select("uid", "anchor", "body", "place", "uniform", "total"), "recurring")
+    drop_materialized(runs)
+    drop_materialized(anchors)
+
+    # One representative place for each different run: the smallest uid, so that runs
+    # (and windows below) that share their documents are taken from the same one.
+    spans = (recurring.groupBy("anchor", "body").agg(
+        F.count("*").alias("weight"), F.max("uniform").alias("uniform"), F.max("total").alias("total"),
+        F.min("uid").alias("uid"), F.min_by("place", "uid").alias("place"))
+        .groupBy("uid").agg(F.collect_list(F.struct("place", "weight", "uniform", "body", "total")).alias("spans")))
     # Repeated rows (same id, same text) are read for places once.
-    holders = materialize(docs.select(*key, "text").join(spans, key).dropDuplicates(key), "holders")
-
-    mixed = holders.select(*key, "text", F.filter("spans", lambda s: ~s["uniform"]).alias("spans"))
-    windows = mixed.where(F.size("spans") > 0).mapInArrow(_windows_of(window), WINDOW_SCHEMA)
+    holders = materialize(
+        docs.select("uid", "text").join(spans, "uid").dropDuplicates(["uid"])
+        .mapInArrow(_checked_of(window), "uid long, text string, spans array<struct<place: long, weight: long, "
+                    "uniform: boolean, body: long, total: long>>"), "holders")
+    windows = (holders.select("uid", "text", F.filter("spans", lambda s: ~s["uniform"]).alias("spans"))
+               .where(F.size("spans") > 0).mapInArrow(_windows_of(window), WINDOW_SCHEMA))
     confirmed = (windows.groupBy("w1", "w2").agg(
         F.sum("weight").alias("total"),
         (F.min("left") == F.max("left")).alias("one_left"),
         (F.min("right") == F.max("right")).alias("one_right"),
-        *[F.min_by(c, order).alias(c) for c in (*key, "pos")])
+        F.min("uid").alias("uid"), F.min_by("pos", "uid").alias("pos"))
         .where("total > 1")
-        .select(*key, F.struct(F.col("pos").alias("first"), F.lit(1).alias("n"),
-                               "one_left", "one_right").alias("node")))
-    uniform = (holders.select(*key, F.explode(F.filter("spans", lambda s: s["uniform"])).alias("s"))
-               .select(*key, F.struct("s.first", "s.n", F.lit(True).alias("one_left"),
-                                      F.lit(True).alias("one_right")).alias("node")))
-    nodes = confirmed.unionAll(uniform).groupBy(*key).agg(F.collect_list("node").alias("nodes"))
-    phrases = materialize(holders.select(*key, "text").join(nodes, key)
-                          .mapInArrow(_phrases_of(window), PHRASE_SCHEMA), "phrases")
-
-    wanted = (runs.select("anchor", *key).join(phrases.select("anchor", "phrase"), "anchor")
-              .groupBy(*key).agg(F.collect_set("phrase").alias("phrases")))
-    wanted = materialize(wanted, "wanted")
-    for done in (blocks, anchors, holders):
-        drop_materialized(done)
-    return (docs.join(wanted, key, "left").select("doc_id", "text", "phrases")
+        .select("uid", F.struct((F.shiftleft(F.col("pos").cast("long"), 31) + 1).alias("place"),
+                                "one_left", "one_right", "total").alias("node")))
+    uniform = (holders.select("uid", F.explode(F.filter("spans", lambda s: s["uniform"])).alias("s"))
+               .select("uid", F.struct("s.place", F.lit(True).alias("one_left"), F.lit(True).alias("one_right"),
+                                       F.col("s.weight").alias("total")).alias("node")))
+    nodes = confirmed.unionAll(uniform).groupBy("uid").agg(F.collect_list("node").alias("nodes"))
+    passages = materialize(holders.join(nodes, "uid").mapInArrow(_passages_of(window), PASSAGE_SCHEMA)
+                           .withColumn("pid", F.monotonically_increasing_id()), "passages")
+    drop_materialized(holders)
+
+    # Documents that hold the rarest anchor of one of a passage's phrases.
+    pairs = (recurring.select("uid", "anchor")
+             .join(passages.select("pid", F.explode("anchors").alias("anchor")), "anchor")
+             .select("uid", "pid").distinct())
+    wanted = materialize(pairs.join(passages.select("pid", "passage", "cuts"), "pid").groupBy("uid")
+                         .agg(F.collect_list(F.struct("passage", "cuts")).alias("passages")), "wanted")
+    drop_materialized(recurring)
+    drop_materialized(passages)
+    return (docs.join(wanted, "uid", "left").select("doc_id", "text", "passages")
             .mapInArrow(_apply_of(with_text), OUT_SCHEMA))
 
 
