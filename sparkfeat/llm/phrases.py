@@ -17,10 +17,11 @@ Method
      document. Each phrase occurs whole wherever any of its windows occurs.
      Adjacent phrases of about equal frequency travel as one passage with cuts,
      so overlapping phrases are not sent 35 words at a time.
-  4. A passage goes to the documents that hold the rarest anchor of one of its
-     phrases; each task compiles Aho-Corasick automata over the phrases its
-     documents need (in shards of bounded size) and streams those documents
-     through them. The automaton decides every occurrence word by word.
+  4. Documents are dealt to buckets by hash. A passage goes, once, to each bucket
+     with a document that holds the rarest anchor of one of its phrases; the
+     bucket's task compiles Aho-Corasick automata over its phrases (in shards of
+     bounded size) and streams its documents through them. The automaton decides
+     every occurrence word by word.
 
 No row of a hot phrase meets in one task: counts combine before the shuffle and
 the joins by anchor or passage are plain equi-joins between exchanges, which
@@ -43,8 +44,10 @@ from sparkfeat.llm.common import (U64, RangeHash, byte_blocks, drop_materialized
                                   mix64, sliding, table, word_hashes, word_spans)
 
 GRAM = 8
-# Phrase bytes compiled into one automaton: bounds a task's memory (about 80 bytes a node).
-SHARD_BYTES = 1_000_000
+SHARD_NODES = 1_500_000      # trie nodes of one automaton: bounds a task's memory
+DIGITS = 32                  # most children of a trie node
+BLOCK_CHARS = 12_000_000     # text of one bucket that is scanned at once
+BUCKET_WINDOWS = 2_000_000   # windows of a bucket of documents on average
 
 
 # ------------------------------------------------------------------ kernels
@@ -251,95 +254,96 @@ def _passages_of(window):
     return run
 
 
-def _phrases(passages):
-    """The phrases cut from the passages of one document."""
-    out = []
-    for p in passages:
-        words, cuts = p["passage"].split(b" "), p["cuts"]
-        out += [b" ".join(words[a:b]) for a, b in zip(cuts[::2], cuts[1::2])]
-    return out
-
-
-def _occurrences(docs, passages):
-    """Covered word ranges of each document; phrases compiled in shards of bounded bytes."""
-    found = [[] for _ in docs]
-    lo = 0
-    while lo < len(docs):
-        needed, hi, size = {}, lo, 0
-        while hi < len(docs) and size <= SHARD_BYTES:
-            for p in _phrases(passages[hi]):
-                if p not in needed:
-                    needed[p] = None
-                    size += len(p)
-            hi += 1
-        shard, held = [], 0
-        for p in [*needed, None]:                       # one long document may need several shards
-            if shard and (p is None or held + len(p) > SHARD_BYTES):
-                _scan(shard, docs, found, lo, hi)
-                shard, held = [], 0
-            if p is not None:
-                shard.append(p)
-                held += len(p)
-        lo = hi
-    return found
-
-
-def _scan(phrases, docs, found, lo, hi):
-    auto = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for p in phrases:
-        auto.add_word(" " + p.decode("latin-1") + " ", p.count(b" ") + 1)
-    auto.make_automaton()
-    for k in range(lo, hi):
-        if not docs[k]:
-            continue
-        line = b" " + b" ".join(docs[k]) + b" "
-        ends = [(end, n) for end, n in auto.iter(line.decode("latin-1"))]
-        if ends:
-            spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-            at = np.searchsorted(spaces, [e for e, _ in ends])
-            found[k] += [(int(e) - n, int(e)) for e, (_, n) in zip(at, ends)]
+def _shards(passages):
+    """Code of each word in the passages, its length, and automata over the phrases cut from them.
+
+    Words are numbered and the numbers written in base ``DIGITS``, every digit
+    place with letters of its own: exact, aligned to words, and no trie node has
+    more than ``DIGITS`` children (a node's children are searched one by one).
+    """
+    number: dict[bytes, int] = {}
+    numbered = [([number.setdefault(w, len(number)) for w in passage.split(b" ")], cuts) for passage, cuts in passages]
+    size = 1
+    while DIGITS ** size < len(number):
+        size += 1
+    codes = ["".join(chr(1 + k * DIGITS + n // DIGITS ** k % DIGITS) for k in range(size)) for n in range(len(number))]
+    phrases = {"".join([codes[n] for n in words[a:b]]): None
+               for words, cuts in numbered for a, b in zip(cuts[::2], cuts[1::2])}
+
+    def automata():
+        auto, held = ahocorasick.Automaton(ahocorasick.STORE_INTS), 0
+        for phrase in phrases:
+            if held and held + len(phrase) > SHARD_NODES:
+                auto.make_automaton()
+                yield auto
+                auto, held = ahocorasick.Automaton(ahocorasick.STORE_INTS), 0
+            auto.add_word(phrase, len(phrase) // size)
+            held += len(phrase)
+        if held:
+            auto.make_automaton()
+            yield auto
+    return {w: codes[n] for w, n in number.items()}, size, automata
 
 
 OUT_SCHEMA = ("doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, "
               "removed_spans array<struct<first: int, past: int>>")
 
 
+def _judge(docs, passages, with_text):
+    """Locate all phrases in the texts of one block, shard by shard, and cut them out."""
+    code, size, automata = _shards(passages)
+    found: list[list] = [[] for _ in docs]
+    if code:
+        get, other = code.get, "\0" * size
+        streams = ["".join([get(w, other) for w in (text or "").encode().split()]) for _, text in docs]
+        for auto in automata():
+            for spans, stream in zip(found, streams):
+                for end, n in auto.iter(stream):
+                    past = (end + 1) // size
+                    spans.append((past - n, past))
+    out = []
+    for (doc_id, text), spans in zip(docs, found):
+        words = (text or "").encode().split()
+        merged: list[list[int]] = []
+        for a, b in sorted(spans):
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], b)
+            else:
+                merged.append([a, b])
+        kept, at = [], 0
+        for a, b in merged:
+            kept += words[at:a]
+            at = b
+        kept += words[at:]
+        line = b" ".join(kept)
+        out.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(line).hexdigest(),
+                    line.decode() if with_text else None, [{"first": a, "past": b} for a, b in merged]))
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(),
+             pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())]))]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)],
+                                      names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "removed_spans"])
+
+
 def _apply_of(with_text):
+    """Stream rows sorted by bucket, passages before documents."""
     def run(batches):
+        bucket, passages, docs, held = None, [], [], 0
         for batch in batches:
-            texts = batch.column("text")
-            passages = batch.column("passages")
-            for lo, hi, buf, offs in byte_blocks(texts):
-                raw = buf.tobytes()
-                wanted = [x or [] for x in passages.slice(lo, hi - lo).to_pylist()]
-                every = [raw[a:b].split() for a, b in zip(offs[:-1], offs[1:])]
-                found = _occurrences([w if p else None for w, p in zip(every, wanted)], wanted)
-                out = []
-                for words, spans in zip(every, found):
-                    merged = []
-                    for a, b in sorted(spans):
-                        if merged and a <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], b)
-                        else:
-                            merged.append([a, b])
-                    kept = words
-                    if merged:
-                        kept, at = [], 0
-                        for a, b in merged:
-                            kept += words[at:a]
-                            at = b
-                        kept += words[at:]
-                    line = b" ".join(kept)
-                    out.append((len(words), len(words) - len(kept), hashlib.sha256(line).hexdigest(),
-                                line.decode("utf-8", "replace") if with_text else None,
-                                [{"first": a, "past": b} for a, b in merged]))
-                cols = list(zip(*out))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()),
-                     pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()),
-                     pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string()),
-                     pa.array(cols[4], pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())])))],
-                    names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "removed_spans"])
+            for row in zip(*(batch.column(c) for c in ("bucket", "kind", "doc_id", "text", "passage", "cuts"))):
+                here, kind, doc_id, text, passage, cuts = (x.as_py() for x in row)
+                if here != bucket or held >= BLOCK_CHARS:
+                    if docs:
+                        yield _judge(docs, passages, with_text)
+                    docs, held = [], 0
+                    if here != bucket:
+                        bucket, passages = here, []
+                if kind == 0:
+                    passages.append((passage, cuts))
+                else:
+                    docs.append((doc_id, text))
+                    held += len(text or "")
+        if docs:
+            yield _judge(docs, passages, with_text)
     return run
 
 
@@ -362,6 +366,9 @@ def remove_repeated_phrases(docs: DataFrame, doc_id: str = "doc_id", text: str =
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("uid"))
 
     runs = materialize(docs.select("uid", "text").mapInArrow(_runs_of(window), RUN_SCHEMA), "runs")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    windows = runs.agg(F.sum(F.col("place").bitwiseAND(F.lit(0x7FFFFFFF)))).first()[0] or 0
+    buckets = max(parts, 1 + windows // BUCKET_WINDOWS)
     anchors = materialize(
         runs.groupBy("anchor").agg(F.count("*").alias("total"), F.max("twice").alias("twice"),
                                    F.min("body").alias("low"), F.max("body").alias("high"))
@@ -399,15 +406,19 @@ def remove_repeated_phrases(docs: DataFrame, doc_id: str = "doc_id", text: str =
                            .withColumn("pid", F.monotonically_increasing_id()), "passages")
     drop_materialized(holders)
 
-    # Documents that hold the rarest anchor of one of a passage's phrases.
-    pairs = (recurring.select("uid", "anchor")
+    # Buckets with a document that holds the rarest anchor of one of a passage's phrases.
+    bucket = F.pmod("uid", F.lit(buckets)).cast("int").alias("bucket")
+    pairs = (recurring.select(bucket, "anchor").distinct()
              .join(passages.select("pid", F.explode("anchors").alias("anchor")), "anchor")
-             .select("uid", "pid").distinct())
-    wanted = materialize(pairs.join(passages.select("pid", "passage", "cuts"), "pid").groupBy("uid")
-                         .agg(F.collect_list(F.struct("passage", "cuts")).alias("passages")), "wanted")
+             .select("bucket", "pid").distinct())
+    sent = materialize(pairs.join(passages.select("pid", "passage", "cuts"), "pid").select("bucket", "passage", "cuts"), "sent")
     drop_materialized(recurring)
     drop_materialized(passages)
-    return (docs.join(wanted, "uid", "left").select("doc_id", "text", "passages")
+    rows = (sent.select("bucket", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"),
+                        F.lit(None).cast("string").alias("text"), "passage", "cuts")
+            .unionAll(docs.select(bucket, F.lit(1).alias("kind"), "doc_id", "text",
+                                  F.lit(None).cast("binary").alias("passage"), F.lit(None).cast("array<int>").alias("cuts"))))
+    return (rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
             .mapInArrow(_apply_of(with_text), OUT_SCHEMA))
 
 
