@@ -168,7 +168,8 @@ def mix_sources(docs: DataFrame, domain: Column, lang: str = "lang", source: str
 
     ``budget`` tokens, or ``budget_share`` of all tokens. Returns doc_id, domain, lang,
     source, n_tokens, (text,) epoch, take_tokens: one row per document and epoch that
-    takes tokens of it; take_tokens < n_tokens only for a leaf's last document.
+    takes tokens of it; take_tokens < n_tokens only for a leaf's last document, whose
+    text is then its first words joined by one space.
     Names without a weight have weight 1; weight 0 takes nothing. Null domain, lang or
     source form the leaf "(none)"; null or blank texts have no tokens and are never
     taken; a null doc_id is ordered like an empty id; repeated rows (same id and text)
@@ -179,7 +180,12 @@ def mix_sources(docs: DataFrame, domain: Column, lang: str = "lang", source: str
     meta = materialize(tagged(docs, domain, lang, source, doc_id, text, False), "tokens")
     plan = mixing_plan(meta, weights, budget_share, budget, max_epochs, seed)
     rows = tagged(docs, domain, lang, source, doc_id, text, True) if with_text else meta
-    return select_mixture(rows, plan, seed).drop("tk")
+    out = select_mixture(rows, plan, seed).drop("tk")
+    if with_text:
+        cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), 1,
+                                   F.col("take_tokens").cast("int")), " ")
+        out = out.withColumn("text", F.when(F.col("take_tokens") < F.col("n_tokens"), cut).otherwise(F.col("text")))
+    return out
 
 
 def domain_of(source: Column) -> Column:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from sparkfeat.llm import decontaminate, lines, mixing, phrases, quality, simhash, urls
+from sparkfeat.llm import (decontaminate, lines, mixing, phrases, quality, secrets, simhash, surrogates, topk,
+                           urls)
 
 QUERIES = {
+    "op1_pii_surrogates": surrogates.op1_pii_surrogates,
     "op2_phrase_dedup": phrases.op2_phrase_dedup,
+    "op3_secret_forest": secrets.op3_secret_forest,
+    "op4_kdtree_topk": topk.op4_kdtree_topk,
     "op5_source_mixing": mixing.op5_source_mixing,
     "op6_simhash_groups": simhash.op6_simhash_groups,
     "op7_url_cascade": urls.op7_url_cascade,
@@ -16,6 +20,7 @@ QUERIES = {
 
 SQL = {
     "op2_phrase_dedup": phrases.OP2_SQL,
+    "op4_kdtree_topk": topk.OP4_SQL,
     "op5_source_mixing": mixing.OP5_SQL,
     "op7_url_cascade": urls.OP7_SQL,
     "op8_line_dedup": lines.OP8_SQL,
