@@ -10,7 +10,7 @@ from sparkfeat.llm.mixing import WEIGHTS
 from sparkfeat.llm.quality import op9_quality_gam
 
 from tests.conftest import SF_SMALL
-from tests.llm import test_decontaminate, test_lines, test_mixing, test_simhash
+from tests.llm import test_decontaminate as leaks, test_lines as line, test_mixing as mix, test_simhash as sim
 
 
 @pytest.fixture(scope="module")
@@ -40,27 +40,27 @@ def test_lines(steps):
     before = rows(steps[1])
     held = {}
     for d, t in before:
-        for line in t.split("\n"):
-            held.setdefault(test_lines.key(line), set()).add(d)
+        for x in t.split("\n"):
+            held.setdefault(line.key(x), set()).add(d)
     drop = {k: max(v) for k, v in held.items() if len(k) >= 20 and len(v) >= 3}
-    want = [(d, "\n".join(x for x in t.split("\n") if drop.get(test_lines.key(x), d) == d)) for d, t in before]
+    want = [(d, "\n".join(x for x in t.split("\n") if drop.get(line.key(x), d) == d)) for d, t in before]
     assert rows(steps[2]) == want
 
 
 def test_one_of_each_group_stays(steps):
     before = rows(steps[2])
-    stay = {d for d, _, c in test_simhash.brute(before) if d == c}
+    stay = {d for d, _, c in sim.brute(before) if d == c}
     assert rows(steps[3]) == [r for r in before if r[0] in stay]
 
 
 def test_leaks_go(spark, steps):
     before, items = rows(steps[3]), [(r.item_id, r.text) for r in table(spark, SF_SMALL, "benchmark").collect()]
-    judged = {r[0]: r for r in test_decontaminate.brute(before, items)}
+    judged = {r[0]: r for r in leaks.brute(before, items)}
     after = dict(rows(steps[4]))
     assert set(after) == {d for d, _ in before if judged[d][2] <= 0.5 * judged[d][1]}
     for d, t in before:
         if d in after:
-            assert len(test_decontaminate.words(after[d])) == judged[d][1] - judged[d][2]
+            assert len(leaks.words(after[d])) == judged[d][1] - judged[d][2]
             assert judged[d][2] or after[d] == t
 
 
@@ -68,7 +68,7 @@ def test_mixture(steps):
     data = [(r.doc_id, r.text, r.domain, r.lang, r.source) for r in steps[4].withColumn("domain", cp.domain_of(F.col("source"))).collect()]
     total = sum(len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, *_ in data)
     got = [(r.doc_id, r.domain, r.lang, r.source, r.epoch, r.take_tokens) for r in steps[5].collect()]
-    assert sorted(got, key=str) == test_mixing.brute(data, total // 2, WEIGHTS, 4, 2024)
+    assert sorted(got, key=str) == mix.brute(data, total // 2, WEIGHTS, 4, 2024)
     assert all(len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) == r.take_tokens for r in steps[5].collect())
 
 
