@@ -45,7 +45,18 @@ def drop_materialized(df: DataFrame) -> None:
         hpath.getFileSystem(conf).delete(hpath, True)
 
 
-# ------------------------------------------------------------------ byte views
+# ------------------------------------------------------------------ batches and byte views
+
+def slices(batches, rows: int = 1024):
+    """The Arrow batches in small slices (no copy), so that a task's Python objects and
+    temporaries stay small; hands unused Arrow memory back when the partition ends."""
+    try:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, rows):
+                yield batch.slice(lo, rows)
+    finally:
+        pa.default_memory_pool().release_unused()
+
 
 def byte_blocks(column, max_bytes: int = 1 << 20
                 ) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkfeat.llm.common import table
+from sparkfeat.llm.common import slices, table
 
 # Bytes that separate words: everything below "0", ":" to "`" and "{" to DEL, after folding A-Z.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -162,28 +162,36 @@ def _automaton(shared, window):
 HIT_TYPE = pa.struct([("spans", pa.list_(pa.list_(pa.int32()))), ("names", pa.list_(pa.string()))])
 
 
+def _hits(auto, batch):
+    """Per row: merged spans and item names of this automaton and those before it."""
+    out = []
+    for text, had in zip(batch.column("__text"), batch.column("__hits").to_pylist()):
+        spans, names = auto.scan(normal_words(text.as_py()))
+        if had:
+            spans, names = _merge(spans + had["spans"]), names | set(had["names"])
+        out.append({"spans": spans, "names": sorted(x for x in names if x is not None)})
+    return out
+
+
 def _scan_of(shared, window):
     def run(batches):
         auto = _automaton(shared, window)
-        for batch in batches:
-            out = []
-            for text, had in zip(batch.column("__text"), batch.column("__hits").to_pylist()):
-                spans, names = auto.scan(normal_words(text.as_py()))
-                if had:
-                    spans, names = _merge(spans + had["spans"]), names | set(had["names"])
-                out.append({"spans": spans, "names": sorted(x for x in names if x is not None)})
+        for batch in slices(batches):
             cols = [c for c in batch.schema.names if c != "__hits"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in cols), pa.array(out, HIT_TYPE)], names=[*cols, "__hits"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in cols), pa.array(_hits(auto, batch), HIT_TYPE)],
+                                             names=[*cols, "__hits"])
     return run
 
 
-def _cut_of(min_span, max_coverage):
+def _cut_of(shared, window, min_span, max_coverage):
+    """The last automaton's scan, and the results."""
     def run(batches):
-        for batch in batches:
+        auto = _automaton(shared, window)
+        for batch in slices(batches):
             out = []
-            for text, hits in zip(batch.column("__text").to_pylist(), batch.column("__hits").to_pylist()):
+            for text, hits in zip(batch.column("__text").to_pylist(), _hits(auto, batch)):
                 raw = (text or "").encode()
-                spans = hits["spans"]
+                spans, names = hits["spans"], hits["names"]
                 folded = raw.translate(_FOLD)
                 n_words = len(folded.split())
                 n_hit = sum(b - a for a, b in spans)
@@ -196,14 +204,12 @@ def _cut_of(min_span, max_coverage):
                         parts.append(raw[past:at[a][0]])
                         past = at[b - 1][1]
                     clean = b"".join([*parts, raw[past:]]).decode()
-                names = hits["names"]
                 out.append((n_words, n_hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(),
                             n_hit > 0, bool(n_words and n_hit / n_words > max_coverage), clean, spans))
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.string(), pa.list_(pa.list_(pa.int32()))]
             names = [c for c in batch.schema.names if c not in ("__text", "__hits")]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in names), *(pa.array(c, t) for c, t in zip(zip(*out), types))] if out else
-                [*(batch.column(c) for c in names), *(pa.array([], t) for t in types)], names=[*names, *OUT])
+                [*(batch.column(c) for c in names), *(pa.array(c, t) for c, t in zip(zip(*out), types))], names=[*names, *OUT])
     return run
 
 
@@ -256,11 +262,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id
     work = docs.select(*keep, F.col(text).alias("__text"),
                        F.lit(None).cast("struct<spans: array<array<int>>, names: array<string>>").alias("__hits"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in work.schema)
-    for shard in item_shards(items, item_id, item_text, shard_bytes) or [[]]:
-        work = work.mapInArrow(_scan_of(spark.sparkContext.broadcast(shard), window), fields)
+    shared = [spark.sparkContext.broadcast(x) for x in item_shards(items, item_id, item_text, shard_bytes) or [[]]]
+    for shard in shared[:-1]:
+        work = work.mapInArrow(_scan_of(shard, window), fields)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in work.schema if f.name not in ("__text", "__hits"))
     out = ", ".join(f"{n} {t}" for n, t in zip(OUT, OUT_TYPES))
-    return work.mapInArrow(_cut_of(min_span, max_coverage), f"{kept}, {out}" if kept else out)
+    return work.mapInArrow(_cut_of(shared[-1], window, min_span, max_coverage), f"{kept}, {out}" if kept else out)
 
 
 def op10_decontamination(spark, sf_dir):

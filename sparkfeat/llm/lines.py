@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkfeat.llm.common import WHITE, byte_blocks, materialize, table
+from sparkfeat.llm.common import WHITE, byte_blocks, materialize, slices, table
 
 
 def _lines_of(min_chars):
@@ -35,7 +35,7 @@ def _lines_of(min_chars):
         return out
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             for lo, hi, buf, offs in byte_blocks(batch.column("text")):
                 raw = buf.tobytes()
                 digests, rows, lines = [], [], []
@@ -75,7 +75,7 @@ def _stream_of(min_docs):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)],
                                               names=["open", "seen", "rank", "h1", "h2", "doc_id", "tk", "lines"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for h1, h2, doc, tk, lines in zip(*(batch.column(c).to_pylist() for c in ("h1", "h2", "doc_id", "tk", "lines"))):
                 if (h1, h2) != key:
                     if key is not None:
@@ -143,7 +143,7 @@ def line_keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
 
 def _bitmaps(batches):
-    for batch in batches:
+    for batch in slices(batches):
         dropped, keep = [], []
         for n, gone in zip(batch.column("n_lines").to_pylist(), batch.column("gone").to_pylist()):
             bits = np.ones(n, np.uint8)
@@ -159,7 +159,7 @@ def _bitmaps(batches):
 
 def _kept_of(digest):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             kept = []
             for text, n, dropped, keep in zip(*(batch.column(c).to_pylist() for c in ("__text", "n_lines", "n_dropped", "keep"))):
                 if dropped:

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkfeat.llm.common import (U64, RangeHash, byte_blocks, drop_materialized, materialize,
-                                  mix64, sliding, table, word_hashes, word_spans)
+                                  mix64, slices, sliding, table, word_hashes, word_spans)
 
 GRAM = 8
 SHARD_NODES = 1_500_000      # trie nodes of one automaton: bounds a task's memory
@@ -106,7 +106,7 @@ RUN_SCHEMA = "uid long, anchor long, body long, place long, twice boolean"
 
 def _runs_of(window):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             for lo, hi, buf, offs in byte_blocks(batch.column("text")):
                 _, _, rows, state, runs = _anchor_runs(buf, offs, window)
                 if runs is None or not len(runs[0]):
@@ -135,7 +135,7 @@ SPAN_TYPE = pa.list_(pa.struct([("place", pa.int64()), ("weight", pa.int64()), (
 def _checked_of(window):
     """Keep the spans whose words and neighbours hash to their run."""
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             spans, text = batch.column("spans"), batch.column("text")
             for lo, hi, buf, offs in byte_blocks(text):
                 starts, ends, rows = word_spans(buf, offs)
@@ -168,7 +168,7 @@ WINDOW_SCHEMA = ("uid long, w1 long, w2 long, left long, right long, "
 def _windows_of(window):
     """Windows of the given representative runs, once per document with a weight."""
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             spans = batch.column("spans")
             for lo, hi, buf, offs in byte_blocks(batch.column("text")):
                 starts, ends, rows = word_spans(buf, offs)
@@ -210,7 +210,7 @@ PASSAGE_SCHEMA = "anchors array<long>, passage binary, cuts array<int>"
 def _passages_of(window):
     """Chain the confirmed windows and runs of a representative document to passages."""
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             nodes = batch.column("nodes")
             for lo, hi, buf, offs in byte_blocks(batch.column("text")):
                 starts, ends, rows, state, _ = _anchor_runs(buf, offs, window)
@@ -328,7 +328,7 @@ def _apply_of(with_text):
     """Stream rows sorted by bucket, passages before documents."""
     def run(batches):
         bucket, passages, docs, held = None, [], [], 0
-        for batch in batches:
+        for batch in slices(batches):
             for row in zip(*(batch.column(c) for c in ("bucket", "kind", "doc_id", "text", "passage", "cuts"))):
                 here, kind, doc_id, text, passage, cuts = (x.as_py() for x in row)
                 if here != bucket or held >= BLOCK_CHARS:
@@ -418,7 +418,7 @@ def remove_repeated_phrases(docs: DataFrame, doc_id: str = "doc_id", text: str =
                         F.lit(None).cast("string").alias("text"), "passage", "cuts")
             .unionAll(docs.select(bucket, F.lit(1).alias("kind"), "doc_id", "text",
                                   F.lit(None).cast("binary").alias("passage"), F.lit(None).cast("array<int>").alias("cuts"))))
-    return (rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    return (rows.repartitionById(buckets, "bucket").sortWithinPartitions("kind")      # one bucket a task
             .mapInArrow(_apply_of(with_text), OUT_SCHEMA))
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkfeat.llm.common import byte_blocks, mix64, table, word_hashes, word_spans
+from sparkfeat.llm.common import byte_blocks, mix64, slices, table, word_hashes, word_spans
 
 FEATURES = ["log_words", "word_length", "word_length_spread", "upper", "digit", "symbol", "stop_mark",
             "other_mark", "non_ascii", "white", "newline", "upper_words", "capital_words", "symbol_tail",
@@ -231,7 +231,7 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 120, pair_rounds: int = 40,
 # ------------------------------------------------------------------ operator
 
 def _features_of(batches):
-    for batch in batches:
+    for batch in slices(batches):
         for lo, hi, buf, offs in byte_blocks(batch.column("text")):
             x = block_features(buf, offs)
             yield pa.RecordBatch.from_arrays(
@@ -266,7 +266,7 @@ def held_out(doc_id):
 
 def _scores_of(shared):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             names = [c for c in batch.schema.names if c != "__text"]
             for lo, hi, buf, offs in byte_blocks(batch.column("__text")):
                 score = shared.value.score(block_features(buf, offs))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkfeat.llm.common import U64, byte_blocks, materialize, table
+from sparkfeat.llm.common import U64, byte_blocks, materialize, slices, table
 from sparkfeat.llm.components import components
 
 GROUP_TARGET = 2_000     # expected fingerprints in a group when choosing the number of bands
@@ -65,7 +65,7 @@ def _block_fingerprints(raw: bytes, offs: np.ndarray, shingle: int) -> np.ndarra
 
 def _fingerprints_of(shingle):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             for lo, hi, buf, offs in byte_blocks(batch.column("text")):
                 fp = _block_fingerprints(buf.tobytes(), offs, shingle)
                 yield pa.RecordBatch.from_arrays(
@@ -243,7 +243,7 @@ def _edges_of(masks, radius, max_rows=1 << 15):
 
     def run(batches):
         held = None
-        for batch in batches:
+        for batch in slices(batches):
             cols = [np.asarray(batch.column(k)) for k in ("combo", "shared", "i", "j", "side")]
             cols.append(np.ascontiguousarray(np.asarray(batch.column("fp"))).view(U64))
             if not len(cols[0]):

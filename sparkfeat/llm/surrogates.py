@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkfeat.llm.common import drop_materialized, materialize, table
+from sparkfeat.llm.common import drop_materialized, materialize, slices, table
 
 EMAIL = r"[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)+"
 IPV4 = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"
@@ -184,7 +184,7 @@ def mention_of(kind: str, new: str, mention: str) -> str:
 
 def _entities_of(batches):
     """Distinct entities of each batch of texts."""
-    for batch in batches:
+    for batch in slices(batches):
         seen = {}
         for text in batch.column("text"):
             for _, _, kind, entity in detect(text.as_py()):
@@ -196,7 +196,7 @@ def _entities_of(batches):
 
 def _surrogates_of(key):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             new = [surrogate(key, k, e, a) for k, e, a in zip(*(batch.column(c).to_pylist() for c in ("kind", "entity", "attempt")))]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("kind", "entity", "attempt")] + [pa.array(new, pa.string())],
                                              names=["kind", "entity", "attempt", "surrogate"])
@@ -233,7 +233,7 @@ def _rewrite_of(key, redrawn):
     """Rewrite texts; ``redrawn``: attempts of the entities that drew again, shared or per row."""
     def run(batches):
         common = redrawn.value if redrawn is not None else {}
-        for batch in batches:
+        for batch in slices(batches):
             texts, counts, kinds = [], [], []
             own = batch.column("__attempts").to_pylist() if "__attempts" in batch.schema.names else None
             for r, text in enumerate(batch.column("__text").to_pylist()):
@@ -284,7 +284,7 @@ def pseudonymise(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str =
 
 
 def _mentions_of(batches):
-    for batch in batches:
+    for batch in slices(batches):
         rows = [(k, kind, entity) for k, text in zip(batch.column("__key").to_pylist(), batch.column("__text").to_pylist())
                 for _, _, kind, entity in detect(text)]
         cols = list(zip(*rows)) or [(), (), ()]

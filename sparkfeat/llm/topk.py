@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkfeat.llm.common import drop_materialized, materialize, table
+from sparkfeat.llm.common import drop_materialized, materialize, slices, table
 
 SHARD = 2048         # vectors in a tree
 BLOCK = 512          # queries in a block
@@ -128,7 +128,7 @@ def _pack_of(size, names):
                  pa.array([np.floor(64 * x).astype("<f8").tobytes()], pa.binary())],
                 names=[*names, "piece", "n", "ids", "vecs"])
 
-        for batch in batches:
+        for batch in slices(batches):
             cols = [batch.column(c).to_pylist() for c in (*names, "vec_id")]
             flat = batch.column("x")
             values, size_of = np.asarray(flat.flatten()), np.asarray(flat.value_lengths())
@@ -155,7 +155,7 @@ def _unpack(ids, vecs):
 def _search_of(k, packed):
     """Search each joined (tree, block) row; with ``packed``, return the block with its bounds."""
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             for row in batch.to_pylist():
                 query_ids, queries = _unpack(row["q_ids"], row["q_vecs"])
                 bound = np.full(len(query_ids), -np.inf) if row.get("bounds") is None else np.frombuffer(row["bounds"], "<f8")
