@@ -77,9 +77,11 @@ def block_features(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     histogram = np.zeros((n, 256))
     np.add.at(histogram, (np.repeat(np.arange(n), size), buf), 1)
     p = histogram / size1[:, None]
-    entropy = -(p * np.log2(np.where(p > 0, p, 1))).sum(axis=1)
-    upper = np.concatenate([[0], np.cumsum(_CLASS[0][buf])])
-    mark = np.concatenate([[0], np.cumsum((_CLASS[2] + _CLASS[3] + _CLASS[4])[buf])])
+    # Logarithms may differ in the last bit with the place in an array: round, so that a
+    # text's features (and with them the model) never depend on its neighbours.
+    entropy = np.round(-(p * np.log2(np.where(p > 0, p, 1))).sum(axis=1), 6)
+    upper = np.concatenate([[0], np.cumsum(_CLASS[0][buf], dtype=np.int64)])
+    mark = np.concatenate([[0], np.cumsum((_CLASS[2] + _CLASS[3] + _CLASS[4])[buf], dtype=np.int64)])
     n_upper, n_mark = upper[ends] - upper[starts], mark[ends] - mark[starts]
     if len(starts):
         tail = _CLASS[2][buf[ends - 1]] + (buf[ends - 1] == 33)
@@ -99,14 +101,18 @@ def block_features(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
             value = mix64(value) + words[j:len(words) - k + 1 + j]
         return _repeats(rows[:len(rows) - k + 1][own], value[own], n)[0]
 
-    lines = np.bincount(np.repeat(np.arange(n), size)[buf == 10], minlength=n) + 1
-    cuts = np.unique(np.concatenate([np.flatnonzero(buf == 10), offs[:-1] - 1, [len(buf)]]))
-    line_start, line_end = cuts[:-1] + 1, cuts[1:]
+    breaks = np.flatnonzero(buf == 10)
+    lines = np.bincount(np.searchsorted(offs, breaks, side="right") - 1, minlength=n) + 1
+    line_start = np.unique(np.concatenate([breaks + 1, offs[:-1]]))
     line_row = np.searchsorted(offs, line_start, side="right") - 1
-    some = (line_end - line_start >= 8) & (line_row < n)
-    line_start, line_end, line_row = line_start[some], np.minimum(line_end[some], len(buf)), line_row[some]
+    inside = line_row < n
+    line_start, line_row = line_start[inside], line_row[inside]
+    line_end = np.append(breaks, len(buf))[np.searchsorted(breaks, line_start)]
+    line_end = np.minimum(line_end, offs[line_row + 1])
+    some = line_end - line_start >= 8
+    line_start, line_end, line_row = line_start[some], line_end[some], line_row[some]
     same_line = _repeats(line_row, word_hashes(buf, line_start, line_end), n)[0] if len(line_row) else np.zeros(n)
-    cols = [np.log1p(count), mean, spread, *klass,
+    cols = [np.round(np.log1p(count), 6), mean, spread, *klass,
             share((n_upper >= 0.6 * length) & (length > 1)), share(head), share(tail), share(length <= 1), share(length >= 15),
             share(n_mark == length), 1 - repeat, top, grams(2), grams(5), entropy, count / lines, same_line]
     return np.stack(cols, axis=1).astype(np.float64)
