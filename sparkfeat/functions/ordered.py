@@ -23,6 +23,7 @@ from sparkfeat.functions.hashing import TWO32
 from sparkfeat.functions.lookup import fit_state
 
 DEFAULT_BUCKETS = 64
+NULL_GROUP = "\u0002"   # stands for a null group inside one job
 
 
 def _with_offsets(tagged: DataFrame, part_cols, weight_cols) -> DataFrame:
@@ -38,7 +39,12 @@ def _with_offsets(tagged: DataFrame, part_cols, weight_cols) -> DataFrame:
     # groups × buckets rows. No hint: AQE sees the materialised size of this
     # small aggregate at run time and broadcasts it (a checked size); with very
     # many groups it stays a sort-merge join instead of a blind broadcast
-    return tagged.join(offs, list(part_cols) + ["__bucket"])
+    # Null groups (a null label, a missing source) are groups like any other.
+    right = offs.withColumnsRenamed({c: f"__p_{c}" for c in part_cols} | {"__bucket": "__p___bucket"})
+    cond = F.col("__bucket").eqNullSafe(F.col("__p___bucket"))
+    for c in part_cols:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"__p_{c}"))
+    return tagged.join(right, cond).drop("__p___bucket", *[f"__p_{c}" for c in part_cols])
 
 
 def rank_by_hash(df: DataFrame, part_cols, hash_col: str, tie_col: str,
@@ -112,7 +118,8 @@ def exact_quantiles(df: DataFrame, cols, probs, by: str | None = None,
     keys = [by] if by else []
     long = unpivot_numeric(df, keys, cols)
     if by:
-        long = long.withColumn("feature", F.concat_ws("\u0001", "feature", F.col(by).cast("string")))
+        group = F.coalesce(F.col(by).cast("string"), F.lit(NULL_GROUP))
+        long = long.withColumn("feature", F.concat_ws("\u0001", "feature", group))
     counts = long.groupBy("feature", "value").agg(F.count("*").alias("n"))
     cum = cumulative(counts, ["feature"], "value", ["n"], n_buckets)
     # target ranks per (feature, p): floor and ceil of p·(N − 1); N is on every row (tot_n)
@@ -135,43 +142,38 @@ def exact_quantiles(df: DataFrame, cols, probs, by: str | None = None,
         val = v_lo + (v_hi - v_lo) * (pos_v - lo_r)
         if by:
             c, g = feat.split("\u0001", 1)
-            out[(c, g, p)] = val
+            out[(c, None if g == NULL_GROUP else g, p)] = val
         else:
             out[(feat, p)] = val
     return out
 
 
-TOPK_DIRECT = 100_000
-
-
 def top_n(df: DataFrame, score_col: str, id_col: str, n: int, descending: bool = True) -> DataFrame:
     """The n rows with the highest (or lowest) score, ties broken by id, exact.
 
-    Up to ``TOPK_DIRECT`` rows: an ordered limit (a partial top-n per task,
-    then one merge of at most tasks × n rows). Beyond that the cut-off is
-    found from distinct-score counts ranked by ``cumulative``; rows strictly
-    inside are kept by a filter and the boundary tie group is ranked by id
-    the same bucketed way — no global sort into one partition.
+    One way for every n: the cut-off comes from distinct-score counts ranked by
+    ``cumulative``; rows inside it are kept by a filter, and the boundary group
+    (equal scores, or the null scores, which come last) is ranked by id in the
+    id's own type with ``dense_codes``. No sort into one partition. Ids are
+    unique; rows that repeat a boundary id stay or go together.
     """
     if n <= 0:
         return df.limit(0)
-    order = [F.desc(score_col) if descending else F.asc(score_col), F.asc(id_col)]
-    if n <= TOPK_DIRECT:
-        return df.orderBy(*order).limit(n)
     key = (-F.col(score_col)) if descending else F.col(score_col)
-    counts = df.groupBy(key.alias("value")).agg(F.count("*").alias("n")).withColumn("g", F.lit(0))
+    scored = df.filter(key.isNotNull())
+    counts = scored.groupBy(key.alias("value")).agg(F.count("*").alias("n")).withColumn("g", F.lit(0))
     cum = cumulative(counts, ["g"], "value", ["n"])
     cut = cum.filter((F.col("prev_n") < n) & (F.col("cum_n") >= n)).select("value", "prev_n").collect()
-    if not cut:  # fewer than n rows in total
-        return df
-    t, above = cut[0]["value"], cut[0]["prev_n"]
-    inside = df.filter(key < F.lit(t))
-    ties = df.filter(key == F.lit(t))
-    ids = ties.select(F.col(id_col).cast("double").alias("value"), F.lit(1).alias("n"), F.lit(0).alias("g"))
-    ranked = cumulative(ids, ["g"], "value", ["n"]).filter(F.col("prev_n") < n - above)
-    keep = ties.join(ranked.select(F.col("value").alias("__id")), F.col(id_col).cast("double") == F.col("__id"),
-                     "left_semi")
-    return inside.unionByName(keep)
+    if cut:
+        inside, ties = scored.filter(key < F.lit(cut[0]["value"])), scored.filter(key == F.lit(cut[0]["value"]))
+        need = n - cut[0]["prev_n"]
+    else:
+        inside, ties, need = scored, df.filter(key.isNull()), n - scored.count()
+    if need <= 0:
+        return inside
+    codes = dense_codes(ties.select(F.lit(0).alias("g"), F.col(id_col).alias("__id")).distinct(), "g", "__id")
+    chosen = codes.filter(F.col("code") < need).select("__id")
+    return inside.unionByName(ties.join(chosen, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi"))
 
 
 def dense_codes(distinct: DataFrame, part_col: str, value_col: str, n_buckets: int = 256,
@@ -187,7 +189,8 @@ def dense_codes(distinct: DataFrame, part_col: str, value_col: str, n_buckets: i
     n = distinct.count()
     take = n_buckets * 20
     frac = min(1.0, 2.0 * take / max(n, 1))
-    sample = sorted({r[0] for r in distinct.select(value_col).sample(False, frac, seed).limit(take).collect()})
+    sample = sorted({r[0] for r in distinct.select(value_col).where(F.col(value_col).isNotNull())
+                     .sample(False, frac, seed).limit(take).collect()})
     step = max(1, len(sample) // n_buckets)
     cuts = sample[step::step][: n_buckets - 1]
     tagged = distinct.withColumn("__bucket", _count_below(cuts, F.col(value_col))) \

@@ -101,7 +101,7 @@ def fill_constant(df: DataFrame, cols, value=0) -> DataFrame:
 def fit_median(df: DataFrame, cols) -> dict:
     """Exact medians (linear interpolation), distributed."""
     q = exact_quantiles(df, cols, [0.5])
-    return {c: q[(c, 0.5)] for c in cols}
+    return {c: q[(c, 0.5)] for c in cols if (c, 0.5) in q}     # an all-null column has none
 
 
 def apply_fill(df: DataFrame, values: dict) -> DataFrame:

@@ -174,8 +174,8 @@ def auc_rank_sum(scored: DataFrame, label: str = "label", p: str = "p", by: str
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
     cum = cumulative(counts, ["g"], "value", ["pos", "neg"])
     out = cum.groupBy("g").agg(
-        (F.sum(F.col("pos") * (F.col("prev_neg") + F.col("neg") / 2.0)) /
-         (F.max("tot_pos") * F.max("tot_neg"))).alias("auc"))
+        F.try_divide(F.sum(F.col("pos") * (F.col("prev_neg") + F.col("neg") / 2.0)),
+                     F.max("tot_pos") * F.max("tot_neg")).alias("auc"))      # null with one class only
     return out.withColumnRenamed("g", by) if by else out.select("auc")
 
 

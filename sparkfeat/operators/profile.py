@@ -32,7 +32,7 @@ def describe_numeric(df: DataFrame, cols) -> DataFrame:
                  F.max(c).cast("double").alias(f"max__{c}")]
     base = _stack(df.agg(*aggs), cols, ["count", "mean", "std", "min", "max"])
     q = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
-    qrows = [(c, q[(c, 0.25)], q[(c, 0.5)], q[(c, 0.75)]) for c in cols]
+    qrows = [(c, *(q.get((c, p)) for p in (0.25, 0.5, 0.75))) for c in cols]
     qdf = df.sparkSession.createDataFrame(qrows, "feature string, q25 double, q50 double, q75 double")
     return base.join(F.broadcast(qdf), "feature")
 
@@ -43,10 +43,12 @@ def describe_categorical(df: DataFrame, cols) -> DataFrame:
     long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
         [], list(cols), "feature", "value").filter(F.col("value").isNotNull())
     counts = long.groupBy("feature", "value").agg(F.count("*").alias("n"))
-    return counts.groupBy("feature").agg(
+    found = counts.groupBy("feature").agg(
         F.sum("n").alias("count"), F.count("*").alias("unique"),
         F.min(F.struct((-F.col("n")).alias("neg"), F.col("value").alias("v"))).alias("b")
     ).select("feature", "count", "unique", F.col("b.v").alias("top"), (-F.col("b.neg")).alias("freq"))
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "feature string")   # all-null columns stay, with count 0
+    return names.join(found, "feature", "left").fillna(0, subset=["count", "unique"])
 
 
 # ------------------------------------------------------------------ AGG-3
@@ -90,7 +92,7 @@ def outlier_report(df: DataFrame, cols, label: str, ks=(2.0, 3.0)) -> DataFrame:
     aggs = [F.avg(label).alias("base_rate")]
     for c in cols:
         m, s = mom[f"m_{c}"], mom[f"s_{c}"]
-        z = (F.col(c) - F.lit(m)) / F.lit(s)
+        z = F.try_divide(F.col(c) - F.lit(m).cast("double"), F.lit(s).cast("double"))   # null on a constant column
         for k in ks:
             aggs.append(F.count_if(F.abs(z) > k).alias(f"out{int(k)}__{c}"))
         hi = z > ks[0]
@@ -128,13 +130,13 @@ def ks_two_sample(df: DataFrame, cols, side_col: str, terms: int = 100) -> DataF
         F.count_if(~F.col(side_col)).alias("na"), F.count_if(F.col(side_col)).alias("nb"))
     cum = cumulative(counts, ["feature"], "value", ["na", "nb"])
     d = cum.groupBy("feature").agg(
-        F.max(F.abs(F.col("cum_na") / F.col("tot_na") - F.col("cum_nb") / F.col("tot_nb"))).alias("d"),
+        F.max(F.abs(F.try_divide("cum_na", "tot_na") - F.try_divide("cum_nb", "tot_nb"))).alias("d"),
         F.max("tot_na").alias("n_a"), F.max("tot_nb").alias("n_b"))
     lam = F.sqrt(F.col("n_a") * F.col("n_b") / (F.col("n_a") + F.col("n_b"))) * F.col("d")
     js = F.sequence(F.lit(1), F.lit(terms))
     series = F.aggregate(js, F.lit(0.0), lambda acc, j: acc + F.when(j % 2 == 1, 1.0).otherwise(-1.0)
                          * F.exp(F.lit(-2.0) * j * j * lam * lam))
-    p = F.when(lam < 0.2, F.lit(1.0)).otherwise(F.least(F.greatest(F.lit(2.0) * series, F.lit(0.0)), F.lit(1.0)))
+    p = F.when(F.col("d").isNull(), F.lit(None)).when(lam < 0.2, F.lit(1.0)).otherwise(F.least(F.greatest(F.lit(2.0) * series, F.lit(0.0)), F.lit(1.0)))
     return d.select("feature", "n_a", "n_b", "d", p.alias("p_value"))
 
 
@@ -159,13 +161,14 @@ def histogram(df: DataFrame, cols, by, bins: int = 30) -> DataFrame:
 def five_number(df: DataFrame, cols, by: str) -> DataFrame:
     """min, quartiles, max and 1.5·IQR fences per column and group."""
     q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], by=by)
-    groups = sorted({g for (_, g, _) in q})
+    groups = sorted({g for (_, g, _) in q}, key=lambda g: (g is not None, g))
     rows = [(c, g, q[(c, g, 0.25)], q[(c, g, 0.5)], q[(c, g, 0.75)]) for c in cols for g in groups
             if (c, g, 0.25) in q]
     qdf = df.sparkSession.createDataFrame(rows, f"feature string, grp string, q25 double, q50 double, q75 double")
     mm = unpivot_numeric(df, [by], cols).groupBy("feature", F.col(by).cast("string").alias("grp")).agg(
         F.min("value").alias("min"), F.max("value").alias("max"))
-    out = mm.join(F.broadcast(qdf), ["feature", "grp"])
+    qdf = qdf.withColumnsRenamed({"feature": "__f", "grp": "__g"})
+    out = mm.join(F.broadcast(qdf), (F.col("feature") == F.col("__f")) & F.col("grp").eqNullSafe(F.col("__g"))).drop("__f", "__g")
     iqr = F.col("q75") - F.col("q25")
     return out.withColumns({"lower_fence": F.col("q25") - F.lit(1.5) * iqr,
                             "upper_fence": F.col("q75") + F.lit(1.5) * iqr})
@@ -230,10 +233,10 @@ def density_grid(hist: DataFrame, points: int = 31) -> DataFrame:
 
     def dens(i):
         x = F.col("lo") + i * step
-        return F.struct(i.alias("point"), x.alias("x"), (F.aggregate(
+        return F.struct(i.alias("point"), x.alias("x"), F.try_divide(F.aggregate(
             "hb", F.lit(0.0),
-            lambda acc, b: acc + b["n"] * F.exp(F.lit(-0.5) * F.pow((x - centre(b)) / F.col("__h"), 2)))
-            / (F.col("__n") * F.col("__h") * F.lit(math.sqrt(2 * math.pi)))).alias("density"))
+            lambda acc, b: acc + b["n"] * F.exp(F.lit(-0.5) * F.pow(F.try_divide(x - centre(b), F.col("__h")), 2))),
+            F.col("__n") * F.col("__h") * F.lit(math.sqrt(2 * math.pi))).alias("density"))
 
     return per.select("feature", "grp", F.explode(F.transform(grid, dens)).alias("d")).select(
         "feature", "grp", "d.point", "d.x", "d.density")

@@ -16,8 +16,11 @@ from sparkfeat.functions.ordered import top_n
 
 def lookup_with_default(df: DataFrame, table: DataFrame, key: str, table_key: str, value: str,
                         default, id_col: str, out: str | None = None) -> DataFrame:
-    """JOI-1: category → value with a default for unknown / missing keys."""
-    st = fit_state(table.select(F.col(table_key).alias("__k"), F.col(value).alias("__v")))
+    """JOI-1: category → value with a default for unknown / missing keys.
+
+    A key that stands more than once in ``table`` has its smallest value.
+    """
+    st = fit_state(table.groupBy(F.col(table_key).alias("__k")).agg(F.min(value).alias("__v")))
     j = lookup_join(df, st, [(key, "__k")], salt_col=id_col)
     return j.withColumn(out or value, F.coalesce(F.col("__v"), F.lit(default))).drop("__v")
 

@@ -55,9 +55,9 @@ def split_tokens(c, sep: str = "_") -> Column:
 
 
 def word_tokens(c) -> Column:
-    """ASCII letter/digit runs of length ≥ 2, lower-cased (document text)."""
+    """Runs of two or more letters or digits of any script, lower-cased (document text)."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.transform(F.regexp_extract_all(col, F.lit("[A-Za-z0-9]{2,}"), 0), lambda t: F.lower(t))
+    return F.transform(F.regexp_extract_all(col, F.lit(r"[\p{L}\p{N}]{2,}"), 0), lambda t: F.lower(t))
 
 
 # ------------------------------------------------------------------ TXT-7

@@ -124,7 +124,7 @@ def tfidf_docs(spark, sf):
 register("tfidf_docs", _tfidf_sql(
     "docs AS (SELECT doc_id, 'text' AS feature, text FROM documents)", 1000, id_col="doc_id",
     n_sql="SELECT count(*) AS n FROM documents",
-    tok_expr="lower(unnest(regexp_extract_all(text, '[A-Za-z0-9]{2,}')))",
+    tok_expr=r"lower(unnest(regexp_extract_all(text, '[\p{L}\p{N}]{2,}')))",
     keep_feature=False))(tfidf_docs)
 
 

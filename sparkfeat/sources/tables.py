@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -16,10 +16,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """SRC-1: CSV with header and a declared schema (no inference pass)."""
-    return (spark.read.schema(schema).option("header", True)
-            .option("mode", "PERMISSIVE").csv(path))
+def read_csv(spark: SparkSession, path: str, schema: StructType, corrupt_column: str | None = None) -> DataFrame:
+    """SRC-1: CSV with header and a declared schema (no inference pass).
+
+    A row that does not fit the schema stops the read, or, with
+    ``corrupt_column``, is kept there as text; it never turns to nulls unseen.
+    """
+    reader = spark.read.option("header", True)
+    if corrupt_column is None:
+        return reader.schema(schema).option("mode", "FAILFAST").csv(path)
+    return (reader.schema(StructType([*schema.fields, StructField(corrupt_column, StringType())]))
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt_column).csv(path))
 
 
 def read_union_distinct(*frames: DataFrame) -> DataFrame:

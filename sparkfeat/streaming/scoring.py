@@ -44,7 +44,7 @@ class EventScorer:
     def transform(self, events: DataFrame) -> DataFrame:
         st = self.state.df
         j = events.join(F.broadcast(st), events.event_type == st["__t"], "left").drop("__t")
-        z = (F.col("value") - F.lit(self.mean)) / F.lit(self.std)
+        z = F.try_divide(F.col("value") - F.lit(self.mean), F.lit(self.std))
         return j.select("event_id", "event_type", "value",
                         F.coalesce(F.col("type_mean"), F.lit(self.mean)).alias("type_mean"),
                         z.alias("value_z"), (z > 2.0).alias("is_high"))

@@ -181,11 +181,8 @@ def test_empty_test_side(spark, edge):
     assert model.transform(edge.filter("id < 0"), "id").count() == 0
 
 
-@pytest.mark.parametrize("direct", [True, False])
-def test_top_n_exact_with_ties(spark, monkeypatch, direct):
+def test_top_n_exact_with_ties(spark):
     import sparkfeat.functions.ordered as O
-    if not direct:
-        monkeypatch.setattr(O, "TOPK_DIRECT", 0)
     rows = [(i, float(i % 7 == 0) + (i % 3)) for i in range(300)]  # many ties
     df = spark.createDataFrame(rows, "id long, s double")
     got = O.top_n(df, "s", "id", 50).orderBy("id").toPandas()
@@ -293,13 +290,9 @@ def test_combos_refuse_label(spark):
     assert list(T.combos(["a", "b", "c"], 2)) == ["a-b", "a-c", "b-c"]
 
 
-@pytest.mark.parametrize("direct", [True, False])
-def test_sample_n_is_hash_order(spark, monkeypatch, direct):
+def test_sample_n_is_hash_order(spark):
     import hashlib
-    import sparkfeat.functions.ordered as O
     from sparkfeat.operators import sets as S
-    if not direct:
-        monkeypatch.setattr(O, "TOPK_DIRECT", 0)
     df = spark.range(0, 300).select("id")
     got = sorted(r.id for r in S.sample_n(df, "id", 40, seed=7).collect())
 
@@ -307,3 +300,61 @@ def test_sample_n_is_hash_order(spark, monkeypatch, direct):
         return int(hashlib.md5(f"7|sample|{i}".encode()).hexdigest()[:8], 16)
     want = sorted(sorted(range(300), key=lambda i: (h(i), i))[:40])
     assert got == want
+
+
+def test_folds_keep_rows_with_null_labels_and_sources(spark):
+    from sparkfeat.operators.folds import per_source_fold, stratified_fold
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else i % 2, None if i % 3 == 0 else "s") for i in range(100)],
+                               "id long, label int, source string")
+    got = stratified_fold(df, "id", "label", 5).toPandas()
+    assert len(got) == 100 and got.fold.notna().all()
+    assert (got[got.label.isna()].fold.value_counts() == 5).all()        # a null label is a class of its own
+    assert per_source_fold(df, "id", "label", "source", 5).where("fold is not null").count() == 100
+
+
+@pytest.mark.parametrize("n", [1, 5, 8, 11, 20])
+def test_top_n_ids_and_null_scores(spark, n):
+    from sparkfeat.functions.ordered import top_n
+    big = 2 ** 53
+    scores = [None, 1.0, 1.0, 0.5, None, 1.0, 1.0, 1.0, 2.0, None, 1.0]
+    for ids, kind in (([big + i for i in range(11)], "long"), ([f"k{i:02d}" for i in range(11)], "string")):
+        rows = list(zip(ids, scores))
+        got = top_n(spark.createDataFrame(rows, f"id {kind}, s double"), "s", "id", n)
+        want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))[:n]
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_lookup_with_repeated_keys_is_one_value(spark):
+    from sparkfeat.operators.sets import lookup_with_default
+    df = spark.range(20).selectExpr("id", "concat('k', id) as k")
+    for size in (10, 40):        # either way of looking up
+        table = spark.createDataFrame([(f"k{i}", i) for i in range(size)] + [("k1", -5)], "key string, v int")
+        got = lookup_with_default(df, table, "k", "key", "v", -1, "id").toPandas()
+        assert len(got) == 20 and got[got.k == "k1"].v.item() == -5
+
+
+def test_constant_null_and_one_sided_inputs(spark):
+    from pyspark.sql import functions as F
+    from sparkfeat.operators import clean, models, profile
+    df = spark.createDataFrame([(1, 2.0, None, "a", 1), (2, 2.0, None, None, 1), (3, 2.0, None, "a", 1)],
+                               "id int, flat double, none double, grp string, label int")
+    assert clean.fit_median(df, ["flat", "none"]) == {"flat": 2.0}
+    assert {r.feature: r["count"] for r in profile.describe_numeric(df, ["flat", "none"]).collect()} == {"flat": 3, "none": 0}
+    text = df.select(F.lit(None).cast("string").alias("x"), "grp")
+    assert {r.feature: r["count"] for r in profile.describe_categorical(text, ["x", "grp"]).collect()} == {"x": 0, "grp": 2}
+    assert profile.outlier_report(df, ["flat", "none"], "label").count() > 0
+    assert {r.grp for r in profile.five_number(df, ["flat"], "grp").collect()} == {"a", None}
+    one_side = profile.ks_two_sample(df.withColumn("side", F.lit(True)), ["flat"], "side").first()
+    assert one_side.d is None and one_side.p_value is None
+    assert models.auc_rank_sum(df.withColumn("p", F.col("flat"))).first().auc is None
+
+
+def test_corrupt_csv_rows_are_not_lost(spark, tmp_path):
+    from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+    from sparkfeat.sources.tables import read_csv
+    (tmp_path / "t.csv").write_text("a,b\n1,x\nbad,y\n")
+    schema = StructType([StructField("a", IntegerType()), StructField("b", StringType())])
+    with pytest.raises(Exception):
+        read_csv(spark, str(tmp_path / "t.csv"), schema).collect()
+    kept = read_csv(spark, str(tmp_path / "t.csv"), schema, corrupt_column="raw").collect()
+    assert [r.raw for r in kept] == [None, "bad,y"]
