@@ -44,8 +44,8 @@ from sparkfeat.llm.common import (U64, RangeHash, byte_blocks, drop_materialized
                                   mix64, slices, sliding, table, word_hashes, word_spans)
 
 GRAM = 8
-SHARD_NODES = 1_500_000      # trie nodes of one automaton: bounds a task's memory
-DIGITS = 32                  # most children of a trie node
+SHARD_NODES = 3_000_000      # trie nodes of one automaton: bounds a task's memory
+DIGITS = 64                  # most children of a trie node
 BLOCK_CHARS = 12_000_000     # text of one bucket that is scanned at once
 BUCKET_WINDOWS = 2_000_000   # windows of a bucket of documents on average
 
