@@ -9,7 +9,10 @@ Numbers and addresses go through a keyed permutation of all numbers of their for
 so they cannot collide with each other. E-mails and names are drawn by a keyed hash.
 All surrogates of the corpus are then checked: the distinct entities (never the texts)
 are grouped by surrogate, and those that share one, or whose surrogate is itself an
-entity of the corpus, are drawn again until none is left.
+entity of the corpus, are drawn again until none is left. Redrawn names and addresses
+grow longer, so there is always room. A range of numbers that the corpus fills by more
+than half (all of 192.168.0.0/16, say) keeps its permutation: it stays collision-free,
+but there a surrogate may be another entity's number.
 """
 
 from __future__ import annotations
@@ -119,47 +122,73 @@ def canonical(kind: str, mention: str) -> str:
     return mention
 
 
+PRIVATE = [ipaddress.IPv4Network(n) for n in ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8")]
+
+
+def _address(entity: str):
+    """(number, its private network or None); None for octets written with leading zeros."""
+    try:
+        address = ipaddress.IPv4Address(entity)
+    except ValueError:
+        return None
+    return int(address), next((n for n in PRIVATE if address in n), None)
+
+
+def _fixed_digits(entity: str) -> tuple[str, str]:
+    """What stays of a number (the plus sign and country code) and the digits that are permuted."""
+    digits = entity.lstrip("+")
+    fixed = len(digits) - 10 if entity.startswith("+") and len(digits) > 10 else 0
+    return ("+" if entity.startswith("+") else "") + digits[:fixed], digits[fixed:]
+
+
+def space(kind: str, entity: str) -> tuple[str | None, float | None]:
+    """Name and size of the range of numbers that holds an entity and its surrogates; None where redraws grow."""
+    if kind == "ipv4" and (found := _address(entity)):
+        net = found[1]
+        return (str(net), float(net.num_addresses)) if net else ("public", float((1 << 32) - sum(n.num_addresses for n in PRIVATE)))
+    if kind == "card":
+        return str(len(entity)), 10.0 ** len(entity)
+    if kind in ("ssn", "phone"):
+        stays, rest = _fixed_digits(entity)
+        return f"{stays}:{len(rest)}", 10.0 ** len(rest)
+    return None, None
+
+
 def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
     """Canonical surrogate of a canonical entity; ``attempt`` > 0 draws again."""
     what = (kind, attempt) if attempt else (kind,)
     if kind == "ipv4":
-        try:
-            address = int(ipaddress.IPv4Address(entity))
-        except ValueError:                       # octets written with leading zeros
+        found = _address(entity)
+        if found is None:
             return ".".join(str(_draw(key, *what, entity, k) % 223 + 1) for k in range(4))
-        for net in ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8"):
-            block = ipaddress.IPv4Network(net)
-            if ipaddress.IPv4Address(address) in block:          # private stays private
-                base = int(block.network_address)
-                return str(ipaddress.IPv4Address(base + permute(key, address - base, block.num_addresses, *what, net)))
-        private = lambda a: any(ipaddress.IPv4Address(a) in ipaddress.IPv4Network(n) for n in ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8"))
-        address = permute(key, address, 1 << 32, *what)
-        while private(address):
+        address, net = found
+        if net:                                                  # private stays private
+            base = int(net.network_address)
+            return str(ipaddress.IPv4Address(base + permute(key, address - base, net.num_addresses, *what, str(net))))
+        while True:
             address = permute(key, address, 1 << 32, *what)
-        return str(ipaddress.IPv4Address(address))
+            if not any(ipaddress.IPv4Address(address) in n for n in PRIVATE):
+                return str(ipaddress.IPv4Address(address))
     if kind == "card":
         body = entity[:-1]
         shift = (int(entity[-1]) - _luhn(body)) % 10             # a valid number stays valid, an invalid one invalid
         new = str(permute(key, int(body), 10 ** len(body), *what, len(body))).zfill(len(body))
         return new + str((_luhn(new) + shift) % 10)
     if kind in ("ssn", "phone"):
-        plus = entity.startswith("+")
-        digits = entity.lstrip("+")
-        fixed = len(digits) - 10 if plus and len(digits) > 10 else 0       # the country code stays
-        rest = digits[fixed:]
-        new = str(permute(key, int(rest), 10 ** len(rest), *what, plus, digits[:fixed], len(rest))).zfill(len(rest))
-        return ("+" if plus else "") + digits[:fixed] + new
+        stays, rest = _fixed_digits(entity)                      # the country code stays
+        new = str(permute(key, int(rest), 10 ** len(rest), *what, stays.startswith("+"), stays.lstrip("+"), len(rest))).zfill(len(rest))
+        return stays + new
     if kind == "email":
         local, _, domain = entity.partition("@")
         host, _, tld = domain.rpartition(".")
-        # one surrogate for a domain wherever it stands, whatever the attempt
-        return _like(local, _numbers(key, *what, entity)) + "@" + _like(host, _numbers(key, "domain", domain)) + "." + tld
+        # one surrogate for a domain wherever it stands, whatever the attempt; a crowded one gets longer names
+        return _like(local + "a" * max(0, attempt - 2), _numbers(key, *what, entity)) + "@" + _like(host, _numbers(key, "domain", domain)) + "." + tld
     gender, _, name = entity.partition(" ")
     parts = re.split(r"[ \-]", name)
     marks = re.findall(r"[ \-]", name)
     script = "cyrillic" if re.search("[Ѐ-ӿ]", name) else "latin"
     last = ""
-    while len(last) < 4:
+    while len(last) < 4 + 3 * attempt:                           # every redraw has 16 times the room
         last += SYLLABLES[script][_draw(key, *what, entity, "family", len(last)) % 16]
     last += SYLLABLES[script][_draw(key, *what, entity, "end") % 16] + FAMILY_END[script, gender]
     first = [GIVEN[script, gender][_draw(key, *what, entity, k) % len(GIVEN[script, gender])].lower() for k in range(len(parts) - 1)]
@@ -197,9 +226,12 @@ def _entities_of(batches):
 def _surrogates_of(key):
     def run(batches):
         for batch in slices(batches):
-            new = [surrogate(key, k, e, a) for k, e, a in zip(*(batch.column(c).to_pylist() for c in ("kind", "entity", "attempt")))]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("kind", "entity", "attempt")] + [pa.array(new, pa.string())],
-                                             names=["kind", "entity", "attempt", "surrogate"])
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("kind", "entity", "attempt"))))
+            names, rooms = [list(x) for x in zip(*(space(k, e) for k, e, _ in rows))] or ([], [])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in ("kind", "entity", "attempt")]
+                + [pa.array([surrogate(key, *row) for row in rows], pa.string()), pa.array(names, pa.string()), pa.array(rooms, pa.float64())],
+                names=["kind", "entity", "attempt", "surrogate", "space", "room"])
     return run
 
 
@@ -207,22 +239,32 @@ def draw_surrogates(entities: DataFrame, key: bytes) -> DataFrame:
     """(kind, entity, attempt, surrogate) without collisions, for distinct (kind, entity).
 
     Of the entities that share a surrogate the smallest keeps it; one whose surrogate
-    is an entity of the corpus, or is itself, draws again. Every round writes its state.
+    is an entity of the corpus, or is itself, draws again. Entities of a range that the
+    corpus fills by more than half never draw again (their permutation has no collisions).
+    Every round writes its state.
     """
-    schema = "kind string, entity string, attempt int, surrogate string"
+    schema = "kind string, entity string, attempt int, surrogate string, space string, room double"
+    cols = ["kind", "entity", "attempt", "surrogate", "space", "room"]
     state = materialize(entities.select("kind", "entity", F.lit(0).alias("attempt")).mapInArrow(_surrogates_of(key), schema), "surrogates")
+    dense = materialize(state.where("room is not null").groupBy("kind", "space").agg(F.count("*").alias("n"), F.max("room").alias("room"))
+                        .where("n > room / 2").select("kind", "space", F.lit(True).alias("dense")), "dense")
+    none_dense = dense.isEmpty()
     while True:
-        shared = state.groupBy("kind", "surrogate").agg(F.min("entity").alias("keeper"), F.count("*").alias("n")).where("n > 1")
+        marked = state.withColumn("dense", F.lit(False)) if none_dense else (
+            state.join(dense, ["kind", "space"], "left").withColumn("dense", F.coalesce("dense", F.lit(False))))
+        shared = (marked.groupBy("kind", "surrogate").agg(F.min(F.struct(~F.col("dense"), "entity"))["entity"].alias("keeper"), F.count("*").alias("n"))
+                  .where("n > 1"))
         real = state.select("kind", F.col("entity").alias("surrogate")).withColumn("real", F.lit(True))
-        judged = (state.join(shared.select("kind", "surrogate", "keeper"), ["kind", "surrogate"], "left")
+        judged = (marked.join(shared.select("kind", "surrogate", "keeper"), ["kind", "surrogate"], "left")
                   .join(real, ["kind", "surrogate"], "left")
-                  .withColumn("again", F.coalesce("real", F.lit(False)) | F.coalesce(F.col("entity") != F.col("keeper"), F.lit(False))))
+                  .withColumn("again", ~F.col("dense") & (F.coalesce("real", F.lit(False)) | F.coalesce(F.col("entity") != F.col("keeper"), F.lit(False)))))
         losers = materialize(judged.where("again").select("kind", "entity", (F.col("attempt") + 1).alias("attempt")), "redraw")
         if losers.isEmpty():
             drop_materialized(losers)
-            return state
+            drop_materialized(dense)
+            return state.select("kind", "entity", "attempt", "surrogate")
         redrawn = losers.mapInArrow(_surrogates_of(key), schema)
-        kept = state.join(losers.select("kind", "entity"), ["kind", "entity"], "left_anti").select("kind", "entity", "attempt", "surrogate")
+        kept = state.join(losers.select("kind", "entity"), ["kind", "entity"], "left_anti").select(*cols)
         new = materialize(kept.unionAll(redrawn), "surrogates")
         drop_materialized(state)
         drop_materialized(losers)

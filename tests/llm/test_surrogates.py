@@ -73,3 +73,18 @@ def test_collisions_are_redrawn(spark, monkeypatch, limit):
     docs = spark.createDataFrame([(i, f"to {n} and {names[i - 1]}") for i, n in enumerate(names)], "doc_id long, text string")
     got = {r.doc_id: re.findall(r"\S+@\S+", r.text) for r in pseudonymise(docs, "k").collect()}
     assert {got[i][0] for i in got} == set(new) and all(got[i][1] == got[(i - 1) % len(names)][0] for i in got)
+
+
+def test_crowded_names_and_ranges(spark):
+    """More names than short surrogates, a one-letter domain that is full, and a range filled by more than half."""
+    names = [("name", f"m n{i}") for i in range(6000)]
+    mails = [("email", f"{a}@x.org") for a in "abcdefghijklmnopqrstuvwxyz"]
+    hosts = [("ipv4", f"192.168.{i % 256}.{i // 256}") for i in range(36_000)]
+    few = [("ipv4", f"10.1.{i}.7") for i in range(50)]
+    rows = names + mails + hosts + few
+    drawn = draw_surrogates(spark.createDataFrame(rows, "kind string, entity string"), KEY).collect()
+    new = {(r.kind, r.entity): r.surrogate for r in drawn}
+    assert set(new) == set(rows) and len({(r.kind, r.surrogate) for r in drawn}) == len(rows)
+    assert not {("name", new[x]) for x in names} & set(rows) and not {("email", new[x]) for x in mails} & set(rows)
+    assert all(new[x].startswith("192.168.") for x in hosts) and max(r.attempt for r in drawn if r.entity.startswith("192.")) == 0
+    assert all(new[x].startswith("10.") and ("ipv4", new[x]) not in set(rows) for x in few)
