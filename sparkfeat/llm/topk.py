@@ -26,31 +26,46 @@ EXACT = float(2 ** 53)
 
 # ------------------------------------------------------------------ tree
 
-def build_tree(vecs: np.ndarray):
-    """Row order, leaf edges, and boxes of all nodes (parents first) of a KD-tree.
-
-    nodes: parent, first row, past row; leaves are the nodes without children.
-    """
-    order = np.arange(len(vecs))
-    parent, first, past, leaf = [-1], [0], [len(vecs)], []
+def tree_shape(n: int):
+    """Parent, first row, past row, is-leaf of the nodes (parents first): median splits depend on the count alone."""
+    parent, first, past, leaf = [-1], [0], [n], []
     k = 0
     while k < len(first):
         a, b = first[k], past[k]
         leaf.append(b - a <= LEAF)
         if not leaf[k]:
-            own = vecs[order[a:b]]
-            axis = int(np.argmax(own.max(0) - own.min(0)))
             half = (b - a) // 2
-            order[a:b] = order[a:b][np.argpartition(own[:, axis], half, kind="introselect")]
             for lo, hi in ((a, a + half), (a + half, b)):
                 parent.append(k)
                 first.append(lo)
                 past.append(hi)
         k += 1
-    own = vecs[order]
-    low = np.stack([own[a:b].min(0) for a, b in zip(first, past)])
-    high = np.stack([own[a:b].max(0) for a, b in zip(first, past)])
-    return order, np.array(parent), np.array(first), np.array(past), np.array(leaf), low, high
+    return np.array(parent), np.array(first), np.array(past), np.array(leaf)
+
+
+def tree_order(vecs: np.ndarray) -> np.ndarray:
+    """Rows in tree order: every inner node is cut at the median of its widest dimension."""
+    parent, first, past, leaf = tree_shape(len(vecs))
+    order = np.arange(len(vecs))
+    for k in np.flatnonzero(~leaf) if vecs.shape[1] else ():
+        a, b = first[k], past[k]
+        own = vecs[order[a:b]]
+        axis = int(np.argmax(own.max(0) - own.min(0)))
+        order[a:b] = order[a:b][np.argpartition(own[:, axis], (b - a) // 2, kind="introselect")]
+    return order
+
+
+def tree_of(vecs: np.ndarray):
+    """Nodes and tight bounding boxes of rows that are in tree order; inner boxes come from their children."""
+    parent, first, past, leaf = tree_shape(len(vecs))
+    low = np.full((len(parent), vecs.shape[1]), np.inf)
+    high = np.full((len(parent), vecs.shape[1]), -np.inf)
+    for k in np.flatnonzero(leaf):
+        low[k], high[k] = vecs[first[k]:past[k]].min(0), vecs[first[k]:past[k]].max(0)
+    for k in range(len(parent) - 1, 0, -1):
+        np.minimum(low[parent[k]], low[k], out=low[parent[k]])
+        np.maximum(high[parent[k]], high[k], out=high[parent[k]])
+    return parent, first, past, leaf, low, high
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -72,10 +87,9 @@ def _at_most(scores: np.ndarray) -> np.ndarray:
 def search(tree, ids, vecs, query_ids, queries, k, bound):
     """(query row, vec_id, score) of all rows that may be among each query's best k.
 
-    ``bound``: score that each query's kth best is known to reach (-inf: unknown).
+    ``ids`` and ``vecs`` are in tree order. ``bound``: score that each query's kth best is known to reach (-inf: unknown).
     """
-    order, parent, first, past, leaf, low, high = tree
-    ids, vecs = ids[order], vecs[order]
+    parent, first, past, leaf, low, high = tree
     up = _product(np.maximum(queries, 0), high) + _product(np.minimum(queries, 0), low)
     alive = np.ones(up.shape, bool)
     for node in range(1, len(parent)):                     # a subtree goes with its root
@@ -115,17 +129,18 @@ def search(tree, ids, vecs, query_ids, queries, k, bound):
 
 # ------------------------------------------------------------------ packing
 
-def _pack_of(size, names):
-    """Rows sorted by ``names`` to packed pieces of at most ``size`` vectors each."""
+def _pack_of(size, names, trees):
+    """Rows sorted by ``names`` to packed pieces of at most ``size`` vectors each; ``trees``: in tree order."""
     def run(batches):
         key, ids, vecs, piece = None, [], [], 0
 
         def emit():
-            x = np.array(vecs, float).reshape(len(ids), -1)
+            x = np.floor(64 * np.array(vecs, float).reshape(len(ids), -1))
+            order = tree_order(x) if trees else np.arange(len(ids))
             return pa.RecordBatch.from_arrays(
                 [*(pa.array([v], pa.int32()) for v in key), pa.array([piece], pa.int32()), pa.array([len(ids)], pa.int32()),
-                 pa.array([np.array(ids, "<i8").tobytes()], pa.binary()),
-                 pa.array([np.floor(64 * x).astype("<f8").tobytes()], pa.binary())],
+                 pa.array([np.array(ids, "<i8")[order].tobytes()], pa.binary()),
+                 pa.array([x[order].astype("<f8").tobytes()], pa.binary())],
                 names=[*names, "piece", "n", "ids", "vecs"])
 
         for batch in slices(batches):
@@ -162,7 +177,7 @@ def _search_of(k, packed):
                 q, found, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
                 if row["ids"] is not None:
                     ids, vecs = _unpack(row["ids"], row["vecs"])
-                    q, found, score = search(build_tree(vecs), ids, vecs, query_ids, queries, k, bound)
+                    q, found, score = search(tree_of(vecs), ids, vecs, query_ids, queries, k, bound)
                 if packed:
                     count = np.bincount(q, minlength=len(query_ids))
                     new = np.full(len(query_ids), -np.inf)
@@ -183,9 +198,9 @@ def _search_of(k, packed):
 
 # ------------------------------------------------------------------ operator
 
-def _packed(points: DataFrame, names: list[str], size: int) -> DataFrame:
+def _packed(points: DataFrame, names: list[str], size: int, trees: bool = False) -> DataFrame:
     return (points.repartition(*names).sortWithinPartitions(*names, "vec_id")
-            .mapInArrow(_pack_of(size, names), ", ".join(f"{n} int" for n in (*names, "piece", "n")) + ", ids binary, vecs binary"))
+            .mapInArrow(_pack_of(size, names, trees), ", ".join(f"{n} int" for n in (*names, "piece", "n")) + ", ids binary, vecs binary"))
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id",
@@ -208,7 +223,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_
     n, n_query = points.count(), points.where("is_query").count()
     slots, blocks = max(1, -(-n // shard)), max(1, -(-n_query // block))
     slot = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(slots)).cast("int")
-    trees = materialize(_packed(points.withColumn("slot", slot), ["dim", "slot"], 2 * shard), "trees")
+    trees = materialize(_packed(points.withColumn("slot", slot), ["dim", "slot"], 2 * shard, True), "trees")
     asked = points.where("is_query").dropDuplicates(["vec_id"]).withColumn(
         "block", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).cast("int"))
     asked = materialize(_packed(asked, ["dim", "block"], 2 * block).select(

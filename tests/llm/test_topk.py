@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from sparkfeat.llm.topk import build_tree, top_k
+from sparkfeat.llm.topk import top_k, tree_of, tree_order
 
 
 def brute(rows, k):
@@ -52,9 +52,15 @@ def test_hot_vector_is_cut_into_pieces(spark):
     assert run(spark, rows, 20, shard=50) == brute(rows, 20)
 
 
+def test_vectors_without_components(spark):
+    rows = [(i, []) for i in range(300)]
+    assert run(spark, rows, 5, shard=200) == brute(rows, 5)
+
+
 def test_boxes_are_tight():
     x = np.random.default_rng(0).integers(-9, 9, (500, 4)).astype(float)
-    order, parent, first, past, leaf, low, high = build_tree(x)
+    order = tree_order(x)
+    parent, first, past, leaf, low, high = tree_of(x[order])
     assert sorted(order) == list(range(500)) and leaf.sum() >= 8
     for k in range(len(parent)):
         own = x[order[first[k]:past[k]]]
