@@ -241,7 +241,8 @@ def _features_of(batches):
         for lo, hi, buf, offs in byte_blocks(batch.column("text")):
             x = block_features(buf, offs)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("label").slice(lo, hi - lo), pa.array(list(x), pa.list_(pa.float64()))], names=["label", "x"])
+                [batch.column("__id").slice(lo, hi - lo), batch.column("label").slice(lo, hi - lo),
+                 pa.array(list(x), pa.list_(pa.float64()))], names=["__id", "label", "x"])
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -250,7 +251,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
 
     The sample is the smallest seeded hashes of labelled ids, so it does not
     depend on the partitioning. An id labelled both ways counts as label 0;
-    null ids and null labels are left out. Without labels, or with one label
+    null ids and null labels are left out; of documents that share an id one row
+    counts (the smallest features), so the rows stay within ``max_train``. Without labels, or with one label
     only, the model is the base rate.
     """
     ids = (labels.select(F.col(doc_id).cast("long").alias("__id"), F.col(label).cast("int").alias("label"))
@@ -259,8 +261,9 @@ def train_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
            .orderBy(F.xxhash64("__id", F.lit(seed)), "__id").limit(max_train))
     texts = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("text"))
     # At most max_train rows of two numbers: the broadcast size is bounded.
-    rows = (texts.join(F.broadcast(ids), "__id").select("label", "text")
-            .mapInArrow(_features_of, "label int, x array<double>").toPandas())
+    rows = (texts.join(F.broadcast(ids), "__id").select("__id", "label", "text")
+            .mapInArrow(_features_of, "__id long, label int, x array<double>")
+            .groupBy("__id").agg(F.min("label").alias("label"), F.min("x").alias("x")).toPandas())
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), len(FEATURES))
     order = np.lexsort((*x.T, rows["label"].to_numpy(float)))       # sums in one fixed order
     return fit(x[order], rows["label"].to_numpy(float)[order])
