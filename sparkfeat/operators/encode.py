@@ -192,27 +192,78 @@ def encode_all(train: DataFrame, cols, label: str, id_col: str, k: int = 5,
 def test_from_oof(train_encoded: DataFrame, test: DataFrame, cols, enc_names: dict,
                   id_col: str) -> DataFrame:
     """ENC-9: test value = mean of the train OOF values of its category."""
+    # one aggregate for all columns; the global means are the pseudo category "no value"
+    stacked = train_encoded.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value"), F.col(enc_names[c]).alias("e"))
+        for c in cols])).alias("r")).select("r.*")
+    sums = stacked.groupBy("feature", "value").agg(F.sum("e").alias("s"), F.count("e").alias("n"))
+    st = fit_state(sums)
+    total = {r.feature: r.g for r in st.df.groupBy("feature").agg(
+        F.try_divide(F.sum("s"), F.sum("n")).alias("g")).collect()}          # one row per column
+    means = st.df.filter(F.col("value").isNotNull()).select(
+        "feature", "value", F.try_divide("s", "n").alias("__m"))
+    means = fit_state(means) if st.small else State(means, False)
     out = test
     for c in cols:
-        e = enc_names[c]
-        stats = train_encoded.groupBy(F.col(c).cast("string").alias("value")).agg(
-            F.avg(e).alias("__m"))
-        st = fit_state(stats.filter(F.col("value").isNotNull()))
-        g = train_encoded.agg(F.avg(e)).first()[0]
-        out = lookup_join(out, st, [(c, "value")], salt_col=id_col)
-        out = out.withColumn(e, F.coalesce(F.col("__m"), F.lit(g))).drop("__m")
+        sub = State(means.df.filter(F.col("feature") == c).drop("feature"), means.small)
+        out = lookup_join(out, sub, [(c, "value")], salt_col=id_col)
+        out = out.withColumn(enc_names[c], F.coalesce(F.col("__m"), F.lit(total.get(c)))).drop("__m")
     return out
 
 
 # ------------------------------------------------------------------ ENC-10
+NULL_KEY = "\u0000null"   # the category of missing values
+
+
+def _shrunk(n: Column, s: Column, q: Column, m_y: Column, v_y: Column) -> Column:
+    """λ·mean + (1-λ)·overall mean, λ = n·var_y / (n·var_y + var_cat), population variances."""
+    mean_c = F.try_divide(s, n)
+    var_c = F.try_divide(q, n) - mean_c * mean_c
+    lam = v_y * n / (v_y * n + var_c)
+    return F.when((n == 0) | (v_y * n + var_c == 0), m_y).otherwise(lam * mean_c + (F.lit(1.0) - lam) * m_y)
+
+
+@dataclass
+class BayesModel:
+    state: State  # feature, value, enc
+    mean: float
+    cols: tuple
+    suffix: str
+
+    def transform(self, df: DataFrame, id_col: str) -> DataFrame:
+        """Full-data values for rows that were not trained on (unknown category → overall mean)."""
+        out = df
+        for c in self.cols:
+            sub = State(self.state.df.filter(F.col("feature") == c).select(
+                "value", F.col("enc").alias("__enc")), self.state.small)
+            out = out.withColumn("__key", F.coalesce(F.col(c).cast("string"), F.lit(NULL_KEY)))
+            out = lookup_join(out, sub, [("__key", "value")], salt_col=id_col)
+            out = out.withColumn(f"{c}_{self.suffix}", F.coalesce(F.col("__enc"), F.lit(self.mean))).drop("__enc", "__key")
+        return out
+
+
+def fit_empirical_bayes(train: DataFrame, cols, label: str, suffix: str = "eb") -> BayesModel:
+    """ENC-10 for unseen rows: the same shrinkage fitted on all training rows."""
+    long = _long_cats(train, cols, [label]).withColumn("value", F.coalesce(F.col("value"), F.lit(NULL_KEY)))
+    y = F.col(label).cast("double")
+    st = fit_state(long.groupBy("feature", "value").agg(
+        F.count("*").alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("q")))
+    tot = st.df.filter(F.col("feature") == ALL).first()
+    mean = tot.s / tot.n if tot else None
+    var = tot.q / tot.n - mean * mean if tot else None
+    enc = _shrunk(F.col("n"), F.col("s"), F.col("q"), F.lit(mean), F.lit(var))
+    table = st.df.filter(F.col("feature") != ALL).select("feature", "value", enc.alias("enc"))
+    return BayesModel(fit_state(table) if st.small else State(table, False), mean, tuple(cols), suffix)
+
+
 def empirical_bayes(train: DataFrame, cols, label: str, id_col: str, fold_col: str,
                     suffix: str = "eb") -> DataFrame:
-    """ENC-10: cross-fitted encoding with per-category shrinkage
-    λ = n·var_y / (n·var_y + var_cat) (population variances); null is a category.
+    """ENC-10 for training rows: cross-fitted encoding with per-category shrinkage
+    (``_shrunk``); null is a category. No row's value depends on its own fold's labels.
     """
     train = cut_lineage(train)  # read twice (fit, apply): materialise once
     long = _long_cats(train, cols, [label, fold_col]).withColumn(
-        "value", F.coalesce(F.col("value"), F.lit("\u0000null")))
+        "value", F.coalesce(F.col("value"), F.lit(NULL_KEY)))
     y = F.col(label).cast("double")
     stats = long.groupBy("feature", "value", F.col(fold_col).alias("fold")).agg(
         F.count("*").alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("q"))
@@ -233,12 +284,7 @@ def empirical_bayes(train: DataFrame, cols, label: str, id_col: str, fold_col: s
         yvar[f] = (rq / rn - (rs / rn) ** 2) if rn else None
     m_y = _when_chain(F.col("fold"), ymean)
     v_y = _when_chain(F.col("fold"), yvar)
-    n_ = F.col("tot_n") - F.col("n")
-    mean_c = F.try_divide(F.col("tot_s") - F.col("s"), n_)
-    var_c = F.try_divide(F.col("tot_q") - F.col("q"), n_) - mean_c * mean_c
-    lam = v_y * n_ / (v_y * n_ + var_c)
-    enc = F.when((n_ == 0) | (v_y * n_ + var_c == 0), m_y).otherwise(
-        lam * mean_c + (F.lit(1.0) - lam) * m_y)
+    enc = _shrunk(F.col("tot_n") - F.col("n"), F.col("tot_s") - F.col("s"), F.col("tot_q") - F.col("q"), m_y, v_y)
     table = s_df.filter(F.col("feature") != ALL).select("feature", "value", "fold",
                                                          enc.alias("enc"))
     table_st = fit_state(table) if st.small else State(table, False)
@@ -247,7 +293,7 @@ def empirical_bayes(train: DataFrame, cols, label: str, id_col: str, fold_col: s
     for c in cols:
         sub = State(table_st.df.filter(F.col("feature") == c).select(
             "value", "fold", F.col("enc").alias("__enc")), table_st.small)
-        out = out.withColumn("__key", F.coalesce(F.col(c).cast("string"), F.lit("\u0000null")))
+        out = out.withColumn("__key", F.coalesce(F.col(c).cast("string"), F.lit(NULL_KEY)))
         out = lookup_join(out, sub, [("__key", "value"), (fold_col, "fold")], salt_col=id_col)
         out = out.withColumn(f"{c}_{suffix}", F.coalesce(F.col("__enc"), gcol)).drop("__enc", "__key")
     return out

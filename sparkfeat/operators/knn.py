@@ -8,97 +8,129 @@ ties are broken the same way every time. The mean of the k donor values is
 the fill; without any usable donor the training column mean is used.
 
 Scale: work is done once per *distinct* recipient pattern, never per row.
-The donor table must have a proven size bound (it is read with a limit and
-refused beyond it — no silent cap on candidates); recipient patterns are
-spread over tasks with ``mapInPandas`` and joined back to the rows.
+Donors and recipients are dealt into blocks by hash; every pair of blocks is
+one small matrix computation in a task, which passes on k donors per
+recipient at most, and a window per recipient merges them. Any number of
+distinct donor vectors works; nothing goes through the driver but the block
+counts and the column means.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkfeat.functions.lookup import State, fit_state, lookup_join
+from sparkfeat.session import cut_lineage
 
-MAX_DONOR_VECTORS = 50_000
+DONOR_BLOCK = 4096      # distinct donor vectors in a block
+RECIPIENT_BLOCK = 512   # distinct recipient patterns in a block
+
+
+def _value(c: str) -> Column:
+    return F.nullif(F.col(c).cast("double"), F.lit(float("nan")))
+
+
+def nearest(x: np.ndarray, v: np.ndarray, k: int):
+    """(recipient, donor, distance) of each recipient's k first donors by (distance, vector)."""
+    ss, shared = np.zeros((len(x), len(v))), np.zeros((len(x), len(v)))
+    for j in range(x.shape[1]):
+        diff = v[None, :, j] - x[:, None, j]
+        both = ~np.isnan(diff)
+        ss += np.where(both, diff * diff, 0.0)
+        shared += both
+    dist = np.where(shared > 0, np.sqrt(ss * (x.shape[1] / np.maximum(shared, 1))), np.inf)
+    kth = min(k, len(v)) - 1
+    limit = np.partition(dist, kth, axis=1)[:, kth]
+    order = np.lexsort([np.where(np.isnan(c), np.inf, c) for c in v.T[::-1]])
+    place = np.empty(len(v), np.int64)
+    place[order] = np.arange(len(v))
+    i, j = np.nonzero((dist <= limit[:, None]) & np.isfinite(dist))
+    by = np.lexsort((place[j], dist[i, j], i))
+    i, j = i[by], j[by]
+    first = np.arange(len(i)) - np.searchsorted(i, i) < k
+    i, j = i[first], j[first]
+    return i, j, dist[i, j]
+
+
+def _nearest_of(width: int, k: int):
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                ask, give = batch.column("ask")[r].values, batch.column("give")[r].values
+                numbers = lambda a: a.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+                v, n = numbers(give.field("v")), give.field("n").to_numpy(zero_copy_only=False)
+                i, j, dist = nearest(numbers(ask), v, k)
+                target = batch.column("target")[r].as_py()
+                key = np.where(np.isnan(v), np.inf, v)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(i), target), pa.int32()), ask.take(pa.array(i)),
+                     pa.array(dist), pa.array(list(key[j]), pa.list_(pa.float64())),
+                     pa.array(v[j, target]), pa.array(n[j], pa.int64())],
+                    names=["target", "x", "dist", "key", "value", "n"])
+    return run
 
 
 class KnnImputer:
-    def __init__(self, cols, k: int = 5, max_donor_vectors: int = MAX_DONOR_VECTORS):
+    def __init__(self, cols, k: int = 5, donor_block: int = DONOR_BLOCK, recipient_block: int = RECIPIENT_BLOCK):
         self.cols = list(cols)
         self.k = k
-        self.max_donor_vectors = max_donor_vectors
-        self.donors: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.donor_block, self.recipient_block = donor_block, recipient_block
+        self.donors: DataFrame | None = None
         self.means: dict[str, float] = {}
 
+    def _targets(self, x: Column, missing: bool) -> Column:
+        """Positions of the columns that are (not) missing in the array ``x``."""
+        every = F.array(*[F.lit(j) for j in range(len(self.cols))])
+        return F.filter(every, lambda j: F.get(x, j).isNull() == F.lit(missing))
+
     def fit(self, train: DataFrame) -> "KnnImputer":
-        cols = self.cols
-        vec = train.select(*[F.col(c).cast("double").alias(c) for c in cols])
-        row = vec.agg(*[F.avg(c).alias(c) for c in cols]).first()
-        self.means = {c: row[c] for c in cols}
-        # distinct donor vectors with counts, per target column (one aggregate)
-        arr = F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in cols])
-        stacked = vec.select(*cols, F.explode(F.filter(arr, lambda x: x.isNotNull())).alias("__target"))
-        donors = stacked.groupBy("__target", *cols).agg(F.count("*").alias("__n"))
-        st = fit_state(donors, self.max_donor_vectors)
-        if not st.small:
-            raise ValueError(
-                f"KNN donor table exceeds {self.max_donor_vectors} distinct vectors; "
-                "exact neighbour search needs a bounded donor set")
-        pdf = pd.DataFrame.from_records([r.asDict() for r in st.rows],
-                                        columns=["__target", *cols, "__n"])
-        for c in cols:
-            sub = pdf[pdf["__target"] == c]
-            self.donors[c] = (sub[cols].to_numpy(dtype=float), sub["__n"].to_numpy(dtype=np.int64))
+        """Column means and, per target column, the distinct donor vectors with counts (one aggregate)."""
+        self.means = train.agg(*[F.avg(_value(c)).alias(c) for c in self.cols]).first().asDict()
+        vec = train.select(F.array(*[_value(c) for c in self.cols]).alias("v")).groupBy("v").agg(F.count("*").alias("n"))
+        self.donors = cut_lineage(vec.select("v", "n", F.explode(self._targets(F.col("v"), False)).alias("target")))
         return self
 
-    # -- per-pattern neighbour mean (runs inside tasks) --------------------
-    def _impute_patterns(self, it):
-        cols, k = self.cols, self.k
-        donors, means = self.donors, self.means
-        for pdf in it:
-            X = pdf[cols].to_numpy(dtype=float)
-            out = {f"{c}__imp": np.full(len(pdf), np.nan) for c in cols}
-            for j, c in enumerate(cols):
-                D, n = donors.get(c, (np.empty((0, len(cols))), np.empty(0, dtype=np.int64)))
-                for i in np.nonzero(np.isnan(X[:, j]))[0]:
-                    x = X[i]
-                    both = ~np.isnan(D) & ~np.isnan(x)
-                    shared = both.sum(axis=1)
-                    diff = np.where(both, D - x, 0.0)
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        dist = np.sqrt((diff * diff).sum(axis=1) * (len(cols) / shared))
-                    ok = shared > 0
-                    if not ok.any():
-                        out[f"{c}__imp"][i] = means[c]
-                        continue
-                    Dv, nv, dv = D[ok], n[ok], dist[ok]
-                    keys = [np.nan_to_num(Dv[:, t], nan=np.inf) for t in reversed(range(len(cols)))]
-                    order = np.lexsort(keys + [dv])  # distance first, then the vector
-                    take = np.minimum(nv[order], np.maximum(k - (np.cumsum(nv[order]) - nv[order]), 0))
-                    vals = Dv[order, j]
-                    out[f"{c}__imp"][i] = float((take * vals).sum() / take.sum())
-            res = pdf[cols].copy()
-            for name, v in out.items():
-                res[name] = v
-            yield res
+    def _imputed(self, patterns: DataFrame) -> DataFrame:
+        """(x, __imp_0, ...) for the distinct patterns ``x``; null where a column has no usable donor."""
+        wanted = cut_lineage(patterns.select("x", F.explode(self._targets(F.col("x"), True)).alias("target")))
+
+        def blocks(rows: DataFrame, size: int) -> Column:
+            count = {r["target"]: -(-r["count"] // size) for r in rows.groupBy("target").count().collect()}  # ≤ #columns rows
+            pairs = [F.lit(v) for j in range(len(self.cols)) for v in (j, count.get(j, 0))]
+            return F.create_map(*pairs)[F.col("target")]
+
+        n_give, n_ask = blocks(self.donors, self.donor_block), blocks(wanted, self.recipient_block)
+        spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        give = (self.donors.where(n_ask > 0).withColumn("db", F.pmod(F.xxhash64("v"), n_give).cast("int"))
+                .groupBy("target", "db").agg(F.collect_list(F.struct("v", "n")).alias("give"))
+                .select("target", "db", "give", spread(n_ask).alias("rb")))
+        ask = (wanted.where(n_give > 0).withColumn("rb", F.pmod(F.xxhash64("x"), n_ask).cast("int"))
+               .groupBy("target", "rb").agg(F.collect_list("x").alias("ask"))
+               .select("target", "rb", "ask", spread(n_give).alias("db")))
+        near = ask.join(give, ["target", "db", "rb"]).select("target", "ask", "give").mapInArrow(
+            _nearest_of(len(self.cols), self.k),
+            "target int, x array<double>, dist double, key array<double>, value double, n long")
+        before = (Window.partitionBy("target", "x").orderBy("dist", "key")
+                  .rowsBetween(Window.unboundedPreceding, -1))
+        take = F.greatest(F.lit(0), F.least(F.col("n"), F.lit(self.k) - F.coalesce(F.sum("n").over(before), F.lit(0))))
+        filled = (near.withColumn("take", take).groupBy("target", "x")
+                  .agg((F.sum(F.col("take") * F.col("value")) / F.sum("take")).alias("imp")))
+        return filled.groupBy("x").agg(*[F.max(F.when(F.col("target") == j, F.col("imp"))).alias(f"__imp_{j}")
+                                         for j in range(len(self.cols))])
 
     def transform(self, df: DataFrame, id_col: str, suffix: str = "") -> DataFrame:
-        cols = self.cols
-        missing_any = F.lit(False)
-        for c in cols:
-            missing_any = missing_any | F.col(c).isNull()
-        patterns = df.filter(missing_any).select(*[F.col(c).cast("double").alias(c) for c in cols]).distinct()
-        schema = ", ".join([f"{c} double" for c in cols] + [f"{c}__imp double" for c in cols])
-        imputed = patterns.mapInPandas(self._impute_patterns, schema)
-        st = State(imputed, small=False)  # one row per distinct pattern: join, AQE-checked
-        keyed = df.withColumns({f"__k_{c}": F.col(c).cast("double") for c in cols})
-        j = lookup_join(keyed, st, [(f"__k_{c}", c) for c in cols], null_safe=True, salt_col=id_col)
-        out = j.withColumns({f"{c}{suffix}": F.coalesce(F.col(c).cast("double"), F.col(f"{c}__imp"))
-                             for c in cols})
-        return out.drop(*[f"__k_{c}" for c in cols], *[f"{c}__imp" for c in cols])
+        """Every row with its gaps filled (NaN is a gap); a column without any training value stays null."""
+        keyed = df.withColumn("__x", F.array(*[_value(c) for c in self.cols]))
+        gap = F.exists("__x", lambda v: v.isNull())
+        imputed = self._imputed(keyed.where(gap).select(F.col("__x").alias("x")).distinct())
+        # rows without a gap have a null key: they match nothing and meet on no hot key
+        out = keyed.withColumn("__k", F.when(gap, F.col("__x"))).join(
+            imputed.withColumnRenamed("x", "__k"), "__k", "left")
+        out = out.withColumns({f"{c}{suffix}": F.coalesce(_value(c), F.col(f"__imp_{j}"), F.lit(self.means[c]).cast("double"))
+                               for j, c in enumerate(self.cols)})
+        return out.select(*df.columns, *[c for c in out.columns if suffix and c in {f"{x}{suffix}" for x in self.cols}])
 
 
 def orchestrated_fill(train: DataFrame, df: DataFrame, id_col: str, label: str, split: str,

@@ -11,44 +11,64 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml import Estimator, Model, Pipeline
+from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
                                        MultilayerPerceptronClassifier, RandomForestClassifier)
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.param.shared import HasInputCols, HasLabelCol, HasOutputCols
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkfeat.functions.lookup import State, fit_state
+from sparkfeat.operators.ensemble import pivot_scores
 
 
 # ------------------------------------------------------------------ MOD-1..6
-def make_model(kind: str, n_rows: int | None = None, features: str = "features", label: str = "label",
-               weight: str | None = None, **kw):
-    """Spark ML classifier presets mirroring the reference's model families."""
+class PenalisedLogistic(Estimator):
+    """Logistic regression with the penalty 1 / (C·Σw); Σw (rows, if unweighted) is taken from each fit's own rows."""
+
+    def __init__(self, C: float = 1.0, weight: str | None = None, **params):
+        super().__init__()
+        self.C, self.weight, self.params_ = C, weight, params
+
+    def _fit(self, df: DataFrame):
+        total = df.agg(F.sum(F.col(self.weight).cast("double")) if self.weight else F.count("*")).first()[0]
+        m = LogisticRegression(regParam=1.0 / (self.C * float(total or 1.0)), standardization=False, **self.params_)
+        return (m.setWeightCol(self.weight) if self.weight else m).fit(df)
+
+
+def make_model(kind: str, features: str = "features", label: str = "label", weight: str | None = None, **kw):
+    """Spark ML classifier presets mirroring the reference's model families.
+
+    Boosting: ``max_iter`` rounds (100), ``depth``, ``step``, ``subsample`` (rows a round),
+    ``colsample`` (columns a split), ``validation_col`` (early stopping). ``boost_a``,
+    ``boost_b`` and ``boost_c`` are its three set-ups: plain, row and column sampling,
+    deeper with smaller steps. Forest: ``trees`` (100), ``depth``, ``min_leaf``.
+    Logistic: ``C``, ``l1``, ``max_iter``. Network: ``layers``, ``max_iter``.
+    """
     common = {"featuresCol": features, "labelCol": label}
+    setups = {"boost_a": {}, "boost_b": {"subsample": 0.8, "colsample": "0.8", "step": 0.1},
+              "boost_c": {"subsample": 0.8, "depth": 6, "step": 0.05}}
+    if kind in setups:
+        kind, kw = "gbt", setups[kind] | kw
     if kind == "gbt":
         extra = ({"validationIndicatorCol": kw["validation_col"], "validationTol": 0.0}
                  if kw.get("validation_col") else {})
-        m = GBTClassifier(maxIter=kw.get("max_iter", 20), maxDepth=kw.get("depth", 4),
+        m = GBTClassifier(maxIter=kw.get("max_iter", 100), maxDepth=kw.get("depth", 4),
                           stepSize=kw.get("step", 0.2), subsamplingRate=kw.get("subsample", 1.0),
                           featureSubsetStrategy=kw.get("colsample", "all"), seed=42, **extra, **common)
     elif kind == "rf":
-        m = RandomForestClassifier(numTrees=kw.get("trees", 30), maxDepth=kw.get("depth", 6),
+        m = RandomForestClassifier(numTrees=kw.get("trees", 100), maxDepth=kw.get("depth", 6),
                                    minInstancesPerNode=kw.get("min_leaf", 16), seed=42, **common)
     elif kind == "lr":
-        c = kw.get("C", 1.0)
-        n = float(n_rows or 1)
-        m = LogisticRegression(regParam=1.0 / (c * n), elasticNetParam=kw.get("l1", 0.0),
-                               standardization=False, maxIter=kw.get("max_iter", 100), **common)
+        return PenalisedLogistic(kw.get("C", 1.0), weight, elasticNetParam=kw.get("l1", 0.0),
+                                 maxIter=kw.get("max_iter", 100), **common)
     elif kind == "mlp":
-        m = MultilayerPerceptronClassifier(layers=kw["layers"], maxIter=kw.get("max_iter", 100), seed=42,
+        m = MultilayerPerceptronClassifier(layers=kw["layers"], maxIter=kw.get("max_iter", 200), seed=42,
                                            **common)
     elif kind == "hgb":  # histogram boosting ≈ GBT with coarse bins
-        m = GBTClassifier(maxIter=kw.get("max_iter", 20), maxDepth=kw.get("depth", 5), maxBins=32,
+        m = GBTClassifier(maxIter=kw.get("max_iter", 100), maxDepth=kw.get("depth", 5), maxBins=32,
                           minInstancesPerNode=kw.get("min_leaf", 12), stepSize=0.1, seed=42, **common)
     else:
         raise ValueError(kind)
@@ -67,38 +87,40 @@ def p_one(col: str = "probability"):
 
 
 # ------------------------------------------------------------------ MOD-7
-class TargetEncoder(Estimator, HasInputCols, HasOutputCols, HasLabelCol):
-    """Pipeline stage: smoothed category means fitted inside each training fold."""
+class EncodedClassifier(Estimator):
+    """Target encoder and model fitted as one unit.
+
+    The model learns from cross-fitted values (``cv`` hash folds: no row's value depends
+    on its own label); rows to predict get the values fitted on all training rows.
+    """
 
-    def __init__(self, inputCols=None, outputCols=None, labelCol="label", alpha: float = 10.0):
+    def __init__(self, cat_cols, num_cols, classifier, label: str, id_col: str, cv: int = 5, seed: int = 42):
         super().__init__()
-        self._set(inputCols=inputCols, outputCols=outputCols, labelCol=labelCol)
-        self.alpha = alpha
+        self.cat_cols, self.num_cols, self.classifier = list(cat_cols), list(num_cols), classifier
+        self.label, self.id_col, self.cv, self.seed = label, id_col, cv, seed
 
-    def _fit(self, df: DataFrame) -> "TargetEncoderModel":
-        from sparkfeat.operators.encode import fit_smooth
-        sm = fit_smooth(df, self.getInputCols(), self.getLabelCol(), self.alpha, suffix="__te")
-        return TargetEncoderModel(sm, self.getInputCols(), self.getOutputCols())
+    def _fit(self, df: DataFrame) -> "EncodedClassifierModel":
+        from sparkfeat.operators.encode import empirical_bayes, fit_empirical_bayes
+        from sparkfeat.operators.folds import hash_fold
+        folded = hash_fold(df, self.id_col, self.cv, self.seed, "__ef")
+        train = empirical_bayes(folded, self.cat_cols, self.label, self.id_col, "__ef", "te")
+        cols = self.num_cols + [f"{c}_te" for c in self.cat_cols]
+        encoder = fit_empirical_bayes(df, self.cat_cols, self.label, "te")
+        return EncodedClassifierModel(encoder, self.classifier.fit(assemble(train, cols)), cols, self.id_col)
 
 
-class TargetEncoderModel(Model):
-    def __init__(self, smooth_model, inputs, outputs):
+class EncodedClassifierModel(Model):
+    def __init__(self, encoder, model, cols, id_col):
         super().__init__()
-        self.smooth_model, self.inputs, self.outputs = smooth_model, inputs, outputs
+        self.encoder, self.model, self.cols, self.id_col = encoder, model, cols, id_col
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        tmp_id = "__row_key"
-        out = self.smooth_model.transform(df.withColumn(tmp_id, F.xxhash64(*df.columns)), tmp_id)
-        return out.withColumnsRenamed({f"{c}___te": o for c, o in zip(self.inputs, self.outputs)}).drop(tmp_id)
+        return self.model.transform(assemble(self.encoder.transform(df, self.id_col), self.cols))
 
 
-def encoded_model(cat_cols, num_cols, kind: str, n_rows: int, label: str = "label", **kw) -> Pipeline:
-    """MOD-7: encoder + assembler + model, refitted as one unit in every fold."""
-    enc_out = [f"{c}_te" for c in cat_cols]
-    return Pipeline(stages=[TargetEncoder(list(cat_cols), enc_out, label),
-                            VectorAssembler(inputCols=list(num_cols) + enc_out, outputCol="features",
-                                            handleInvalid="keep"),
-                            make_model(kind, n_rows, label=label, **kw)])
+def encoded_model(cat_cols, num_cols, kind: str, label: str = "label", id_col: str = "doc_id", **kw) -> EncodedClassifier:
+    """MOD-7: encoder + model, refitted as one unit in every fold."""
+    return EncodedClassifier(cat_cols, num_cols, make_model(kind, label=label, **kw), label, id_col)
 
 
 # ------------------------------------------------------------------ ENS-3
@@ -127,29 +149,27 @@ def oof_predictions(train: DataFrame, test: DataFrame | None, estimators: dict,
 def blend(oof: DataFrame, test: DataFrame | None, models, id_col: str, C: float = 0.01):
     """Logistic regression on the OOF probability columns; returns
     (coefficients DataFrame, blended test DataFrame or None)."""
-    wide = oof.groupBy(id_col, "label").pivot("model", list(models)).agg(F.first("p"))
-    n = wide.count()
-    meta = make_model("lr", n, C=C).fit(assemble(wide, list(models)))
+    cols = [f"p_{m}" for m in models]
+    wide = pivot_scores(oof, models, id_col)
+    meta = make_model("lr", C=C).fit(assemble(wide, cols))
     coefs = oof.sparkSession.createDataFrame(
         [(m, float(c)) for m, c in zip(models, meta.coefficients.toArray())] + [("intercept", float(meta.intercept))],
         "term string, coef double")
     out = None
     if test is not None:
-        tw = test.groupBy(id_col).pivot("model", list(models)).agg(F.first("p"))
-        out = meta.transform(assemble(tw, list(models))).select(id_col, p_one().alias("p"))
+        out = meta.transform(assemble(pivot_scores(test, models, id_col, keep=()), cols)).select(id_col, p_one().alias("p"))
     return coefs, out
 
 
 # ------------------------------------------------------------------ ENS-2
 def weighted_vote(train: DataFrame, test: DataFrame, kinds, feature_cols, id_col: str, label: str,
-                  weight: str) -> DataFrame:
-    """Each model fitted with sample weights, then probabilities averaged."""
+                  weight: str, params: dict | None = None) -> DataFrame:
+    """Each model (kind: its ``params``) fitted with sample weights, then probabilities averaged."""
     tr = assemble(train, feature_cols)
     te = assemble(test, feature_cols)
-    n = tr.count()
     parts = []
     for kind in kinds:
-        m = make_model(kind, n, label=label, weight=weight).fit(tr)
+        m = make_model(kind, label=label, weight=weight, **(params or {}).get(kind, {})).fit(tr)
         parts.append(m.transform(te).select(id_col, F.lit(kind).alias("model"), p_one().alias("p")))
     return reduce(DataFrame.unionByName, parts).groupBy(id_col).agg(F.avg("p").alias("p"))
 
@@ -179,13 +199,13 @@ def auc_rank_sum(scored: DataFrame, label: str = "label", p: str = "p", by: str
     return out.withColumnRenamed("g", by) if by else out.select("auc")
 
 
-def adversarial(train: DataFrame, test: DataFrame, feature_cols, id_col: str, k: int = 3) -> DataFrame:
+def adversarial(train: DataFrame, test: DataFrame, feature_cols, id_col: str, k: int = 5, max_iter: int = 100) -> DataFrame:
     """Can a classifier tell the two tables apart? OOF AUC near 0.5 = no drift."""
     from sparkfeat.operators.folds import hash_fold
     both = train.select(id_col, *feature_cols, F.lit(0).alias("is_test_label")).unionByName(
         test.select(id_col, *feature_cols, F.lit(1).alias("is_test_label")))
     both = hash_fold(assemble(both, feature_cols), id_col, k, 7)
-    est = make_model("gbt", label="is_test_label", max_iter=10, depth=3)
+    est = make_model("gbt", label="is_test_label", max_iter=max_iter, depth=3)
     oof, _ = oof_predictions(both, None, {"gbt": est}, id_col, "is_test_label", "fold", k)
     return oof
 
@@ -196,13 +216,15 @@ def auc_builtin(oof: DataFrame) -> float:
 
 
 # ------------------------------------------------------------------ CLU-1..3
-def kmeans_features(df: DataFrame, cols, k: int = 5, seed: int = 42) -> DataFrame:
-    """Cluster id and distance to every centre; centres sorted so ids are stable."""
+def kmeans_features(df: DataFrame, cols, k: int = 5, seed: int = 42, fit_on: DataFrame | None = None) -> DataFrame:
+    """Cluster id and distance to every centre; centres sorted so ids are stable.
+    Scaling and centres come from ``fit_on`` (the training rows; default: all rows)."""
     from sparkfeat.operators.encode import apply_standard, fit_standard
-    params = fit_standard(df, cols)
+    fit_on = df if fit_on is None else fit_on
+    params = fit_standard(fit_on, cols)
     std = apply_standard(df, params, "z")
     zc = [f"{c}_z" for c in cols]
-    vec = assemble(std, zc, "zvec")
+    vec = assemble(apply_standard(fit_on, params, "z"), zc, "zvec")
     model = KMeans(k=k, seed=seed, featuresCol="zvec").fit(vec)
     centres = sorted((list(map(float, c)) for c in model.clusterCenters()))
     dist = {f"cluster_{i}_distance": F.sqrt(sum(((F.col(z) - F.lit(c[j])) ** 2 for j, z in enumerate(zc)),
@@ -213,14 +235,16 @@ def kmeans_features(df: DataFrame, cols, k: int = 5, seed: int = 42) -> DataFram
     return out.withColumn("cluster", nearest.cast("int"))
 
 
-def pca_features(df: DataFrame, cols, k: int = 3) -> DataFrame:
+def pca_features(df: DataFrame, cols, k: int = 3, fit_on: DataFrame | None = None):
     """First k principal components of standardised, centred columns; each
-    component's sign makes its largest loading positive."""
+    component's sign makes its largest loading positive. Scaling and components
+    come from ``fit_on`` (the training rows; default: all rows)."""
     from sparkfeat.operators.encode import apply_standard, fit_standard
-    params = fit_standard(df, cols)
-    std = apply_standard(df, params, "z")  # mean 0 → centred
+    fit_on = df if fit_on is None else fit_on
+    params = fit_standard(fit_on, cols)
+    std = apply_standard(df, params, "z")  # mean 0 on the fitted rows → centred
     zc = [f"{c}_z" for c in cols]
-    vec = assemble(std, zc, "zvec")
+    vec = assemble(apply_standard(fit_on, params, "z"), zc, "zvec")
     model = PCA(k=k, inputCol="zvec", outputCol="pcs").fit(vec)
     pc = model.pc.toArray()  # (#features × k), small
     comps = {}
@@ -234,9 +258,5 @@ def pca_features(df: DataFrame, cols, k: int = 3) -> DataFrame:
     return out, [float(v) for v in var]
 
 
-def lookup_state(df: DataFrame, max_rows: int = 200_000) -> State:
-    return fit_state(df, max_rows)
-
-
 __all__ = ["make_model", "assemble", "oof_predictions", "blend", "weighted_vote", "importances",
            "adversarial", "auc_rank_sum", "kmeans_features", "pca_features", "encoded_model"]

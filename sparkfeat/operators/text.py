@@ -1,10 +1,10 @@
 """Column combinations, tokens and TF-IDF (TXT-1..10).
 
-TF-IDF is a chain of distributed aggregates: token counts per
-(document, token), document frequency per token (map-side combined, so a
-token present in a third of all documents is no hot spot), a vocabulary
-bounded by ``max_features`` (a proven-small broadcast), and an L2 norm per
-document over at most ``max_features`` terms.
+TF-IDF is a chain of distributed aggregates: document frequency and total
+per token straight from the rows (map-side combined, so a token present in a
+third of all documents is no hot spot), a vocabulary (bounded by
+``max_features``, or all eligible terms), and token counts with an L2 norm per
+document in one shuffle of the vocabulary's tokens.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkfeat.functions.lookup import fit_state, lookup_join
+from sparkfeat.functions.lookup import State, fit_state, lookup_join
 
 
 # ------------------------------------------------------------- TXT-1..5
@@ -61,39 +61,48 @@ def word_tokens(c) -> Column:
 
 
 # ------------------------------------------------------------------ TXT-7
-def tfidf(df: DataFrame, id_col: str, tokens: dict, min_df: int = 2,
-          max_features: int = 100) -> tuple[DataFrame, DataFrame]:
-    """Smooth-idf TF-IDF with L2 row norm for several token columns at once.
-
-    ``tokens`` maps a feature name to an array<string> Column. Returns
-    (weights long table (id, feature, token, tfidf), vocabulary table
-    (feature, token, df, idf, alpha_rank)). Vocabulary per feature: terms with
-    document frequency ≥ min_df, the ``max_features`` most frequent by total
-    count (ties by token).
+def fit_tfidf(train: DataFrame, tokens: dict, min_df: int = 2, max_features: int | None = 100) -> State:
+    """Vocabulary (feature, token, df, idf, and with ``max_features`` alpha_rank, df_rank).
+
+    ``tokens`` maps a feature name to an array<string> Column. Per feature: terms with
+    document frequency ≥ min_df; of them the ``max_features`` most frequent by total
+    count (ties by token), or all with ``max_features=None``.
     """
     feats = list(tokens)
-    arr = F.array(*[F.struct(F.lit(f).alias("feature"), tokens[f].alias("toks")) for f in feats])
-    long = df.select(id_col, F.explode(arr).alias("ft")).select(
-        id_col, F.col("ft.feature").alias("feature"), F.explode("ft.toks").alias("token"))
-    tf = long.groupBy(id_col, "feature", "token").agg(F.count("*").alias("tf"))
-    n_docs = df.count()
-    stats = tf.groupBy("feature", "token").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    arr = F.array(*[F.struct(F.lit(f).alias("feature"), F.array_sort(tokens[f]).alias("toks")) for f in feats])
+    rows = train.select(F.explode(arr).alias("ft")).select("ft.feature", "ft.toks")
+    # tokens of a row are sorted: the first of equal ones counts the document
+    seen = F.transform("toks", lambda t, i: F.struct(
+        t.alias("token"), F.when((i > 0) & (t == F.get("toks", i - 1)), 0).otherwise(1).alias("first")))
+    stats = (rows.select("feature", F.explode(seen).alias("t")).groupBy("feature", "t.token")
+             .agg(F.sum("t.first").alias("df"), F.count("*").alias("total")))
+    n_docs = train.count()
+    eligible = stats.filter(F.col("df") >= min_df)
+    idf = F.log(F.lit(float(n_docs + 1)) / (F.col("df") + F.lit(1.0))) + F.lit(1.0)
+    if max_features is None:
+        return fit_state(eligible.select("feature", "token", "df", idf.alias("idf")))
     # top-k per feature as ordered limits (partial top-k per task, then merge):
     # never a window that gathers all tokens of a feature in one task
-    eligible = stats.filter(F.col("df") >= min_df)
     top = None
     for f in feats:
         part = (eligible.filter(F.col("feature") == f)
                 .orderBy(F.desc("total"), F.asc("token")).limit(max_features))
         top = part if top is None else top.unionByName(part)
-    vocab_st = fit_state(top, max_rows=max_features * len(feats))
-    idf = F.log(F.lit(float(n_docs + 1)) / (F.col("df") + F.lit(1.0))) + F.lit(1.0)
-    vocab = vocab_st.df.select(
+    bound = max_features * len(feats)
+    vocab = fit_state(top, max_rows=bound).df.select(
         "feature", "token", "df", idf.alias("idf"),
         F.row_number().over(Window.partitionBy("feature").orderBy("token")).alias("alpha_rank"),
         F.row_number().over(Window.partitionBy("feature").orderBy(F.desc("df"), "token")).alias("df_rank"))
-    vocab_st = fit_state(vocab, max_rows=max_features * len(feats))
-    # second pass: keep only vocabulary tokens BEFORE the (id, token) shuffle
+    return fit_state(vocab, max_rows=bound)
+
+
+def transform_tfidf(df: DataFrame, id_col: str, tokens: dict, vocab_st: State) -> DataFrame:
+    """Weights (id, feature, token, tfidf) of any rows by a fitted vocabulary, L2 norm 1 per row and feature."""
+    arr = F.array(*[F.struct(F.lit(f).alias("feature"), t.alias("toks")) for f, t in tokens.items()])
+    long = df.select(id_col, F.explode(arr).alias("ft")).select(
+        id_col, F.col("ft.feature").alias("feature"), F.explode("ft.toks").alias("token"))
+    vocab_st = State(vocab_st.df.select("feature", "token", "idf"), vocab_st.small)
+    # keep only vocabulary tokens BEFORE the (id, token) shuffle
     kept = lookup_join(long, vocab_st, ["feature", "token"], how="inner", salt_col=id_col,
                        allow_map=False)  # hash lookups for the many token rows
     # one shuffle by document: the per-token counts and the per-document norm
@@ -102,8 +111,16 @@ def tfidf(df: DataFrame, id_col: str, tokens: dict, min_df: int = 2,
     kept = kept.groupBy(id_col, "feature", "token", "idf").agg(F.count("*").alias("tf"))
     raw = kept.withColumn("__w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("__w") * F.col("__w")).over(Window.partitionBy(id_col, "feature")))
-    weights = raw.select(id_col, "feature", "token", (F.col("__w") / norm).alias("tfidf"))
-    return weights, vocab_st.df
+    return raw.select(id_col, "feature", "token", (F.col("__w") / norm).alias("tfidf"))
+
+
+def tfidf(df: DataFrame, id_col: str, tokens: dict, min_df: int = 2, max_features: int | None = 100,
+          fit_on: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Smooth-idf TF-IDF with L2 row norm for several token columns at once: (weights of
+    ``df``, vocabulary). Vocabulary and idf come from ``fit_on`` (the training rows;
+    default: all rows)."""
+    vocab = fit_tfidf(df if fit_on is None else fit_on, tokens, min_df, max_features)
+    return transform_tfidf(df, id_col, tokens, vocab), vocab.df
 
 
 def dense_top_terms(df: DataFrame, weights: DataFrame, vocab: DataFrame, id_col: str,
@@ -122,7 +139,7 @@ def dense_top_terms(df: DataFrame, weights: DataFrame, vocab: DataFrame, id_col:
     keyed = first.select(id_col, F.concat_ws("_t", "feature", F.col("__slot").cast("string")).alias("slot"),
                          "tfidf")
     slots = [f"{f}_t{i}" for f in sorted(feats) for i in range(1, k + 1)]
-    wide = keyed.groupBy(id_col).pivot("slot", slots).agg(F.first("tfidf"))
+    wide = keyed.groupBy(id_col).agg(*[F.max(F.when(F.col("slot") == s, F.col("tfidf"))).alias(s) for s in slots])
     out = df.select(id_col).join(wide, id_col, "left")
     return out.fillna(0.0, subset=slots)
 

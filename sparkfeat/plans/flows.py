@@ -46,7 +46,7 @@ def profile_and_diagnose(spark: SparkSession, sf: str, out: str | None = None) -
     return report
 
 
-def hybrid(spark: SparkSession, sf: str, threshold: float = 0.85) -> dict:
+def hybrid(spark: SparkSession, sf: str, threshold: float = 0.85, rounds: int = 100) -> dict:
     """Entry A: features → 3-model vote → two-sided pseudo-labels →
     evaluation on original rows only (T12) → weighted final vote."""
     d = doc_profile(spark, sf)
@@ -57,11 +57,10 @@ def hybrid(spark: SparkSession, sf: str, threshold: float = 0.85) -> dict:
     cols = feats + fs.names
     train = d.filter(~F.col("is_test")).withColumn("label", F.col("quality").cast("int"))
     test = d.filter(F.col("is_test"))
-    n = train.count()
     tr_vec = MD.assemble(train, cols)
     te_vec = MD.assemble(test, cols)
-    kinds = {"gbt": MD.make_model("gbt", max_iter=10, depth=3), "rf": MD.make_model("rf", trees=20),
-             "lr": MD.make_model("lr", n, C=1.0)}
+    kinds = {"gbt": MD.make_model("gbt", max_iter=rounds, depth=3), "rf": MD.make_model("rf"),
+             "lr": MD.make_model("lr", C=1.0)}
     parts = [m.fit(tr_vec).transform(te_vec).select("doc_id", MD.p_one().alias("p")) for m in kinds.values()]
     vote = reduce(DataFrame.unionByName, parts).groupBy("doc_id").agg(F.avg("p").alias("p"))
     pseudo = PS.two_sided(vote.withColumnRenamed("doc_id", "id"), threshold).withColumnRenamed("id", "doc_id")
@@ -70,15 +69,15 @@ def hybrid(spark: SparkSession, sf: str, threshold: float = 0.85) -> dict:
             "doc_id", "label", *cols, "weight", "is_pseudo"))
     aug = cut_lineage(stratified_fold(aug, "doc_id", "label", 5, 42))
     oof, _ = MD.oof_predictions(MD.assemble(aug, cols), None,
-                                {"lr": MD.make_model("lr", n, C=1.0, weight="weight")},
+                                {"lr": MD.make_model("lr", C=1.0, weight="weight")},
                                 "doc_id", "label", "fold", 5)
     original_only = oof.join(aug.filter(~F.col("is_pseudo")).select("doc_id"), "doc_id", "left_semi")
-    final = MD.weighted_vote(aug, test, ["gbt", "lr"], cols, "doc_id", "label", "weight")
+    final = MD.weighted_vote(aug, test, ["gbt", "lr"], cols, "doc_id", "label", "weight", {"gbt": {"max_iter": rounds}})
     return {"cv_original_rows": EN.cv_summary(original_only), "cv_all_rows": EN.cv_summary(oof),
             "predictions": sinks.prediction_frame(final, "doc_id", "p", "good", "poor", "quality")}
 
 
-def baseline_blend(spark: SparkSession, sf: str) -> dict:
+def baseline_blend(spark: SparkSession, sf: str, rounds: int = 100) -> dict:
     """Entry B: encoder + model refitted per fold (MOD-7), OOF probabilities
     of three models (ENS-3), logistic blend with C=0.01 (ENS-4)."""
     d = doc_profile(spark, sf)
@@ -86,8 +85,7 @@ def baseline_blend(spark: SparkSession, sf: str) -> dict:
     train = cut_lineage(stratified_fold(d.filter(~F.col("is_test")).withColumn(
         "label", F.col("quality").cast("int")), "doc_id", "label", 5, 42))
     test = d.filter(F.col("is_test"))
-    n = train.count()
-    ests = {k: MD.encoded_model(["lang", "source"], feats, k, n, max_iter=10)
+    ests = {k: MD.encoded_model(["lang", "source"], feats, k, **({"max_iter": rounds} if k == "gbt" else {}))
             for k in ("gbt", "rf", "lr")}
     oof, tst = MD.oof_predictions(train, test, ests, "doc_id", "label", "fold", 5)
     coefs, blended = MD.blend(oof, tst, list(ests), "doc_id", C=0.01)

@@ -23,6 +23,11 @@ def _r(df, cols):
     return df.withColumns({c: F.round(c, 6) for c in cols})
 
 
+def _train(spark, sf):
+    """Training rows with what the encoders need, so that folds, shuffles and checkpoints carry no more."""
+    return train_rows(order_profile(spark, sf)).select("id", "label", "is_test", *CATS)
+
+
 # ---------------------------------------------------------------- SQL pieces
 def _sql_oof(fold_sqls, cols, alpha, names, table="tr", id_sql="id"):
     """CTEs + select list for leave-fold-out encodings over fold expressions."""
@@ -77,7 +82,7 @@ register("te_smooth", _TE_SMOOTH_SQL)(te_smooth)
 
 # ------------------------------------------------------------------ ENC-4
 def _oof_df(spark, sf, alpha=ALPHA):
-    tr = CV.stratified_fold(train_rows(order_profile(spark, sf)), "id", "label", K, SEED)
+    tr = CV.stratified_fold(_train(spark, sf), "id", "label", K, SEED)
     return E.oof_encode(tr, CATS, "label", "id", ["fold"], alpha)
 
 
@@ -122,7 +127,7 @@ register("te_noise", _noise_sql())(te_noise)
 
 # ------------------------------------------------------------------ ENC-6
 def te_multi(spark, sf):
-    tr = train_rows(order_profile(spark, sf))
+    tr = _train(spark, sf)
     out = E.multi_oof(tr, CATS, "label", "id", 3, K, SEED, ALPHA)
     cols = [f"{c}_cv_{i}" for c in CATS for i in (1, 2, 3)]
     return _r(out.select("id", *cols), cols)
@@ -144,7 +149,7 @@ register("te_multi", _multi_sql())(te_multi)
 
 # ------------------------------------------------------------------ ENC-7
 def te_all(spark, sf):
-    tr = train_rows(order_profile(spark, sf))
+    tr = _train(spark, sf)
     out = E.encode_all(tr, CATS, "label", "id", K, SEED, ALPHA, 0.01)
     cols = [f"{c}_{s}" for c in CATS for s in ("basic", "noise", "cv_1", "cv_2")]
     return _r(out.select("id", *cols), cols)
@@ -172,7 +177,7 @@ register("te_all", _all_sql())(te_all)
 # ------------------------------------------------------------------ ENC-8
 def te_oof_plain(spark, sf):
     df = order_profile(spark, sf)
-    tr = CV.stratified_fold(train_rows(df), "id", "label", K, SEED)
+    tr = CV.stratified_fold(_train(spark, sf), "id", "label", K, SEED)
     names = {(c, 0): f"{c}_enc" for c in CATS}
     tr_enc = E.oof_encode(tr, CATS, "label", "id", ["fold"], 0.0, names)
     model = E.fit_smooth(train_rows(df), CATS, "label", 0.0, suffix="enc")
@@ -204,7 +209,7 @@ register("te_oof_plain", _plain_sql())(te_oof_plain)
 # ------------------------------------------------------------------ ENC-9
 def te_test_from_oof(spark, sf):
     df = order_profile(spark, sf)
-    tr = E.oof_encode(CV.stratified_fold(train_rows(df), "id", "label", K, SEED),
+    tr = E.oof_encode(CV.stratified_fold(_train(spark, sf), "id", "label", K, SEED),
                       CATS, "label", "id", ["fold"], ALPHA)
     test = df.filter(F.col("is_test"))
     out = E.test_from_oof(tr, test, CATS, {c: f"{c}_oof" for c in CATS}, "id")
@@ -232,10 +237,13 @@ register("te_test_from_oof", _test_from_oof_sql())(te_test_from_oof)
 
 # ------------------------------------------------------------------ ENC-10
 def te_empirical_bayes(spark, sf):
-    tr = CV.stratified_fold(train_rows(order_profile(spark, sf)), "id", "label", K, SEED)
-    out = E.empirical_bayes(tr, CATS, "label", "id", "fold")
+    """Training rows cross-fitted, test rows (fold -1) by the values fitted on all training rows."""
+    tr = CV.stratified_fold(_train(spark, sf), "id", "label", K, SEED)
     cols = [f"{c}_eb" for c in CATS]
-    return _r(out.select("id", "fold", *cols), cols)
+    train = E.empirical_bayes(tr, CATS, "label", "id", "fold").select("id", "fold", *cols)
+    model = E.fit_empirical_bayes(_train(spark, sf), CATS, "label")
+    test = model.transform(order_profile(spark, sf).filter("is_test"), "id")
+    return _r(train.unionByName(test.select("id", F.lit(-1).cast("int").alias("fold"), *cols)), cols)
 
 
 def _eb_sql():
@@ -255,12 +263,24 @@ def _eb_sql():
              CASE WHEN rn = 0 OR vy * rn + (rq / rn - (rs / rn) * (rs / rn)) = 0 THEN my
                   ELSE (vy * rn / (vy * rn + (rq / rn - (rs / rn) * (rs / rn)))) * (rs / rn)
                        + (1.0 - vy * rn / (vy * rn + (rq / rn - (rs / rn) * (rs / rn)))) * my END AS enc
-          FROM sv JOIN gy USING (fold))""")
+          FROM sv JOIN gy USING (fold))""",
+        """ga AS (SELECT sum(s) / sum(n) AS my, sum(q) / sum(n) - (sum(s) / sum(n)) * (sum(s) / sum(n)) AS vy FROM fg)""",
+        """fa AS (SELECT feature, value, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM st GROUP BY feature, value)""",
+        """ea AS (SELECT feature, value,
+             CASE WHEN vy * n + (q / n - (s / n) * (s / n)) = 0 THEN my
+                  ELSE (vy * n / (vy * n + (q / n - (s / n) * (s / n)))) * (s / n)
+                       + (1.0 - vy * n / (vy * n + (q / n - (s / n) * (s / n)))) * my END AS enc
+          FROM fa, ga)""")
+    test = "\nUNION ALL\nSELECT x.id, CAST(-1 AS INTEGER) AS fold, " + ", ".join(
+        f"{r6(f'coalesce(e_{c}.enc, ga.my)')} AS {c}_eb" for c in CATS) + \
+        "\nFROM order_profile x CROSS JOIN ga\n" + "\n".join(
+        f"LEFT JOIN ea e_{c} ON e_{c}.feature = '{c}' AND e_{c}.value = coalesce(x.{c}, chr(0) || 'null')"
+        for c in CATS) + "\nWHERE x.is_test"
     return body + "SELECT x.id, x.fold, " + ", ".join(
         f"{r6(f'coalesce(e_{c}.enc, gy.my)')} AS {c}_eb" for c in CATS) + \
         "\nFROM tr x JOIN gy USING (fold)\n" + "\n".join(
         f"LEFT JOIN en e_{c} ON e_{c}.feature = '{c}' AND e_{c}.value = coalesce(x.{c}, chr(0) || 'null') "
-        f"AND e_{c}.fold = x.fold" for c in CATS)
+        f"AND e_{c}.fold = x.fold" for c in CATS) + test
 
 
 register("te_empirical_bayes", _eb_sql())(te_empirical_bayes)

@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from sparkfeat.operators import ensemble as EN
 from sparkfeat.operators import pseudo as PS
 from sparkfeat.operators.clean import confidence
 from sparkfeat.plans.sqlkit import r6
+from sparkfeat.session import checkpoint_dir
+from sparkfeat.sources import sinks
 from sparkfeat.sources.fixtures import MODELS, scored, scored_sql
 
 SEED = 42
@@ -249,6 +253,15 @@ UNION ALL SELECT 'weighted', CAST(sum(support) AS BIGINT), {r6('sum(support * pr
   {r6('sum(support * recall) / sum(support)')}, {r6('sum(support * f1) / sum(support)')} FROM per2""")(confusion)
 
 
+def confusion_matrix(spark, sf):
+    w = _wide(spark, sf, False).withColumn("pred", (_mean_col() > 0.5).cast("int"))
+    return EN.confusion_counts(w)
+
+
+register("confusion_matrix", _sql(_wide_sql(False)) +
+         f"SELECT label, CAST({MEAN_SQL} > 0.5 AS INTEGER) AS pred, count(*) AS n FROM wide GROUP BY ALL")(confusion_matrix)
+
+
 # ------------------------------------------------------------------ PSL-1 / SRT-3
 def pseudo_one_sided(spark, sf):
     n_train = scored(spark, sf).filter(~F.col("is_test") & (F.col("model") == M[0])).count()
@@ -301,8 +314,11 @@ register("prediction_summary", _sql(_wide_sql(True)) +
 
 # ------------------------------------------------------------------ SNK-4
 def prediction_file(spark, sf):
-    test = _wide(spark, sf, True)
-    return test.select("id", F.when(_mean_col() > 0.5, "F").otherwise("other").alias("status"))
+    """The prediction file, written and read back."""
+    pred = sinks.prediction_frame(_wide(spark, sf, True).withColumn("p", _mean_col()), "id", "p", "F", "other", "status")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/sparkfeat-predictions/{uuid.uuid4().hex}"
+    sinks.write_predictions(pred, path)
+    return spark.read.schema(pred.schema).option("header", True).csv(path)
 
 
 register("prediction_file", _sql(_wide_sql(True)) +

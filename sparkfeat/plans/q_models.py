@@ -13,9 +13,13 @@ from sparkfeat.operators import models as MD
 from sparkfeat.operators import pseudo as PS
 from sparkfeat.operators.folds import hash_fold, stratified_fold
 from sparkfeat.operators.text import family_of
+from sparkfeat.session import cut_lineage
 from sparkfeat.sources.fixtures import DOC_FEATURES, doc_profile
 
-K = 3
+K = 5
+# Boosting rounds, trees and steps of the registered queries (the presets' own defaults are
+# larger): the tables' few features need no more, and each round is several Spark jobs.
+ROUNDS, TREES, STEPS = 10, 30, 30
 FEATS = list(DOC_FEATURES)
 
 
@@ -26,18 +30,17 @@ def _train_test(spark, sf):
     return train, test
 
 
-def _base_estimators(n):
-    return {"gbt": MD.make_model("gbt", max_iter=10, depth=3),
-            "rf": MD.make_model("rf", trees=20, depth=5, min_leaf=4),
-            "lr": MD.make_model("lr", n, C=1.0, max_iter=30)}
+def _base_estimators():
+    return {"gbt": MD.make_model("gbt", max_iter=ROUNDS, depth=3),
+            "rf": MD.make_model("rf", trees=TREES, depth=5, min_leaf=4),
+            "lr": MD.make_model("lr", C=1.0, max_iter=STEPS)}
 
 
 def _oof(spark, sf, with_test=False):
     train, test = _train_test(spark, sf)
-    train = MD.assemble(stratified_fold(train, "doc_id", "label", K, 42), FEATS).cache()
-    n = train.count()
-    te = MD.assemble(test, FEATS) if with_test else None
-    oof, tst = MD.oof_predictions(train, te, _base_estimators(n), "doc_id", "label", "fold", K)
+    train = MD.assemble(cut_lineage(stratified_fold(train, "doc_id", "label", K, 42)), FEATS)
+    te = MD.assemble(cut_lineage(test), FEATS) if with_test else None
+    oof, tst = MD.oof_predictions(train, te, _base_estimators(), "doc_id", "label", "fold", K)
     return oof, tst
 
 
@@ -52,7 +55,7 @@ def model_oof(spark, sf):
 @register("cv_models")
 def cv_models(spark, sf):
     oof, _ = _oof(spark, sf)
-    summary = EN.cv_summary(oof)
+    summary = cut_lineage(EN.cv_summary(oof))      # used twice: predict once
     return summary.join(EN.leaderboard(summary).select("model", "rank"), "model")
 
 
@@ -76,12 +79,12 @@ def blend_coefficients(spark, sf):
 def stack_meta(spark, sf):
     """Two meta models scored by an inner 3-fold CV on the OOF columns; the better one wins."""
     oof, _ = _oof(spark, sf)
-    wide = oof.groupBy("doc_id", "label").pivot("model", ["gbt", "rf", "lr"]).agg(F.first("p"))
-    wide = MD.assemble(hash_fold(wide, "doc_id", 3, 11, "inner"), ["gbt", "rf", "lr"]).cache()
-    n = wide.count()
-    metas = {"meta_lr": MD.make_model("lr", n, C=0.01), "meta_rf": MD.make_model("rf", trees=20, depth=3)}
+    bases = ["gbt", "rf", "lr"]
+    wide = cut_lineage(hash_fold(EN.pivot_scores(oof, bases, "doc_id"), "doc_id", 3, 11, "inner"))
+    wide = MD.assemble(wide, [f"p_{m}" for m in bases])
+    metas = {"meta_lr": MD.make_model("lr", C=0.01), "meta_rf": MD.make_model("rf", trees=TREES, depth=3)}
     inner, _ = MD.oof_predictions(wide, None, metas, "doc_id", "label", "inner", 3)
-    cv = EN.cv_summary(inner)
+    cv = cut_lineage(EN.cv_summary(inner))
     best = cv.agg(F.max_by("model", F.struct("mean_acc", "model")).alias("best")).first()["best"]  # 2 rows
     return cv.withColumn("chosen", F.col("model") == F.lit(best))
 
@@ -89,21 +92,21 @@ def stack_meta(spark, sf):
 # ------------------------------------------------------------------ ENS-2 + PSL-3
 @register("weighted_vote")
 def weighted_vote(spark, sf):
-    train, test = _train_test(spark, sf)
-    n = train.count()
-    lr = MD.make_model("lr", n, C=1.0).fit(MD.assemble(train, FEATS))
+    train, test = (cut_lineage(d) for d in _train_test(spark, sf))     # the text features once
+    lr = MD.make_model("lr", C=1.0).fit(MD.assemble(train, FEATS))
     scored = lr.transform(MD.assemble(test, FEATS)).select("doc_id", MD.p_one().alias("p"))
     pseudo = PS.two_sided(scored.withColumnRenamed("doc_id", "id"), 0.85).withColumnRenamed("id", "doc_id")
     aug = train.select("doc_id", "label", *FEATS).withColumns({"weight": F.lit(1.0)}).unionByName(
         pseudo.join(test.select("doc_id", *FEATS), "doc_id").select("doc_id", "label", *FEATS, "weight"))
-    return MD.weighted_vote(aug, test, ["gbt", "lr"], FEATS, "doc_id", "label", "weight")
+    return MD.weighted_vote(cut_lineage(aug), test, ["gbt", "lr"], FEATS, "doc_id", "label", "weight",
+                            {"gbt": {"max_iter": ROUNDS}})
 
 
 # ------------------------------------------------------------------ EVL-6
 @register("adversarial_auc")
 def adversarial_auc(spark, sf):
     train, test = _train_test(spark, sf)
-    oof = MD.adversarial(train, test, FEATS, "doc_id", K).cache()
+    oof = cut_lineage(MD.adversarial(cut_lineage(train), cut_lineage(test), FEATS, "doc_id", K, ROUNDS))
     rank_auc = MD.auc_rank_sum(oof).select(F.lit("auc_rank_sum").alias("metric"), F.col("auc").alias("value"))
     builtin = spark.createDataFrame([("auc_evaluator", MD.auc_builtin(oof))], "metric string, value double")
     return rank_auc.unionByName(builtin)
@@ -134,31 +137,30 @@ def importance_by_family(spark, sf):
 # ------------------------------------------------------------------ CLU-1/2
 @register("kmeans_clusters")
 def kmeans_clusters(spark, sf):
-    d = doc_profile(spark, sf)
-    out = MD.kmeans_features(d, FEATS, 5, 42)
+    d = cut_lineage(doc_profile(spark, sf))
+    out = MD.kmeans_features(d, FEATS, 5, 42, fit_on=d.filter(~F.col("is_test")))
     return out.select("doc_id", "cluster", *[f"cluster_{i}_distance" for i in range(5)])
 
 
 # ------------------------------------------------------------------ CLU-3
 @register("pca_components")
 def pca_components(spark, sf):
-    d = doc_profile(spark, sf)
-    out, _ = MD.pca_features(d, FEATS, 3)
+    d = cut_lineage(doc_profile(spark, sf))
+    out, _ = MD.pca_features(d, FEATS, 3, fit_on=d.filter(~F.col("is_test")))
     return out.select("doc_id", "pca_0", "pca_1", "pca_2")
 
 
 # ------------------------------------------------------------------ PSL-2
 @register("pseudo_iterative")
 def pseudo_iterative(spark, sf):
-    train, test = _train_test(spark, sf)
+    train, test = (cut_lineage(d) for d in _train_test(spark, sf))
     feats = train.select("doc_id", *FEATS).unionByName(test.select("doc_id", *FEATS))
 
     feats = feats.withColumnRenamed("doc_id", "id")
 
     def score(current, pool):
         cur = current.join(feats, "id")
-        n = cur.count()
-        model = MD.make_model("lr", n, C=1.0, weight="weight").fit(MD.assemble(cur, FEATS))
+        model = MD.make_model("lr", C=1.0, weight="weight").fit(MD.assemble(cur, FEATS))
         sc = model.transform(MD.assemble(pool.join(feats, "id"), FEATS))
         return sc.select("id", MD.p_one().alias("p"))
 
@@ -172,17 +174,15 @@ def pseudo_iterative(spark, sf):
 @register("model_zoo")
 def model_zoo(spark, sf):
     train, _ = _train_test(spark, sf)
-    train = stratified_fold(train, "doc_id", "label", K, 42).cache()
-    n = train.count()
-    assembled = MD.assemble(train, FEATS).cache()
+    train = cut_lineage(stratified_fold(train, "doc_id", "label", K, 42))
+    assembled = MD.assemble(train, FEATS)
     ests = {
-        "hgb": MD.make_model("hgb", max_iter=5, depth=4, min_leaf=8),
-        # iteration caps keep the rows-only check short: each optimiser step is a Spark job
-        "mlp": MD.make_model("mlp", layers=[len(FEATS), 16, 2], max_iter=15),
-        "lr_l1": MD.make_model("lr", n, C=0.1, l1=1.0, max_iter=15),
+        "hgb": MD.make_model("hgb", max_iter=ROUNDS, depth=4, min_leaf=8),
+        "mlp": MD.make_model("mlp", layers=[len(FEATS), 16, 2], max_iter=STEPS),
+        "lr_l1": MD.make_model("lr", C=0.1, l1=1.0, max_iter=STEPS),
     }
     oof, _ = MD.oof_predictions(assembled, None, ests, "doc_id", "label", "fold", K)
-    pipe = MD.encoded_model(["lang", "source"], FEATS, "gbt", n, max_iter=5, depth=3)
+    pipe = MD.encoded_model(["lang", "source"], FEATS, "gbt", max_iter=ROUNDS, depth=3)
     oof2, _ = MD.oof_predictions(train, None, {"enc_gbt": pipe}, "doc_id", "label", "fold", K)
     return EN.cv_summary(oof.unionByName(oof2))
 
@@ -190,7 +190,7 @@ def model_zoo(spark, sf):
 @register("early_stopping")
 def early_stopping(spark, sf):
     train, _ = _train_test(spark, sf)
-    tr = MD.assemble(hash_fold(train, "doc_id", 5, 3, "vf"), FEATS).withColumn("is_val", F.col("vf") == 0)
+    tr = MD.assemble(cut_lineage(hash_fold(train, "doc_id", 5, 3, "vf")), FEATS).withColumn("is_val", F.col("vf") == 0)
     model = MD.make_model("gbt", max_iter=40, depth=4, step=0.1, subsample=0.8,
                           validation_col="is_val").fit(tr)
     val = model.transform(tr.filter("is_val"))

@@ -12,7 +12,7 @@ from sparkfeat.streaming.scoring import EventScorer, score_file_stream
 
 def stream_scoring(spark, sf):
     scorer = EventScorer(alpha=10.0).fit(read_table(spark, sf, "events"))
-    out = score_file_stream(spark, scorer, sf)
+    out = score_file_stream(spark, scorer, f"{sf}/events.parquet")
     return out.select("event_id", "event_type", F.round("value", 6).alias("value"),
                       F.round("type_mean", 6).alias("type_mean"), F.round("value_z", 6).alias("value_z"),
                       "is_high")

@@ -28,7 +28,7 @@ GRAM_GROUPS = {"g4a": ("cnt_r", "cnt_a", "cnt_n", "pri"),
 
 def _base(spark, sf):
     df = order_profile(spark, sf)
-    return df.select("id", *[C.int_string(c).alias(c) for c in INTS],
+    return df.select("id", "is_test", *[C.int_string(c).alias(c) for c in INTS],
                      *[C.category_string(c).alias(c) for c in CATS])
 
 
@@ -80,11 +80,12 @@ register("combos_chosen", with_profile(_BASE_SQL) + "SELECT id, " + ", ".join(
 
 # ----------------------------------------------------------- TXT-6/7
 def _gram_tfidf(spark, sf):
+    """Vocabulary and idf from the training rows, weights of all rows."""
     b = _base(spark, sf)
-    docs = b.select("id", *[F.concat_ws("_", *g).alias(k) for k, g in GRAM_GROUPS.items()])
+    docs = b.select("id", "is_test", *[F.concat_ws("_", *g).alias(k) for k, g in GRAM_GROUPS.items()])
     toks = {k: T.split_tokens(k, "_") for k in GRAM_GROUPS}
-    w, vocab = T.tfidf(docs, "id", toks, min_df=2, max_features=100)
-    return docs, w, vocab
+    w, vocab = T.tfidf(docs, "id", toks, min_df=2, max_features=100, fit_on=docs.filter("not is_test"))
+    return docs.drop("is_test"), w, vocab
 
 
 def tfidf_combo(spark, sf):
@@ -93,16 +94,17 @@ def tfidf_combo(spark, sf):
 
 
 def _tfidf_sql(docs_cte, max_features, id_col="id", n_sql="SELECT count(*) AS n FROM order_profile",
-               tok_expr="unnest(string_split(doc, '_'))", pre=(), keep_feature=True):
+               tok_expr="unnest(string_split(doc, '_'))", pre=(), keep_feature=True, fit=""):
+    top = "" if max_features is None else f" WHERE r <= {max_features}"
     feat_sel = "feature, " if keep_feature else ""
     return with_profile(
         *pre, docs_cte,
         f"toks AS (SELECT {id_col} AS id, feature, {tok_expr} AS token FROM docs)",
         "tf AS (SELECT id, feature, token, count(*) AS tf FROM toks WHERE token <> '' GROUP BY ALL)",
         f"nd AS ({n_sql})",
-        "st AS (SELECT feature, token, count(*) AS df, sum(tf) AS total FROM tf GROUP BY ALL)",
+        "st AS (SELECT feature, token, count(*) AS df, sum(tf) AS total FROM tf" + fit + " GROUP BY ALL)",
         f"voc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY total DESC, token) AS r "
-        f"FROM st WHERE df >= 2) WHERE r <= {max_features})",
+        f"FROM st WHERE df >= 2){top})",
         "w AS (SELECT tf.id, tf.feature, tf.token, tf.tf * (ln(CAST(nd.n + 1 AS DOUBLE) / (voc.df + CAST(1 AS DOUBLE))) + 1) AS w "
         "FROM tf JOIN voc USING (feature, token), nd)",
     ) + f"SELECT id AS {id_col}, {feat_sel}token, {r6('w / sqrt(sum(w * w) OVER (PARTITION BY id, feature))')} AS tfidf FROM w"
@@ -112,17 +114,19 @@ _GRAM_DOCS = "docs AS (" + "\nUNION ALL\n".join(
     f"SELECT id, '{k}' AS feature, concat_ws('_', {', '.join(g)}) AS doc FROM base"
     for k, g in GRAM_GROUPS.items()) + ")"
 
-register("tfidf_combo", _tfidf_sql(_GRAM_DOCS, 100, pre=(_BASE_SQL,)))(tfidf_combo)
+_FIT = {"n_sql": "SELECT count(*) AS n FROM order_profile WHERE NOT is_test",
+        "fit": " WHERE id IN (SELECT id FROM order_profile WHERE NOT is_test)"}
+register("tfidf_combo", _tfidf_sql(_GRAM_DOCS, 100, pre=(_BASE_SQL,), **_FIT))(tfidf_combo)
 
 
 def tfidf_docs(spark, sf):
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
-    w, _ = T.tfidf(docs, "doc_id", {"text": T.word_tokens("text")}, min_df=2, max_features=1000)
+    w, _ = T.tfidf(docs, "doc_id", {"text": T.word_tokens("text")}, min_df=2, max_features=None)
     return w.select("doc_id", "token", F.round("tfidf", 6).alias("tfidf"))
 
 
 register("tfidf_docs", _tfidf_sql(
-    "docs AS (SELECT doc_id, 'text' AS feature, text FROM documents)", 1000, id_col="doc_id",
+    "docs AS (SELECT doc_id, 'text' AS feature, text FROM documents)", None, id_col="doc_id",
     n_sql="SELECT count(*) AS n FROM documents",
     tok_expr=r"lower(unnest(regexp_extract_all(text, '[\p{L}\p{N}]{2,}')))",
     keep_feature=False))(tfidf_docs)
@@ -137,7 +141,7 @@ def tfidf_dense(spark, sf):
 
 
 def _dense_sql():
-    base = _tfidf_sql(_GRAM_DOCS, 100, pre=(_BASE_SQL,))
+    base = _tfidf_sql(_GRAM_DOCS, 100, pre=(_BASE_SQL,), **_FIT)
     head, _ = base.rsplit("SELECT id AS id", 1)
     sels = ", ".join(
         f"{r6(f'coalesce(max(CASE WHEN x.feature = {chr(39)}{k}{chr(39)} AND x.ar = {i} THEN x.tfidf END), 0.0)')} AS {k}_t{i}"

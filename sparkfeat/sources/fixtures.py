@@ -107,7 +107,7 @@ def doc_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.length(F.regexp_replace("text", r"\s", "")) /
          F.greatest(F.size(words), F.lit(1))).alias("mean_word_len"),
         (F.length(F.regexp_replace("text", "[^0-9]", "")) / n_len).alias("digit_share"),
-        (F.length(F.regexp_replace("text", "[^A-Z]", "")) / n_len).alias("upper_share"),
+        (F.length(F.regexp_replace("text", r"\P{Lu}", "")) / n_len).alias("upper_share"),
         (F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1)))
         .alias("distinct_word_share"),
     )

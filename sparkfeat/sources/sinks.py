@@ -18,8 +18,9 @@ def write_features(df: DataFrame, path: str, partition_by=None, fmt: str = "parq
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
-    """SNK-2: metrics as JSON lines (Spark types are JSON-safe already)."""
-    metrics.coalesce(1).write.mode("overwrite").json(path)
+    """SNK-2: metrics as JSON lines (Spark types are JSON-safe already), one file;
+    the few rows are shuffled, so the stage that computes them keeps its tasks."""
+    metrics.repartition(1).write.mode("overwrite").json(path)
 
 
 def compare_metrics(spark: SparkSession, new: DataFrame, old_path: str, key: str = "metric",

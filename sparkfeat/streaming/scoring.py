@@ -50,12 +50,18 @@ class EventScorer:
                         z.alias("value_z"), (z > 2.0).alias("is_high"))
 
 
-def score_file_stream(spark: SparkSession, scorer: EventScorer, source_dir: str,
-                      glob: str = "events.parquet") -> DataFrame:
-    """Run the scorer over a parquet file stream until the input is drained."""
+def score_file_stream(spark: SparkSession, scorer: EventScorer, table_path: str,
+                      files_per_batch: int = 1000) -> DataFrame:
+    """Run the scorer over a parquet table (one file, or a folder of part files) as a
+    stream until the input is drained."""
     base = f"{checkpoint_dir(spark).rstrip('/')}/sparkfeat-stream/{uuid.uuid4().hex}"
-    stream = (spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", glob)
-              .option("maxFilesPerTrigger", 1).parquet(source_dir))
+    path = spark._jvm.org.apache.hadoop.fs.Path(table_path)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    reader = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files_per_batch)
+    if fs.getFileStatus(path).isDirectory():
+        stream = reader.parquet(table_path)
+    else:                       # a file source reads folders: the table's own, with this one name
+        stream = reader.option("pathGlobFilter", path.getName()).parquet(path.getParent().toString())
     q = (scorer.transform(stream).writeStream.format("parquet")
          .option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt")
          .trigger(availableNow=True).start())

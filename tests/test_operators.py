@@ -358,3 +358,78 @@ def test_corrupt_csv_rows_are_not_lost(spark, tmp_path):
         read_csv(spark, str(tmp_path / "t.csv"), schema).collect()
     kept = read_csv(spark, str(tmp_path / "t.csv"), schema, corrupt_column="raw").collect()
     assert [r.raw for r in kept] == [None, "bad,y"]
+
+
+@pytest.mark.parametrize("blocks", [{}, {"donor_block": 7, "recipient_block": 3}])
+def test_knn_matches_brute_force_for_any_block_size(spark, blocks):
+    from sparkfeat.operators.knn import KnnImputer
+    rng = np.random.default_rng(4)
+    x = rng.integers(-9, 10, size=(150, 3)).astype(float)     # exact distances: ties are ties
+    x[rng.random(x.shape) < 0.3] = np.nan
+    x[5], x[6] = np.nan, x[7]
+    rows = [(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double")
+    train = df.filter("id < 120")
+    got = KnnImputer(["a", "b", "c"], 5, **blocks).fit(train).transform(df, "id").orderBy("id").toPandas()
+    donors = x[:120]
+    for i, r in enumerate(x):
+        for j in range(3):
+            if not np.isnan(r[j]):
+                assert got.iloc[i, j + 1] == r[j]
+                continue
+            near = []
+            for d in donors[~np.isnan(donors[:, j])]:
+                both = ~np.isnan(d) & ~np.isnan(r)
+                if both.any():
+                    near.append((math.sqrt(((d - r)[both] ** 2).sum() * 3 / both.sum()), tuple(np.nan_to_num(d, nan=np.inf)), d[j]))
+            near.sort(key=lambda t: t[:2])
+            want = np.mean([t[2] for t in near[:5]]) if near else np.nanmean(donors[:, j])
+            assert math.isclose(got.iloc[i, j + 1], want, abs_tol=1e-9)
+
+
+def test_knn_without_any_value(spark):
+    from sparkfeat.operators.knn import KnnImputer
+    df = spark.createDataFrame([(1, None, 1.0), (2, None, None)], "id long, a double, b double")
+    got = KnnImputer(["a", "b"]).fit(df).transform(df, "id").orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(1, None, 1.0), (2, None, 1.0)]
+
+
+def test_cross_fitted_values_do_not_see_their_own_label(spark):
+    """Flipping one training row's label changes no cross-fitted value of that row."""
+    from sparkfeat.operators.folds import hash_fold
+    rows = [(i, "abc"[i % 3] if i % 7 else None, int(i % 5 == 0)) for i in range(60)]
+    for row in (0, 14, 33):
+        flip = [(i, c, 1 - y if i == row else y) for i, c, y in rows]
+        one, two = (E.empirical_bayes(hash_fold(spark.createDataFrame(r, "id long, c string, y int"), "id", 4), ["c"], "y", "id", "fold")
+                    .filter(F.col("id") == row).first()["c_eb"] for r in (rows, flip))
+        assert one == two
+
+
+def test_full_data_encoder_for_unseen_rows(spark):
+    df = spark.createDataFrame([(1, "a", 1), (2, "a", 0), (3, "b", 1), (4, None, 1)], "id long, c string, y int")
+    model = E.fit_empirical_bayes(df, ["c"], "y")
+    new = spark.createDataFrame([(9, "a"), (10, "zz"), (11, None)], "id long, c string")
+    got = {r.id: r.c_eb for r in model.transform(new, "id").collect()}
+    lam = 2 * 0.1875 / (2 * 0.1875 + 0.25)
+    assert math.isclose(got[9], lam * 0.5 + (1 - lam) * 0.75) and got[10] == 0.75 and got[11] == 1.0
+
+
+def test_tfidf_scores_other_rows_by_the_fitted_vocabulary(spark):
+    train = spark.createDataFrame([(1, "a_b_b"), (2, "b_c"), (3, "a_c")], "id long, s string")
+    test = spark.createDataFrame([(7, "a_a_new"), (8, "new"), (9, None)], "id long, s string")
+    toks = {"s": T.split_tokens("s")}
+    vocab = T.fit_tfidf(train, toks, max_features=None)
+    assert {(r.token, r.df) for r in vocab.df.collect()} == {("a", 2), ("b", 2), ("c", 2)}
+    assert [tuple(r) for r in T.transform_tfidf(test, "id", toks, vocab).collect()] == [(7, "s", "a", 1.0)]
+
+
+def test_logistic_penalty_uses_the_weights_of_the_fit(spark):
+    """Doubling all weights and halving C leaves the coefficients unchanged."""
+    from sparkfeat.operators import models as MD
+    rng = np.random.default_rng(2)
+    rows = [(float(v), int(v + rng.normal() > 0), 1.0, 2.0) for v in rng.normal(size=80)]
+    df = MD.assemble(spark.createDataFrame(rows, "x double, label int, w1 double, w2 double"), ["x"])
+    one = MD.make_model("lr", C=1.0, weight="w1").fit(df).coefficients[0]
+    two = MD.make_model("lr", C=0.5, weight="w2").fit(df).coefficients[0]
+    plain = MD.make_model("lr", C=1.0).fit(df).coefficients[0]
+    assert math.isclose(one, two, rel_tol=1e-5) and math.isclose(one, plain, rel_tol=1e-5)

@@ -11,8 +11,18 @@ def test_stream_equals_batch(spark):
     events = read_table(spark, SF_SMALL, "events")
     scorer = EventScorer().fit(events)
     batch = scorer.transform(events)
-    stream = score_file_stream(spark, scorer, SF_SMALL)
+    stream = score_file_stream(spark, scorer, f"{SF_SMALL}/events.parquet")
     cols = ["event_id", "event_type", "value", "type_mean", "value_z", "is_high"]
     assert batch.select(cols).exceptAll(stream.select(cols)).count() == 0
     assert stream.select(cols).exceptAll(batch.select(cols)).count() == 0
     assert stream.filter(F.col("type_mean").isNull()).count() == 0
+
+
+def test_stream_over_a_folder_of_files(spark, tmp_path):
+    events = read_table(spark, SF_SMALL, "events")
+    scorer = EventScorer().fit(events)
+    folder = str(tmp_path / "events.parquet")
+    events.repartition(5).write.parquet(folder)
+    stream = score_file_stream(spark, scorer, folder, files_per_batch=2)
+    assert stream.count() == events.count()
+    assert scorer.transform(events).exceptAll(stream.select("event_id", "event_type", "value", "type_mean", "value_z", "is_high")).count() == 0
