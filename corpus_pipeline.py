@@ -4,9 +4,9 @@ Each stage takes (spark, docs, sf_dir) and works on all documents its predecesso
 kept; ``run`` writes every stage's result as Parquet in the shared checkpoint folder
 and reads it back as the next stage's input. All but the last return the columns of
 ``documents`` (n_chars follows the text). Defined for odd input: null and empty texts
-pass the text stages unchanged; rows without a doc_id cannot stand for a group and end
-at the near-duplicate stage; of rows that share a doc_id one stays there; an empty
-table gives an empty result; other columns are dropped by the first stage.
+pass the text stages unchanged; the near-duplicate stage keeps one row of every group,
+also where rows have no doc_id or share one with other texts; an empty table gives an
+empty result; other columns are dropped by the first stage.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from sparkfeat.llm.decontaminate import decontaminate
 from sparkfeat.llm.lines import apply_bitmaps, line_keep_bitmaps
 from sparkfeat.llm.mixing import domain_of, mix_sources
 from sparkfeat.llm.quality import score_quality, train_quality
-from sparkfeat.llm.simhash import near_duplicates
+from sparkfeat.llm.simhash import near_groups
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 QUALITY_THRESHOLD = 0.7
@@ -44,10 +44,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: the smallest doc_id."""
-    groups = near_duplicates(docs, shingle=4, radius=4)
-    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(stay, "doc_id").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One row of each SimHash group stays: the smallest doc_id (null last), of its rows the smallest row hash.
+
+    The row hash is of all columns, so rows that share a doc_id but differ stay apart and
+    the choice is the same in every run; of fully equal rows one stays.
+    """
+    parts = [*COLUMNS, *(F.col(c).isNull() for c in COLUMNS)]
+    keyed = docs.select(*COLUMNS, *(F.xxhash64(F.lit(k), *parts).alias(f"__row{k}") for k in (0, 1)))
+    rows = ["__row0", "__row1"]
+    groups = near_groups(keyed, shingle=4, radius=4, keep=tuple(rows))
+    stay = (groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *rows)).alias("r"))
+            .select(*(F.col(f"r.{c}").alias(c) for c in rows)))
+    return keyed.join(stay, rows).dropDuplicates(rows).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,20 +68,22 @@ def _fingerprints_of(shingle):
         for batch in slices(batches):
             for lo, hi, buf, offs in byte_blocks(batch.column("text")):
                 fp = _block_fingerprints(buf.tobytes(), offs, shingle)
+                names = [c for c in batch.schema.names if c != "text"]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, hi - lo), pa.array(fp.view(np.int64))],
-                    names=["doc_id", "fp"])
+                    [*(batch.column(c).slice(lo, hi - lo) for c in names), pa.array(fp.view(np.int64))],
+                    names=[*names, "fp"])
     return run
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
-    """(doc_id, fp): 64-bit SimHash of XXH64 (seed 42) over word shingles, one row per input row.
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4,
+                 keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, long columns ``keep``, fp): 64-bit SimHash of XXH64 (seed 42) over word shingles, one row per input row.
 
     A-Z are folded; words are runs of bytes other than the six ASCII white-space
     bytes; fewer words than a shingle hash whole; none (null, empty) give zero.
     """
-    return (docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-            .mapInArrow(_fingerprints_of(shingle), "doc_id long, fp long"))
+    return (docs.select(F.col(doc_id).cast("long").alias("doc_id"), *keep, F.col(text).alias("text"))
+            .mapInArrow(_fingerprints_of(shingle), ", ".join(f"{c} long" for c in ("doc_id", *keep, "fp"))))
 
 
 # ------------------------------------------------------------------ bit-sliced comparison
@@ -294,6 +296,24 @@ def linked_edges(distinct: DataFrame, radius: int) -> DataFrame:
             .mapInArrow(_edges_of(masks, radius), "a long, b long"))
 
 
+def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4,
+                keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, long columns ``keep``, fp, root, component_id), one row per input row.
+
+    ``root`` tells the groups apart; component_id need not (see ``near_duplicates``): groups
+    without an id have none, and a repeated doc_id can be the smallest of several groups.
+    """
+    marks = materialize(fingerprints(docs, doc_id, text, shingle, keep), "fingerprints")
+    distinct = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
+    label = components(linked_edges(distinct.select("fp"), radius))
+    joined = distinct.join(label, distinct.fp == label.v, "left").select(
+        "fp", "low", F.coalesce("label", "fp").alias("root"))
+    joined = materialize(joined, "roots")
+    lows = materialize(joined.groupBy("root").agg(F.min("low").alias("component_id")), "lows")
+    ids = materialize(joined.join(lows, "root").select("fp", "root", "component_id"), "ids")
+    return marks.join(ids, "fp").select("doc_id", *keep, "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     shingle: int = 4, radius: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row per input row.
@@ -304,15 +324,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     becomes a component id unless nothing else is there (then null). Repeated
     rows stay; other columns are ignored; an empty table gives no rows.
     """
-    marks = materialize(fingerprints(docs, doc_id, text, shingle), "fingerprints")
-    distinct = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    label = components(linked_edges(distinct.select("fp"), radius))
-    joined = distinct.join(label, distinct.fp == label.v, "left").select(
-        "fp", "low", F.coalesce("label", "fp").alias("root"))
-    joined = materialize(joined, "roots")
-    lows = materialize(joined.groupBy("root").agg(F.min("low").alias("component_id")), "lows")
-    ids = materialize(joined.join(lows, "root").select("fp", "component_id"), "ids")
-    return marks.join(ids, "fp").select(
+    return near_groups(docs, doc_id, text, shingle, radius).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

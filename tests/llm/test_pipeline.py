@@ -83,3 +83,23 @@ def test_odd_input(spark, tmp_path):
     assert out.count() >= 0
     docs.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_without_or_with_shared_ids_stay(spark):
+    """One row of every group, by row: neither a missing nor a repeated doc_id costs a group."""
+    base = {k: " ".join(f"{k}{i * 7 % 50}" for i in range(60)) for k in "abcdefg"}
+    data = [(3, base["a"], "en", "src1"), (7, base["a"] + " x", "en", "src1"), (7, base["b"], "en", "src1"),
+            (7, base["c"], "de", "src2"), (None, base["d"], "en", "src1"), (None, base["d"], "en", "src1"),
+            (None, base["e"], None, "src1"), (None, base["a"], "en", "src2"), (8, base["f"], "en", None),
+            (9, base["f"], "en", None), (9, base["g"], "en", "src0"), (9, base["g"], "src0", "en")]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in data], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted([(r.doc_id, r.text) for r in cp.near_dedup(spark, docs, "").collect()], key=str)
+    groups = {}
+    for i, _, low in sim.brute([(i, r[1]) for i, r in enumerate(data)]):      # numbered rows: one id each
+        groups.setdefault(low, []).append(data[i][:2])
+    assert len(groups) == 7
+    want = [min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values()]
+    assert got == sorted(want, key=str)
+    again = cp.near_dedup(spark, docs.repartition(5, "text"), "").collect()
+    assert sorted(map(tuple, again), key=str) == sorted(map(tuple, cp.near_dedup(spark, docs, "").collect()), key=str)
+
