@@ -1,7 +1,9 @@
 """Secret scans: a random forest that removes false positives.
 
-Candidates are long runs of key characters in any text. Each is described by its
-length, its character-class transitions, how much of it dictionary words cover,
+Candidates are long runs of key characters in any text, and the values of 20 characters
+or more that are assigned (= or :) to a key word, of any characters up to white space or
+the closing quote. A name and = before a candidate (NAME=value, ?token=value) belong to
+the words next to it. Each candidate is described by its length, its character-class transitions, how much of it dictionary words cover,
 whether it stands in a path or address, and the words next to it. A random forest
 trained on labelled findings gives the probability that a candidate is a secret;
 candidates below the threshold are dropped as false positives.
@@ -20,7 +22,8 @@ from pyspark.sql import functions as F
 
 from sparkfeat.llm.common import materialize, table
 
-MIN_LENGTH = 20
+MIN_LENGTH = 20          # of a run anywhere
+MIN_VALUE = 20           # of a value assigned to a key word
 RUN = r"[A-Za-z0-9+/_=.\-]{20,}"
 WHITE_RUN = r"[\x20\x09-\x0D]+"
 # Words that make a candidate look like an ordinary name rather than a key.
@@ -29,10 +32,23 @@ DICTIONARY = ["example", "sample", "test", "dummy", "placeholder", "changeme", "
               "www", "html", "json", "data", "user", "name", "page", "file", "the", "and", "that", "with", "from", "this",
               "tion", "ing", "ent", "und", "der", "die", "que", "les", "ment", "ción", "keit", "lich", "schaft"]
 # Neighbouring words of keys, and of digests and names that only look like keys.
-KEY_WORDS = r"(?i)(token|secret|passw|pwd|api_?-?key|access_?-?key|private|credential|bearer|auth)"
+KEYS = "token|secret|passw|pwd|api_?-?key|access_?-?key|private|credential|bearer|auth"
+KEY_WORDS = f"(?i)({KEYS})"
 OTHER_WORDS = r"(?i)(sha-?[0-9]|md5|checksum|digest|commit|hash|uuid|guid|version|build|etag|integrity|session|page|id$)"
 PREFIXES = r"^(AKIA|ASIA|ghp_|gho_|ghs_|glpat-|xox[abprs]-|sk-|sk_live_|pk_live_|rk_live_|AIza|SG\.|npm_|pypi-|eyJ)"
 
+ASSIGN = r"(?:=>|:=|=+|:(?!//|:))"
+NAMED = rf"[\w./+\-]{{0,64}}?(?i:{KEYS})[\w.\-]{{0,64}}[\"'`\])]{{0,2}}{ASSIGN}"       # a name with a key word, and its sign
+# An unquoted value ends before another name=value, or another run of a list.
+OPEN = rf"(?:(?!&[\w.\-]+=|[,;|](?:[\w.\-]+[=:]|{RUN}))[^\"'`])"
+FIND = (rf"(?:{NAMED})+(?:\"[^\"]{{{MIN_VALUE},}}+|'[^']{{{MIN_VALUE},}}+|`[^`]{{{MIN_VALUE},}}+|{OPEN}{{{MIN_VALUE},}}+)|{RUN}")
+# What is cut off a match and joins the words before: names with their signs, but never a run that may be a key itself.
+NAME = r"(?:[\w./+\-]{1,19}|[A-Za-z_./\-]{20,64})="
+LEAD = rf"^((?:{NAME})?(?:{NAMED})+[\"'`]?(?=.{{{MIN_VALUE}}})|{NAME}(?=[^=].{{{MIN_VALUE - 1}}}))"
+SPACED = rf"(?i)(?:{KEYS})[^\x20=:]{{0,64}}\x20?{ASSIGN}$"                            # before a value that is a word of its own
+# Assigned values that are no keys: variables, calls, words that stand for one.
+STANDS_FOR = r"(?i)^(?:\$[{(a-z_]|%[({s]|\{\{|[a-z_.]+\()|^[^0-9]*(example|sample|test|dummy|placeholder|changeme|your|here|public|default|string|none|null|true|false|required|optional)[^0-9]*$"
+
 FEATURES = ["length", "class_changes", "changes_per_char", "digit_share", "upper_share", "lower_share", "mark_share",
             "hex_only", "distinct_share", "coverage", "vowel_share", "longest_letters", "in_path", "in_address", "known_prefix",
             "assigned", "quoted", "key_word", "other_word"]
@@ -43,18 +59,18 @@ def _share(candidate: Column, drop: str) -> Column:
 
 
 def features(df: DataFrame) -> DataFrame:
-    """Add the ``FEATURES`` of columns candidate, before (two words), word (the whole word it stands in)."""
+    """Add the ``FEATURES`` of columns candidate, before (two words, and its name in the word), word (the whole word it stands in)."""
     c = F.col("candidate")
     kinds = F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-",
                         "A" * 26 + "a" * 26 + "0" * 10 + "-" * 6)
-    runs = F.regexp_replace(kinds, r"(.)\1+", "$1")
+    runs = F.regexp_replace(F.regexp_replace(kinds, "[^Aa0]", "-"), r"(.)\1+", "$1")
     near = F.concat_ws(" ", F.col("before"), F.col("word"))
     head = F.call_function("substring_index", F.col("word"), c, F.lit(1))
     truth = lambda x: F.coalesce(x, F.lit(False)).cast("double")
     return df.select(
         "*", F.length(c).cast("double").alias("length"), (F.length(runs) - 1).cast("double").alias("class_changes"),
         ((F.length(runs) - 1) / F.length(c)).alias("changes_per_char"), _share(c, "[0-9]").alias("digit_share"),
-        _share(c, "[A-Z]").alias("upper_share"), _share(c, "[a-z]").alias("lower_share"), _share(c, r"[+/_=.\-]").alias("mark_share"),
+        _share(c, "[A-Z]").alias("upper_share"), _share(c, "[a-z]").alias("lower_share"), _share(c, "[^A-Za-z0-9]").alias("mark_share"),
         truth(c.rlike(r"^[0-9a-fA-F]+$")).alias("hex_only"),
         (F.size(F.array_distinct(F.split(c, ""))) / F.length(c)).alias("distinct_share"),
         _share(F.lower(c), "|".join(sorted(DICTIONARY, key=len, reverse=True))).alias("coverage"),
@@ -69,17 +85,47 @@ def features(df: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, position (word number from 0), part (within the word), candidate, word, before."""
+    """doc_id, position (word number from 0), part (within the word), candidate, word, before.
+
+    before: the two words before, and the name with its sign that precedes the candidate in its word.
+    """
     words = F.split(F.coalesce(F.col(text), F.lit("")), WHITE_RUN)
-    found = F.filter(F.transform("w", lambda w, i: F.when((F.length(w) >= MIN_LENGTH) & w.rlike(RUN), i)),
-                     lambda i: i.isNotNull())
+
+    def lead(w, i):
+        """What makes the word read as a value assigned to a key word before it; empty if it is none."""
+        one, two = F.get("w", i - 1), F.concat_ws(" ", F.get("w", i - 2), F.get("w", i - 1))
+        return (F.when(one.rlike("[=:>]$") & two.rlike(SPACED), "password=")
+                .when(w.rlike("^[=:]") & one.rlike(rf"(?i)(?:{KEYS})[^\x20=:]{{0,64}}$"), "password").otherwise(""))
+
+    def wanted(w, i):
+        return ((F.length(w) >= MIN_LENGTH) & w.rlike(RUN)) | (
+            (F.length(w) >= MIN_VALUE) & (w.rlike("[=:]") | F.get("w", i - 1).rlike("[=:>]$")) & F.concat(lead(w, i), w).rlike(FIND))
+
+    found = F.filter(F.transform("w", lambda w, i: F.when(wanted(w, i), i)), lambda i: i.isNotNull())
     hits = F.transform(found, lambda i: F.struct(
         i.cast("int").alias("position"), F.get("w", i.cast("int")).alias("word"),
-        F.concat_ws(" ", F.get("w", i.cast("int") - 2), F.get("w", i.cast("int") - 1)).alias("before")))
+        F.concat_ws(" ", F.get("w", i.cast("int") - 2), F.get("w", i.cast("int") - 1)).alias("before"),
+        lead(F.get("w", i.cast("int")), i.cast("int")).alias("lead")))
+    name = F.regexp_replace(F.expr("substring(match, 1, length(match) - length(value))"), "[\"'`]+$", "")
     return (docs.select(F.col(doc_id).cast("long").alias("doc_id"), words.alias("w"))
             .select("doc_id", F.explode(hits).alias("h")).select("doc_id", "h.*")
-            .select("doc_id", "position", "word", "before",
-                    F.posexplode(F.regexp_extract_all("word", F.lit(RUN), F.lit(0))).alias("part", "candidate")))
+            .select("doc_id", "position", "word", "before", "lead",
+                    F.posexplode(F.regexp_extract_all(F.concat("lead", "word"), F.lit(FIND), F.lit(0))).alias("part", "match"))
+            .withColumn("value", F.regexp_replace("match", LEAD, ""))
+            .withColumn("name", name)
+            .withColumn("name", F.when((F.col("part") == 0) & F.col("name").startswith(F.col("lead")),
+                                       F.expr("substring(name, length(lead) + 1)")).otherwise(F.col("name")))
+            .select("doc_id", "position", "word", F.when(F.col("name") == "", F.col("before")).otherwise(F.concat_ws(" ", "before", "name")).alias("before"),
+                    "part", _unwrapped().alias("candidate")))
+
+
+def _unwrapped() -> Column:
+    """An unquoted value without the brackets around it and the signs that end its clause; plain runs as they are."""
+    value, match = F.col("value"), F.col("match")
+    inner = F.regexp_replace(F.regexp_replace(value, r"[,;]+$", ""), r"^[(<\[{](.*)[)>\]}]$", "$1")
+    inner = F.regexp_replace(inner, rf"^[(<\[{{]({RUN})$|^([^(<\[{{]*[^(<\[{{)>\]}},;])[)>\]}},;]+$", "$1$2")
+    quoted = F.expr("substring(match, length(match) - length(value), 1)").rlike("[\"'`]")
+    return F.when(match.rlike(f"^{RUN}$") | quoted | (F.length(inner) < MIN_VALUE), value).otherwise(inner)
 
 
 def train(findings: DataFrame, max_findings: int = 20_000, trees: int = 24, depth: int = 6, seed: int = 5):
@@ -126,14 +172,17 @@ def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, doc_id: str
 def seed_findings(found: DataFrame) -> DataFrame:
     """Labels for candidates whose surroundings leave no doubt; the others stay unlabelled.
 
-    1: assigned to a key word, or a vendor's key prefix. 0: an address, a path, or a
-    candidate without digits or without letters that no key word precedes.
+    1: assigned to a key word (before it or in its own word), or a vendor's key prefix.
+    0: an address, a path, or a candidate without digits or without letters that no key
+    word precedes; an assigned variable, call or placeholder. Short values without digits
+    stay unlabelled.
     """
-    key = F.col("before").rlike(KEY_WORDS + r"\S*(\s*[=:])?$") & (F.col("before").rlike("[=:]$") | F.col("word").rlike("^\\S*[=:]"))
+    short = (F.length("candidate") < MIN_LENGTH) & ~F.col("candidate").rlike("[0-9]")
+    key = F.col("before").rlike(KEY_WORDS + r"\S*(\s*([=:]|=>))?$") & (F.col("before").rlike("([=:]|=>)$") | F.col("word").rlike("^[\"'`]?[=:]"))
     prefix = F.col("candidate").rlike(PREFIXES)
     plain = (F.col("word").contains("@") | F.col("word").rlike("://|^[./~]*/") | ~F.col("candidate").rlike("[0-9]")
              | ~F.col("candidate").rlike("[A-Za-z]"))
-    label = F.when(key | prefix, 1).when(plain & ~F.col("before").rlike(KEY_WORDS), 0)
+    label = F.when(key & ~prefix & F.col("candidate").rlike(STANDS_FOR), 0).when((key & ~short) | prefix, 1).when(plain & ~F.col("before").rlike(KEY_WORDS), 0)
     return found.select("candidate", "word", "before", label.alias("label")).where(F.col("label").isNotNull())
 
 

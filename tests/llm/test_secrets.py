@@ -62,3 +62,14 @@ def test_edges(spark):
     one = spark.createDataFrame([(1, "abcdefghijklmnopqrstuvwxyz"), (1, "abcdefghijklmnopqrstuvwxyz"), (2, "w " * 200_000 + "x" * 5000)], "doc_id long, text string")
     got = scan_secrets(one)
     assert got.count() == 3 and got.where(F.col("probability").isNotNull()).count() == 0 and got.where("is_secret").count() == 3
+
+
+def test_names_before_values_are_neighbours(spark):
+    from sparkfeat.llm.secrets import features, seed_findings
+    s, h = "Zx81" * 8, "0a1b" * 10
+    rows = [(1, f"API_KEY={s}", s), (2, f"AWS_ACCESS_KEY_ID=AKIA{s[:16]}", "AKIA" + s[:16]), (3, f"see https://x.org/a?token={h}&page=2", h)]
+    found = candidates(spark.createDataFrame(rows, "doc_id long, text string, want string"))
+    assert {(r.doc_id, r.candidate) for r in found.collect()} == {(d, v) for d, _, v in rows}
+    assert {r.label for r in seed_findings(found).collect()} == {1}
+    assert {(r.key_word, r.assigned) for r in features(found).collect()} == {(1.0, 1.0)}
+    assert [r.known_prefix for r in features(found).where("doc_id = 2").collect()] == [1.0]
