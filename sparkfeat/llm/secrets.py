@@ -1,6 +1,6 @@
 """Secret scans: a random forest that removes false positives.
 
-Candidates are long runs of key characters in any text, and the values of 20 characters
+Candidates are long runs of key characters in any text, and the values of 6 characters
 or more that are assigned (= or :) to a key word, of any characters up to white space or
 the closing quote. A name and = before a candidate (NAME=value, ?token=value) belong to
 the words next to it. Each candidate is described by its length, its character-class transitions, how much of it dictionary words cover,
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from sparkfeat.llm.common import materialize, table
 
 MIN_LENGTH = 20          # of a run anywhere
-MIN_VALUE = 20           # of a value assigned to a key word
+MIN_VALUE = 6            # of a value assigned to a key word
 RUN = r"[A-Za-z0-9+/_=.\-]{20,}"
 WHITE_RUN = r"[\x20\x09-\x0D]+"
 # Words that make a candidate look like an ordinary name rather than a key.

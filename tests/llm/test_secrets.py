@@ -73,3 +73,44 @@ def test_names_before_values_are_neighbours(spark):
     assert {r.label for r in seed_findings(found).collect()} == {1}
     assert {(r.key_word, r.assigned) for r in features(found).collect()} == {(1.0, 1.0)}
     assert [r.known_prefix for r in features(found).where("doc_id = 2").collect()] == [1.0]
+
+
+def assigned(seed, n):
+    """Values in the forms of .env lines, URL queries, JSON and code, and what only looks like them."""
+    rnd = random.Random(seed)
+    pick = lambda k, a="ABCDEFGHabcdefghijkl0123456789": "".join(rnd.choice(a) for _ in range(k - 2)) + "a7"
+    rows, truth = [], set()
+    for d in range(n):
+        s, h = pick(32), pick(40, "0123456789abcdef")
+        short, odd = pick(rnd.choice([8, 12, 16])), pick(5) + rnd.choice("!$%~#@") + pick(6) + "!" + pick(9)
+        word, value = [
+            (f"API_KEY={s}", s), (f"https://x.org/a?token={h}&page=2", h), (f"password = {short}", short), (f'"db_password":"{odd}",', odd),
+            (f"DB_PASSWORD={short}", short), (f"token: {odd}", odd), (f"AWS_ACCESS_KEY_ID=AKIA{s[:16]}", "AKIA" + s[:16]),
+            (f"Server=db;Password={short};User=me", short), (f"secret ={short}", short), (f"export GITHUB=ghp_{s}", "ghp_" + s),
+            (f"https://www.example.com/{pick(24)}/page.html", None), ("password=${DB_PASSWORD_OF_HOST}", None),
+            (f"mail some.person.with.name{pick(2)}@mail.example.com", None), ("token: placeholder", None), (f"number 12345678901234567{rnd.randrange(999)}", None),
+            ("averyverylongordinarywordindeed", None)][d % 16]
+        rows.append((d, rnd.choice([" ", "\n"]).join(["plain", "words", word, "here"])))
+        if value:
+            truth.add((d, value))
+    return rows, truth
+
+
+def test_assigned_values_are_candidates(spark):
+    rows, truth = assigned(1, 160)
+    got = {(r.doc_id, r.candidate) for r in candidates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert truth <= got and not [c for _, c in got if re.search("(?i)^(api_key|token|password)=", c)]
+    keep = [(1, "f" * 30 + "=" + "0a" * 15), (2, "secrets=[" + "0a" * 15 + "," + "1b" * 15 + "]"), (3, "password=" + "a1" * 20_000), (4, "a_long_setting_name=on"),
+            (5, "author: B. Long"), (6, "x" * 30 + "=="), (7, "token=token=abc"), (8, "API_KEY=x")]
+    got = sorted((r.doc_id, r.candidate) for r in candidates(spark.createDataFrame(keep, "doc_id long, text string")).collect())
+    assert (2, "0a" * 15) in got and (2, "1b" * 15) in got and (3, "a1" * 20_000) in got and (4, "a_long_setting_name=on") in got
+    assert (6, "x" * 30 + "==") in got and not [c for d, c in got if d in (5, 8)]
+
+
+def test_assigned_secrets_stay_on_unseen_documents(spark):
+    from sparkfeat.llm.secrets import seed_findings
+    fit, _ = assigned(2, 800)
+    new, truth = assigned(3, 800)
+    findings = seed_findings(candidates(spark.createDataFrame(fit, "doc_id long, text string")))
+    got = scan_secrets(spark.createDataFrame(new, "doc_id long, text string"), findings).where("is_secret").collect()
+    assert {(r.doc_id, r.candidate) for r in got} == truth
