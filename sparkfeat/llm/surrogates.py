@@ -1,6 +1,6 @@
 """Surrogate generation for personal data.
 
-Detected entities (e-mail and IPv4 addresses, payment cards, phone and social
+Detected entities (e-mail, IPv4 and IPv6 addresses, payment cards, phone and social
 security numbers, titled person names) are replaced by keyed surrogates of the same
 type, format, script and, for names, gender. The same entity gets the same surrogate
 in every document (coreference) and different entities get different ones.
@@ -30,15 +30,22 @@ from sparkfeat.llm.common import drop_materialized, materialize, slices, table
 
 EMAIL = r"[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)+"
 IPV4 = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"
-CARD = r"(?<![\d\-])(?:\d{13,19}|\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4})(?![\d\-])"
-SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
-PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .\-]\d{3,4}[ .\-]\d{3,4}(?![\w\-])"
+_H = r"[0-9A-Fa-f]{1,4}"
+IPV6 = (rf"(?<![\w:.])(?=[A-Fa-f:]*\d)(?:(?:{_H}:){{7}}{_H}|" + "|".join(rf"(?:{_H}:){{{k}}}(?::{_H}){{1,{7 - k}}}" for k in range(6, 0, -1))
+        + rf"|:(?::{_H}){{1,7}}|(?:{_H}:){{1,7}}:)(?![\w:]|\.\d)")
+CARD = r"(?<!\d)(?<!\d-)(?:\d{13,19}|\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}|\d{4}[ \-]\d{6}[ \-]\d{4,5})(?!\d|-\d)"
+SSN = r"(?<!\d)(?<!\d-)\d{3}-\d{2}-\d{4}(?!\d|-\d)"
+_CODE = r"\+\d{1,3}[ .\-]?"
+PHONE = (r"(?<![\w+])(?:" + rf"(?:{_CODE})?(?:\(\d{{2,4}}\)[ .\-]?|\d{{2,4}}[ .\-])\d{{3,4}}[ .\-]\d{{3,4}}"         # (555) 123-4567
+         + rf"|{_CODE}(?:\(\d{{1,5}}\)[ .\-]?)?\d{{1,5}}(?:[ .\-]\d{{2}}){{3,5}}(?!\.\d)|0[1-9](?:[ .\-]\d{{2}}){{4}}"        # +33 6 12 34 56 78
+         + rf"|{_CODE}(?:\(\d{{1,5}}\)[ .\-]?)?\d{{1,5}}(?:[ \-]\d{{2,4}}){{2,4}}(?!\.\d)"                                    # +49 30 123 45 67
+         + rf"|{_CODE}(?:\(\d{{1,5}}\)|\d{{1,5}})[ .\-]?\d{{5,10}}|\+\d{{7,15}})(?!\w|-\d)")                          # +49 30 12345678, +14155552671
 TITLES = {"Mr": "m", "Mister": "m", "Sir": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Господин": "m",
           "Mrs": "f", "Ms": "f", "Miss": "f", "Madam": "f", "Frau": "f", "Madame": "f", "Señora": "f", "Госпожа": "f"}
 NAME = r"(?<!\w)(?:" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\.? [^\W\d_a-zа-я]\w+(?:[ \-][^\W\d_a-zа-я]\w+){0,2}"
-TYPES = ["email", "ipv4", "card", "ssn", "phone", "name"]
-DETECT = re.compile("|".join(f"(?P<{t}>{p})" for t, p in zip(TYPES, (EMAIL, IPV4, CARD, SSN, PHONE, NAME))))
-MAYBE = re.compile(r"@|\d[\d.) \-]{6}|" + "|".join(sorted(TITLES)))
+TYPES = ["email", "ipv4", "ipv6", "card", "ssn", "phone", "name"]
+DETECT = re.compile("|".join(f"(?P<{t}>{p})" for t, p in zip(TYPES, (EMAIL, IPV4, IPV6, CARD, SSN, PHONE, NAME))))
+MAYBE = re.compile(r"@|\d[\d.) (\-]{6}|[0-9A-Fa-f]:[0-9A-Fa-f]{0,4}:|::|" + "|".join(sorted(TITLES)))
 
 # Given names by script and gender.
 GIVEN = {("latin", "m"): ["Adam", "Boris", "Carl", "Daniel", "Erik", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leo"],
@@ -119,12 +126,23 @@ def canonical(kind: str, mention: str) -> str:
     if kind == "name":
         title, name = re.split(r"\.? ", mention, maxsplit=1)
         return f"{TITLES[title]} {name.lower()}"
+    if kind == "ipv6":
+        return str(ipaddress.IPv6Address(mention))
     return mention
 
 
 PRIVATE = [ipaddress.IPv4Network(n) for n in ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8")]
 
 
+NETS6 = [ipaddress.IPv6Network(n) for n in ("2000::/3", "fc00::/7", "fe80::/10")]        # global, private, link
+
+
+def _address6(entity: str):
+    """(number, its network or None) of an IPv6 address."""
+    address = ipaddress.IPv6Address(entity)
+    return int(address), next((n for n in NETS6 if address in n), None)
+
+
 def _address(entity: str):
     """(number, its private network or None); None for octets written with leading zeros."""
     try:
@@ -134,10 +152,15 @@ def _address(entity: str):
     return int(address), next((n for n in PRIVATE if address in n), None)
 
 
+TWO_DIGIT_CODES = {20, 27, *range(30, 35), 36, 39, 40, 41, *range(43, 50), *range(51, 59), *range(60, 67), 81, 82, 84, 86, *range(90, 96), 98}
+
+
 def _fixed_digits(entity: str) -> tuple[str, str]:
     """What stays of a number (the plus sign and country code) and the digits that are permuted."""
     digits = entity.lstrip("+")
-    fixed = len(digits) - 10 if entity.startswith("+") and len(digits) > 10 else 0
+    fixed = 0
+    if entity.startswith("+") and len(digits) > 6:
+        fixed = 1 if digits[0] in "17" else 2 if int(digits[:2]) in TWO_DIGIT_CODES else 3
     return ("+" if entity.startswith("+") else "") + digits[:fixed], digits[fixed:]
 
 
@@ -146,6 +169,9 @@ def space(kind: str, entity: str) -> tuple[str | None, float | None]:
     if kind == "ipv4" and (found := _address(entity)):
         net = found[1]
         return (str(net), float(net.num_addresses)) if net else ("public", float((1 << 32) - sum(n.num_addresses for n in PRIVATE)))
+    if kind == "ipv6":
+        net = _address6(entity)[1]
+        return str(net or "other"), float(net.num_addresses if net else (1 << 128) - sum(n.num_addresses for n in NETS6))
     if kind == "card":
         return str(len(entity)), 10.0 ** len(entity)
     if kind in ("ssn", "phone"):
@@ -169,6 +195,15 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
             address = permute(key, address, 1 << 32, *what)
             if not any(ipaddress.IPv4Address(address) in n for n in PRIVATE):
                 return str(ipaddress.IPv4Address(address))
+    if kind == "ipv6":
+        address, net = _address6(entity)
+        if net:                                                  # a network's addresses stay in it
+            base = int(net.network_address)
+            return str(ipaddress.IPv6Address(base + permute(key, address - base, net.num_addresses, *what, str(net))))
+        while True:
+            address = permute(key, address, 1 << 128, *what)
+            if not any(ipaddress.IPv6Address(address) in n for n in NETS6):
+                return str(ipaddress.IPv6Address(address))
     if kind == "card":
         body = entity[:-1]
         shift = (int(entity[-1]) - _luhn(body)) % 10             # a valid number stays valid, an invalid one invalid
@@ -200,7 +235,9 @@ def mention_of(kind: str, new: str, mention: str) -> str:
     if kind in ("card", "ssn", "phone"):
         digits = iter(new.lstrip("+"))
         return re.sub(r"\d", lambda _: next(digits), mention)
-    if kind == "email":
+    if kind in ("email", "ipv6"):
+        if kind == "ipv6" and all(len(g) == 4 for g in mention.split(":")):
+            new = ipaddress.IPv6Address(new).exploded
         return new.upper() if mention.isupper() else new
     if kind == "name":
         title = re.match(r"\w+\.? ", mention)[0]

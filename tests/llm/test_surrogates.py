@@ -88,3 +88,27 @@ def test_crowded_names_and_ranges(spark):
     assert not {("name", new[x]) for x in names} & set(rows) and not {("email", new[x]) for x in mails} & set(rows)
     assert all(new[x].startswith("192.168.") for x in hosts) and max(r.attempt for r in drawn if r.entity.startswith("192.")) == 0
     assert all(new[x].startswith("10.") and ("ipv4", new[x]) not in set(rows) for x in few)
+
+
+@pytest.mark.parametrize("kind,mention", [("phone", p) for p in (
+    "+14155552671", "(555)123-4567", "+1(415)555-2671", "+49 30 12345678", "+33 6 12 34 56 78", "06 12 34 56 78", "+44 20 7946 0958",
+    "+49 (30) 12345678", "+49 30 123 45 67", "+352 621 123 456")] + [("card", c) for c in ("3782 822463 10005", "3782-822463-10005", "378282246310005")]
+    + [("ipv6", a) for a in ("2001:db8::1", "2001:0DB8:0000:0000:0000:FF00:0042:8329", "fe80::1ff:fe23:4567:890a", "::1", "fd00:1:2:3:4:5:6:7")])
+def test_common_formats(kind, mention):
+    for text in (f"see {mention} now", f"({mention}), next", mention, f"- {mention}-", f"{mention} 10.0.0.7"):
+        got = [(k, text[a:b], e) for a, b, k, e in detect(text) if k != "ipv4"]
+        assert [g[:2] for g in got] == [(kind, mention)]
+        new = surrogates.mention_of(kind, surrogate(KEY, kind, got[0][2]), mention)
+        assert new != mention and (kind == "phone" or [(k, new[a:b]) for a, b, k, _ in detect(new)] == [(kind, new)])
+        if kind != "ipv6":
+            assert re.sub(r"\d", "0", new) == re.sub(r"\d", "0", mention)
+    if mention.startswith("+"):
+        code = re.match(r"\+(1|33|44|49|352)", mention)[0]
+        assert new.startswith(code)
+    if mention[:2] in ("fe", "fd", "20"):
+        assert new[:1].lower() in ("f" if mention[0] == "f" else "23")
+
+
+def test_hyphens_times_and_scopes():
+    assert [k for _, _, k, _ in detect("4539148803436467-x, 4539148803436467- and -4539148803436467")] == ["card"] * 3
+    assert not detect("at 12:34:56 std::vector Dad:: aa:bb:cc:dd:ee:ff 2024-01-02 1.2.3 add::bee 4539148803436467-1")
