@@ -3,7 +3,10 @@
 Detected entities (e-mail, IPv4 and IPv6 addresses, payment cards, phone and social
 security numbers, titled person names) are replaced by keyed surrogates of the same
 type, format, script and, for names, gender. The same entity gets the same surrogate
-in every document (coreference) and different entities get different ones.
+in every document (coreference) and different entities get different ones. A person's
+family name and each given name (by gender) are drawn on their own, so all Smiths share
+a surrogate; further mentions of a name without its title are replaced in its document,
+case and spelling alike. Letters keep their script; Latin names get plain Latin letters.
 
 Numbers and addresses go through a keyed permutation of all numbers of their format,
 so they cannot collide with each other. E-mails and names are drawn by a keyed hash.
@@ -21,6 +24,7 @@ import hashlib
 import hmac
 import ipaddress
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,9 +44,15 @@ PHONE = (r"(?<![\w+])(?:" + rf"(?:{_CODE})?(?:\(\d{{2,4}}\)[ .\-]?|\d{{2,4}}[ .\
          + rf"|{_CODE}(?:\(\d{{1,5}}\)[ .\-]?)?\d{{1,5}}(?:[ .\-]\d{{2}}){{3,5}}(?!\.\d)|0[1-9](?:[ .\-]\d{{2}}){{4}}"        # +33 6 12 34 56 78
          + rf"|{_CODE}(?:\(\d{{1,5}}\)[ .\-]?)?\d{{1,5}}(?:[ \-]\d{{2,4}}){{2,4}}(?!\.\d)"                                    # +49 30 123 45 67
          + rf"|{_CODE}(?:\(\d{{1,5}}\)|\d{{1,5}})[ .\-]?\d{{5,10}}|\+\d{{7,15}})(?!\w|-\d)")                          # +49 30 12345678, +14155552671
-TITLES = {"Mr": "m", "Mister": "m", "Sir": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Господин": "m",
-          "Mrs": "f", "Ms": "f", "Miss": "f", "Madam": "f", "Frau": "f", "Madame": "f", "Señora": "f", "Госпожа": "f"}
-NAME = r"(?<!\w)(?:" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\.? [^\W\d_a-zа-я]\w+(?:[ \-][^\W\d_a-zа-я]\w+){0,2}"
+TITLES = {"Mr": "m", "Mister": "m", "Sir": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Signor": "m", "Lord": "m", "Господин": "m", "Κύριος": "m",
+          "Mrs": "f", "Ms": "f", "Miss": "f", "Madam": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Mlle": "f", "Mademoiselle": "f", "Señora": "f", "Sra": "f",
+          "Señorita": "f", "Srta": "f", "Signora": "f", "Lady": "f", "Dra": "f", "Госпожа": "f", "Κυρία": "f",
+          "Dr": "n", "Doctor": "n", "Doktor": "n", "Prof": "n", "Professor": "n", "Mx": "n", "Доктор": "n", "Профессор": "n"}     # n: any gender
+LOWER = re.escape("".join(chr(c) for c in range(0x2E80) if chr(c).islower()))
+WORD = rf"[^\W\d_{LOWER}]\w+"                     # not a lower-case letter first
+TITLE = r"(?:(?:" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\.? )"
+NAME = rf"(?<!\w){TITLE}{{1,3}}(?!{TITLE}){WORD}(?:[ \-]{WORD}){{0,2}}"
+TITLED = re.compile(TITLE + "{1,3}")
 TYPES = ["email", "ipv4", "ipv6", "card", "ssn", "phone", "name"]
 DETECT = re.compile("|".join(f"(?P<{t}>{p})" for t, p in zip(TYPES, (EMAIL, IPV4, IPV6, CARD, SSN, PHONE, NAME))))
 MAYBE = re.compile(r"@|\d[\d.) (\-]{6}|[0-9A-Fa-f]:[0-9A-Fa-f]{0,4}:|::|" + "|".join(sorted(TITLES)))
@@ -52,9 +62,10 @@ GIVEN = {("latin", "m"): ["Adam", "Boris", "Carl", "Daniel", "Erik", "Felix", "G
          ("latin", "f"): ["Anna", "Berta", "Clara", "Diana", "Elena", "Flora", "Greta", "Helen", "Irene", "Julia", "Karin", "Laura"],
          ("cyrillic", "m"): ["Алексей", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Кирилл"],
          ("cyrillic", "f"): ["Анна", "Белла", "Вера", "Галина", "Дарья", "Елена", "Ирина", "Клара"]}
-SYLLABLES = {"latin": ["bar", "den", "fol", "gan", "hol", "ker", "lin", "mor", "nes", "per", "ros", "sten", "tor", "vin", "wel", "zan"],
+GIVEN |= {("greek", "m"): ["Αλέξης", "Γιώργος", "Δημήτρης", "Κώστας", "Νίκος", "Πέτρος"], ("greek", "f"): ["Άννα", "Ελένη", "Ιωάννα", "Κατερίνα", "Μαρία", "Σοφία"]}
+SYLLABLES = {"greek": ["βαρ", "δεν", "φολ", "γαν", "χολ", "κερ", "λιν", "μορ", "νεσ", "περ", "ροσ", "στεν", "τορ", "βιν", "βελ", "ζαν"], "latin": ["bar", "den", "fol", "gan", "hol", "ker", "lin", "mor", "nes", "per", "ros", "sten", "tor", "vin", "wel", "zan"],
              "cyrillic": ["бар", "ден", "фол", "ган", "хол", "кер", "лин", "мор", "нес", "пер", "рос", "стен", "тор", "вин", "вел", "зан"]}
-FAMILY_END = {("latin", "m"): "", ("latin", "f"): "", ("cyrillic", "m"): "ов", ("cyrillic", "f"): "ова"}
+SCRIPTS = [("cyrillic", re.compile("[Ѐ-ӿ]")), ("greek", re.compile("[Ͱ-Ͽἀ-῿]")), ("latin", re.compile("[A-Za-zÀ-ɏḀ-ỿ]"))]
 MAX_BROADCAST_REDRAWN = 100_000
 
 
@@ -86,6 +97,18 @@ def _luhn(digits: str) -> int:
     return -total % 10
 
 
+@lru_cache(None)
+def _letters(block: int, upper: bool, lower: bool) -> str:
+    """The letters of a case in a block of 128 characters that have one partner of the other case, or no case."""
+    if block == 0:
+        return "ABCDEFGHIJKLMNOPQRSTUVWXYZ" if upper else "abcdefghijklmnopqrstuvwxyz"
+    if block == 8 and (upper or lower):                          # the Russian letters
+        return "".join(chr((0x410 if upper else 0x430) + k) for k in range(32))
+    every = [chr(c) for c in range(block << 7, (block + 1) << 7)]
+    return "".join(c for c in every if c.isalpha() and c.isupper() == upper and c.islower() == lower
+                   and (not upper or c.lower().upper() == c) and (not lower or c.upper().lower() == c and c.upper() != c))
+
+
 def _like(template: str, letters) -> str:
     """``letters`` (an iterator of numbers) in the case, script and digits of ``template``."""
     out = []
@@ -93,9 +116,8 @@ def _like(template: str, letters) -> str:
         if c.isdigit():
             out.append(str(next(letters) % 10))
         elif c.isalpha():
-            cyrillic = "Ѐ" <= c <= "ӿ"
-            x = chr((0x430 if cyrillic else 97) + next(letters) % (32 if cyrillic else 26))
-            out.append(x.upper() if c.isupper() else x)
+            choice = _letters(ord(c) >> 7, c.isupper(), c.islower())
+            out.append(choice[next(letters) % len(choice)] if choice else c)
         else:
             out.append(c)
     return "".join(out)
@@ -114,7 +136,51 @@ def detect(text: str | None):
     """(start, end, type, canonical form) of the entities of a text, left to right."""
     if not text or not MAYBE.search(text):
         return []
-    return [(m.start(), m.end(), m.lastgroup, canonical(m.lastgroup, m[0])) for m in DETECT.finditer(text)]
+    found = [(m.start(), m.end(), m.lastgroup, canonical(m.lastgroup, m[0])) for m in DETECT.finditer(text)]
+    if not any(kind == "name" for _, _, kind, _ in found):
+        return found
+    known = {}                                                   # word of a detected name -> (is given, gender)
+    for gendered in (True, False):
+        for a, b, kind, entity in found:
+            if kind == "name" and (entity[0] != "n") == gendered:
+                words = TITLED.sub("", text[a:b], count=1).split(" ")
+                for k, word in enumerate(words):
+                    for part in word.split("-"):
+                        known.setdefault(part, (k < len(words) - 1, entity[0]))
+    # a neutral title takes the gender that the given name has in the text
+    lowered = {w.lower(): g for w, (given, g) in known.items() if given}
+    found = [(a, b, kind, lowered.get(re.split("[ -]", e[2:])[0], "n") + e[1:] if kind == "name" and e[0] == "n" and " " in e[2:] else e)
+             for a, b, kind, e in found]
+    for word, role in list(known.items()):
+        if len(word.upper()) == len(word):
+            known.setdefault(word.upper(), role)
+    out, at = [], 0
+    for a, b, kind, entity in [*found, (len(text), len(text), None, None)]:
+        out += _again(text, at, a, known)
+        if kind:
+            out.append((a, b, kind, entity))
+        at = b
+    return out
+
+
+def _again(text: str, lo: int, hi: int, known: dict):
+    """Further mentions of known name words between lo and hi: given names, family name, or both in this order."""
+    out, last = [], None                                         # last: may the mention go on
+    for m in re.compile(r"\w+").finditer(text, lo, hi):
+        role = known.get(m[0])
+        if role is None or (m.start() == lo and lo and re.match(r"\w", text[lo - 1])):
+            last = None
+            continue
+        given, gender = role
+        if last and m.start() == out[-1][1] + 1 and text[m.start() - 1] in " -" and (last[0] or text[m.start() - 1] == "-" and not given):
+            a, _, _, entity = out.pop()
+            mark = text[m.start() - 1]
+            entity = entity.rstrip(" ") + mark + m[0].lower() + (" " if given else "")
+            out.append((a, m.end(), "name", entity))
+        else:
+            out.append((m.start(), m.end(), "name", f"{gender} {m[0].lower()}" + (" " if given else "")))
+        last = role
+    return out
 
 
 def canonical(kind: str, mention: str) -> str:
@@ -124,8 +190,9 @@ def canonical(kind: str, mention: str) -> str:
     if kind in ("card", "ssn", "phone"):
         return ("+" if mention.startswith("+") else "") + re.sub(r"\D", "", mention)
     if kind == "name":
-        title, name = re.split(r"\.? ", mention, maxsplit=1)
-        return f"{TITLES[title]} {name.lower()}"
+        titles = TITLED.match(mention)[0]
+        gender = next((g for g in (TITLES[t.rstrip(".")] for t in titles.split()) if g != "n"), "n")
+        return f"{gender} {mention[len(titles):].lower()}"
     if kind == "ipv6":
         return str(ipaddress.IPv6Address(mention))
     return mention
@@ -218,16 +285,60 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
         host, _, tld = domain.rpartition(".")
         # one surrogate for a domain wherever it stands, whatever the attempt; a crowded one gets longer names
         return _like(local + "a" * max(0, attempt - 2), _numbers(key, *what, entity)) + "@" + _like(host, _numbers(key, "domain", domain)) + "." + tld
+    if kind in ("family", "given"):
+        return _name_word(key, kind, entity, attempt)
+    return name_surrogate(key, entity, lambda kind, word: attempt)
+
+
+def name_parts(entity: str) -> list[tuple[str, str, str]]:
+    """(mark before, family or given, its canonical form) of a canonical name; one that ends with a space has no family name."""
     gender, _, name = entity.partition(" ")
-    parts = re.split(r"[ \-]", name)
-    marks = re.findall(r"[ \-]", name)
-    script = "cyrillic" if re.search("[Ѐ-ӿ]", name) else "latin"
-    last = ""
-    while len(last) < 4 + 3 * attempt:                           # every redraw has 16 times the room
-        last += SYLLABLES[script][_draw(key, *what, entity, "family", len(last)) % 16]
-    last += SYLLABLES[script][_draw(key, *what, entity, "end") % 16] + FAMILY_END[script, gender]
-    first = [GIVEN[script, gender][_draw(key, *what, entity, k) % len(GIVEN[script, gender])].lower() for k in range(len(parts) - 1)]
-    return gender + " " + "".join(p + m for p, m in zip([*first, last], [*marks, ""]))
+    words, out = name.split(" "), []
+    for k, word in enumerate(words):
+        for j, part in enumerate(word.split("-")):
+            if part:
+                mark = "-" if j else " "
+                out.append((mark, "family", _family(part, gender)) if k == len(words) - 1 else (mark, "given", f"{gender} {part}"))
+    return out
+
+
+def _family(word: str, gender: str) -> str:
+    """A family name without the ending that a Russian one has for women."""
+    return word[:-1] if gender == "f" and re.fullmatch("[Ѐ-ӿ]+(?:ов|ев|ёв|ин|ын)а", word) else word
+
+
+def _name_word(key: bytes, kind: str, entity: str, attempt: int) -> str:
+    """Surrogate of a family name (without ending), or of a given name after its gender."""
+    gender, _, word = entity.rpartition(" ")
+    script = next((s for s, letters in SCRIPTS if letters.search(word)), None)
+    what = (kind, attempt) if attempt else (kind,)
+    if script is None:                                           # a script without a list: letters of its own
+        new = _like(word + word[-1] * (attempt + (len(word) < 2)), _numbers(key, *what, entity))
+        return f"{gender} {new}" if gender else new
+    new = ""
+    if kind == "given":
+        names = GIVEN[script, gender] if gender != "n" else GIVEN[script, "m"] + GIVEN[script, "f"]
+        new = names[_draw(key, *what, entity) % len(names)].lower()
+    grown = len(new) + 3 * attempt if kind == "given" else 4 + 3 * attempt
+    while len(new) < grown:                                      # every redraw has 16 times the room
+        new += SYLLABLES[script][_draw(key, *what, entity, "family", len(new)) % 16]
+    if kind == "family":
+        new += SYLLABLES[script][_draw(key, *what, entity, "end") % 16] + ("ов" if script == "cyrillic" else "")
+    return f"{gender} {new}" if gender else new
+
+
+def name_surrogate(key: bytes, entity: str, attempt_of) -> str:
+    """Canonical surrogate of a name from those of its words; ``attempt_of(kind, word)`` tells their attempts."""
+    gender, new = entity[0], ""
+    for mark, kind, word in name_parts(entity):
+        drawn = _name_word(key, kind, word, attempt_of(kind, word)).rpartition(" ")[2]
+        new += mark + drawn + ("а" if kind == "family" and gender == "f" and drawn.endswith("ов") else "")
+    return gender + " " + new[1:]
+
+
+def drawn_entities(kind: str, entity: str) -> list[tuple[str, str]]:
+    """What is drawn for an entity: the words of a name, else itself."""
+    return [(k, word) for _, k, word in name_parts(entity)] if kind == "name" else [(kind, entity)]
 
 
 def mention_of(kind: str, new: str, mention: str) -> str:
@@ -240,7 +351,7 @@ def mention_of(kind: str, new: str, mention: str) -> str:
             new = ipaddress.IPv6Address(new).exploded
         return new.upper() if mention.isupper() else new
     if kind == "name":
-        title = re.match(r"\w+\.? ", mention)[0]
+        title = m[0] if (m := TITLED.match(mention)) else ""
         name = new.partition(" ")[2]
         return title + (name.upper() if mention[len(title):].isupper() else re.sub(r"\w+", lambda m: m[0].capitalize(), name))
     return new
@@ -254,7 +365,8 @@ def _entities_of(batches):
         seen = {}
         for text in batch.column("text"):
             for _, _, kind, entity in detect(text.as_py()):
-                seen[kind, entity] = seen.get((kind, entity), 0) + 1
+                for one in drawn_entities(kind, entity):
+                    seen[one] = seen.get(one, 0) + 1
         cols = list(zip(*((k, e, n) for (k, e), n in seen.items()))) or [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())],
                                          names=["kind", "entity", "mentions"])
@@ -319,7 +431,10 @@ def _rewrite_of(key, redrawn):
                 attempts = common if own is None else {(x["kind"], x["entity"]): x["attempt"] for x in own[r] or ()}
                 out, at, seen = [], 0, []
                 for a, b, kind, entity in detect(text):
-                    new = surrogate(key, kind, entity, attempts.get((kind, entity), 0))
+                    if kind == "name":
+                        new = name_surrogate(key, entity, lambda *word: attempts.get(word, 0))  # noqa: B023
+                    else:
+                        new = surrogate(key, kind, entity, attempts.get((kind, entity), 0))
                     out += [text[at:a], mention_of(kind, new, text[a:b])]
                     at = b
                     seen.append(kind)
@@ -364,8 +479,8 @@ def pseudonymise(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str =
 
 def _mentions_of(batches):
     for batch in slices(batches):
-        rows = [(k, kind, entity) for k, text in zip(batch.column("__key").to_pylist(), batch.column("__text").to_pylist())
-                for _, _, kind, entity in detect(text)]
+        rows = [(k, *one) for k, text in zip(batch.column("__key").to_pylist(), batch.column("__text").to_pylist())
+                for _, _, kind, entity in detect(text) for one in drawn_entities(kind, entity)]
         cols = list(zip(*rows)) or [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())],
                                          names=["__key", "kind", "entity"])

@@ -112,3 +112,30 @@ def test_common_formats(kind, mention):
 def test_hyphens_times_and_scopes():
     assert [k for _, _, k, _ in detect("4539148803436467-x, 4539148803436467- and -4539148803436467")] == ["card"] * 3
     assert not detect("at 12:34:56 std::vector Dad:: aa:bb:cc:dd:ee:ff 2024-01-02 1.2.3 add::bee 4539148803436467-1")
+
+
+def test_names_are_one_person_everywhere(spark):
+    rows = [(1, "Smith came. Mr John Smith met Mrs Smith; John Smith left, SMITH too, then John. Smithson stayed."), (2, "Mr Smith and Dr. John Smith"),
+            (3, "Prof. Dr. Anna Ölmann-Weiß, Mme Curie, Sra. López. Anna went, Ölmann-Weiß too"), (4, "Smith without a title"),
+            (5, "Господин Иван Петров и Госпожа Анна Петрова. Петров, Петрова"), (6, "Mr Παπαδόπουλος είπε, Παπαδόπουλος"), (7, "Mr Jack Smith, Mr Jim Smith")]
+    got = {r.doc_id: r for r in pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    text = {d: r.text for d, r in got.items()}
+    for d, words in {1: "John Smith SMITH", 2: "Smith John", 3: "Anna Ölmann Weiß Curie López", 5: "Иван Петров Анна Петрова", 6: "Παπαδόπουλος", 7: "Jack Jim Smith"}.items():
+        assert not set(words.split()) & set(re.findall(r"\w+", text[d])), text[d]
+    m = re.fullmatch(r"(\w+) came\. Mr (\w+) \1 met Mrs \1; \2 \1 left, (\w+) too, then \2\. Smithson stayed\.", text[1])
+    assert m and m[3] == m[1].upper() and got[1].n_entities == 6 and text[2].startswith(f"Mr {m[1]} and Dr. ") and text[2].endswith(" " + m[1])
+    assert text[4] == "Smith without a title"
+    m = re.fullmatch(r"Prof\. Dr\. (\w+) (\w+-\w+), Mme \w+, Sra\. \w+\. \1 went, \2 too", text[3])
+    assert m
+    m = re.fullmatch("Господин [А-я]+ ([А-я]+ов) и Госпожа [А-я]+ ([А-я]+ова)\\. ([А-я]+), ([А-я]+)", text[5])
+    assert m and m[2] == m[1] + "а" and (m[3], m[4]) == (m[1], m[2])
+    m = re.fullmatch("Mr ([Α-ώ]+) είπε, ([Α-ώ]+)", text[6])
+    assert m and m[1] == m[2]
+    jack, jim = re.findall(r"Mr (\w+)", text[7])
+    assert jack != jim
+
+
+def test_letters_keep_their_script():
+    new = surrogate(KEY, "email", "γιώργος.é@παράδειγμα.gr")
+    assert re.fullmatch("[Ͱ-Ͽ]{7}\\.[à-ÿ]@[Ͱ-Ͽ]{10}\\.gr", new) and new == new.lower()
+    assert surrogate(KEY, "name", "m 田中") != "m 田中" and re.fullmatch("m [一-鿿]+", surrogate(KEY, "name", "m 田中"))
