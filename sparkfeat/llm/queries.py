@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sparkfeat.llm import (decontaminate, lines, mixing, phrases, quality, secrets, simhash, surrogates, topk,
-                           urls)
+from sparkfeat.llm import (decontaminate, lines, mixing, phrases, quality, secrets, simhash, sketches, surrogates,
+                           topk, urls)
 
 QUERIES = {
     "op1_pii_surrogates": surrogates.op1_pii_surrogates,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_quality_gam": quality.op9_quality_gam,
     "op10_decontamination": decontaminate.op10_decontamination,
+    "op11_scaled_sketch": sketches.op11_scaled_sketch,
 }
 
 SQL = {
@@ -25,4 +26,5 @@ SQL = {
     "op7_url_cascade": urls.OP7_SQL,
     "op8_line_dedup": lines.OP8_SQL,
     "op10_decontamination": decontaminate.OP10_SQL,
+    "op11_scaled_sketch": sketches.OP11_SQL,
 }
