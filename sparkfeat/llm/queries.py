@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sparkfeat.llm import (decontaminate, lines, mixing, phrases, quality, secrets, simhash, sketches, surrogates,
-                           topk, urls)
+from sparkfeat.llm import (decontaminate, lines, mixing, phrases, quality, secrets, simhash, sketches, spheres,
+                           surrogates, topk, urls)
 
 QUERIES = {
     "op1_pii_surrogates": surrogates.op1_pii_surrogates,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_quality_gam": quality.op9_quality_gam,
     "op10_decontamination": decontaminate.op10_decontamination,
     "op11_scaled_sketch": sketches.op11_scaled_sketch,
+    "op12_sphere_clusters": spheres.op12_sphere_clusters,
 }
 
 SQL = {
@@ -27,4 +28,5 @@ SQL = {
     "op8_line_dedup": lines.OP8_SQL,
     "op10_decontamination": decontaminate.OP10_SQL,
     "op11_scaled_sketch": sketches.OP11_SQL,
+    "op12_sphere_clusters": spheres.OP12_SQL,
 }
