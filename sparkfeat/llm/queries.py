@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkfeat.llm import (decontaminate, lines, mixing, phrases, quality, secrets, simhash, sketches, spheres,
+from sparkfeat.llm import (decontaminate, lines, mixing, phrases, quality, ranked, secrets, simhash, sketches, spheres,
                            surrogates, topk, urls)
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_decontamination": decontaminate.op10_decontamination,
     "op11_scaled_sketch": sketches.op11_scaled_sketch,
     "op12_sphere_clusters": spheres.op12_sphere_clusters,
+    "op13_rmq_search": ranked.op13_rmq_search,
 }
 
 SQL = {
@@ -29,4 +30,5 @@ SQL = {
     "op10_decontamination": decontaminate.OP10_SQL,
     "op11_scaled_sketch": sketches.OP11_SQL,
     "op12_sphere_clusters": spheres.OP12_SQL,
+    "op13_rmq_search": ranked.OP13_SQL,
 }
