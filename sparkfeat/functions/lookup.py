@@ -46,20 +46,59 @@ def fit_state(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> State:
     return State(cut_lineage(df), False, None)
 
 
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+def _digits(kind: str) -> tuple[int, int]:
+    """Digits before and after the point of a whole or decimal type."""
+    if kind in _WHOLE:
+        return (3, 5, 10, 19)[_WHOLE.index(kind)], 0
+    precision, scale = (int(x) for x in kind[len("decimal("):-1].split(","))
+    return precision - scale, scale
+
+
+def key_type(a: str, b: str) -> str:
+    """The type in which keys of two types are compared: the wider of two whole or decimal
+    types, double if either is floating, timestamp for a date and a timestamp, else string.
+    No key of either side fails to convert or loses digits to a narrower type."""
+    if a == b:
+        return a
+    exact = [t in _WHOLE or t.startswith("decimal") for t in (a, b)]
+    floating = [t in ("float", "double") for t in (a, b)]
+    if all(x or y for x, y in zip(exact, floating)):
+        if any(floating):
+            return "double"
+        if a in _WHOLE and b in _WHOLE:
+            return _WHOLE[max(_WHOLE.index(a), _WHOLE.index(b))]
+        before, after = (max(x) for x in zip(_digits(a), _digits(b)))
+        return f"decimal({min(38, before + after)},{min(after, 38)})"
+    return "timestamp" if {a, b} == {"date", "timestamp"} else "string"
+
+
 def _cond(left: DataFrame, right: DataFrame, keys, null_safe: bool) -> Column:
-    parts = []
+    parts, lt, rt = [], dict(left.dtypes), dict(right.dtypes)
     for lk, rk in keys:
-        lc, rc = left[lk], right[rk]
+        kind = key_type(lt[lk], rt[rk])
+        # try_cast: a number beyond 38 digits matches nothing instead of ending the job
+        lc, rc = (c if t == kind else c.try_cast(kind) for c, t in ((left[lk], lt[lk]), (right[rk], rt[rk])))
         parts.append(lc.eqNullSafe(rc) if null_safe else lc == rc)
     return reduce(lambda a, b: a & b, parts)
 
 
+def _map_keeps_keys(df: DataFrame, state: State, keys) -> bool:
+    """Whether different state keys stay different as map keys (rounding to double may merge them)."""
+    lt, rt = dict(df.dtypes), dict(state.df.dtypes)
+    kinds = [(key_type(lt[lk], rt[rk]), rt[rk]) for lk, rk in keys]
+    return all(kind == own or kind in ("string", *_WHOLE) for kind, own in kinds)
+
+
 MAP_LITERAL_MAX = 32  # map lookups scan their keys: keep maps tiny
 
 
 def _map_lookup(df: DataFrame, state: State, keys, how: str) -> DataFrame:
     """Tiny proven state as a map literal: no join, no extra stage."""
-    types = dict(state.df.dtypes)
+    types, own = dict(state.df.dtypes), dict(df.dtypes)
+    kinds = {rk: key_type(own[lk], types[rk]) for lk, rk in keys}
     rkeys = [rk for _, rk in keys]
     vals = [c for c in state.df.columns if c not in rkeys]
 
@@ -70,13 +109,13 @@ def _map_lookup(df: DataFrame, state: State, keys, how: str) -> DataFrame:
     for r in state.rows:
         if any(r[k] is None for k in rkeys):
             continue  # a null key never matches an equi-join
-        entries.append(key_expr([F.lit(r[k]).cast(types[k]) for k in rkeys]))
+        entries.append(key_expr([F.lit(r[k]).cast(types[k]).cast(kinds[k]) for k in rkeys]))
         entries.append(F.struct(*[F.lit(r[v]).cast(types[v]).alias(v) for v in vals]))
     if not entries:
         looked = F.lit(None).cast("struct<" + ",".join(f"`{v}`:{types[v]}" for v in vals) + ">")
     else:
         looked = F.try_element_at(F.create_map(*entries),
-                                  key_expr([F.col(lk).cast(types[rk]) for lk, rk in keys]))
+                                  key_expr([F.col(lk).cast(kinds[rk]) for lk, rk in keys]))
     out = df.withColumn("__lk", looked)
     if how == "inner":
         out = out.filter(F.col("__lk").isNotNull())
@@ -88,6 +127,8 @@ def lookup_join(df: DataFrame, state: State, keys, *, salt_col: str | None = Non
                 drop_right_keys: bool = True, allow_map: bool = True) -> DataFrame:
     """Join ``df`` to a fitted state on ``keys`` = [(left_col, right_col), ...].
 
+    Keys of different types are compared in ``key_type`` of the two, whatever the state's size.
+
     Tiny state (≤ MAP_LITERAL_MAX rows): a map-literal lookup inside the
     projection (no join, no stage; Spark scans map keys, so only tiny ones). Small state: broadcast hash join (no shuffle of ``df``). Large state with
     ``salt``: the state is replicated over ``SALT_BUCKETS`` salts and ``df``
@@ -97,7 +138,8 @@ def lookup_join(df: DataFrame, state: State, keys, *, salt_col: str | None = Non
     """
     keys = [(k, k) if isinstance(k, str) else tuple(k) for k in keys]
     if (state.small and state.rows is not None and len(state.rows) <= MAP_LITERAL_MAX
-            and allow_map and not null_safe and how in ("left", "inner") and drop_right_keys):
+            and allow_map and not null_safe and how in ("left", "inner") and drop_right_keys
+            and _map_keeps_keys(df, state, keys)):
         return _map_lookup(df, state, keys, how)
     right = state.df
     # Rename state columns to avoid ambiguity with df columns.

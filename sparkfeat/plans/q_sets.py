@@ -68,6 +68,28 @@ register("lookup_default",
          "LEFT JOIN region r ON coalesce(n.n_regionkey, -1) = r.r_regionkey")(lookup_default)
 
 
+def lookup_key_types(spark, sf):
+    """Order keys, moved beyond the int range, looked up in tables of int, double and string keys
+    with 32 and with 33 rows: unknown keys take the default, on either way of looking up."""
+    orders = read_table(spark, sf, "orders").select(
+        "o_orderkey", (F.col("o_orderkey") + F.when(F.col("o_orderkey") % 2 == 0, F.lit(0)).otherwise(F.lit(2 ** 40))).alias("k"))
+    out = orders
+    for size in (32, 33):
+        for kind in ("int", "double", "string"):
+            table = (read_table(spark, sf, "orders").where(F.col("o_orderkey") < 1000).select(F.col("o_orderkey").alias("t"))
+                     .orderBy("t").limit(size).select(F.col("t").cast(kind).alias("t"), F.col("t").cast("long").alias("v")))
+            out = S.lookup_with_default(out, table, "k", "t", "v", -1, "o_orderkey", out=f"{kind}_{size}")
+    return out.drop("k")
+
+
+register("lookup_key_types",
+         "WITH t AS (SELECT o_orderkey AS t, row_number() OVER (ORDER BY o_orderkey) AS r FROM orders WHERE o_orderkey < 1000), "
+         "o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey ELSE o_orderkey + 1099511627776 END AS k FROM orders) "
+         "SELECT o_orderkey, " + ", ".join(f"CASE WHEN r <= {n} THEN t ELSE -1 END::BIGINT AS {kind}_{n}"
+                                           for n in (32, 33) for kind in ("int", "double", "string")) +
+         " FROM o LEFT JOIN t ON o.k = t.t")(lookup_key_types)
+
+
 # ------------------------------------------------------------------ JOI-2/3
 def concat_by_id(spark, sf):
     o = read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("total"))

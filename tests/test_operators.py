@@ -333,6 +333,27 @@ def test_lookup_with_repeated_keys_is_one_value(spark):
         assert len(got) == 20 and got[got.k == "k1"].v.item() == -5
 
 
+KEYS = {"tinyint": ["1", "7"], "int": ["1", "7", "2000000000"], "bigint": ["1", "7", "1099511627776"], "float": ["1", "7.5"],
+        "double": ["1", "7.5", "1e300"], "decimal(10,2)": ["1", "7.5"], "decimal(38,10)": ["1", "7.5", "1099511627776"],
+        "string": ["1", "7", "7.5", "x", ""]}
+
+
+@pytest.mark.parametrize("left", list(KEYS))
+def test_lookup_is_the_same_for_small_and_large_states(spark, left):
+    """No pair of key types ends the job, and 32 rows (map) give what 33 rows (join) give."""
+    from sparkfeat.functions import lookup as L
+    df = spark.createDataFrame([(i, k) for i, k in enumerate([*KEYS[left], None])], "id int, k string").withColumn("k", F.col("k").cast(left))
+    for right in KEYS:
+        got = []
+        for size in (32, 33):
+            rows = KEYS[right] + ([f"{i}" for i in range(40, 40 + size - len(KEYS[right]))])
+            table = spark.createDataFrame([(k, i) for i, k in enumerate(rows)], "k string, v int").withColumn("k", F.col("k").cast(right))
+            state = L.fit_state(table)
+            assert len(state.rows) == size
+            got.append(sorted(map(tuple, L.lookup_join(df.withColumnRenamed("k", "key"), state, [("key", "k")]).select("id", "v").collect())))
+        assert got[0] == got[1] and len(got[0]) == df.count(), (left, right)
+
+
 def test_constant_null_and_one_sided_inputs(spark):
     from pyspark.sql import functions as F
     from sparkfeat.operators import clean, models, profile
