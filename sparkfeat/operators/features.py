@@ -13,9 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkfeat.functions.lookup import State, lookup_join
-from sparkfeat.session import cut_lineage
 from sparkfeat.functions.ordered import cumulative, exact_quantiles, unpivot_numeric
+from sparkfeat.session import written
 
 
 def _c(x) -> Column:
@@ -95,8 +94,11 @@ def zscore(c, moments: dict, eps: float = 1e-8) -> Column:
 
 
 def high_flag(c, moments: dict, k: float = 2.0) -> Column:
-    """FEA-12: x > mean + k·std (sample); missing → 0."""
+    """FEA-12: x > mean + k·std (sample); missing → 0, as are all values where the column has
+    no moments (fewer than two values)."""
     m, s, _ = moments[c]
+    if m is None or s is None:
+        return F.lit(0)
     return F.coalesce(_c(c) > F.lit(m + k * s), F.lit(False)).cast("int")
 
 
@@ -120,28 +122,28 @@ def at_least(c, threshold) -> Column:
 # ------------------------------------------------------------------ FEA-9
 def pct_rank(df: DataFrame, cols, id_col: str, suffix: str = "rank",
              fit_on: DataFrame | None = None) -> DataFrame:
-    """Average-tie percentile rank (pandas ``rank(pct=True)``), exact.
+    """Average-tie percentile rank (pandas ``rank(pct=True)``), exact, among the rows of
+    ``fit_on`` (default: the rows themselves). A value that ``fit_on`` lacks gets the rank
+    half-way between its neighbours', at most 1; a column without fitted values gives null.
 
-    Distinct values are counted, ordered with ``cumulative`` (no one-task
-    window) and the rank table is joined back per column.
+    All columns in long form: distinct values to rank join the distinct fitted values with
+    count 0 and are ordered among them by ``cumulative`` (no one-task window). The rows take
+    their ranks in one join, nulls kept out. ``id_col`` need not be unique.
     """
-    base = fit_on if fit_on is not None else df
-    long = unpivot_numeric(base, [], cols)
+    base = written(df.withColumn("__row", F.monotonically_increasing_id()), "ranked")
+    long = unpivot_numeric(base, ["__row"], cols)
     counts = long.groupBy("feature", "value").agg(F.count("*").alias("n"))
+    if fit_on is not None:
+        fitted = unpivot_numeric(fit_on, [], cols).groupBy("feature", "value").agg(F.count("*").alias("n"))
+        counts = (fitted.unionByName(counts.withColumn("n", F.lit(0).cast("bigint")))
+                  .groupBy("feature", "value").agg(F.sum("n").alias("n")))
     cum = cumulative(counts, ["feature"], "value", ["n"])
-    table = cum.select("feature", "value",
-                       ((F.col("prev_n") + F.lit(1) + F.col("cum_n")) / F.lit(2.0) /
-                        F.col("tot_n")).alias("__pr"))
-    # one row per distinct value (size not proven): written once to the shared
-    # folder so the per-column joins below do not each re-rank the values
-    st = State(cut_lineage(table), small=False)
-    out = df
-    for c in cols:
-        sub = State(st.df.filter(F.col("feature") == c).drop("feature"), st.small)
-        out = out.withColumn("__k", F.col(c).cast("double"))
-        out = lookup_join(out, sub, [("__k", "value")], salt_col=id_col)
-        out = out.withColumnRenamed("__pr", f"{c}_{suffix}").drop("__k")
-    return out
+    rank = F.least(F.try_divide((F.col("prev_n") + F.lit(1) + F.col("cum_n")) / F.lit(2.0), F.col("tot_n")), F.lit(1.0))
+    table = cum.select(F.col("feature").alias("__f"), F.col("value").alias("__v"),
+                       F.when(F.col("tot_n") > 0, rank).alias("__pr"))
+    found = long.join(table, (F.col("feature") == F.col("__f")) & (F.col("value") == F.col("__v")))
+    wide = found.groupBy("__row").agg(*[F.max(F.when(F.col("feature") == c, F.col("__pr"))).alias(f"{c}_{suffix}") for c in cols])
+    return base.join(wide, "__row", "left").drop("__row")
 
 
 # ------------------------------------------------------------------ FEA-15

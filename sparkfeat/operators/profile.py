@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkfeat.functions.ordered import cumulative, exact_quantiles, unpivot_numeric
+from sparkfeat.functions.ordered import cumulative, exact_quantiles, quantile_rows, unpivot_numeric
 
 
 def _stack(row_df: DataFrame, cols, stats) -> DataFrame:
@@ -76,11 +76,12 @@ def duplicate_report(df: DataFrame, id_col: str, feature_cols) -> DataFrame:
 
 # ------------------------------------------------------------------ AGG-5
 def crosstab_share(df: DataFrame, row: str, col: str, values) -> DataFrame:
-    """Cross-tab normalised by row (pivot on a fixed value list)."""
-    wide = df.groupBy(row).pivot(col, list(values)).count().fillna(0)
-    tot = sum((F.col(str(v)) for v in values), F.lit(0))
-    return wide.select(row, tot.alias("n"),
-                       *[(F.col(str(v)) / tot).alias(f"share_{v}") for v in values])
+    """Cross-tab normalised by row, shown for a fixed value list. ``n`` counts the row's rows
+    with any value, listed or not; a row with missing values only has n 0 and shares 0."""
+    counts = df.groupBy(row).agg(F.count(col).alias("n"),
+                                 *[F.count_if(F.col(col) == v).alias(f"__n{i}") for i, v in enumerate(values)])
+    return counts.select(row, "n", *[F.coalesce(F.try_divide(F.col(f"__n{i}"), F.col("n")), F.lit(0.0)).alias(f"share_{v}")
+                                     for i, v in enumerate(values)])
 
 
 # ------------------------------------------------------------------ AGG-6/7
@@ -160,15 +161,12 @@ def histogram(df: DataFrame, cols, by, bins: int = 30) -> DataFrame:
 # ------------------------------------------------------------------ AGG-13
 def five_number(df: DataFrame, cols, by: str) -> DataFrame:
     """min, quartiles, max and 1.5·IQR fences per column and group."""
-    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], by=by)
-    groups = sorted({g for (_, g, _) in q}, key=lambda g: (g is not None, g))
-    rows = [(c, g, q[(c, g, 0.25)], q[(c, g, 0.5)], q[(c, g, 0.75)]) for c in cols for g in groups
-            if (c, g, 0.25) in q]
-    qdf = df.sparkSession.createDataFrame(rows, f"feature string, grp string, q25 double, q50 double, q75 double")
+    probs = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    q = quantile_rows(df, cols, list(probs.values()), by=by).groupBy(F.col("feature").alias("__f"), F.col("grp").alias("__g")).agg(
+        *[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n) for n, p in probs.items()])
     mm = unpivot_numeric(df, [by], cols).groupBy("feature", F.col(by).cast("string").alias("grp")).agg(
         F.min("value").alias("min"), F.max("value").alias("max"))
-    qdf = qdf.withColumnsRenamed({"feature": "__f", "grp": "__g"})
-    out = mm.join(F.broadcast(qdf), (F.col("feature") == F.col("__f")) & F.col("grp").eqNullSafe(F.col("__g"))).drop("__f", "__g")
+    out = mm.join(q, (F.col("feature") == F.col("__f")) & F.col("grp").eqNullSafe(F.col("__g"))).drop("__f", "__g")
     iqr = F.col("q75") - F.col("q25")
     return out.withColumns({"lower_fence": F.col("q25") - F.lit(1.5) * iqr,
                             "upper_fence": F.col("q75") + F.lit(1.5) * iqr})

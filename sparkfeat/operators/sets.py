@@ -6,10 +6,12 @@ and after any retry (``randomSplit`` / ``sample`` depend on partitioning).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkfeat.functions.hashing import hash32
+from sparkfeat.functions.hashing import TWO32, hash32
 from sparkfeat.functions.lookup import fit_state, lookup_join
 from sparkfeat.functions.ordered import top_n
 
@@ -55,9 +57,17 @@ def id_overlap(a: DataFrame, b: DataFrame, key_a: str, key_b: str) -> DataFrame:
 
 
 def sample_n(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
-    """SMP-1: n rows without replacement, repeatable (hash order + limit)."""
+    """SMP-1: n rows without replacement, repeatable (the smallest hashes of the id).
+
+    Hashes are uniform, so the cut-off is known up to a margin before any row is looked at:
+    a filter on the hash leaves little more than n rows (all rows, should it leave fewer).
+    """
+    total = df.count()
+    if total <= n:
+        return df
     tagged = df.withColumn("__h", hash32(id_col, seed, "sample"))
-    return top_n(tagged, "__h", id_col, n, descending=False).drop("__h")
+    near = tagged.filter(F.col("__h") < F.lit((n + 8 * math.sqrt(n) + 8) / total * TWO32))
+    return top_n(near if near.count() >= n else tagged, "__h", id_col, n, descending=False).drop("__h")
 
 
 def holdout_split(df: DataFrame, id_col: str, test_pct: int = 20, seed: int = 42,

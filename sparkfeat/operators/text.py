@@ -158,9 +158,10 @@ def low_info_report(df: DataFrame, string_cols, numeric_cols, min_unique_ratio:
             [], list(string_cols), "feature", "value")
         nd = long.filter(F.col("value").isNotNull()).distinct().groupBy("feature").agg(
             F.count("*").alias("n_distinct"))
-        total = df.count()
-        parts.append(nd.select("feature", F.lit("string").alias("kind"),
-                               (F.col("n_distinct") / F.lit(float(total))).alias("stat"))
+        names = df.sparkSession.createDataFrame([(c,) for c in string_cols], "feature string")   # all-null columns stay
+        total = max(df.count(), 1)
+        parts.append(names.join(nd, "feature", "left").fillna(0, subset=["n_distinct"])
+                     .select("feature", F.lit("string").alias("kind"), (F.col("n_distinct") / F.lit(float(total))).alias("stat"))
                      .withColumn("kept", F.col("stat") > min_unique_ratio))
     if numeric_cols:
         row = df.agg(*[F.var_samp(c).alias(c) for c in numeric_cols])
