@@ -98,10 +98,15 @@ def cv_summary(pred: DataFrame, threshold: float = 0.5) -> DataFrame:
                                   "ci_hi": F.col("mean_acc") + 2 * F.col("std_acc")})
 
 
-def leaderboard(summary: DataFrame) -> DataFrame:
-    """EVL-2: models sorted by mean accuracy (rank over ≤ models rows)."""
-    w = Window.orderBy(F.desc("mean_acc"), F.asc("model"))
-    return summary.select("model", "mean_acc", F.row_number().over(w).alias("rank"))
+def leaderboard(summary: DataFrame, failed=()) -> DataFrame:
+    """EVL-2: models sorted by mean accuracy (rank over ≤ models rows); the names in
+    ``failed``, models that could not be fitted, have 0 and rank last."""
+    rows = summary.select("model", "mean_acc", F.lit(False).alias("__failed"))
+    if failed:
+        lost = summary.sparkSession.createDataFrame([(m,) for m in failed], "model string")
+        rows = rows.unionByName(lost.select("model", F.lit(0.0).alias("mean_acc"), F.lit(True).alias("__failed")))
+    w = Window.orderBy("__failed", F.desc("mean_acc"), F.asc("model"))
+    return rows.withColumn("rank", F.row_number().over(w)).select("model", "mean_acc", "rank")
 
 
 def status_band(delta: Column) -> Column:

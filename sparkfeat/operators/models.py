@@ -9,8 +9,10 @@ and test predictions are long tables (id, model, fold, p) built with
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor, as_completed
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
                                        MultilayerPerceptronClassifier, RandomForestClassifier)
@@ -21,7 +23,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkfeat.functions.hashing import uniform
 from sparkfeat.operators.ensemble import pivot_scores
+from sparkfeat.session import written
 
 
 # ------------------------------------------------------------------ MOD-1..6
@@ -38,6 +42,30 @@ class PenalisedLogistic(Estimator):
         return (m.setWeightCol(self.weight) if self.weight else m).fit(df)
 
 
+def replicate_by_weight(df: DataFrame, weight: str, id_col: str, copies: float = 1.0, seed: int = 42) -> DataFrame:
+    """Rows repeated by weight × ``copies``: the whole part, and one more with the probability
+    of the rest (a hash of the id, so a row's number is the same after any retry). The expected
+    number of copies is exact; null, zero and negative weights give none."""
+    w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) * F.lit(float(copies))
+    times = (F.floor(w) + (uniform(id_col, seed, "replicas") < w - F.floor(w)).cast("int")).cast("int")
+    return df.withColumn("__times", times).filter("__times > 0").withColumn(
+        "__copy", F.explode(F.sequence(F.lit(1), "__times"))).drop("__times", "__copy")
+
+
+class WeightedNetwork(Estimator):
+    """A classifier without a weight column, fitted on rows replicated by their weight.
+
+    ``copies`` rows stand for weight 1: more of them, finer weights.
+    """
+
+    def __init__(self, classifier, weight: str, id_col: str, copies: float = 4.0, seed: int = 42):
+        super().__init__()
+        self.classifier, self.weight, self.id_col, self.copies, self.seed = classifier, weight, id_col, copies, seed
+
+    def _fit(self, df: DataFrame):
+        return self.classifier.fit(replicate_by_weight(df, self.weight, self.id_col, self.copies, self.seed))
+
+
 def make_model(kind: str, features: str = "features", label: str = "label", weight: str | None = None, **kw):
     """Spark ML classifier presets mirroring the reference's model families.
 
@@ -45,7 +73,8 @@ def make_model(kind: str, features: str = "features", label: str = "label", weig
     ``colsample`` (columns a split), ``validation_col`` (early stopping). ``boost_a``,
     ``boost_b`` and ``boost_c`` are its three set-ups: plain, row and column sampling,
     deeper with smaller steps. Forest: ``trees`` (100), ``depth``, ``min_leaf``.
-    Logistic: ``C``, ``l1``, ``max_iter``. Network: ``layers``, ``max_iter``.
+    Logistic: ``C``, ``l1``, ``max_iter``. Network: ``layers``, ``max_iter``; with ``weight``
+    its rows are replicated by weight (``id_col``, ``copies``).
     """
     common = {"featuresCol": features, "labelCol": label}
     setups = {"boost_a": {}, "boost_b": {"subsample": 0.8, "colsample": "0.8", "step": 0.1},
@@ -67,14 +96,14 @@ def make_model(kind: str, features: str = "features", label: str = "label", weig
     elif kind == "mlp":
         m = MultilayerPerceptronClassifier(layers=kw["layers"], maxIter=kw.get("max_iter", 200), seed=42,
                                            **common)
+        if weight:      # it has no weight column
+            return WeightedNetwork(m, weight, kw.get("id_col", "id"), kw.get("copies", 4.0))
     elif kind == "hgb":  # histogram boosting ≈ GBT with coarse bins
         m = GBTClassifier(maxIter=kw.get("max_iter", 100), maxDepth=kw.get("depth", 5), maxBins=32,
                           minInstancesPerNode=kw.get("min_leaf", 12), stepSize=0.1, seed=42, **common)
     else:
         raise ValueError(kind)
-    if weight and kind != "mlp":  # MultilayerPerceptron has no weightCol
-        m = m.setWeightCol(weight)
-    return m
+    return m.setWeightCol(weight) if weight else m
 
 
 def assemble(df: DataFrame, cols, out: str = "features") -> DataFrame:
@@ -124,24 +153,60 @@ def encoded_model(cat_cols, num_cols, kind: str, label: str = "label", id_col: s
 
 
 # ------------------------------------------------------------------ ENS-3
+PARALLEL = 8      # fits that run at the same time; each is many small Spark jobs
+
+
+def run_jobs(spark, jobs: dict, parallel: int = PARALLEL) -> tuple[dict, dict]:
+    """Run independent driver jobs (key -> callable) side by side: (results, errors) by key.
+
+    A job that fails ends alone; its error is kept and the others finish.
+    """
+    results, errors = {}, {}
+    with ThreadPoolExecutor(max_workers=max(1, min(parallel, len(jobs)))) as pool:
+        waiting = {pool.submit(inheritable_thread_target(spark)(job)): key for key, job in jobs.items()}
+        for done in as_completed(waiting):
+            try:
+                results[waiting[done]] = done.result()
+            except Exception as error:  # noqa: BLE001 - any failure of a fit is the model's own
+                errors[waiting[done]] = error
+    return results, errors
+
+
 def oof_predictions(train: DataFrame, test: DataFrame | None, estimators: dict, id_col: str,
-                    label: str, fold_col: str, k: int) -> tuple[DataFrame, DataFrame | None]:
+                    label: str, fold_col: str, k: int, failures: dict | None = None,
+                    parallel: int = PARALLEL) -> tuple[DataFrame, DataFrame | None]:
     """Cross-fitted P(class 1): OOF rows (id, model, fold, p, label) and test
-    rows averaged over the k fold models (id, model, p)."""
-    oof_parts, test_parts = [], []
-    for name, est in estimators.items():
-        for f in range(k):
-            model = est.fit(train.filter(F.col(fold_col) != f))
-            va = model.transform(train.filter(F.col(fold_col) == f))
-            oof_parts.append(va.select(id_col, F.lit(name).alias("model"), F.lit(f).alias("fold"),
-                                       p_one().alias("p"), F.col(label).cast("int").alias("label")))
-            if test is not None:
-                te = model.transform(test)
-                test_parts.append(te.select(id_col, F.lit(name).alias("model"), p_one().alias("p")))
-    oof = reduce(DataFrame.unionByName, oof_parts)
+    rows averaged over the k fold models (id, model, p).
+
+    Every model × fold is a job of its own, ``parallel`` at a time, that fits and writes its
+    predictions, so no later step predicts again. With ``failures``, a model of which a fold
+    fails has no predictions and its message is put there; without, the error is raised.
+    """
+    spark = train.sparkSession
+
+    def job(name, est, f):
+        def run():
+            model = est.copy().fit(train.filter(F.col(fold_col) != f))
+            va = written(model.transform(train.filter(F.col(fold_col) == f)).select(
+                id_col, F.lit(name).alias("model"), F.lit(f).alias("fold"), p_one().alias("p"),
+                F.col(label).cast("int").alias("label")), "oof")
+            te = None if test is None else written(model.transform(test).select(
+                id_col, F.lit(name).alias("model"), p_one().alias("p")), "scores")
+            return va, te
+        return run
+
+    done, errors = run_jobs(spark, {(name, f): job(name, est, f) for name, est in estimators.items() for f in range(k)}, parallel)
+    if errors and failures is None:
+        raise next(iter(errors.values()))
+    for (name, f), error in sorted(errors.items(), key=str):
+        failures.setdefault(name, f"fold {f}: {str(error).splitlines()[0]}")
+    parts = [v for (name, f), v in sorted(done.items()) if name not in (failures or {})]
+    if not parts:
+        raise RuntimeError(f"no model could be fitted: {failures}")
+    oof = reduce(DataFrame.unionByName, [va for va, _ in parts])
     tst = None
-    if test_parts:
-        tst = reduce(DataFrame.unionByName, test_parts).groupBy(id_col, "model").agg(F.avg("p").alias("p"))
+    if test is not None:
+        tst = reduce(DataFrame.unionByName, [te for _, te in parts]).groupBy(id_col, "model").agg(F.avg("p").alias("p"))
     return oof, tst
 
 
@@ -167,11 +232,16 @@ def weighted_vote(train: DataFrame, test: DataFrame, kinds, feature_cols, id_col
     """Each model (kind: its ``params``) fitted with sample weights, then probabilities averaged."""
     tr = assemble(train, feature_cols)
     te = assemble(test, feature_cols)
-    parts = []
-    for kind in kinds:
-        m = make_model(kind, label=label, weight=weight, **(params or {}).get(kind, {})).fit(tr)
-        parts.append(m.transform(te).select(id_col, F.lit(kind).alias("model"), p_one().alias("p")))
-    return reduce(DataFrame.unionByName, parts).groupBy(id_col).agg(F.avg("p").alias("p"))
+
+    def job(kind):
+        own = {"id_col": id_col} | (params or {}).get(kind, {})
+        return lambda: written(make_model(kind, label=label, weight=weight, **own).fit(tr).transform(te).select(
+            id_col, F.lit(kind).alias("model"), p_one().alias("p")), "vote")
+
+    parts, errors = run_jobs(train.sparkSession, {kind: job(kind) for kind in kinds})
+    if errors:
+        raise next(iter(errors.values()))
+    return reduce(DataFrame.unionByName, parts.values()).groupBy(id_col).agg(F.avg("p").alias("p"))
 
 
 # ------------------------------------------------------------------ EVL-5
@@ -210,6 +280,17 @@ def adversarial(train: DataFrame, test: DataFrame, feature_cols, id_col: str, k:
     return oof
 
 
+def adversarial_folds(scored: DataFrame, id_col: str, k: int = 5, score: str = "p", out: str = "fold") -> DataFrame:
+    """EVL-6 ``make_cv``: k folds by quantile of the train/test classifier's score.
+
+    Rows in rising order of (score, id) are cut into k runs whose sizes differ by one at
+    most: fold k - 1 holds the rows most like the test rows. Rows without a score come first.
+    """
+    from sparkfeat.functions.ordered import row_positions
+    placed = row_positions(scored.select(id_col, score), [score, id_col], "__at", "__n")
+    return placed.select(id_col, score, F.floor(F.col("__at") * k / F.col("__n")).cast("int").alias(out))
+
+
 def auc_builtin(oof: DataFrame) -> float:
     ev = BinaryClassificationEvaluator(rawPredictionCol="p", labelCol="label", metricName="areaUnderROC")
     return ev.evaluate(oof.withColumn("label", F.col("label").cast("double")))

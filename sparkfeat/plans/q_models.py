@@ -8,18 +8,21 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkfeat.catalog import register
+from sparkfeat.functions.hashing import sql_hash32, sql_uniform
 from sparkfeat.operators import ensemble as EN
 from sparkfeat.operators import models as MD
 from sparkfeat.operators import pseudo as PS
+from sparkfeat.operators import stacking as ST
+from sparkfeat.operators.encode import apply_standard, fit_standard
 from sparkfeat.operators.folds import hash_fold, stratified_fold
 from sparkfeat.operators.text import family_of
 from sparkfeat.session import cut_lineage
-from sparkfeat.sources.fixtures import DOC_FEATURES, doc_profile
+from sparkfeat.sources.fixtures import DOC_FEATURES, doc_profile, scored, scored_sql
+from sparkfeat.sources.tables import read_table
 
 K = 5
-# Boosting rounds, trees and steps of the registered queries (the presets' own defaults are
-# larger): the tables' few features need no more, and each round is several Spark jobs.
-ROUNDS, TREES, STEPS = 10, 30, 30
+# Boosting rounds, trees and steps of the registered queries.
+ROUNDS, TREES, STEPS = 20, 100, 1000
 FEATS = list(DOC_FEATURES)
 
 
@@ -98,8 +101,8 @@ def weighted_vote(spark, sf):
     pseudo = PS.two_sided(scored.withColumnRenamed("doc_id", "id"), 0.85).withColumnRenamed("id", "doc_id")
     aug = train.select("doc_id", "label", *FEATS).withColumns({"weight": F.lit(1.0)}).unionByName(
         pseudo.join(test.select("doc_id", *FEATS), "doc_id").select("doc_id", "label", *FEATS, "weight"))
-    return MD.weighted_vote(cut_lineage(aug), test, ["gbt", "lr"], FEATS, "doc_id", "label", "weight",
-                            {"gbt": {"max_iter": ROUNDS}})
+    return MD.weighted_vote(cut_lineage(aug), test, ["gbt", "lr", "mlp"], FEATS, "doc_id", "label", "weight",
+                            {"gbt": {"max_iter": ROUNDS}, "mlp": {"layers": [len(FEATS), 16, 2]}})
 
 
 # ------------------------------------------------------------------ EVL-6
@@ -115,7 +118,7 @@ def adversarial_auc(spark, sf):
 # ------------------------------------------------------------------ EVL-5 / AGG-16 / SRT-1
 def _importance(spark, sf):
     train, _ = _train_test(spark, sf)
-    model = MD.make_model("rf", trees=30, depth=5, min_leaf=4).fit(MD.assemble(train, FEATS))
+    model = MD.make_model("rf", trees=TREES, depth=5, min_leaf=4).fit(MD.assemble(train, FEATS))
     imp = MD.importances(model, FEATS, spark)
     return imp.withColumn("family", family_of(F.col("feature")))
 
@@ -207,3 +210,102 @@ def noise_features(spark, sf):
     from sparkfeat.operators.profile import flag_rules
     return flag_rules(share.select(F.lit("low_importance_share").alias("metric"), "value"),
                       {"low_importance_share": (">", 0.3)})
+
+
+# ------------------------------------------------------------------ ENS-5 fitted, EVL-2 with failures
+def _stack_bases():
+    return {"boost_b": MD.make_model("boost_b", max_iter=ROUNDS, depth=3), "hgb": MD.make_model("hgb", max_iter=ROUNDS, depth=4, min_leaf=8),
+            "rf": MD.make_model("rf", trees=TREES, depth=5, min_leaf=4), "lr": MD.make_model("lr", C=1.0, max_iter=STEPS),
+            "lr_l1": MD.make_model("lr", C=0.1, l1=1.0, max_iter=STEPS)}
+
+
+_FOLD_SQL = f"CASE WHEN l.quality IS NOT NULL THEN CAST({sql_hash32('d.doc_id')} % {K} AS INTEGER) END"
+
+
+def stack_model(spark, sf):
+    """A stack of five bases fitted on the labelled documents and applied to the others.
+
+    A labelled row: its fold (others: -1), under how many outer folds it has base probabilities, and how
+    often one of them came from bases that saw the row's or the outer fold. Any row: whether
+    its probabilities are all there and in [0, 1].
+    """
+    train, test = _train_test(spark, sf)
+    train, test = cut_lineage(hash_fold(train, "doc_id", K)), cut_lineage(test)
+    scale = fit_standard(train, FEATS)
+    train, test = (MD.assemble(apply_standard(d, scale, "z"), [f"{c}_z" for c in FEATS]) for d in (train, test))
+    bases = _stack_bases()
+    metas = {"lr": MD.make_model("lr", C=1.0, max_iter=STEPS),
+             "mlp": MD.make_model("mlp", layers=[len(bases), 20, 2], max_iter=500)}
+    model = ST.Stacking(bases, metas, "doc_id", "label", "fold", K).fit(train)
+    fine = F.expr(" AND ".join(f"coalesce(p_{b} BETWEEN 0 AND 1, false)" for b in bases))
+    leak = F.array_contains("seen", F.col("fold")) | F.array_contains("seen", F.col("held"))
+    seen = model.views.groupBy("doc_id", "fold").agg(
+        F.count("*").alias("views"), F.count_if(leak).alias("leaks"), F.every(fine).alias("scored"))
+    applied = model.transform(test).select(
+        "doc_id", F.lit(-1).alias("fold"), F.lit(0).cast("bigint").alias("views"), F.lit(0).cast("bigint").alias("leaks"),
+        (fine & F.coalesce(F.col("p").between(0, 1), F.lit(False))).alias("scored"))
+    return seen.unionByName(applied)
+
+
+register("stack_model",
+         f"SELECT d.doc_id, coalesce({_FOLD_SQL}, -1) AS fold, CASE WHEN l.quality IS NOT NULL THEN {K} ELSE 0 END::BIGINT AS views, "
+         "0::BIGINT AS leaks, true AS scored FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")(stack_model)
+
+
+def leaderboard_failures(spark, sf):
+    """Cross-fitted models, one of which cannot be fitted: it scores 0 and is last."""
+    train, _ = _train_test(spark, sf)
+    train = MD.assemble(cut_lineage(hash_fold(train, "doc_id", K)), FEATS)
+    models = {"lr": MD.make_model("lr", C=1.0, max_iter=STEPS), "rf": MD.make_model("rf", trees=TREES, depth=5, min_leaf=4),
+              "broken": MD.make_model("mlp", layers=[len(FEATS) + 1, 4, 2], max_iter=5)}     # expects a column more
+    failures: dict = {}
+    oof, _ = MD.oof_predictions(train, None, models, "doc_id", "label", "fold", K, failures)
+    board = EN.leaderboard(EN.cv_summary(oof), sorted(failures))
+    return board.select("model", F.when(F.col("mean_acc") > 0, "scored").otherwise("failed").alias("status"),
+                        (F.col("rank") == len(models)).alias("is_last"), F.col("mean_acc").between(0, 1).alias("in_range"))
+
+
+register("leaderboard_failures",
+         "SELECT m.model, CASE WHEN m.model = 'broken' THEN 'failed' ELSE 'scored' END AS status, m.model = 'broken' AS is_last, "
+         "count(*) > 0 AS in_range FROM labels, (SELECT unnest(['lr', 'rf', 'broken']) AS model) m "
+         "WHERE quality IS NOT NULL GROUP BY m.model")(leaderboard_failures)
+
+
+def oof_contract(spark, sf):
+    """Cross-fitted probabilities of four model families: every labelled row once per model, by
+    the model that did not see its fold."""
+    train, _ = _train_test(spark, sf)
+    train = MD.assemble(cut_lineage(hash_fold(train, "doc_id", K)), FEATS)
+    models = {"boost_a": MD.make_model("boost_a", max_iter=ROUNDS, depth=3), "boost_b": MD.make_model("boost_b", max_iter=ROUNDS, depth=3),
+              "boost_c": MD.make_model("boost_c", max_iter=ROUNDS), "lr": MD.make_model("lr", C=1.0, max_iter=STEPS)}
+    oof, _ = MD.oof_predictions(train, None, models, "doc_id", "label", "fold", K)
+    return oof.select("doc_id", "model", "fold", "label", F.col("p").between(0, 1).alias("in_range"))
+
+
+register("oof_contract",
+         f"SELECT d.doc_id, m.model, {_FOLD_SQL} AS fold, CAST(l.quality AS INTEGER) AS label, true AS in_range "
+         "FROM documents d JOIN labels l ON l.doc_id = d.doc_id, (SELECT unnest(['boost_a', 'boost_b', 'boost_c', 'lr']) AS model) m "
+         "WHERE l.quality IS NOT NULL")(oof_contract)
+
+
+# ------------------------------------------------------------------ MOD-6 replicas, EVL-6 folds
+def weighted_replicas(spark, sf):
+    """Orders replicated by total price / 40,000: copies per order."""
+    o = read_table(spark, sf, "orders").select("o_orderkey", (F.col("o_totalprice") / 40000.0).alias("w"))
+    return MD.replicate_by_weight(o, "w", "o_orderkey").groupBy("o_orderkey").agg(F.count("*").alias("copies"))
+
+
+_W = "o_totalprice / 40000.0"
+register("weighted_replicas",
+         f"SELECT o_orderkey, copies FROM (SELECT o_orderkey, CAST(floor({_W}) + CASE WHEN {sql_uniform('o_orderkey', 42, 'replicas')} "
+         f"< {_W} - floor({_W}) THEN 1 ELSE 0 END AS BIGINT) AS copies FROM orders) WHERE copies > 0")(weighted_replicas)
+
+
+def adversarial_folds(spark, sf):
+    """Folds by quantile of a score, over the whole score table of one model."""
+    given = scored(spark, sf).filter("model = 'm1'")
+    return MD.adversarial_folds(given, "id", K)
+
+
+register("adversarial_folds", "WITH " + scored_sql() + f""" SELECT id, p,
+ CAST(floor((row_number() OVER (ORDER BY p, id) - 1) * {K} / count(*) OVER ()) AS INTEGER) AS fold FROM scored WHERE model = 'm1'""")(adversarial_folds)
