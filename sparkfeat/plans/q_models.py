@@ -33,6 +33,12 @@ def _train_test(spark, sf):
     return train, test
 
 
+def _vectors(train, test=None):
+    """Feature vectors scaled by the training rows: penalties and step sizes mean the same for every column."""
+    scale = fit_standard(train, FEATS)
+    return [None if d is None else MD.assemble(apply_standard(d, scale, "z"), [f"{c}_z" for c in FEATS]) for d in (train, test)]
+
+
 def _base_estimators():
     return {"gbt": MD.make_model("gbt", max_iter=ROUNDS, depth=3),
             "rf": MD.make_model("rf", trees=TREES, depth=5, min_leaf=4),
@@ -41,8 +47,7 @@ def _base_estimators():
 
 def _oof(spark, sf, with_test=False):
     train, test = _train_test(spark, sf)
-    train = MD.assemble(cut_lineage(stratified_fold(train, "doc_id", "label", K, 42)), FEATS)
-    te = MD.assemble(cut_lineage(test), FEATS) if with_test else None
+    train, te = _vectors(cut_lineage(stratified_fold(train, "doc_id", "label", K, 42)), cut_lineage(test) if with_test else None)
     oof, tst = MD.oof_predictions(train, te, _base_estimators(), "doc_id", "label", "fold", K)
     return oof, tst
 
@@ -231,8 +236,7 @@ def stack_model(spark, sf):
     """
     train, test = _train_test(spark, sf)
     train, test = cut_lineage(hash_fold(train, "doc_id", K)), cut_lineage(test)
-    scale = fit_standard(train, FEATS)
-    train, test = (MD.assemble(apply_standard(d, scale, "z"), [f"{c}_z" for c in FEATS]) for d in (train, test))
+    train, test = _vectors(train, test)
     bases = _stack_bases()
     metas = {"lr": MD.make_model("lr", C=1.0, max_iter=STEPS),
              "mlp": MD.make_model("mlp", layers=[len(bases), 20, 2], max_iter=500)}
@@ -255,7 +259,7 @@ register("stack_model",
 def leaderboard_failures(spark, sf):
     """Cross-fitted models, one of which cannot be fitted: it scores 0 and is last."""
     train, _ = _train_test(spark, sf)
-    train = MD.assemble(cut_lineage(hash_fold(train, "doc_id", K)), FEATS)
+    train, _ = _vectors(cut_lineage(hash_fold(train, "doc_id", K)))
     models = {"lr": MD.make_model("lr", C=1.0, max_iter=STEPS), "rf": MD.make_model("rf", trees=TREES, depth=5, min_leaf=4),
               "broken": MD.make_model("mlp", layers=[len(FEATS) + 1, 4, 2], max_iter=5)}     # expects a column more
     failures: dict = {}
@@ -275,7 +279,7 @@ def oof_contract(spark, sf):
     """Cross-fitted probabilities of four model families: every labelled row once per model, by
     the model that did not see its fold."""
     train, _ = _train_test(spark, sf)
-    train = MD.assemble(cut_lineage(hash_fold(train, "doc_id", K)), FEATS)
+    train, _ = _vectors(cut_lineage(hash_fold(train, "doc_id", K)))
     models = {"boost_a": MD.make_model("boost_a", max_iter=ROUNDS, depth=3), "boost_b": MD.make_model("boost_b", max_iter=ROUNDS, depth=3),
               "boost_c": MD.make_model("boost_c", max_iter=ROUNDS), "lr": MD.make_model("lr", C=1.0, max_iter=STEPS)}
     oof, _ = MD.oof_predictions(train, None, models, "doc_id", "label", "fold", K)
