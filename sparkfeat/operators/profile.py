@@ -7,13 +7,15 @@ statistics use ``exact_quantiles`` / ``cumulative`` (bucketed, exact).
 
 from __future__ import annotations
 
-import itertools
 import math
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkfeat.functions.kolmogorov import ks_exact_p
 from sparkfeat.functions.ordered import cumulative, exact_quantiles, quantile_rows, unpivot_numeric
+from sparkfeat.operators.gram import correlations
 
 
 def _stack(row_df: DataFrame, cols, stats) -> DataFrame:
@@ -109,36 +111,45 @@ def outlier_report(df: DataFrame, cols, label: str, ks=(2.0, 3.0)) -> DataFrame:
 
 # ------------------------------------------------------------------ AGG-8..10
 def corr_long(df: DataFrame, cols, threshold: float = 0.9) -> DataFrame:
-    """Pearson correlation of every pair (pairwise complete) in one aggregate."""
-    pairs = list(itertools.combinations(cols, 2))
-    row = df.agg(*[F.corr(a, b).alias(f"{a}__{b}") for a, b in pairs])
-    arr = F.array(*[F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.col(f"{a}__{b}").alias("corr"))
-                    for a, b in pairs])
-    out = row.select(F.explode(arr).alias("r")).select("r.*")
-    return out.withColumn("high", F.coalesce(F.abs("corr") > threshold, F.lit(False)))
+    """Pearson correlation of every pair (pairwise complete), ``high`` above the threshold."""
+    return correlations(df, cols).withColumn("high", F.coalesce(F.abs("corr") > threshold, F.lit(False)))
 
 
 # ------------------------------------------------------------------ AGG-11
-def ks_two_sample(df: DataFrame, cols, side_col: str, terms: int = 100) -> DataFrame:
-    """Two-sample KS statistic D per column and its asymptotic p-value.
+EXACT_KS = 10_000      # rows of the larger sample up to which the p-value is exact
+
+
+def ks_two_sample(df: DataFrame, cols, side_col: str, terms: int = 100, exact_up_to: int = EXACT_KS) -> DataFrame:
+    """Two-sample KS statistic D per column and its two-sided p-value.
 
     D = max over distinct values of |F_a(v) − F_b(v)| with inclusive ECDFs,
     from distinct-value counts ranked by ``cumulative`` (no full sort, no
-    one-task window). p = Q_KS(sqrt(n_a·n_b/(n_a+n_b))·D).
+    one-task window). With at most ``exact_up_to`` values on either side the p-value is exact
+    (``ks_exact_p``, one column a row); beyond it is asymptotic,
+    p = Q_KS(sqrt(n_a·n_b/(n_a+n_b))·D).
     """
     long = unpivot_numeric(df, [side_col], cols)
     counts = long.groupBy("feature", "value").agg(
         F.count_if(~F.col(side_col)).alias("na"), F.count_if(F.col(side_col)).alias("nb"))
     cum = cumulative(counts, ["feature"], "value", ["na", "nb"])
+    small = (F.col("tot_na").between(1, exact_up_to)) & (F.col("tot_nb").between(1, exact_up_to))
     d = cum.groupBy("feature").agg(
         F.max(F.abs(F.try_divide("cum_na", "tot_na") - F.try_divide("cum_nb", "tot_nb"))).alias("d"),
-        F.max("tot_na").alias("n_a"), F.max("tot_nb").alias("n_b"))
+        F.max("tot_na").alias("n_a"), F.max("tot_nb").alias("n_b"),
+        F.max(F.when(small, F.abs(F.col("cum_na") * F.col("tot_nb") - F.col("cum_nb") * F.col("tot_na")))).alias("reach"))
     lam = F.sqrt(F.col("n_a") * F.col("n_b") / (F.col("n_a") + F.col("n_b"))) * F.col("d")
     js = F.sequence(F.lit(1), F.lit(terms))
     series = F.aggregate(js, F.lit(0.0), lambda acc, j: acc + F.when(j % 2 == 1, 1.0).otherwise(-1.0)
                          * F.exp(F.lit(-2.0) * j * j * lam * lam))
     p = F.when(F.col("d").isNull(), F.lit(None)).when(lam < 0.2, F.lit(1.0)).otherwise(F.least(F.greatest(F.lit(2.0) * series, F.lit(0.0)), F.lit(1.0)))
-    return d.select("feature", "n_a", "n_b", "d", p.alias("p_value"))
+    rows = d.select("feature", "n_a", "n_b", "d", "reach", p.alias("p_value"))
+
+    def exact(batches):
+        for batch in batches:
+            out = [p if r is None else ks_exact_p(a, b, r) for a, b, r, p in zip(
+                *(batch.column(c).to_pylist() for c in ("n_a", "n_b", "reach", "p_value")))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.float64())], names=["feature", "n_a", "n_b", "d", "p_value"])
+    return rows.mapInArrow(exact, "feature string, n_a long, n_b long, d double, p_value double")
 
 
 # ------------------------------------------------------------------ AGG-12

@@ -10,6 +10,7 @@ from sparkfeat.catalog import register
 from sparkfeat.operators import profile as P
 from sparkfeat.plans.sqlkit import r6, with_profile
 from sparkfeat.sources.fixtures import ORDER_SPEC, order_profile, train_rows
+from sparkfeat.sources.tables import read_table
 
 NUMS = ORDER_SPEC.numeric
 CATS = ORDER_SPEC.categorical
@@ -128,7 +129,7 @@ register("corr_pairs", with_profile() + "\nUNION ALL\n".join(
 
 # ------------------------------------------------------------------ AGG-11
 def ks_drift(spark, sf):
-    out = P.ks_two_sample(order_profile(spark, sf), NUMS, "is_test")
+    out = P.ks_two_sample(order_profile(spark, sf), NUMS, "is_test", exact_up_to=0)      # asymptotic at any size
     return _rnd(out, ["d", "p_value"])
 
 
@@ -148,6 +149,37 @@ register("ks_drift", with_profile(
     "FROM lam JOIN ser USING (feature)")(ks_drift)
 
 
+def ks_exact(spark, sf):
+    """Does a component of the embeddings spread like the first one? Two samples of equal size,
+    for which the exact p-value has a closed form (beyond 10,000 vectors: asymptotic)."""
+    e = read_table(spark, sf, "embeddings").select("embedding")
+    first = e.select(*[F.col("embedding")[0].cast("double").alias(f"x{j}") for j in range(1, 8)], F.lit(False).alias("other"))
+    other = e.select(*[F.col("embedding")[j].cast("double").alias(f"x{j}") for j in range(1, 8)], F.lit(True).alias("other"))
+    return _rnd(P.ks_two_sample(first.unionByName(other), [f"x{j}" for j in range(1, 8)], "other"), ["d", "p_value"])
+
+
+register("ks_exact", """
+WITH x AS (
+  SELECT 'x' || j AS feature, embedding[1]::DOUBLE AS value, 1 AS a, 0 AS b FROM embeddings, range(1, 8) t(j)
+  UNION ALL SELECT 'x' || j, embedding[j + 1]::DOUBLE, 0, 1 FROM embeddings, range(1, 8) t(j)
+), c AS (
+  SELECT feature, sum(sum(a)) OVER w AS ca, sum(sum(b)) OVER w AS cb, sum(sum(a)) OVER (PARTITION BY feature) AS n
+  FROM x WHERE value IS NOT NULL GROUP BY feature, value WINDOW w AS (PARTITION BY feature ORDER BY value)
+), d AS (SELECT feature, any_value(n)::BIGINT AS n, max(abs(ca - cb))::BIGINT AS h FROM c GROUP BY feature),
+k AS (
+  SELECT feature, n, h, unnest(range(1, greatest(n // greatest(h, 1), 100) + 1)) AS k FROM d
+), p AS (
+  SELECT feature, n, h,
+         2 * sum(CASE WHEN k * h <= n THEN (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END)
+                 * exp(2 * lgamma(n + 1.0) - lgamma(n - least(k * h, n) + 1.0) - lgamma(n + k * h + 1.0)) ELSE 0 END) AS closed,
+         2 * sum(CASE WHEN k <= 100 THEN (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * k * k * (n / 2.0) * (h / n) * (h / n)) ELSE 0 END) AS series
+  FROM k GROUP BY feature, n, h
+)
+SELECT feature, n AS n_a, n AS n_b, round(h / n::DOUBLE, 6) AS d,
+       round(least(greatest(CASE WHEN h = 0 THEN 1 WHEN n <= 10000 THEN closed WHEN sqrt(n / 2.0) * h / n < 0.2 THEN 1 ELSE series END, 0), 1), 6) AS p_value
+FROM p""")(ks_exact)
+
+
 # ------------------------------------------------------------------ AGG-12
 def histogram(spark, sf):
     return P.histogram(order_profile(spark, sf), NUMS, ["is_test", "label"], 30)
