@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkfeat.session import checkpoint_dir
 
@@ -45,6 +46,17 @@ def drop_materialized(df: DataFrame) -> None:
         hpath.getFileSystem(conf).delete(hpath, True)
 
 
+def stowed(docs: DataFrame, but=()) -> tuple[list, list[str]]:
+    """The columns of ``docs`` under internal names that clash with no other, and their own names.
+
+    Columns named like one of ``but`` in any case (Spark does not tell cases apart) are left
+    out: an operator's own output replaces them. ``toDF`` with the names brings the rest back.
+    """
+    out = {b.lower() for b in but}
+    names = [c for c in docs.columns if c.lower() not in out]
+    return [F.col("`" + c.replace("`", "``") + "`").alias(f"__k{i}") for i, c in enumerate(names)], names
+
+
 # ------------------------------------------------------------------ batches and byte views
 
 def slices(batches, rows: int = 1024):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkfeat.llm.common import slices, table
+from sparkfeat.llm.common import slices, stowed, table
 
 # Bytes that separate words: everything below "0", ":" to "`" and "{" to DEL, after folding A-Z.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -255,10 +255,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id
     more removed; null stays null), hit_spans. Null and empty texts have no words.
     Items with a null id mark words but are not counted; a repeated id counts
     once. No items: nothing is hit. One row per input row. Columns of ``docs``
-    named like an output column are replaced.
+    named like an output column, in any case, are replaced.
     """
     spark = docs.sparkSession
-    keep = [F.col(c) for c in docs.columns if c != text and c not in OUT]
+    keep, names = stowed(docs, (text, *OUT))
     work = docs.select(*keep, F.col(text).alias("__text"),
                        F.lit(None).cast("struct<spans: array<array<int>>, names: array<string>>").alias("__hits"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in work.schema)
@@ -267,7 +267,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id
         work = work.mapInArrow(_scan_of(shard, window), fields)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in work.schema if f.name not in ("__text", "__hits"))
     out = ", ".join(f"{n} {t}" for n, t in zip(OUT, OUT_TYPES))
-    return work.mapInArrow(_cut_of(shared[-1], window, min_span, max_coverage), f"{kept}, {out}" if kept else out)
+    return work.mapInArrow(_cut_of(shared[-1], window, min_span, max_coverage), f"{kept}, {out}" if kept else out).toDF(*names, *OUT)
 
 
 def op10_decontamination(spark, sf_dir):

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkfeat.llm.common import WHITE, byte_blocks, materialize, slices, table
+from sparkfeat.llm.common import WHITE, byte_blocks, materialize, slices, stowed, table
 
 
 def _lines_of(min_chars):
@@ -175,13 +175,15 @@ def _kept_of(digest):
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text: str = "text",
                   digest: bool = False) -> DataFrame:
     """All columns of ``docs`` but the text, n_lines, n_dropped and ``__kept``: the kept
-    text (null stays null) or, with ``digest``, its SHA-256."""
-    left = docs.withColumnRenamed(text, "__text").alias("d")
-    right = bitmaps.select(F.col("doc_id").alias("__id"), F.col("tk").alias("__tk"), "n_lines", "n_dropped", "keep")
-    joined = left.join(right, F.col(f"d.{doc_id}").cast("long").eqNullSafe(F.col("__id"))
-                       & (F.xxhash64("__text") == F.col("__tk"))).drop("__id", "__tk")
+    text (null stays null) or, with ``digest``, its SHA-256. Columns of ``docs`` named like one
+    of these three, in any case, are replaced."""
+    own = ("n_lines", "n_dropped", "__kept")
+    kept, names = stowed(docs, (text, *own))
+    left = docs.select(*kept, F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__text"))
+    right = bitmaps.select(F.col("doc_id").alias("__of"), F.col("tk").alias("__tk"), "n_lines", "n_dropped", "keep")
+    joined = left.join(right, F.col("__id").eqNullSafe(F.col("__of")) & (F.xxhash64("__text") == F.col("__tk"))).drop("__id", "__of", "__tk")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("__text", "keep")]
-    return joined.mapInArrow(_kept_of(digest), ", ".join([*fields, "__kept string"]))
+    return joined.mapInArrow(_kept_of(digest), ", ".join([*fields, "__kept string"])).toDF(*names, *own)
 
 
 def op8_line_dedup(spark, sf_dir):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkfeat.llm.common import byte_blocks, mix64, slices, table, word_hashes, word_spans
+from sparkfeat.llm.common import byte_blocks, mix64, slices, stowed, table, word_hashes, word_spans
 
 FEATURES = ["log_words", "word_length", "word_length_spread", "upper", "digit", "symbol", "stop_mark",
             "other_mark", "non_ascii", "white", "newline", "upper_words", "capital_words", "symbol_tail",
@@ -288,12 +288,14 @@ def score_quality(docs: DataFrame, model: AdditiveModel, text: str = "text") ->
     """All columns of ``docs`` and ``__score`` (0 to 1) over the whole text.
 
     Only the text is read for the score. Null and empty texts are scored as texts
-    without words; repeated rows get equal scores; an empty table gives no rows.
+    without words; repeated rows get equal scores; an empty table gives no rows. A column
+    ``__score`` of ``docs``, in any case, is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    work = docs.withColumn("__text", F.col(text))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return work.mapInArrow(_scores_of(shared), f"{fields}, __score double")
+    kept, names = stowed(docs, ("__score",))
+    work = docs.select(*kept, F.col(text).alias("__text"))
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in work.schema if f.name != "__text")
+    return work.mapInArrow(_scores_of(shared), f"{fields}__score double").toDF(*names, "__score")
 
 
 def op9_quality_gam(spark, sf_dir):

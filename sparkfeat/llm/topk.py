@@ -211,7 +211,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_
     fewer rows. A query's own id is no candidate. Vectors that are null, hold a null
     or non-finite component, or have a null id take no part; only vectors of equal
     length are compared. Repeated rows are candidates each; a repeated query id is
-    searched once. Scores must fit a long. No vectors or queries: no rows. Other
+    searched once, with its shortest vector, of equally long ones the smallest by components. Scores must fit a long. No vectors or queries: no rows. Other
     columns are ignored.
     """
     x = F.col("x")
@@ -224,7 +224,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_
     slots, blocks = max(1, -(-n // shard)), max(1, -(-n_query // block))
     slot = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(slots)).cast("int")
     trees = materialize(_packed(points.withColumn("slot", slot), ["dim", "slot"], 2 * shard, True), "trees")
-    asked = points.where("is_query").dropDuplicates(["vec_id"]).withColumn(
+    asked = points.where("is_query").groupBy("vec_id").agg(F.min(F.struct("dim", "x")).alias("v")).select("vec_id", "v.dim", "v.x").withColumn(
         "block", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).cast("int"))
     asked = materialize(_packed(asked, ["dim", "block"], 2 * block).select(
         "dim", "block", F.col("piece").alias("q_piece"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"),
