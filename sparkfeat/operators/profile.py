@@ -116,16 +116,16 @@ def corr_long(df: DataFrame, cols, threshold: float = 0.9) -> DataFrame:
 
 
 # ------------------------------------------------------------------ AGG-11
-EXACT_KS = 10_000      # rows of the larger sample up to which the p-value is exact
+EXACT_KS = 10_000      # usual size of the larger sample up to which the p-value is exact
 
 
-def ks_two_sample(df: DataFrame, cols, side_col: str, terms: int = 100, exact_up_to: int = EXACT_KS) -> DataFrame:
+def ks_two_sample(df: DataFrame, cols, side_col: str, terms: int = 100, exact_up_to: int = 0) -> DataFrame:
     """Two-sample KS statistic D per column and its two-sided p-value.
 
     D = max over distinct values of |F_a(v) − F_b(v)| with inclusive ECDFs,
     from distinct-value counts ranked by ``cumulative`` (no full sort, no
     one-task window). With at most ``exact_up_to`` values on either side the p-value is exact
-    (``ks_exact_p``, one column a row); beyond it is asymptotic,
+    (``ks_exact_p``, one column a row; ``EXACT_KS`` is the usual choice); beyond it, and by default, it is asymptotic,
     p = Q_KS(sqrt(n_a·n_b/(n_a+n_b))·D).
     """
     long = unpivot_numeric(df, [side_col], cols)

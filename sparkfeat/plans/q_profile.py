@@ -129,7 +129,7 @@ register("corr_pairs", with_profile() + "\nUNION ALL\n".join(
 
 # ------------------------------------------------------------------ AGG-11
 def ks_drift(spark, sf):
-    out = P.ks_two_sample(order_profile(spark, sf), NUMS, "is_test", exact_up_to=0)      # asymptotic at any size
+    out = P.ks_two_sample(order_profile(spark, sf), NUMS, "is_test")
     return _rnd(out, ["d", "p_value"])
 
 
@@ -155,7 +155,7 @@ def ks_exact(spark, sf):
     e = read_table(spark, sf, "embeddings").select("embedding")
     first = e.select(*[F.col("embedding")[0].cast("double").alias(f"x{j}") for j in range(1, 8)], F.lit(False).alias("other"))
     other = e.select(*[F.col("embedding")[j].cast("double").alias(f"x{j}") for j in range(1, 8)], F.lit(True).alias("other"))
-    return _rnd(P.ks_two_sample(first.unionByName(other), [f"x{j}" for j in range(1, 8)], "other"), ["d", "p_value"])
+    return _rnd(P.ks_two_sample(first.unionByName(other), [f"x{j}" for j in range(1, 8)], "other", exact_up_to=P.EXACT_KS), ["d", "p_value"])
 
 
 register("ks_exact", """
