@@ -34,11 +34,11 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^[\s\S]*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def host_suffixes(host: Column) -> Column:
-    """The host and the parents it is a subdomain of."""
-    parts = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)),
-                       lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+def host_suffixes(host: Column, labels: int) -> Column:
+    """The host and the parents it is a subdomain of, up to ``labels`` labels (the listed rules have no more)."""
+    n = F.least(F.size(F.split(host, r"\.")), F.lit(labels))
+    return F.when(n >= 1, F.transform(F.sequence(F.lit(1), n), lambda i: F.call_function(
+        "substring_index", host, F.lit("."), -i))).otherwise(F.array().cast("array<string>"))
 
 
 def path_prefixes(path: Column, depth: int) -> Column:
@@ -49,9 +49,9 @@ def path_prefixes(path: Column, depth: int) -> Column:
         F.array_join(F.slice(parts, 1, i), "/"), F.lit("/")))).otherwise(F.array().cast("array<string>"))
 
 
-def candidates(host: Column, path: Column, depth: int) -> Column:
+def candidates(host: Column, path: Column, labels: int, depth: int) -> Column:
     """Keys (host suffix followed by path prefix) that a rule fitting the url could have."""
-    return F.flatten(F.transform(host_suffixes(host), lambda h: F.transform(
+    return F.flatten(F.transform(host_suffixes(host, labels), lambda h: F.transform(
         path_prefixes(path, depth), lambda p: F.concat(h, p))))
 
 
@@ -135,12 +135,13 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     """
     rules = rules.where("host is not null and path is not null and verdict is not null").select(
         F.concat(F.lower("host"), "path").alias("key"), "verdict", (F.size(F.split("path", "/")) - 1).alias("depth"),
+        F.size(F.split("host", r"\.")).alias("labels"),
         (F.col("path").startswith("/") & F.col("path").endswith("/")).alias("right"))
-    depth, right = rules.agg(F.max("depth"), F.min("right")).first()
+    labels, depth, right = rules.agg(F.max("labels"), F.max("depth"), F.min("right")).first()
     if right is False:
         raise ValueError("a rule's path must start and end with '/'")
     out = pages.drop("rule", "verdict").withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
-    keys = candidates(F.col("host"), F.col("path"), depth or 0)
+    keys = candidates(F.col("host"), F.col("path"), labels or 0, depth or 0)
     universe = out.select(F.explode(keys).alias("key"))
     blocked = rules.where("verdict = 'block'").select("key")
     allowed = rules.where("verdict <> 'block'").select("key").join(blocked, "key", "left_anti")

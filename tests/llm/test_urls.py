@@ -63,3 +63,14 @@ def test_no_rules_no_pages_and_bad_rules(spark):
     assert judge_urls(df, both).first().verdict == "block"
     with pytest.raises(ValueError):
         judge_urls(df, rule_table(spark, [("com", "/en", "block")]))
+
+
+def test_host_of_many_labels(spark):
+    rules = rule_table(spark, [*RULES, ("a.b.c.d.net", "/es/x/", "allow")])
+    hosts = ["a." * 20_000 + "net", "a.b.c.d.net", "z.a.b.c.d.net", "b.c.d.net", ".net", "net.", "..", "a." * 20_000 + "org"]
+    data = [(k, f"http://{h}/es/x/y") for k, h in enumerate(hosts)]
+    df = spark.createDataFrame(data, "page_id long, url string")
+    sizes = df.select(F.size(urls.host_suffixes(urls.host_of(F.col("url")), 5)).alias("n")).agg(F.max("n")).first()[0]
+    assert sizes == 5
+    got = judge_urls(df, rules).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert sorted([tuple(r) for r in got], key=str) == brute(data, [*RULES, ("a.b.c.d.net", "/es/x/", "allow")])
