@@ -39,9 +39,10 @@ def count_tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def order_hash(seed: int, epoch: Column, doc_id: Column) -> Column:
-    """60-bit order of a document in a seeded epoch."""
-    key = F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("")))
+def order_hash(seed: int, epoch: Column, doc_id: Column, tk: Column) -> Column:
+    """60-bit order of a document in a seeded epoch; rows without an id are spread by their text key."""
+    key = F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"),
+                      F.coalesce(doc_id.cast("string"), F.concat(F.lit(":"), tk.cast("string"))))
     return F.conv(F.substring(F.md5(key), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
@@ -99,7 +100,7 @@ def allocate(leaves: DataFrame, weights: dict, budget: Column, max_epochs: int)
 
 def mixing_plan(meta: DataFrame, weights: dict, budget_share: float | None, budget: int | None,
                 max_epochs: int, seed: int) -> DataFrame:
-    """One row per leaf: whole epochs, and the cut in the partial one (hash, id, text key, tokens)."""
+    """One row per leaf: whole epochs, and the cut in the partial one (hash, id, text key, copies, their tokens)."""
     leaves = materialize(meta.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")), "leaves")
     total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     want = int(budget if budget is not None else total * budget_share)
@@ -111,7 +112,7 @@ def mixing_plan(meta: DataFrame, weights: dict, budget_share: float | None, budg
     while True:
         small = F.broadcast if state.count() <= BROADCAST_LEAVES else (lambda x: x)
         inside = (meta.where("n_tokens > 0").join(small(state.where("rest > 0")), LEVELS)
-                  .withColumn("h", order_hash(seed, F.col("whole"), F.col("doc_id")))
+                  .withColumn("h", order_hash(seed, F.col("whole"), F.col("doc_id"), F.col("tk")))
                   .where(F.shiftright("h", shift) == F.col("prefix")))
         # rows per leaf whose cut is still among too many documents
         most = inside.groupBy(*LEVELS).count().agg(F.max("count")).first()[0] or 0
@@ -132,24 +133,39 @@ def mixing_plan(meta: DataFrame, weights: dict, budget_share: float | None, budg
     same = (inside.groupBy(*LEVELS, "h", "doc_id", "tk").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("copies"), F.first("rest").alias("rest"))
             .withColumn("before", F.sum("t").over(by) - F.col("t")).where("before < rest and rest <= before + t")
             .select(*LEVELS, F.col("h").alias("cut_h"), F.col("doc_id").alias("cut_id"), F.col("tk").alias("cut_tk"),
-                    F.expr("(rest - before) div copies").cast("long").alias("cut_take")))
+                    "copies", (F.col("rest") - F.col("before")).alias("cut_take")))
     done = state.select(*LEVELS, "whole", (F.col("rest") > 0).alias("partial")).join(same, LEVELS, "left")
     return materialize(done, "mixing")
 
 
 def select_mixture(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
-    """Rows (levels, doc_id, tk, n_tokens, ...) in every epoch that takes tokens of them."""
+    """Rows (levels, doc_id, tk, n_tokens, ...) in every epoch that takes tokens of them.
+
+    Equal rows at a leaf's cut are interchangeable: one of them stands for all, and is
+    repeated as often as whole copies fit, then once more with the tokens that are left.
+    """
     small = F.broadcast if plan.count() <= BROADCAST_LEAVES else (lambda x: x)
-    h = order_hash(seed, F.col("whole"), F.col("doc_id"))
+    h = order_hash(seed, F.col("whole"), F.col("doc_id"), F.col("tk"))
     low = F.struct(F.col("__h"), F.col("doc_id"), F.col("tk"))
     cut = F.struct(F.col("cut_h"), F.col("cut_id"), F.col("cut_tk"))
-    last = F.when(~F.col("partial"), 0).when(low < cut, F.col("n_tokens")).when(low == cut, F.col("cut_take")).otherwise(0)
+    last = F.when(~F.col("partial"), 0).when(low < cut, F.col("n_tokens")).when((low == cut) & (F.col("copies") == 1), F.col("cut_take")).otherwise(0)
     out = rows.where("n_tokens > 0").join(small(plan), LEVELS).withColumn("__h", h).withColumn("__last", last.cast("long"))
     epochs = F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.col("whole")), lambda e: F.struct(
         e.alias("epoch"), F.when(e < F.col("whole"), F.col("n_tokens")).otherwise(F.col("__last")).alias("take_tokens"))),
         lambda x: x["take_tokens"] > 0)
-    return out.select(*rows.columns, F.explode(epochs).alias("__e")).select(
+    taken = out.select(*rows.columns, F.explode(epochs).alias("__e")).select(
         *rows.columns, F.col("__e.epoch").alias("epoch"), F.col("__e.take_tokens").alias("take_tokens"))
+    groups = plan.where("copies > 1")
+    if groups.isEmpty():
+        return taken
+    key = [*LEVELS, "doc_id", "tk"]
+    one = (rows.where("n_tokens > 0").join(small(groups), LEVELS)
+           .where(F.col("tk") == F.col("cut_tk")).where(F.col("doc_id").eqNullSafe(F.col("cut_id")))
+           .groupBy(*key).agg(*[F.first(c).alias(c) for c in [*rows.columns, "whole", "cut_take"] if c not in key]))
+    n = F.col("n_tokens")
+    takes = F.transform(F.sequence(F.lit(0).cast("long"), F.expr("(cut_take - 1) div n_tokens")),
+                        lambda i: F.least(n, F.col("cut_take") - i * n))
+    return taken.unionByName(one.select(*rows.columns, F.col("whole").alias("epoch"), F.explode(takes).alias("take_tokens")))
 
 
 def tagged(docs: DataFrame, domain: Column, lang: str, source: str, doc_id: str, text: str, keep_text: bool) -> DataFrame:
@@ -172,8 +188,9 @@ def mix_sources(docs: DataFrame, domain: Column, lang: str = "lang", source: str
     text is then its first words joined by one space.
     Names without a weight have weight 1; weight 0 takes nothing. Null domain, lang or
     source form the leaf "(none)"; null or blank texts have no tokens and are never
-    taken; a null doc_id is ordered like an empty id; repeated rows (same id and text)
-    stand side by side in an epoch and share a cut evenly, rounded down. An empty
+    taken; rows without a doc_id are ordered by their text's hash; repeated rows (same id
+    and text) stand side by side in an epoch, so at a cut whole copies are taken first and
+    one is cut. An empty
     table, or a budget of 0, gives no rows; a budget over all capacity takes all of it.
     Other columns are ignored.
     """

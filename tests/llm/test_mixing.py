@@ -93,4 +93,22 @@ def test_share_and_everything(spark):
 def test_repeated_rows_and_long_text(spark):
     data = [(1, "a b c d", "web", "en", "s")] * 3 + [(2, "x " * 300_000, "books", "en", "s")]
     got = run(spark, data, budget=20, weights={"domain": {"web": 1, "books": 1}}, max_epochs=1)
-    assert sorted(r[-1] for r in got) == [3, 3, 3, 10]
+    assert sorted(r[-1] for r in got) == [2, 4, 4, 10]       # 20 of 20 tokens: whole copies first, one is cut
+
+
+@pytest.mark.parametrize("budget", [33, 40, 45, 50, 53, 61, 110, 120, 153])
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_copies_at_the_cut_lose_no_token(spark, budget, doc_id):
+    data = [(doc_id, "a b c d e", "web", "en", "s")] * 10 + [(8, "k l m n o p q r s t", "web", "en", "s")]
+    df = spark.createDataFrame(data, "doc_id long, text string, domain string, lang string, source string")
+    got = mix_sources(df, F.col("domain"), budget=budget, max_epochs=4).collect()
+    assert sum(r.take_tokens for r in got) == budget
+    assert sum(r.take_tokens < r.n_tokens for r in got) <= 1
+    assert all(len(r.text.split()) == r.take_tokens for r in got)
+
+
+def test_many_rows_without_an_id(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "EXACT_ROWS", 8)             # the cut is searched among rows spread by their texts
+    data = [(None, f"t{k} word", "web", "en", "s") for k in range(400)]
+    got = run(spark, data, budget=301, max_epochs=1)
+    assert sum(r[-1] for r in got) == 301 and sorted(r[-1] for r in got) == [1] + [2] * 150
