@@ -6,19 +6,21 @@ training text is streamed through it word by word, tracking the longest suffix o
 the words so far that some item contains. Where that length reaches the window,
 the last words are an item's words and are marked; items shorter than the window
 count whole. Items are bounded in size per automaton; more items mean more
-automata, each a map-only pass whose marks are united.
+automata, one at a time: each is one pass over the texts whose marks are written by
+text key, and the last pass unites them.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkfeat.llm.common import slices, stowed, table
+from sparkfeat.llm.common import materialize, slices, stowed, table
 
 # Bytes that separate words: everything below "0", ":" to "`" and "{" to DEL, after folding A-Z.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -173,13 +175,19 @@ def _hits(auto, batch):
     return out
 
 
-def _scan_of(shared, window):
+def _found_of(shared, window):
+    """The texts that this automaton hits, by their keys."""
     def run(batches):
         auto = _automaton(shared, window)
         for batch in slices(batches):
-            cols = [c for c in batch.schema.names if c != "__hits"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in cols), pa.array(_hits(auto, batch), HIT_TYPE)],
-                                             names=[*cols, "__hits"])
+            rows = [(h0, h1, spans, sorted(x for x in names if x is not None))
+                    for h0, h1, text in zip(*(batch.column(c) for c in ("__h0", "__h1", "__text")))
+                    for spans, names in [auto.scan(normal_words(text.as_py()))] if spans]
+            if rows:
+                h0, h1, spans, names = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array([x.as_py() for x in h0], pa.int64()), pa.array([x.as_py() for x in h1], pa.int64()),
+                                                  pa.array(spans, HIT_TYPE["spans"].type), pa.array(names, HIT_TYPE["names"].type)],
+                                                 names=["__h0", "__h1", "spans", "names"])
     return run
 
 
@@ -217,28 +225,55 @@ OUT = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "over_cove
 OUT_TYPES = ["long", "long", "long", "string", "boolean", "boolean", "string", "array<array<int>>"]
 
 
-def item_shards(items: DataFrame, item_id: str, text: str, max_bytes: int) -> list[list[tuple]]:
-    """The items in lists of at most ``max_bytes`` of text (one item at least).
+class item_shards:  # noqa: N801
+    """The items in lists of at most ``max_bytes`` of text (one item at least), fetched one after the other.
 
-    Their total size is summed first; lists are fetched one after the other by
-    running size of 64 hash classes, so no fetch is larger than a class.
+    More items than one list holds are written to the shared folder by hash classes of
+    half that size; going through the lists reads one class at a time, so the driver
+    holds a class and a list, however many items there are. Repeated items count once.
     """
-    items = items.select(F.col(item_id).cast("string").alias("name"), F.col(text).alias("t")).where("t is not null")
-    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    classes = max(1, -(-2 * size // max_bytes)) if size > max_bytes else 1
-    out = []
-    for k in range(classes):
-        part = items.where(F.pmod(F.xxhash64("t"), F.lit(classes)) == k) if classes > 1 else items
-        held, n = [], 0
-        for row in part.toLocalIterator():
-            if held and n + len(row.t.encode()) > max_bytes:
-                out.append(held)
-                held, n = [], 0
-            held.append((row.name, row.t))
-            n += len(row.t.encode())
-        if held:
-            out.append(held)
-    return out
+
+    def __init__(self, items: DataFrame, item_id: str, text: str, max_bytes: int):
+        self.max_bytes = max_bytes
+        self.items = items.select(F.col(item_id).cast("string").alias("name"), F.col(text).alias("t")).where("t is not null").distinct()
+        size = self.items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+        self.classes = max(1, -(-2 * size // max_bytes)) if size > max_bytes else 1
+        if self.classes > 1:
+            part = F.pmod(F.xxhash64("name", "t"), F.lit(self.classes)).alias("part")
+            self.items = materialize(self.items.select("name", "t", part).repartitionByRange("part"), "items")
+
+    def __iter__(self):
+        for k in range(self.classes):
+            part = self.items.where(F.col("part") == k) if self.classes > 1 else self.items
+            held, n = [], 0
+            for row in part.select("name", "t").toLocalIterator():
+                if held and n + len(row.t.encode()) > self.max_bytes:
+                    yield held
+                    held, n = [], 0
+                held.append((row.name, row.t))
+                n += len(row.t.encode())
+            if held:
+                yield held
+
+
+def _earlier_hits(texts: DataFrame, shards, window: int) -> tuple[DataFrame | None, list]:
+    """Hits by text of all shards but the last, and the last shard.
+
+    One shard at a time is sent out, scanned over all texts, its hits written, and
+    freed. Copies of a text have equal hits, so one of them is kept in each shard.
+    """
+    spark, tables, last = texts.sparkSession, [], []
+    for shard in shards:
+        if last:
+            shared = spark.sparkContext.broadcast(last)
+            found = texts.mapInArrow(_found_of(shared, window), "__h0 long, __h1 long, spans array<array<int>>, names array<string>")
+            tables.append(materialize(found.dropDuplicates(["__h0", "__h1"]), "hits"))
+            shared.destroy()
+        last = shard
+    if not tables:
+        return None, last
+    return (reduce(DataFrame.unionAll, tables).groupBy("__h0", "__h1")
+            .agg(F.struct(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("names")).alias("names")).alias("__hits"))), last
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id",
@@ -259,15 +294,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id
     """
     spark = docs.sparkSession
     keep, names = stowed(docs, (text, *OUT))
-    work = docs.select(*keep, F.col(text).alias("__text"),
-                       F.lit(None).cast("struct<spans: array<array<int>>, names: array<string>>").alias("__hits"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in work.schema)
-    shared = [spark.sparkContext.broadcast(x) for x in item_shards(items, item_id, item_text, shard_bytes) or [[]]]
-    for shard in shared[:-1]:
-        work = work.mapInArrow(_scan_of(shard, window), fields)
+    work = docs.select(*keep, F.col(text).alias("__text"))
+    keyed = work.select("*", *(F.xxhash64(F.lit(k), "__text").alias(f"__h{k}") for k in (0, 1)))
+    earlier, last = _earlier_hits(keyed.select("__h0", "__h1", "__text").where("__text is not null"),
+                                  item_shards(items, item_id, item_text, shard_bytes), window)
+    if earlier is None:
+        work = work.withColumn("__hits", F.lit(None).cast("struct<spans: array<array<int>>, names: array<string>>"))
+    else:
+        work = keyed.join(earlier, ["__h0", "__h1"], "left").drop("__h0", "__h1")
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in work.schema if f.name not in ("__text", "__hits"))
     out = ", ".join(f"{n} {t}" for n, t in zip(OUT, OUT_TYPES))
-    return work.mapInArrow(_cut_of(shared[-1], window, min_span, max_coverage), f"{kept}, {out}" if kept else out).toDF(*names, *OUT)
+    return work.mapInArrow(_cut_of(spark.sparkContext.broadcast(last), window, min_span, max_coverage), f"{kept}, {out}" if kept else out).toDF(*names, *OUT)
 
 
 def op10_decontamination(spark, sf_dir):

@@ -83,3 +83,15 @@ def test_shards_are_bounded(spark):
     shards = item_shards(items, "item_id", "text", 200)
     assert sorted(n for s in shards for n, _ in s) == sorted([str(i) for i in range(40)] + ["99"])
     assert all(len(s) == 1 or sum(len(t) for _, t in s) <= 200 for s in shards)
+
+
+def test_shards_share_equal_items_and_copies(spark):
+    """One text under many ids is spread over shards, one row repeated is one item, copies of a document are hit alike."""
+    same = " ".join(f"q{i}" for i in range(12))
+    items = [(k, same) for k in range(30)] + [(77, "r1 r2 r3")] * 40 + [(88, "q11 tail")]
+    shards = list(item_shards(spark.createDataFrame(items, "item_id long, text string"), "item_id", "text", 150))
+    assert sum(len(s) for s in shards) == 32 and len(shards) > 10
+    rows = [(d, f"head {same} tail r1 r2 r3") for d in range(50)] + [(60, None), (61, ""), (62, "r1 r2"), (None, "r1 r2 r3")]
+    got, clean = run(spark, rows, items, shard_bytes=150, min_span=1)
+    assert got == brute(rows, items)
+    assert clean[0].split() == ["head"] and clean[60] is None and clean[None] == ""
