@@ -9,7 +9,8 @@ a surrogate; further mentions of a name without its title are replaced in its do
 case and spelling alike. Letters keep their script; Latin names get plain Latin letters.
 
 Numbers and addresses go through a keyed permutation of all numbers of their format,
-so they cannot collide with each other. E-mails and names are drawn by a keyed hash.
+so they cannot collide with each other. E-mails, their domains (each on its own, the last
+label stays) and names are drawn by a keyed hash.
 All surrogates of the corpus are then checked: the distinct entities (never the texts)
 are grouped by surrogate, and those that share one, or whose surrogate is itself an
 entity of the corpus, are drawn again until none is left. Redrawn names and addresses
@@ -198,7 +199,10 @@ def canonical(kind: str, mention: str) -> str:
     return mention
 
 
-PRIVATE = [ipaddress.IPv4Network(n) for n in ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8")]
+# Private and reserved networks: their addresses stay in them, and no public address becomes one of theirs.
+PRIVATE = [ipaddress.IPv4Network(n) for n in (
+    "10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "0.0.0.0/8", "100.64.0.0/10", "169.254.0.0/16", "192.0.0.0/24",
+    "192.0.2.0/24", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4")]
 
 
 NETS6 = [ipaddress.IPv6Network(n) for n in ("2000::/3", "fc00::/7", "fe80::/10")]        # global, private, link
@@ -247,8 +251,8 @@ def space(kind: str, entity: str) -> tuple[str | None, float | None]:
     return None, None
 
 
-def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
-    """Canonical surrogate of a canonical entity; ``attempt`` > 0 draws again."""
+def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0, domain_attempt: int = 0) -> str:
+    """Canonical surrogate of a canonical entity; ``attempt`` > 0 draws again (``domain_attempt``: an e-mail's domain)."""
     what = (kind, attempt) if attempt else (kind,)
     if kind == "ipv4":
         found = _address(entity)
@@ -282,9 +286,12 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
         return stays + new
     if kind == "email":
         local, _, domain = entity.partition("@")
-        host, _, tld = domain.rpartition(".")
         # one surrogate for a domain wherever it stands, whatever the attempt; a crowded one gets longer names
-        return _like(local + "a" * max(0, attempt - 2), _numbers(key, *what, entity)) + "@" + _like(host, _numbers(key, "domain", domain)) + "." + tld
+        return (_like(local + "a" * max(0, attempt - 2), _numbers(key, *what, entity)) + "@"
+                + surrogate(key, "domain", domain, domain_attempt))
+    if kind == "domain":
+        host, _, tld = entity.rpartition(".")
+        return _like(host + "a" * max(0, attempt - 2), _numbers(key, *what, entity)) + "." + tld
     if kind in ("family", "given"):
         return _name_word(key, kind, entity, attempt)
     return name_surrogate(key, entity, lambda kind, word: attempt)
@@ -337,8 +344,10 @@ def name_surrogate(key: bytes, entity: str, attempt_of) -> str:
 
 
 def drawn_entities(kind: str, entity: str) -> list[tuple[str, str]]:
-    """What is drawn for an entity: the words of a name, else itself."""
-    return [(k, word) for _, k, word in name_parts(entity)] if kind == "name" else [(kind, entity)]
+    """What is drawn for an entity: the words of a name, an e-mail and its domain, else itself."""
+    if kind == "name":
+        return [(k, word) for _, k, word in name_parts(entity)]
+    return [(kind, entity), ("domain", entity.partition("@")[2])] if kind == "email" else [(kind, entity)]
 
 
 def mention_of(kind: str, new: str, mention: str) -> str:
@@ -434,7 +443,7 @@ def _rewrite_of(key, redrawn):
                     if kind == "name":
                         new = name_surrogate(key, entity, lambda *word: attempts.get(word, 0))  # noqa: B023
                     else:
-                        new = surrogate(key, kind, entity, attempts.get((kind, entity), 0))
+                        new = surrogate(key, kind, entity, *(attempts.get(one, 0) for one in drawn_entities(kind, entity)))
                     out += [text[at:a], mention_of(kind, new, text[a:b])]
                     at = b
                     seen.append(kind)

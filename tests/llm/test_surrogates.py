@@ -139,3 +139,26 @@ def test_letters_keep_their_script():
     new = surrogate(KEY, "email", "γιώργος.é@παράδειγμα.gr")
     assert re.fullmatch("[Ͱ-Ͽ]{7}\\.[à-ÿ]@[Ͱ-Ͽ]{10}\\.gr", new) and new == new.lower()
     assert surrogate(KEY, "name", "m 田中") != "m 田中" and re.fullmatch("m [一-鿿]+", surrogate(KEY, "name", "m 田中"))
+
+
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_domains_stay_distinct(spark, monkeypatch, limit):
+    """All one-letter domains are taken: each gets a domain of its own that is none of theirs, the same everywhere."""
+    monkeypatch.setattr(surrogates, "MAX_BROADCAST_REDRAWN", limit)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, f"jane@{c}.com then bob@{c}.com, JANE@{c.upper()}.COM") for i, c in enumerate(letters)]
+    got = pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()
+    found = {r.doc_id: re.findall(r"([\w.]+)@([\w.]+\.(?:com|COM))", r.text) for r in got}
+    assert all(len({d.lower() for _, d in f}) == 1 and len(f) == 3 and f[0][0].upper() == f[2][0] for f in found.values())
+    domains = {f[0][1] for f in found.values()}
+    assert len(domains) == 26 and not domains & {f"{c}.com" for c in letters}
+    assert len({(a, d.lower()) for f in found.values() for a, d in f[:2]}) == 52
+
+
+def test_public_addresses_stay_public():
+    rnd = random.Random(3)
+    for _ in range(500):
+        old = f"{rnd.choice([1, 8, 93, 151, 203, 223])}.{rnd.randrange(1, 100)}.{rnd.randrange(256)}.{rnd.randrange(256)}"
+        assert surrogates._address(surrogate(KEY, "ipv4", old))[1] is None
+    for old, net in (("224.0.0.251", "224.0.0.0/4"), ("255.255.255.255", "240.0.0.0/4"), ("192.0.2.7", "192.0.2.0/24"), ("169.254.1.1", "169.254.0.0/16")):
+        assert str(surrogates._address(surrogate(KEY, "ipv4", old))[1]) == net
