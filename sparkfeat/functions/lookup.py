@@ -12,10 +12,11 @@ rows on one task.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkfeat.session import cut_lineage
@@ -46,6 +47,30 @@ def fit_state(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> State:
     return State(cut_lineage(df), False, None)
 
 
+def save_fitted(path: str, spark: SparkSession, **values) -> None:
+    """Keep a fitted operator's parts under ``path``: tables (``State`` or DataFrame) as Parquet,
+    the rest (numbers, strings, lists, dicts) as JSON in a one-row table."""
+    plain = {}
+    for name, value in values.items():
+        if isinstance(value, (State, DataFrame)):
+            table = value.df if isinstance(value, State) else value
+            table.write.parquet(f"{path}/{name}")
+            value = {"__table": "small" if isinstance(value, State) and value.small else "large"}
+        plain[name] = value
+    spark.createDataFrame([(json.dumps(plain),)], "value string").coalesce(1).write.text(f"{path}/values")
+
+
+def load_fitted(path: str, spark: SparkSession) -> dict:
+    """The parts that ``save_fitted`` kept; tables come back as ``State``, proven small again
+    by their rows, or read from their files."""
+    values = json.loads(spark.read.text(f"{path}/values").first()[0])
+    for name, value in values.items():
+        if isinstance(value, dict) and "__table" in value:
+            table = spark.read.parquet(f"{path}/{name}")
+            values[name] = fit_state(table) if value["__table"] == "small" else State(table, False)
+    return values
+
+
 _WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 

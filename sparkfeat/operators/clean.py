@@ -7,11 +7,10 @@ by one distributed aggregate over all columns at once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkfeat.functions.lookup import fit_state, lookup_join
 from sparkfeat.functions.ordered import exact_quantiles
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
@@ -196,12 +195,10 @@ def missing_features(df: DataFrame, cols, groups: dict | None = None) -> DataFra
 
 def pattern_codes(df: DataFrame, id_col: str, pattern_col: str = "missing_pattern",
                   out: str = "missing_pattern_code") -> DataFrame:
-    """IMP-8: dense code of the sorted distinct patterns (≤ 2^k rows, broadcast)."""
-    distinct = df.select(F.col(pattern_col).alias("value")).distinct()
-    st = fit_state(distinct)
-    table = st.df.withColumn("__code", (F.dense_rank().over(Window.orderBy("value")) - 1).cast("int"))
-    st2 = fit_state(table)
-    return lookup_join(df, st2, [(pattern_col, "value")], salt_col=id_col).withColumnRenamed("__code", out)
+    """IMP-8: dense code of the sorted distinct patterns (many patterns are ranked in ranges)."""
+    from sparkfeat.operators.encode import apply_codes, fit_codes
+    codes = fit_codes(df, [pattern_col], None)
+    return apply_codes(df, codes, [pattern_col], id_col, None, "__code").withColumnRenamed(f"{pattern_col}___code", out)
 
 
 def missing_table(df: DataFrame, cols) -> DataFrame:

@@ -14,11 +14,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkfeat.functions.hashing import gaussian
-from sparkfeat.functions.lookup import MAX_BROADCAST_ROWS, State, fit_state, lookup_join
+from sparkfeat.functions.lookup import MAX_BROADCAST_ROWS, State, fit_state, load_fitted, lookup_join, save_fitted
 from sparkfeat.functions.ordered import dense_codes
 from sparkfeat.operators.folds import hash_fold, stratified_fold
 from sparkfeat.session import cut_lineage
@@ -50,6 +50,13 @@ class SmoothModel:
     cols: tuple
     suffix: str
 
+    def save(self, path: str) -> None:
+        save_fitted(path, self.state.df.sparkSession, **vars(self))
+
+    @classmethod
+    def load(cls, path: str, spark: SparkSession) -> "SmoothModel":
+        return cls(**load_fitted(path, spark))
+
     def transform(self, df: DataFrame, id_col: str) -> DataFrame:
         """ENC-11: real transform for unseen rows (unknown / null → global mean)."""
         out = df
@@ -230,6 +237,13 @@ class BayesModel:
     cols: tuple
     suffix: str
 
+    def save(self, path: str) -> None:
+        save_fitted(path, self.state.df.sparkSession, **vars(self))
+
+    @classmethod
+    def load(cls, path: str, spark: SparkSession) -> "BayesModel":
+        return cls(**load_fitted(path, spark))
+
     def transform(self, df: DataFrame, id_col: str) -> DataFrame:
         """Full-data values for rows that were not trained on (unknown category → overall mean)."""
         out = df

@@ -19,13 +19,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkfeat.functions.lookup import load_fitted, save_fitted
 from sparkfeat.session import cut_lineage
 
 DONOR_BLOCK = 4096      # distinct donor vectors in a block
 RECIPIENT_BLOCK = 512   # distinct recipient patterns in a block
+MAX_ROW_DONORS = 200_000     # donors that a row-by-row fill sends to every task
+ROW_CELLS = 1 << 21     # distances held at once by a row-by-row fill
 
 
 def _value(c: str) -> Column:
@@ -120,6 +124,60 @@ class KnnImputer:
         return filled.groupBy("x").agg(*[F.max(F.when(F.col("target") == j, F.col("imp"))).alias(f"__imp_{j}")
                                          for j in range(len(self.cols))])
 
+    def save(self, path: str) -> None:
+        save_fitted(path, self.donors.sparkSession, cols=self.cols, k=self.k, means=self.means, donors=self.donors)
+
+    @classmethod
+    def load(cls, path: str, spark: SparkSession) -> "KnnImputer":
+        kept = load_fitted(path, spark)
+        knn = cls(kept["cols"], kept["k"])
+        knn.means, knn.donors = kept["means"], kept["donors"].df
+        return knn
+
+    def for_rows(self, max_donors: int = MAX_ROW_DONORS):
+        """The same fill as a function of a DataFrame without any action, row by row, for streams.
+
+        The donors are read once and sent to every task, so there may be at most ``max_donors``
+        (distinct donor vectors × columns); with more, ``transform`` is the way.
+        """
+        rows = self.donors.limit(max_donors + 1).collect()
+        if len(rows) > max_donors:
+            raise ValueError(f"over {max_donors} donors: too many to send to every task")
+        width, k = len(self.cols), self.k
+        give = {}
+        for t in range(width):
+            own = [r for r in rows if r.target == t]
+            give[t] = (np.array([r.v for r in own], float).reshape(-1, width), np.array([r.n for r in own], np.int64))
+        sent = self.donors.sparkSession.sparkContext.broadcast(give)
+
+        @F.arrow_udf("array<double>")
+        def fills(gaps: pa.Array) -> pa.Array:
+            x = pc.list_flatten(gaps).to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+            asked, back = np.unique(x, axis=0, return_inverse=True)       # NaN equals NaN here
+            out = np.full(asked.shape, np.nan)
+            for t, (v, n) in sent.value.items():
+                ask = np.flatnonzero(np.isnan(asked[:, t]))
+                step = max(1, ROW_CELLS // max(1, len(v)))
+                for some in (ask[a:a + step] for a in range(0, len(ask) if len(v) else 0, step)):
+                    i, j, _ = nearest(asked[some], v, k)
+                    first = np.searchsorted(i, i)
+                    total = np.concatenate([[0], np.cumsum(n[j])])
+                    take = np.clip(k - (total[:-1] - total[first]), 0, n[j])
+                    weight = np.bincount(i, take, len(some))
+                    with np.errstate(invalid="ignore"):
+                        out[some, t] = np.bincount(i, take * v[j, t], len(some)) / weight
+            filled = np.full((len(gaps), width), np.nan)
+            filled[gaps.is_valid().to_numpy(zero_copy_only=False)] = out[back.ravel()]
+            flat = pa.array(filled.ravel(), from_pandas=True)             # NaN: no usable donor
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(gaps) + 1) * width, pa.int32()), flat)
+
+        def fill(df: DataFrame, suffix: str = "") -> DataFrame:
+            x = F.array(*[_value(c) for c in self.cols])
+            out = df.withColumn("__imp", fills(F.when(F.exists(x, lambda v: v.isNull()), x)))
+            return out.withColumns({f"{c}{suffix}": F.coalesce(_value(c), F.get("__imp", j), F.lit(self.means[c]).cast("double"))
+                                    for j, c in enumerate(self.cols)}).drop("__imp")
+        return fill
+
     def transform(self, df: DataFrame, id_col: str, suffix: str = "") -> DataFrame:
         """Every row with its gaps filled (NaN is a gap); a column without any training value stays null."""
         keyed = df.withColumn("__x", F.array(*[_value(c) for c in self.cols]))

@@ -10,6 +10,7 @@ and test predictions are long tables (id, model, fold, p) built with
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor, as_completed
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark import inheritable_thread_target
@@ -20,10 +21,11 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkfeat.functions.hashing import uniform
+from sparkfeat.functions.lookup import load_fitted, save_fitted
 from sparkfeat.operators.ensemble import pivot_scores
 from sparkfeat.session import written
 
@@ -297,46 +299,84 @@ def auc_builtin(oof: DataFrame) -> float:
 
 
 # ------------------------------------------------------------------ CLU-1..3
-def kmeans_features(df: DataFrame, cols, k: int = 5, seed: int = 42, fit_on: DataFrame | None = None) -> DataFrame:
-    """Cluster id and distance to every centre; centres sorted so ids are stable.
-    Scaling and centres come from ``fit_on`` (the training rows; default: all rows)."""
+@dataclass
+class KMeansColumns:
+    """CLU-1/2 fitted: the scaling and the centres, in rising order so that ids are stable."""
+    scaling: dict       # column: [mean, std]
+    centres: list
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Scaled columns, the distance to every centre and the nearest one (ties: the first); no action."""
+        from sparkfeat.operators.encode import apply_standard
+        zs = [f"{c}_z" for c in self.scaling]
+        dist = {f"cluster_{i}_distance": F.sqrt(sum(((F.col(z) - F.lit(x)) ** 2 for z, x in zip(zs, centre)), F.lit(0.0)))
+                for i, centre in enumerate(self.centres)}
+        out = apply_standard(df, self.scaling, "z").withColumns(dist)
+        nearest = F.array_position(F.array(*dist), F.least(*dist)) - 1
+        return out.withColumn("cluster", nearest.cast("int"))
+
+    def save(self, path: str, spark: SparkSession) -> None:
+        save_fitted(path, spark, **vars(self))
+
+    @classmethod
+    def load(cls, path: str, spark: SparkSession) -> "KMeansColumns":
+        return cls(**load_fitted(path, spark))
+
+
+def _scaled(df: DataFrame, cols):
     from sparkfeat.operators.encode import apply_standard, fit_standard
-    fit_on = df if fit_on is None else fit_on
-    params = fit_standard(fit_on, cols)
-    std = apply_standard(df, params, "z")
-    zc = [f"{c}_z" for c in cols]
-    vec = assemble(apply_standard(fit_on, params, "z"), zc, "zvec")
+    params = fit_standard(df, cols)
+    return params, assemble(apply_standard(df, params, "z"), [f"{c}_z" for c in cols], "zvec")
+
+
+def fit_kmeans(df: DataFrame, cols, k: int = 5, seed: int = 42) -> KMeansColumns:
+    params, vec = _scaled(df, cols)
     model = KMeans(k=k, seed=seed, featuresCol="zvec").fit(vec)
-    centres = sorted((list(map(float, c)) for c in model.clusterCenters()))
-    dist = {f"cluster_{i}_distance": F.sqrt(sum(((F.col(z) - F.lit(c[j])) ** 2 for j, z in enumerate(zc)),
-                                                 F.lit(0.0))) for i, c in enumerate(centres)}
-    out = std.withColumns(dist)
-    dcols = list(dist)
-    nearest = F.array_position(F.array(*[F.col(d) for d in dcols]), F.least(*[F.col(d) for d in dcols])) - 1
-    return out.withColumn("cluster", nearest.cast("int"))
+    return KMeansColumns(params, sorted([float(x) for x in c] for c in model.clusterCenters()))
 
 
-def pca_features(df: DataFrame, cols, k: int = 3, fit_on: DataFrame | None = None):
-    """First k principal components of standardised, centred columns; each
-    component's sign makes its largest loading positive. Scaling and components
-    come from ``fit_on`` (the training rows; default: all rows)."""
-    from sparkfeat.operators.encode import apply_standard, fit_standard
-    fit_on = df if fit_on is None else fit_on
-    params = fit_standard(fit_on, cols)
-    std = apply_standard(df, params, "z")  # mean 0 on the fitted rows → centred
-    zc = [f"{c}_z" for c in cols]
-    vec = assemble(apply_standard(fit_on, params, "z"), zc, "zvec")
+def kmeans_features(df: DataFrame, cols, k: int = 5, seed: int = 42, fit_on: DataFrame | None = None) -> DataFrame:
+    """Cluster id and distance to every centre, fitted on ``fit_on`` (the training rows; default: all rows)."""
+    return fit_kmeans(df if fit_on is None else fit_on, cols, k, seed).transform(df)
+
+
+@dataclass
+class PcaColumns:
+    """CLU-3 fitted: the scaling, the loadings of each component and the explained shares of variance."""
+    scaling: dict       # column: [mean, std]
+    loadings: list
+    explained: list
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Scaled columns and ``pca_0 ...``; no action."""
+        from sparkfeat.operators.encode import apply_standard
+        zs = [f"{c}_z" for c in self.scaling]
+        return apply_standard(df, self.scaling, "z").withColumns({
+            f"pca_{i}": sum((F.col(z) * F.lit(x) for z, x in zip(zs, load)), F.lit(0.0)) for i, load in enumerate(self.loadings)})
+
+    def save(self, path: str, spark: SparkSession) -> None:
+        save_fitted(path, spark, **vars(self))
+
+    @classmethod
+    def load(cls, path: str, spark: SparkSession) -> "PcaColumns":
+        return cls(**load_fitted(path, spark))
+
+
+def fit_pca(df: DataFrame, cols, k: int = 3) -> PcaColumns:
+    """First k principal components of standardised, centred columns; each component's
+    sign makes its largest loading positive."""
+    params, vec = _scaled(df, cols)
     model = PCA(k=k, inputCol="zvec", outputCol="pcs").fit(vec)
-    pc = model.pc.toArray()  # (#features × k), small
-    comps = {}
-    for i in range(k):
-        col_load = pc[:, i]
-        sign = 1.0 if col_load[abs(col_load).argmax()] >= 0 else -1.0
-        comps[f"pca_{i}"] = sum((F.col(z) * F.lit(float(sign * col_load[j])) for j, z in enumerate(zc)),
-                                F.lit(0.0))
-    out = std.withColumns(comps)
-    var = model.explainedVariance.toArray()
-    return out, [float(v) for v in var]
+    loads = model.pc.toArray().T  # (k × #features), small
+    signed = [load if load[abs(load).argmax()] >= 0 else -load for load in loads]
+    return PcaColumns(params, [[float(x) for x in load] for load in signed],
+                      [float(v) for v in model.explainedVariance.toArray()])
+
+
+def pca_features(df: DataFrame, cols, k: int = 3, fit_on: DataFrame | None = None):
+    """(components of ``df``, explained shares), fitted on ``fit_on`` (the training rows; default: all rows)."""
+    model = fit_pca(df if fit_on is None else fit_on, cols, k)
+    return model.transform(df), model.explained
 
 
 __all__ = ["make_model", "assemble", "oof_predictions", "blend", "weighted_vote", "importances",

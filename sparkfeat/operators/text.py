@@ -11,6 +11,9 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +41,9 @@ def chosen_combos(df: DataFrame, groups, sep: str = "_", suffix: str = "") -> di
     out = {}
     for g in groups:
         if all(c in df.columns for c in g):
-            out[sep.join(g) + suffix] = F.concat_ws(sep, *[F.col(c) for c in g])
+            name = sep.join(g) + suffix
+            meta = {FAMILY: f"{len(g)}-gram"} if len(g) in (4, 5) else {}
+            out[name] = F.concat_ws(sep, *[F.col(c) for c in g]).alias(name, metadata=meta)
     return out
 
 
@@ -114,6 +119,40 @@ def transform_tfidf(df: DataFrame, id_col: str, tokens: dict, vocab_st: State) -
     return raw.select(id_col, "feature", "token", (F.col("__w") / norm).alias("tfidf"))
 
 
+def row_tfidf(df: DataFrame, id_col: str, tokens: dict, vocab_st: State) -> DataFrame:
+    """As ``transform_tfidf``, but row by row: no shuffle and no action, so it runs on a stream.
+
+    The vocabulary must be proven small (it is sent to every task). Rows that share an id are
+    weighted each on its own, where ``transform_tfidf`` counts them together.
+    """
+    idf: dict = {f: {} for f in tokens}
+    for r in vocab_st.collect():
+        if r.feature in idf and r.token is not None:       # as in the join, a null token matches nothing
+            idf[r.feature][r.token] = r.idf
+    sent = df.sparkSession.sparkContext.broadcast(idf)
+
+    def weigh(feature: str):
+        @F.arrow_udf("array<struct<token: string, tfidf: double>>")
+        def weights(words: pa.Array) -> pa.Array:
+            known = sent.value[feature]
+            vocabulary = pa.array(list(known), pa.string())
+            row = pc.list_parent_indices(words).to_numpy().astype(np.int64)
+            place = pc.index_in(pc.cast(pc.list_flatten(words), pa.string()), vocabulary)
+            found = place.is_valid().to_numpy(zero_copy_only=False)
+            pair, tf = np.unique(row[found] * max(len(vocabulary), 1) + place.drop_null().to_numpy(), return_counts=True)
+            row, term = np.divmod(pair, max(len(vocabulary), 1))
+            w = tf * np.array(list(known.values()), float)[term] if len(pair) else np.zeros(0)
+            norm = np.sqrt(np.bincount(row, w * w, len(words)))
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(words)))])
+            pairs = pa.StructArray.from_arrays([vocabulary.take(pa.array(term)), pa.array(w / norm[row])], names=["token", "tfidf"])
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+        return weights
+
+    arr = F.array(*[F.struct(F.lit(f).alias("feature"), weigh(f)(t).alias("terms")) for f, t in tokens.items()])
+    return (df.select(id_col, F.explode(arr).alias("ft")).select(id_col, "ft.feature", F.explode("ft.terms").alias("t"))
+            .select(id_col, "feature", "t.token", "t.tfidf"))
+
+
 def tfidf(df: DataFrame, id_col: str, tokens: dict, min_df: int = 2, max_features: int | None = 100,
           fit_on: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Smooth-idf TF-IDF with L2 row norm for several token columns at once: (weights of
@@ -141,7 +180,7 @@ def dense_top_terms(df: DataFrame, weights: DataFrame, vocab: DataFrame, id_col:
     slots = [f"{f}_t{i}" for f in sorted(feats) for i in range(1, k + 1)]
     wide = keyed.groupBy(id_col).agg(*[F.max(F.when(F.col("slot") == s, F.col("tfidf"))).alias(s) for s in slots])
     out = df.select(id_col).join(wide, id_col, "left")
-    return out.fillna(0.0, subset=slots)
+    return tag_family(out.fillna(0.0, subset=slots), "TF-IDF", slots)
 
 
 # ------------------------------------------------------------------ TXT-9
@@ -175,15 +214,32 @@ def low_info_report(df: DataFrame, string_cols, numeric_cols, min_unique_ratio:
 
 
 # ----------------------------------------------------------------- TXT-10
-FAMILY_RULES = (("tfidf", "tfidf"), ("gram", "ngram"), ("combo", "combo"),
-                ("encoded", "target_encoding"), ("missing", "missing"))
-
-
-def family_of(name_col) -> Column:
-    """Feature family from a column-name column (for tables without a spec)."""
-    col = F.col(name_col) if isinstance(name_col, str) else name_col
-    expr = None
-    for needle, fam in FAMILY_RULES:
-        cond = col.contains(needle)
-        expr = F.when(cond, F.lit(fam)) if expr is None else expr.when(cond, F.lit(fam))
-    return expr.otherwise(F.lit("original"))
+# Part of a column's name (any case) and the family it stands for.
+FAMILY_RULES = (("tfidf", "TF-IDF"), ("4gram", "4-gram"), ("5gram", "5-gram"))
+FAMILY = "family"       # key in the column's metadata
+
+
+def family_of(name_col, originals=()) -> Column:
+    """Family by name, upper and lower case alike: TF-IDF, 4-gram, 5-gram, Original (the name
+    holds that of a column in ``originals``), else Other. The first rule that fits counts."""
+    col = F.lower(F.col(name_col) if isinstance(name_col, str) else name_col)
+    expr = F
+    for needle, family in (*FAMILY_RULES, *((c.lower(), "Original") for c in originals)):
+        expr = expr.when(col.contains(needle), F.lit(family))
+    return expr.otherwise(F.lit("Other"))
+
+
+def tag_family(df: DataFrame, family: str, cols) -> DataFrame:
+    """Note in the columns' metadata what they are; selects and renames carry it along."""
+    for c in cols:
+        df = df.withMetadata(c, {**df.schema[c].metadata, FAMILY: family})
+    return df
+
+
+def feature_families(df: DataFrame, cols=None, originals=()) -> DataFrame:
+    """(feature, family, tagged) of the columns: the family set by the operator that made the
+    column, else by the rules of ``family_of``. One row per column."""
+    rows = [(c, df.schema[c].metadata.get(FAMILY)) for c in (df.columns if cols is None else cols)]
+    names = df.sparkSession.createDataFrame(rows, "feature string, tag string")
+    return names.select("feature", F.coalesce("tag", family_of("feature", originals)).alias("family"),
+                        F.col("tag").isNotNull().alias("tagged"))

@@ -13,11 +13,12 @@ from sparkfeat.operators import ensemble as EN
 from sparkfeat.operators import models as MD
 from sparkfeat.operators import pseudo as PS
 from sparkfeat.operators import stacking as ST
-from sparkfeat.operators.encode import apply_standard, fit_standard
+from sparkfeat.operators.encode import apply_codes, apply_standard, fit_codes, fit_standard
 from sparkfeat.operators.folds import hash_fold, stratified_fold
-from sparkfeat.operators.text import family_of
+from sparkfeat.operators.text import family_of, feature_families
+from sparkfeat.plans.q_text import family_table
 from sparkfeat.session import cut_lineage
-from sparkfeat.sources.fixtures import DOC_FEATURES, doc_profile, scored, scored_sql
+from sparkfeat.sources.fixtures import DOC_FEATURES, ORDER_SPEC, doc_profile, scored, scored_sql
 from sparkfeat.sources.tables import read_table
 
 K = 5
@@ -125,7 +126,7 @@ def _importance(spark, sf):
     train, _ = _train_test(spark, sf)
     model = MD.make_model("rf", trees=TREES, depth=5, min_leaf=4).fit(MD.assemble(train, FEATS))
     imp = MD.importances(model, FEATS, spark)
-    return imp.withColumn("family", family_of(F.col("feature")))
+    return imp.withColumn("family", family_of("feature", FEATS))
 
 
 @register("feature_importance")
@@ -137,7 +138,14 @@ def feature_importance(spark, sf):
 
 @register("importance_by_family")
 def importance_by_family(spark, sf):
-    imp = _importance(spark, sf)
+    """Importances over a table with all families; text columns enter as their codes."""
+    rows = cut_lineage(family_table(spark, sf))
+    cols = [c for c in rows.columns if c not in ("id", "label")]
+    strings = [c for c in cols if dict(rows.dtypes)[c] == "string"]
+    codes = fit_codes(rows, strings)
+    coded = apply_codes(rows, codes, strings, "id").withColumns({c: F.col(f"{c}_code") for c in strings})
+    model = MD.make_model("rf", trees=TREES, depth=5, min_leaf=4).fit(MD.assemble(coded.fillna(0.0, subset=cols), cols))
+    imp = MD.importances(model, cols, spark).join(feature_families(rows, cols, ORDER_SPEC.numeric), "feature")
     return imp.groupBy("family").agg(F.avg("importance").alias("mean"), F.sum("importance").alias("total"),
                                      F.avg((F.col("importance") < 0.001).cast("double")).alias("low_share"))
 

@@ -79,10 +79,14 @@ register("combos_chosen", with_profile(_BASE_SQL) + "SELECT id, " + ", ".join(
 
 
 # ----------------------------------------------------------- TXT-6/7
+def gram_docs(spark, sf):
+    b = _base(spark, sf)
+    return b.select("id", "is_test", *[F.concat_ws("_", *g).alias(k) for k, g in GRAM_GROUPS.items()])
+
+
 def _gram_tfidf(spark, sf):
     """Vocabulary and idf from the training rows, weights of all rows."""
-    b = _base(spark, sf)
-    docs = b.select("id", "is_test", *[F.concat_ws("_", *g).alias(k) for k, g in GRAM_GROUPS.items()])
+    docs = gram_docs(spark, sf)
     toks = {k: T.split_tokens(k, "_") for k in GRAM_GROUPS}
     w, vocab = T.tfidf(docs, "id", toks, min_df=2, max_features=100, fit_on=docs.filter("not is_test"))
     return docs.drop("is_test"), w, vocab
@@ -175,3 +179,40 @@ register("low_info_filter", with_profile(
      f"count(DISTINCT {c}) / CAST(count(*) AS DOUBLE) > 0.01 AS kept FROM docs" for c in list(BASE7) + list(GRAM_GROUPS)] +
     [f"SELECT '{c}' AS feature, 'numeric' AS kind, {sig6_sql(f'var_samp({c})')} AS stat, "
      f"coalesce(var_samp({c}) > 1e-6, false) AS kept FROM order_profile" for c in ORDER_SPEC.numeric]))(low_info_filter)
+
+
+# --------------------------------------------------------------- TXT-10
+def family_table(spark, sf):
+    """Columns of all families: the numbers, chosen 4- and 5-grams and dense TF-IDF terms (tagged by
+    the operators that make them), and columns that only their names place."""
+    p, b = order_profile(spark, sf), _base(spark, sf)
+    grams = T.chosen_combos(b, list(GRAM_GROUPS.values()), "_", "_combo")
+    made = b.select("id", *[v.alias(k) for k, v in zip(GRAM_GROUPS, grams.values())])
+    docs, w, vocab = _gram_tfidf(spark, sf)
+    dense = T.dense_top_terms(docs, w, vocab, "id", 2)
+    named = p.select("id", "label", *ORDER_SPEC.numeric, F.sqrt("total").alias("TFIDF_like"), F.col("cnt_r").alias("R_4Gram"),
+                     F.col("cnt_a").alias("A_5GRAM"), F.log1p("max_price").alias("log_MAX_PRICE"),
+                     F.col("st1").alias("line_state"))
+    return named.join(made, "id").join(dense, "id")
+
+
+def feature_families(spark, sf):
+    t = family_table(spark, sf).drop("id", "label")
+    families = T.feature_families(t, originals=ORDER_SPEC.numeric)
+    counts = t.agg(*[F.count(c).alias(c) for c in t.columns]).unpivot([], t.columns, "feature", "n_values")
+    return families.join(counts, "feature")
+
+
+def _families_sql():
+    cols = [(c, "Original", False, c) for c in ORDER_SPEC.numeric]
+    cols += [("TFIDF_like", "TF-IDF", False, "total"), ("R_4Gram", "4-gram", False, "cnt_r"),
+             ("A_5GRAM", "5-gram", False, "cnt_a"), ("log_MAX_PRICE", "Original", False, "max_price"),
+             ("line_state", "Other", False, "st1")]
+    cols += [(k, f"{len(g)}-gram", True, "id") for k, g in GRAM_GROUPS.items()]
+    cols += [(f"{k}_t{i}", "TF-IDF", True, "id") for k in GRAM_GROUPS for i in (1, 2)]
+    return with_profile() + "\nUNION ALL\n".join(
+        f"SELECT '{name}' AS feature, '{family}' AS family, {str(tag).lower()} AS tagged, count({c}) AS n_values FROM order_profile"
+        for name, family, tag, c in cols)
+
+
+register("feature_families", _families_sql())(feature_families)

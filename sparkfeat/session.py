@@ -82,12 +82,18 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
-def written(df, name: str):
-    """``df`` as Parquet files in the shared folder, read back; deleted when the application ends."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the application ends."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/sparkfeat-{name}-{uuid.uuid4().hex}"
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def written(df, name: str):
+    """``df`` as Parquet files in the shared folder, read back; deleted when the application ends."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
