@@ -26,7 +26,7 @@ def register(name: str, sql: str | None = None):
 def _load() -> None:
     # importing the modules fills REGISTRY
     from sparkfeat.plans import q_encode, q_clean, q_features, q_text, q_profile  # noqa: F401
-    from sparkfeat.plans import q_sets, q_ensemble, q_models, q_stream  # noqa: F401
+    from sparkfeat.plans import q_sets, q_ensemble, q_models, q_stream, q_checks  # noqa: F401
 
 
 def queries() -> dict:
