@@ -25,9 +25,10 @@ Method
 
 No row of a hot phrase meets in one task: counts combine before the shuffle and
 the joins by anchor or passage are plain equi-joins between exchanges, which
-adaptive execution splits. ``uid`` is a 64-bit hash of document id and text; a
+adaptive execution splits. A row is known by two 64-bit hashes of document id and
+text, ``uid`` and ``tag``, so different documents do not merge at any corpus size; a
 representative place is checked against its run's hash before it is used, and
-the automaton compares words, so a collision of ids cannot remove a word.
+the automaton compares words.
 """
 
 from __future__ import annotations
@@ -101,7 +102,7 @@ def _take(column, rows):
     return column.take(pa.array(rows.astype(np.int64)))
 
 
-RUN_SCHEMA = "uid long, anchor long, body long, place long, twice boolean"
+RUN_SCHEMA = "uid long, tag long, anchor long, body long, place long, twice boolean"
 
 
 def _runs_of(window):
@@ -116,10 +117,10 @@ def _runs_of(window):
                 base = np.searchsorted(rows, np.arange(hi - lo))
                 twice = _self_repeating(rng, len(words), window, smallest, ok, runs)
                 yield pa.RecordBatch.from_arrays(
-                    [_take(batch.column("uid"), row + lo), _longs(anchor),
+                    [_take(batch.column("uid"), row + lo), _take(batch.column("tag"), row + lo), _longs(anchor),
                      _longs(_body(words, rng, rows, first, last + window)),
                      pa.array(((first - base[row]) << 31) + last - first + 1), pa.array(twice)],
-                    names=["uid", "anchor", "body", "place", "twice"])
+                    names=["uid", "tag", "anchor", "body", "place", "twice"])
     return run
 
 
@@ -155,13 +156,13 @@ def _checked_of(window):
                 kept = flat.filter(pa.array(good))
                 edges = np.concatenate([[0], np.cumsum(np.bincount(row[good], minlength=hi - lo))])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("uid").slice(lo, hi - lo), text.slice(lo, hi - lo),
+                    [batch.column("uid").slice(lo, hi - lo), batch.column("tag").slice(lo, hi - lo), text.slice(lo, hi - lo),
                      pa.ListArray.from_arrays(pa.array(edges, pa.int32()), kept).cast(SPAN_TYPE)],
-                    names=["uid", "text", "spans"])
+                    names=["uid", "tag", "text", "spans"])
     return run
 
 
-WINDOW_SCHEMA = ("uid long, w1 long, w2 long, left long, right long, "
+WINDOW_SCHEMA = ("uid long, tag long, w1 long, w2 long, left long, right long, "
                  "pos int, weight long")
 
 
@@ -183,9 +184,9 @@ def _windows_of(window):
                 left, right = _neighbours(words, rows, at, at + window)
                 row = rows[at]
                 yield pa.RecordBatch.from_arrays(
-                    [_take(batch.column("uid"), row + lo), _longs(one), _longs(two), _longs(left), _longs(right),
+                    [_take(batch.column("uid"), row + lo), _take(batch.column("tag"), row + lo), _longs(one), _longs(two), _longs(left), _longs(right),
                      pa.array((at - base[row]).astype(np.int32)), pa.array(weight)],
-                    names=["uid", "w1", "w2", "left", "right", "pos", "weight"])
+                    names=["uid", "tag", "w1", "w2", "left", "right", "pos", "weight"])
     return run
 
 
@@ -349,6 +350,10 @@ def _apply_of(with_text):
 
 # ------------------------------------------------------------------ operator
 
+def _row_key():
+    return F.xxhash64("doc_id", "text").alias("uid"), F.xxhash64(F.lit(1), "doc_id", "text").alias("tag")
+
+
 def remove_repeated_phrases(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                             window: int = 35, with_text: bool = True) -> DataFrame:
     """Remove every word covered by a ``window``-word sequence that starts more than once.
@@ -363,9 +368,9 @@ def remove_repeated_phrases(docs: DataFrame, doc_id: str = "doc_id", text: str =
     if window < GRAM + 1:
         raise ValueError(f"window must be over {GRAM} words")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("uid"))
+    docs = docs.select("doc_id", "text", *_row_key())
 
-    runs = materialize(docs.select("uid", "text").mapInArrow(_runs_of(window), RUN_SCHEMA), "runs")
+    runs = materialize(docs.select("uid", "tag", "text").mapInArrow(_runs_of(window), RUN_SCHEMA), "runs")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     windows = runs.agg(F.sum(F.col("place").bitwiseAND(F.lit(0x7FFFFFFF)))).first()[0] or 0
     buckets = max(parts, 1 + windows // BUCKET_WINDOWS)
@@ -373,7 +378,7 @@ def remove_repeated_phrases(docs: DataFrame, doc_id: str = "doc_id", text: str =
         runs.groupBy("anchor").agg(F.count("*").alias("total"), F.max("twice").alias("twice"),
                                    F.min("body").alias("low"), F.max("body").alias("high"))
         .where("total > 1 or twice").select("anchor", "total", F.expr("low = high and not twice").alias("uniform")), "anchors")
-    recurring = materialize(runs.join(anchors, "anchor").select("uid", "anchor", "body", "place", "uniform", "total"), "recurring")
+    recurring = materialize(runs.join(anchors, "anchor").select("uid", "tag", "anchor", "body", "place", "uniform", "total"), "recurring")
     drop_materialized(runs)
     drop_materialized(anchors)
 
@@ -381,28 +386,28 @@ def remove_repeated_phrases(docs: DataFrame, doc_id: str = "doc_id", text: str =
     # (and windows below) that share their documents are taken from the same one.
     spans = (recurring.groupBy("anchor", "body").agg(
         F.count("*").alias("weight"), F.max("uniform").alias("uniform"), F.max("total").alias("total"),
-        F.min("uid").alias("uid"), F.min_by("place", "uid").alias("place"))
-        .groupBy("uid").agg(F.collect_list(F.struct("place", "weight", "uniform", "body", "total")).alias("spans")))
+        F.min("uid").alias("uid"), F.min_by("tag", "uid").alias("tag"), F.min_by("place", "uid").alias("place"))
+        .groupBy("uid", "tag").agg(F.collect_list(F.struct("place", "weight", "uniform", "body", "total")).alias("spans")))
     # Repeated rows (same id, same text) are read for places once.
     holders = materialize(
-        docs.select("uid", "text").join(spans, "uid").dropDuplicates(["uid"])
-        .mapInArrow(_checked_of(window), "uid long, text string, spans array<struct<place: long, weight: long, "
+        docs.select("uid", "tag", "text").join(spans, ["uid", "tag"]).dropDuplicates(["uid", "tag"])
+        .mapInArrow(_checked_of(window), "uid long, tag long, text string, spans array<struct<place: long, weight: long, "
                     "uniform: boolean, body: long, total: long>>"), "holders")
-    windows = (holders.select("uid", "text", F.filter("spans", lambda s: ~s["uniform"]).alias("spans"))
+    windows = (holders.select("uid", "tag", "text", F.filter("spans", lambda s: ~s["uniform"]).alias("spans"))
                .where(F.size("spans") > 0).mapInArrow(_windows_of(window), WINDOW_SCHEMA))
     confirmed = (windows.groupBy("w1", "w2").agg(
         F.sum("weight").alias("total"),
         (F.min("left") == F.max("left")).alias("one_left"),
         (F.min("right") == F.max("right")).alias("one_right"),
-        F.min("uid").alias("uid"), F.min_by("pos", "uid").alias("pos"))
+        F.min("uid").alias("uid"), F.min_by("tag", "uid").alias("tag"), F.min_by("pos", "uid").alias("pos"))
         .where("total > 1")
-        .select("uid", F.struct((F.shiftleft(F.col("pos").cast("long"), 31) + 1).alias("place"),
+        .select("uid", "tag", F.struct((F.shiftleft(F.col("pos").cast("long"), 31) + 1).alias("place"),
                                 "one_left", "one_right", "total").alias("node")))
-    uniform = (holders.select("uid", F.explode(F.filter("spans", lambda s: s["uniform"])).alias("s"))
-               .select("uid", F.struct("s.place", F.lit(True).alias("one_left"), F.lit(True).alias("one_right"),
+    uniform = (holders.select("uid", "tag", F.explode(F.filter("spans", lambda s: s["uniform"])).alias("s"))
+               .select("uid", "tag", F.struct("s.place", F.lit(True).alias("one_left"), F.lit(True).alias("one_right"),
                                        F.col("s.weight").alias("total")).alias("node")))
-    nodes = confirmed.unionAll(uniform).groupBy("uid").agg(F.collect_list("node").alias("nodes"))
-    passages = materialize(holders.join(nodes, "uid").mapInArrow(_passages_of(window), PASSAGE_SCHEMA)
+    nodes = confirmed.unionAll(uniform).groupBy("uid", "tag").agg(F.collect_list("node").alias("nodes"))
+    passages = materialize(holders.join(nodes, ["uid", "tag"]).mapInArrow(_passages_of(window), PASSAGE_SCHEMA)
                            .withColumn("pid", F.monotonically_increasing_id()), "passages")
     drop_materialized(holders)
 

@@ -6,6 +6,8 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
+from sparkfeat.llm import phrases
 from sparkfeat.llm.phrases import remove_repeated_phrases
 
 
@@ -72,3 +74,11 @@ def test_long_text(spark):
     w = [f"w{i}" for i in range(300_000)]
     rows = [(1, " ".join(w)), (2, " ".join(w[1000:1050])), (3, "no")]
     assert run(spark, rows) == brute(rows)
+
+
+def test_rows_with_one_first_hash_stay_apart(spark, monkeypatch):
+    """Different documents whose first 64 bits collide keep their own runs."""
+    monkeypatch.setattr(phrases, "_row_key", lambda: (F.pmod(F.col("doc_id"), F.lit(2)).alias("uid"),
+                                                      F.xxhash64(F.lit(1), "doc_id", "text").alias("tag")))
+    rows = passages(4)
+    assert run(spark, rows) == brute(rows)
