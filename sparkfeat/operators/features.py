@@ -120,6 +120,9 @@ def at_least(c, threshold) -> Column:
 
 
 # ------------------------------------------------------------------ FEA-9
+HOT = 1000      # a value that one row in so many has, or more, is frequent
+
+
 def pct_rank(df: DataFrame, cols, id_col: str, suffix: str = "rank",
              fit_on: DataFrame | None = None) -> DataFrame:
     """Average-tie percentile rank (pandas ``rank(pct=True)``), exact, among the rows of
@@ -127,21 +130,29 @@ def pct_rank(df: DataFrame, cols, id_col: str, suffix: str = "rank",
     half-way between its neighbours', at most 1; a column without fitted values gives null.
 
     All columns in long form: distinct values to rank join the distinct fitted values with
-    count 0 and are ordered among them by ``cumulative`` (no one-task window). The rows take
-    their ranks in one join, nulls kept out. ``id_col`` need not be unique.
+    count 0 and are ordered among them by ``cumulative`` (no one-task window). The rows take the
+    ranks of a column's frequent values (one row in ``HOT`` or more, so at most ``HOT`` values) by a
+    broadcast; only the others are shuffled by value, so no task holds a column's rows of one
+    value. Nulls are kept out. ``id_col`` need not be unique.
     """
     base = written(df.withColumn("__row", F.monotonically_increasing_id()), "ranked")
     long = unpivot_numeric(base, ["__row"], cols)
-    counts = long.groupBy("feature", "value").agg(F.count("*").alias("n"))
+    counts = long.groupBy("feature", "value").agg(F.count("*").alias("own")).withColumn("n", F.col("own"))
     if fit_on is not None:
         fitted = unpivot_numeric(fit_on, [], cols).groupBy("feature", "value").agg(F.count("*").alias("n"))
-        counts = (fitted.unionByName(counts.withColumn("n", F.lit(0).cast("bigint")))
-                  .groupBy("feature", "value").agg(F.sum("n").alias("n")))
-    cum = cumulative(counts, ["feature"], "value", ["n"])
+        none = F.lit(0).cast("bigint")
+        counts = (fitted.withColumn("own", none).unionByName(counts.withColumn("n", none))
+                  .groupBy("feature", "value").agg(F.sum("n").alias("n"), F.sum("own").alias("own")))
+    cum = cumulative(counts, ["feature"], "value", ["n", "own"])
     rank = F.least(F.try_divide((F.col("prev_n") + F.lit(1) + F.col("cum_n")) / F.lit(2.0), F.col("tot_n")), F.lit(1.0))
-    table = cum.select(F.col("feature").alias("__f"), F.col("value").alias("__v"),
-                       F.when(F.col("tot_n") > 0, rank).alias("__pr"))
-    found = long.join(table, (F.col("feature") == F.col("__f")) & (F.col("value") == F.col("__v")))
+    table = written(cum.filter("own > 0").select(
+        F.col("feature").alias("__f"), F.col("value").alias("__v"), F.when(F.col("tot_n") > 0, rank).alias("__pr"),
+        (F.col("own") * F.lit(HOT) >= F.col("tot_own")).alias("__hot")), "ranks")
+    hot, rest = (table.filter(c).drop("__hot") for c in ("__hot", "not __hot"))
+    same = (F.col("feature") == F.col("__f")) & (F.col("value") == F.col("__v"))
+    marked = long.join(F.broadcast(hot), same, "left")
+    found = marked.filter("__f IS NOT NULL").select("__row", "feature", "__pr").unionByName(
+        marked.filter("__f IS NULL").select("__row", "feature", "value").join(rest, same).select("__row", "feature", "__pr"))
     wide = found.groupBy("__row").agg(*[F.max(F.when(F.col("feature") == c, F.col("__pr"))).alias(f"{c}_{suffix}") for c in cols])
     return base.join(wide, "__row", "left").drop("__row")
 
