@@ -3,8 +3,8 @@
 TF-IDF is a chain of distributed aggregates: document frequency and total
 per token straight from the rows (map-side combined, so a token present in a
 third of all documents is no hot spot), a vocabulary (bounded by
-``max_features``, or all eligible terms), and token counts with an L2 norm per
-document in one shuffle of the vocabulary's tokens.
+``max_features``, or all eligible terms), and weights row by row where the
+vocabulary is proven small, else from each row's counted terms in one join.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkfeat.functions.lookup import State, fit_state, lookup_join
+from sparkfeat.session import written
 
 
 # ------------------------------------------------------------- TXT-1..5
@@ -74,15 +75,16 @@ def fit_tfidf(train: DataFrame, tokens: dict, min_df: int = 2, max_features: int
     count (ties by token), or all with ``max_features=None``.
     """
     feats = list(tokens)
-    arr = F.array(*[F.struct(F.lit(f).alias("feature"), F.array_sort(tokens[f]).alias("toks")) for f in feats])
+    prepared = F.array_distinct if max_features is None else F.array_sort     # totals only choose the most frequent
+    arr = F.array(*[F.struct(F.lit(f).alias("feature"), prepared(tokens[f]).alias("toks")) for f in feats])
     rows = train.select(F.explode(arr).alias("ft")).select("ft.feature", "ft.toks")
-    # tokens of a row are sorted: the first of equal ones counts the document
-    seen = F.transform("toks", lambda t, i: F.struct(
-        t.alias("token"), F.when((i > 0) & (t == F.get("toks", i - 1)), 0).otherwise(1).alias("first")))
-    stats = (rows.select("feature", F.explode(seen).alias("t")).groupBy("feature", "t.token")
-             .agg(F.sum("t.first").alias("df"), F.count("*").alias("total")))
+    # tokens of a row are sorted (or distinct): the first of equal ones counts the document
+    again = (F.col("i") > 0) & (F.col("token") == F.get("toks", F.col("i") - 1))
+    stats = (rows.select("feature", "toks", F.posexplode("toks").alias("i", "token"))
+             .select("feature", "token", F.when(again, 0).otherwise(1).alias("first"))
+             .groupBy("feature", "token").agg(F.sum("first").alias("df"), F.count("*").alias("total")))
     n_docs = train.count()
-    eligible = stats.filter(F.col("df") >= min_df)
+    eligible = written(stats.filter(F.col("df") >= min_df), "terms")      # read once per feature, counted once
     idf = F.log(F.lit(float(n_docs + 1)) / (F.col("df") + F.lit(1.0))) + F.lit(1.0)
     if max_features is None:
         return fit_state(eligible.select("feature", "token", "df", idf.alias("idf")))
@@ -101,24 +103,52 @@ def fit_tfidf(train: DataFrame, tokens: dict, min_df: int = 2, max_features: int
     return fit_state(vocab, max_rows=bound)
 
 
+def _one_row_per_id(df: DataFrame, id_col: str, tokens: dict) -> tuple[DataFrame, dict]:
+    """Rows with the tokens of all rows of an id together, and the columns that hold them. Where
+    no id repeats (counted by a shuffle of the ids alone) the rows stay where they are."""
+    if df.groupBy(id_col).agg(F.count("*").alias("__n")).filter("__n > 1").isEmpty():
+        return df, tokens
+    cols = {f: f"__tokens{i}" for i, f in enumerate(tokens)}
+    whole = df.groupBy(id_col).agg(*[F.flatten(F.collect_list(tokens[f])).alias(c) for f, c in cols.items()])
+    return whole, {f: F.col(c) for f, c in cols.items()}
+
+
 def transform_tfidf(df: DataFrame, id_col: str, tokens: dict, vocab_st: State) -> DataFrame:
-    """Weights (id, feature, token, tfidf) of any rows by a fitted vocabulary, L2 norm 1 per row and feature."""
-    arr = F.array(*[F.struct(F.lit(f).alias("feature"), t.alias("toks")) for f, t in tokens.items()])
-    long = df.select(id_col, F.explode(arr).alias("ft")).select(
-        id_col, F.col("ft.feature").alias("feature"), F.explode("ft.toks").alias("token"))
+    """Weights (id, feature, token, tfidf) of any rows by a fitted vocabulary, L2 norm 1 per id and feature.
+
+    A vocabulary proven small is sent to the tasks, which weigh each row where it is: no token is
+    shuffled or sorted. A larger one is joined to the counted terms of each row; only terms, each once a row, are shuffled.
+    """
+    rows, toks = _one_row_per_id(df, id_col, tokens)
+    if vocab_st.small and vocab_st.rows is not None:
+        return row_tfidf(rows, id_col, toks, vocab_st)
+    arr = F.array(*[F.struct(F.lit(f).alias("feature"), _term_counts(t).alias("terms")) for f, t in toks.items()])
+    long = (rows.select(id_col, F.explode(arr).alias("ft")).select(id_col, "ft.feature", F.explode("ft.terms").alias("t"))
+            .select(id_col, "feature", "t.token", "t.tf"))
     vocab_st = State(vocab_st.df.select("feature", "token", "idf"), vocab_st.small)
-    # keep only vocabulary tokens BEFORE the (id, token) shuffle
     kept = lookup_join(long, vocab_st, ["feature", "token"], how="inner", salt_col=id_col,
-                       allow_map=False)  # hash lookups for the many token rows
-    # one shuffle by document: the per-token counts and the per-document norm
-    # below both reuse this partitioning (no second exchange)
-    kept = kept.repartition(id_col, "feature")
-    kept = kept.groupBy(id_col, "feature", "token", "idf").agg(F.count("*").alias("tf"))
+                       allow_map=False)  # hash lookups for the many terms
     raw = kept.withColumn("__w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("__w") * F.col("__w")).over(Window.partitionBy(id_col, "feature")))
     return raw.select(id_col, "feature", "token", (F.col("__w") / norm).alias("tfidf"))
 
 
+def _term_counts(tokens: Column) -> Column:
+    """The distinct tokens of each row and how often it has them."""
+    @F.arrow_udf("array<struct<token: string, tf: bigint>>")
+    def term_counts(words: pa.Array) -> pa.Array:
+        row = pc.list_parent_indices(words).to_numpy().astype(np.int64)
+        coded = pc.dictionary_encode(pc.cast(pc.list_flatten(words), pa.string()))
+        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+        size, known = max(len(coded.dictionary), 1), coded.is_valid().to_numpy(zero_copy_only=False)
+        pair, tf = np.unique(row[known] * size + coded.indices.drop_null().to_numpy(), return_counts=True)
+        row, term = np.divmod(pair, size)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(words)))])
+        pairs = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(term)), pa.array(tf, pa.int64())], names=["token", "tf"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+    return term_counts(tokens)
+
+
 def row_tfidf(df: DataFrame, id_col: str, tokens: dict, vocab_st: State) -> DataFrame:
     """As ``transform_tfidf``, but row by row: no shuffle and no action, so it runs on a stream.
 

@@ -11,6 +11,7 @@ from sparkfeat.operators import clean as C
 from sparkfeat.operators import text as T
 from sparkfeat.functions.rounding import sig6
 from sparkfeat.plans.sqlkit import r6, sig6_sql, with_profile
+from sparkfeat.session import written
 from sparkfeat.sources.fixtures import ORDER_SPEC, order_profile
 from sparkfeat.sources.tables import read_table
 
@@ -86,7 +87,7 @@ def gram_docs(spark, sf):
 
 def _gram_tfidf(spark, sf):
     """Vocabulary and idf from the training rows, weights of all rows."""
-    docs = gram_docs(spark, sf)
+    docs = written(gram_docs(spark, sf), "grams")       # joined once, read by the fit and both results
     toks = {k: T.split_tokens(k, "_") for k in GRAM_GROUPS}
     w, vocab = T.tfidf(docs, "id", toks, min_df=2, max_features=100, fit_on=docs.filter("not is_test"))
     return docs.drop("is_test"), w, vocab

@@ -454,3 +454,42 @@ def test_logistic_penalty_uses_the_weights_of_the_fit(spark):
     two = MD.make_model("lr", C=0.5, weight="w2").fit(df).coefficients[0]
     plain = MD.make_model("lr", C=1.0).fit(df).coefficients[0]
     assert math.isclose(one, two, rel_tol=1e-5) and math.isclose(one, plain, rel_tol=1e-5)
+
+
+def _execution_plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tfidf_weighs_rows_without_shuffling_tokens(spark):
+    """A small vocabulary is applied row by row: neither an exchange nor a sort of tokens."""
+    docs = spark.createDataFrame([(1, "a_b_b"), (2, "b_c"), (3, "a__c"), (None, "a_b")], "id long, s string")
+    w, _ = T.tfidf(docs, "id", {"s": T.split_tokens("s")}, min_df=2, max_features=100)
+    assert "Exchange" not in _execution_plan(w) and "Sort" not in _execution_plan(w)
+    assert w.count() == 8
+
+
+def test_tfidf_counts_the_rows_of_an_id_together_by_either_path(spark):
+    rows = [(1, "a_b"), (1, "b_c_c"), (2, "b_c"), (3, None), (None, "a"), (None, "a_b"), (4, "d")]
+    docs = spark.createDataFrame(rows, "id long, s string")
+    toks = {"s": T.split_tokens("s")}
+    vocab = T.fit_tfidf(docs, toks, max_features=None)
+    idf = {r.token: r.idf for r in vocab.df.collect()}
+    assert set(idf) == {"a", "b", "c"}
+    want = {}
+    for key, counts in {1: {"a": 1, "b": 2, "c": 2}, 2: {"b": 1, "c": 1}, None: {"a": 2, "b": 1}}.items():
+        w = {t: n * idf[t] for t, n in counts.items()}
+        want |= {(key, t): x / math.sqrt(sum(y * y for y in w.values())) for t, x in w.items()}
+    for state in (vocab, T.State(vocab.df, False)):
+        got = {(r.id, r.token): r.tfidf for r in T.transform_tfidf(docs, "id", toks, state).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
+
+
+def test_pct_rank_shuffles_only_rare_values(spark):
+    """A value that most rows share is ranked by a broadcast; rare ones and frequent ones alike are exact."""
+    rows = [(i, 1.0 if i % 10 else float(i), None if i % 3 else float(i % 6)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "id long, x double, y double").repartition(3)
+    out = X.pct_rank(df, ["x", "y"], "id")
+    assert "BroadcastHashJoin" in _execution_plan(out)
+    got, pdf = out.orderBy("id").toPandas(), df.toPandas().sort_values("id")
+    for c in ("x", "y"):
+        assert np.allclose(got[f"{c}_rank"].fillna(-1), pdf[c].rank(pct=True).fillna(-1))
