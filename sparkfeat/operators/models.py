@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from sparkfeat.functions.hashing import uniform
 from sparkfeat.functions.lookup import load_fitted, save_fitted
 from sparkfeat.operators.ensemble import pivot_scores
-from sparkfeat.session import written
+from sparkfeat.session import fitted_rows, written
 
 
 # ------------------------------------------------------------------ MOD-1..6
@@ -137,7 +137,8 @@ class EncodedClassifier(Estimator):
         train = empirical_bayes(folded, self.cat_cols, self.label, self.id_col, "__ef", "te")
         cols = self.num_cols + [f"{c}_te" for c in self.cat_cols]
         encoder = fit_empirical_bayes(df, self.cat_cols, self.label, "te")
-        return EncodedClassifierModel(encoder, self.classifier.fit(assemble(train, cols)), cols, self.id_col)
+        rows = fitted_rows(assemble(train, cols), len(cols))        # the encoding's joins run once, not in every pass
+        return EncodedClassifierModel(encoder, self.classifier.fit(rows), cols, self.id_col)
 
 
 class EncodedClassifierModel(Model):

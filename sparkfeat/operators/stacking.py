@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from sparkfeat.operators.ensemble import correct
 from sparkfeat.operators.models import PARALLEL, assemble, p_one, run_jobs
-from sparkfeat.session import written
+from sparkfeat.session import fitted_rows, written
 
 META = ("meta",)      # the winner's job among those of the bases
 
@@ -78,7 +78,7 @@ class Stacking(Estimator):
         spark, k = train.sparkSession, self.k
         views, failed = base_views(train, self.bases, self.id_col, self.label, self.fold_col, k, self.parallel)
         kept = [n for n in self.bases if n not in failed]
-        vec = assemble(views, _inputs(kept), "features")
+        vec = fitted_rows(assemble(views, _inputs(kept), "features"), len(kept))
         own = F.col("held") == F.col("fold")            # fitted without the row's fold alone
 
         def outer(name, est, f):

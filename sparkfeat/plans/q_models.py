@@ -17,7 +17,7 @@ from sparkfeat.operators.encode import apply_codes, apply_standard, fit_codes, f
 from sparkfeat.operators.folds import hash_fold, stratified_fold
 from sparkfeat.operators.text import family_of, feature_families
 from sparkfeat.plans.q_text import family_table
-from sparkfeat.session import cut_lineage
+from sparkfeat.session import cut_lineage, fitted_rows
 from sparkfeat.sources.fixtures import DOC_FEATURES, ORDER_SPEC, doc_profile, scored, scored_sql
 from sparkfeat.sources.tables import read_table
 
@@ -37,7 +37,8 @@ def _train_test(spark, sf):
 def _vectors(train, test=None):
     """Feature vectors scaled by the training rows: penalties and step sizes mean the same for every column."""
     scale = fit_standard(train, FEATS)
-    return [None if d is None else MD.assemble(apply_standard(d, scale, "z"), [f"{c}_z" for c in FEATS]) for d in (train, test)]
+    train, test = (None if d is None else MD.assemble(apply_standard(d, scale, "z"), [f"{c}_z" for c in FEATS]) for d in (train, test))
+    return [fitted_rows(train, len(FEATS)), test]
 
 
 def _base_estimators():
@@ -124,7 +125,8 @@ def adversarial_auc(spark, sf):
 # ------------------------------------------------------------------ EVL-5 / AGG-16 / SRT-1
 def _importance(spark, sf):
     train, _ = _train_test(spark, sf)
-    model = MD.make_model("rf", trees=TREES, depth=5, min_leaf=4).fit(MD.assemble(train, FEATS))
+    rows = fitted_rows(MD.assemble(train, FEATS).select("features", "label"), len(FEATS))
+    model = MD.make_model("rf", trees=TREES, depth=5, min_leaf=4).fit(rows)
     imp = MD.importances(model, FEATS, spark)
     return imp.withColumn("family", family_of("feature", FEATS))
 
@@ -144,7 +146,8 @@ def importance_by_family(spark, sf):
     strings = [c for c in cols if dict(rows.dtypes)[c] == "string"]
     codes = fit_codes(rows, strings)
     coded = apply_codes(rows, codes, strings, "id").withColumns({c: F.col(f"{c}_code") for c in strings})
-    model = MD.make_model("rf", trees=TREES, depth=5, min_leaf=4).fit(MD.assemble(coded.fillna(0.0, subset=cols), cols))
+    vectors = fitted_rows(MD.assemble(coded.fillna(0.0, subset=cols), cols).select("features", "label"), len(cols))
+    model = MD.make_model("rf", trees=TREES, depth=5, min_leaf=4).fit(vectors)
     imp = MD.importances(model, cols, spark).join(feature_families(rows, cols, ORDER_SPEC.numeric), "feature")
     return imp.groupBy("family").agg(F.avg("importance").alias("mean"), F.sum("importance").alias("total"),
                                      F.avg((F.col("importance") < 0.001).cast("double")).alias("low_share"))
@@ -190,7 +193,7 @@ def pseudo_iterative(spark, sf):
 @register("model_zoo")
 def model_zoo(spark, sf):
     train, _ = _train_test(spark, sf)
-    train = cut_lineage(stratified_fold(train, "doc_id", "label", K, 42))
+    train = fitted_rows(stratified_fold(train, "doc_id", "label", K, 42), len(FEATS))
     assembled = MD.assemble(train, FEATS)
     ests = {
         "hgb": MD.make_model("hgb", max_iter=ROUNDS, depth=4, min_leaf=8),

@@ -23,6 +23,8 @@ CLUSTER_CONF = {
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
 }
 
+CELLS = 2_000_000       # numbers in a partition of rows to fit on
+
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "sparkfeat", scratch: str | None = None) -> SparkSession:
@@ -98,5 +100,17 @@ def written(df, name: str):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fitted_rows(df, width: int):
+    """Checkpointed rows of ``width`` numbers each, for fits that pass over them many times.
+
+    As many partitions as the rows fill with ``CELLS`` numbers, not as many as the (much
+    larger) input they were derived from: a fit runs hundreds of small jobs, whose cost is the
+    number of tasks while the rows are few. The order of the rows stays.
+    """
+    rows = cut_lineage(df)
+    need = max(1, -(-rows.count() * max(width, 1) // CELLS))
+    return rows if need >= rows.rdd.getNumPartitions() else cut_lineage(rows.coalesce(need))
+
+
 def default_sf_dir() -> str:
     return os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")

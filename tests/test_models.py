@@ -87,3 +87,16 @@ def test_folds_by_score(spark):
     got = MD.adversarial_folds(spark.createDataFrame(rows, "id long, p double").repartition(4), "id", 5).collect()
     order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
     assert {r.id: r.fold for r in got} == {i: n * 5 // 103 for n, (i, _) in enumerate(order)}
+
+
+def test_rows_to_fit_on_lie_in_partitions_by_their_own_size(spark, monkeypatch):
+    """Few numbers from many partitions: one task a pass; more of them: more tasks. Order stays."""
+    from sparkfeat import session
+    from sparkfeat.plans import q_models as QM
+    rows = spark.range(0, 1200, 1, 12).select("id", *[(F.col("id") % (i + 2)).cast("double").alias(c) for i, c in enumerate(QM.FEATS)])
+    train, test = QM._vectors(rows, rows)
+    assert train.rdd.getNumPartitions() == 1 and [r.id for r in train.select("id").collect()] == list(range(1200))
+    assert test.count() == 1200
+    monkeypatch.setattr(session, "CELLS", 2000)
+    assert session.fitted_rows(rows, 6).rdd.getNumPartitions() == 4
+    assert session.fitted_rows(rows, 600).rdd.getNumPartitions() == 12
