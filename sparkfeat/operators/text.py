@@ -4,7 +4,8 @@ TF-IDF is a chain of distributed aggregates: document frequency and total
 per token straight from the rows (map-side combined, so a token present in a
 third of all documents is no hot spot), a vocabulary (bounded by
 ``max_features``, or all eligible terms), and weights row by row where the
-vocabulary is proven small, else from each row's counted terms in one join.
+vocabulary is proven small, else by blocks of rows, of which only the distinct
+terms are joined to the vocabulary.
 """
 
 from __future__ import annotations
@@ -85,7 +86,7 @@ def fit_tfidf(train: DataFrame, tokens: dict, min_df: int = 2, max_features: int
              .groupBy("feature", "token").agg(F.sum("first").alias("df"), F.count("*").alias("total")))
     n_docs = train.count()
     eligible = written(stats.filter(F.col("df") >= min_df), "terms")      # read once per feature, counted once
-    idf = F.log(F.lit(float(n_docs + 1)) / (F.col("df") + F.lit(1.0))) + F.lit(1.0)
+    idf = _idf(n_docs)
     if max_features is None:
         return fit_state(eligible.select("feature", "token", "df", idf.alias("idf")))
     # top-k per feature as ordered limits (partial top-k per task, then merge):
@@ -103,6 +104,10 @@ def fit_tfidf(train: DataFrame, tokens: dict, min_df: int = 2, max_features: int
     return fit_state(vocab, max_rows=bound)
 
 
+def _idf(n_docs: int) -> Column:
+    return F.log(F.lit(float(n_docs + 1)) / (F.col("df") + F.lit(1.0))) + F.lit(1.0)
+
+
 def _one_row_per_id(df: DataFrame, id_col: str, tokens: dict) -> tuple[DataFrame, dict]:
     """Rows with the tokens of all rows of an id together, and the columns that hold them. Where
     no id repeats (counted by a shuffle of the ids alone) the rows stay where they are."""
@@ -117,36 +122,78 @@ def transform_tfidf(df: DataFrame, id_col: str, tokens: dict, vocab_st: State) -
     """Weights (id, feature, token, tfidf) of any rows by a fitted vocabulary, L2 norm 1 per id and feature.
 
     A vocabulary proven small is sent to the tasks, which weigh each row where it is: no token is
-    shuffled or sorted. A larger one is joined to the counted terms of each row; only terms, each once a row, are shuffled.
+    shuffled or sorted. A larger one is joined to the distinct terms of blocks of rows.
     """
     rows, toks = _one_row_per_id(df, id_col, tokens)
     if vocab_st.small and vocab_st.rows is not None:
         return row_tfidf(rows, id_col, toks, vocab_st)
-    arr = F.array(*[F.struct(F.lit(f).alias("feature"), _term_counts(t).alias("terms")) for f, t in toks.items()])
-    long = (rows.select(id_col, F.explode(arr).alias("ft")).select(id_col, "ft.feature", F.explode("ft.terms").alias("t"))
-            .select(id_col, "feature", "t.token", "t.tf"))
+    return _block_tfidf(_blocks(rows, id_col, toks), id_col, vocab_st)
+
+
+BLOCK = 2_000_000       # tokens of the rows that are counted and weighed together
+
+
+def _blocks(df: DataFrame, id_col: str, tokens: dict) -> DataFrame:
+    """The counted terms of all rows as files, one row per feature and block of rows read one after the other.
+
+    ``terms``: the distinct terms of the block, ``df``: how many of its rows have each; ``ids``: its
+    rows, ``n``: how many terms each has; then row by row ``term``, the place in ``terms``, and
+    ``tf``, how often the row has it. The tokens are split once, here; every later step reads these files.
+    """
+    cols = {f: f"__tokens{i}" for i, f in enumerate(tokens)}
+    rows = df.select(F.col(id_col).alias("__id"), *[tokens[f].alias(c) for f, c in cols.items()])
+    one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)      # noqa: E731
+    ints = lambda values: one(pa.array(values, pa.int32()))      # noqa: E731
+
+    def counted(feature, ids, words, sizes):
+        coded = pc.dictionary_encode(pc.cast(pc.list_flatten(words), pa.string()), null_encoding="encode")
+        k = max(len(coded.dictionary), 1)
+        pair, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes) * k + coded.indices.to_numpy(), return_counts=True)
+        row, term = np.divmod(pair, k)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([feature]), one(coded.dictionary), ints(np.bincount(term, minlength=len(coded.dictionary))), one(ids),
+             ints(np.bincount(row, minlength=len(sizes))), ints(term), ints(tf)], ["feature", "terms", "df", "ids", "n", "term", "tf"])
+
+    def count(batches):
+        for batch in batches:
+            for f, c in cols.items():
+                sizes = pc.fill_null(pc.list_value_length(batch[c]), 0).to_numpy().astype(np.int64)
+                _, starts = np.unique(np.cumsum(sizes) // BLOCK, return_index=True)
+                for at, end in zip(starts, [*starts[1:], len(sizes)]):
+                    yield counted(f, batch["__id"].slice(at, end - at), batch[c].slice(at, end - at), sizes[at:end])
+
+    kind = rows.schema["__id"].dataType.simpleString()
+    made = rows.mapInArrow(count, "feature string, terms array<string>, df array<int>, ids array<" + kind + ">, n array<int>, "
+                                  "term array<int>, tf array<int>")
+    return written(made.withColumn("block", F.monotonically_increasing_id()), "counted")
+
+
+def _block_tfidf(blocks: DataFrame, id_col: str, vocab_st: State) -> DataFrame:
+    """Weights of the rows of ``_blocks``: the terms of each block, each once, are joined to the vocabulary,
+    then its rows are weighed and brought to norm 1 by what was found. The terms of a row are
+    never shuffled one by one, and a term that most rows have is joined once a block."""
+    terms = blocks.select(F.col("block").alias("of"), "feature", F.posexplode("terms").alias("place", "token"))
     vocab_st = State(vocab_st.df.select("feature", "token", "idf"), vocab_st.small)
-    kept = lookup_join(long, vocab_st, ["feature", "token"], how="inner", salt_col=id_col,
-                       allow_map=False)  # hash lookups for the many terms
-    raw = kept.withColumn("__w", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("__w") * F.col("__w")).over(Window.partitionBy(id_col, "feature")))
-    return raw.select(id_col, "feature", "token", (F.col("__w") / norm).alias("tfidf"))
-
-
-def _term_counts(tokens: Column) -> Column:
-    """The distinct tokens of each row and how often it has them."""
-    @F.arrow_udf("array<struct<token: string, tf: bigint>>")
-    def term_counts(words: pa.Array) -> pa.Array:
-        row = pc.list_parent_indices(words).to_numpy().astype(np.int64)
-        coded = pc.dictionary_encode(pc.cast(pc.list_flatten(words), pa.string()))
-        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-        size, known = max(len(coded.dictionary), 1), coded.is_valid().to_numpy(zero_copy_only=False)
-        pair, tf = np.unique(row[known] * size + coded.indices.drop_null().to_numpy(), return_counts=True)
-        row, term = np.divmod(pair, size)
-        ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(words)))])
-        pairs = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(term)), pa.array(tf, pa.int64())], names=["token", "tf"])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
-    return term_counts(tokens)
+    known = lookup_join(terms, vocab_st, ["feature", "token"], how="inner", allow_map=False)     # hash lookups for the many terms
+
+    def weigh(block: pa.Table, found: pa.Table) -> pa.Table:
+        part = {c: pc.list_flatten(block[c].combine_chunks()) for c in ("terms", "ids", "n", "term", "tf")}
+        idf, fits = np.zeros(len(part["terms"])), np.zeros(len(part["terms"]), bool)
+        idf[found["place"].to_numpy()], fits[found["place"].to_numpy()] = found["idf"].to_numpy(), True
+        row, term = np.repeat(np.arange(len(part["ids"])), part["n"].to_numpy()), part["term"].to_numpy()
+        keep = fits[term]
+        row, term = row[keep], term[keep]
+        w = part["tf"].to_numpy()[keep] * idf[term]
+        norm = np.sqrt(np.bincount(row, w * w, len(part["ids"])))
+        return pa.table({"id": part["ids"].take(pa.array(row)), "feature": pa.repeat(block["feature"][0], len(row)),
+                         "token": part["terms"].take(pa.array(term)), "tfidf": pa.array(w / norm[row])})
+
+    made = blocks.select(F.get("ids", F.lit(0)).alias("id"), "feature", F.get("terms", F.lit(0)).alias("token"), F.lit(0.0).alias("tfidf")).schema
+    # a partition takes some blocks: more rows, more partitions
+    n = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks.count() // 4)
+    given = blocks.select("block", "feature", "terms", "ids", "n", "term", "tf").repartition(n, "block").groupBy("block")
+    known = known.select("of", "place", "idf").repartition(n, "of").groupBy("of")
+    return given.cogroup(known).applyInArrow(weigh, made).withColumnRenamed("id", id_col)
 
 
 def row_tfidf(df: DataFrame, id_col: str, tokens: dict, vocab_st: State) -> DataFrame:
@@ -187,7 +234,17 @@ def tfidf(df: DataFrame, id_col: str, tokens: dict, min_df: int = 2, max_feature
           fit_on: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Smooth-idf TF-IDF with L2 row norm for several token columns at once: (weights of
     ``df``, vocabulary). Vocabulary and idf come from ``fit_on`` (the training rows;
-    default: all rows)."""
+    default: all rows). With ``max_features=None`` rows that are fitted and weighed are split
+    into tokens once, and no part of the vocabulary is collected."""
+    if fit_on is None and max_features is None:
+        whole, toks = _one_row_per_id(df, id_col, tokens)
+        blocks = _blocks(df, id_col, tokens)
+        stats = blocks.select("feature", F.inline(F.arrays_zip(F.col("terms").alias("token"), F.col("df").alias("df"))))
+        stats = stats.groupBy("feature", "token").agg(F.sum("df").alias("df")).filter(F.col("df") >= min_df)
+        vocab = written(stats.select("feature", "token", "df", _idf(df.count()).alias("idf")), "terms")
+        if whole is not df:         # fitted row by row, weighed by id
+            blocks = _blocks(whole, id_col, toks)
+        return _block_tfidf(blocks, id_col, State(vocab, False)), vocab
     vocab = fit_tfidf(df if fit_on is None else fit_on, tokens, min_df, max_features)
     return transform_tfidf(df, id_col, tokens, vocab), vocab.df
 

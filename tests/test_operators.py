@@ -484,6 +484,34 @@ def test_tfidf_counts_the_rows_of_an_id_together_by_either_path(spark):
         assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
 
 
+def test_tfidf_of_all_terms_splits_texts_once_and_weighs_blocks(spark, monkeypatch):
+    """With all terms, texts are split once; blocks of any size give the weights of whole rows, an id's rows together."""
+    rows = [(1, "a_b_b", "x"), (2, "b_c", "x_y"), (3, "a__c_d", None), (None, "a_b", "y"), (5, None, "z"), (6, "", "x_x"), (7, "e", "")]
+    for block, extra in ((2_000_000, []), (3, []), (1, [(1, "a_d", "y"), (None, "c", None)])):
+        monkeypatch.setattr(T, "BLOCK", block)
+        given = rows + extra
+        docs = spark.createDataFrame(given, "id long, s string, u string").repartition(2)
+        w, vocab = T.tfidf(docs, "id", {f: T.split_tokens(f) for f in "su"}, min_df=2, max_features=None)
+        plan = _execution_plan(w)
+        assert "split(" not in plan and "Window" not in plan
+        df, tf = {}, {}
+        for key, *texts in given:
+            for f, text in zip("su", texts):
+                words = [t for t in (text or "").split("_") if t]
+                for t in words:
+                    tf[key, f, t] = tf.get((key, f, t), 0) + 1
+                for t in set(words):
+                    df[f, t] = df.get((f, t), 0) + 1
+        idf = {k: math.log((len(given) + 1) / (n + 1)) + 1 for k, n in df.items() if n >= 2}
+        assert {(r.feature, r.token): r.df for r in vocab.collect()} == {k: df[k] for k in idf}
+        raw = {(key, f, t): n * idf[f, t] for (key, f, t), n in tf.items() if (f, t) in idf}
+        norm = {(key, f): math.sqrt(sum(x * x for k, x in raw.items() if k[:2] == (key, f))) for key, f, _ in raw}
+        out = w.collect()
+        got = {(r.id, r.feature, r.token): r.tfidf for r in out}
+        assert len(out) == len(got) and got.keys() == raw.keys()
+        assert all(math.isclose(got[k], x / norm[k[:2]]) for k, x in raw.items())
+
+
 def test_pct_rank_shuffles_only_rare_values(spark):
     """A value that most rows share is ranked by a broadcast; rare ones and frequent ones alike are exact."""
     rows = [(i, 1.0 if i % 10 else float(i), None if i % 3 else float(i % 6)) for i in range(4000)]
