@@ -11,7 +11,7 @@ from sparkfeat.operators import clean as C
 from sparkfeat.operators import text as T
 from sparkfeat.functions.rounding import sig6
 from sparkfeat.plans.sqlkit import r6, sig6_sql, with_profile
-from sparkfeat.session import written
+from sparkfeat.session import spread, written
 from sparkfeat.sources.fixtures import ORDER_SPEC, order_profile
 from sparkfeat.sources.tables import read_table
 
@@ -194,6 +194,8 @@ def family_table(spark, sf):
     named = p.select("id", "label", *ORDER_SPEC.numeric, F.sqrt("total").alias("TFIDF_like"), F.col("cnt_r").alias("R_4Gram"),
                      F.col("cnt_a").alias("A_5GRAM"), F.log1p("max_price").alias("log_MAX_PRICE"),
                      F.col("st1").alias("line_state"))
+    n = docs.count()        # of files
+    named, made, dense = (spread(t, n, "id") for t in (named, made, dense))
     return named.join(made, "id").join(dense, "id")
 
 

@@ -24,6 +24,7 @@ CLUSTER_CONF = {
 }
 
 CELLS = 2_000_000       # numbers in a partition of rows to fit on
+ROWS = 200_000          # wide rows in a partition of a join
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
@@ -112,5 +113,14 @@ def fitted_rows(df, width: int):
     return rows if need >= rows.rdd.getNumPartitions() else cut_lineage(rows.coalesce(need))
 
 
+def spread(df, rows: int, *keys):
+    """``df`` dealt by ``keys`` to partitions of ``ROWS`` of its ``rows`` rows, where a shuffle would make fewer of them.
+
+    Joins that follow by the same keys and rows sort no more in a task for a larger input.
+    """
+    need = rows // ROWS
+    return df.repartition(need, *keys) if need > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def default_sf_dir() -> str:
     return os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")

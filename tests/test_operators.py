@@ -512,6 +512,18 @@ def test_tfidf_of_all_terms_splits_texts_once_and_weighs_blocks(spark, monkeypat
         assert all(math.isclose(got[k], x / norm[k[:2]]) for k, x in raw.items())
 
 
+def test_family_table_joins_in_partitions_by_its_rows(spark, monkeypatch):
+    """More rows are joined in more partitions, and the table stays the same; few rows are left as they are."""
+    from sparkfeat import session
+    from sparkfeat.plans.q_text import family_table
+    few = family_table(spark, "/root/testdata/sf0.001")
+    want = sorted(few.collect(), key=lambda r: r.id)
+    monkeypatch.setattr(session, "ROWS", len(want) // 20)
+    more = family_table(spark, "/root/testdata/sf0.001")
+    assert more.rdd.getNumPartitions() >= 20 > few.rdd.getNumPartitions()
+    assert sorted(more.collect(), key=lambda r: r.id) == want
+
+
 def test_pct_rank_shuffles_only_rare_values(spark):
     """A value that most rows share is ranked by a broadcast; rare ones and frequent ones alike are exact."""
     rows = [(i, 1.0 if i % 10 else float(i), None if i % 3 else float(i % 6)) for i in range(4000)]
